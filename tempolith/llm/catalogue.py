@@ -1,7 +1,7 @@
 """The queries of this subpackage."""
 
-from . import bpe, digests, language, licenses, records
+from . import bpe, digests, language, licenses, pseudonyms, records, shards, urls
 
-_MODULES = (bpe, digests, language, licenses, records)
+_MODULES = (bpe, digests, language, licenses, pseudonyms, records, shards, urls)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
