@@ -3,7 +3,8 @@
 A record is framed as: payload length (unsigned 64-bit), masked checksum of those 8 bytes (unsigned
 32-bit), payload, masked checksum of the payload, one line feed. All numbers are little-endian. A masked
 checksum is CRC-32 rotated right by 15 bits plus a constant, so that a checksum stored inside checksummed
-data doesn't vanish. The payload is the document's id (signed 64-bit) and its token ids (unsigned 32-bit).
+data doesn't vanish. The payload is the document's id (signed 64-bit), the bytes per token id (one byte: 2
+or 4, the fewest that hold all of the record's ids) and the token ids, unsigned.
 
 Spark's own text writer puts out the frames (the line feed is its separator), so files go through the
 task commit protocol of any file system that Spark writes to: a lost executor leaves no half file, and
@@ -45,7 +46,8 @@ def masked_crc(data: bytes) -> int:
 
 def frame(doc_id: int, ids: np.ndarray) -> bytes:
     """One record without its line feed."""
-    payload = struct.pack("<q", doc_id) + ids.astype("<u4").tobytes()
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    payload = struct.pack("<qB", doc_id, width) + ids.astype(f"<u{width}").tobytes()
     length = struct.pack("<Q", len(payload))
     return length + struct.pack("<I", masked_crc(length)) + payload + struct.pack("<I", masked_crc(payload))
 
@@ -60,7 +62,8 @@ def parse(raw: bytes, offset: int = 0) -> tuple[int, np.ndarray, int]:
     payload_crc, feed = TAIL.unpack_from(raw, end)
     if len(payload) != size or masked_crc(payload) != payload_crc or feed != 10:
         raise ValueError(f"the record at {offset} is damaged")
-    return struct.unpack_from("<q", payload)[0], np.frombuffer(payload, "<u4", offset=8), end + TAIL.size
+    doc_id, width = struct.unpack_from("<qB", payload)
+    return doc_id, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4"), end + TAIL.size
 
 
 @lru_cache(maxsize=2)
