@@ -112,8 +112,13 @@ class Index:
         diagonal = np.repeat(at, count) - self.place[entry] + WINDOW  # never negative
         step = self.budget[window] + 1
         band = diagonal // step
-        key = np.concatenate([window * (1 << 40) + band, window * (1 << 40) + np.maximum(band - 1, 0)])
-        key, hits = np.unique(key, return_counts=True)
+        hit = np.concatenate([window * (1 << 40) + band, window * (1 << 40) + np.maximum(band - 1, 0)])
+        key, hits = np.unique(hit, return_counts=True)
+        key = key[hits >= self.bound[key >> 40]]
+        # of those, count each of the item's q-grams once
+        kept = np.flatnonzero(np.isin(hit, key))
+        hit, place = hit[kept], np.tile(self.place[entry], 2)[kept]
+        key, hits = np.unique(np.unique(np.stack([hit, place]), axis=1)[0], return_counts=True)
         key = key[hits >= self.bound[key >> 40]]
         w, b = key >> 40, key & ((1 << 40) - 1)
         return [(int(x), int(y) * int(self.budget[x] + 1) - WINDOW, 2 * int(self.budget[x] + 1)) for x, y in zip(w, b, strict=True)]
@@ -142,8 +147,10 @@ class Index:
                 known = best[k].get(self.ids[window])
                 if known and known[0] == 0:
                     continue
-                text = raw[starts[k] : starts[k + 1] - 1]
-                edits, end = aligned(item, text, low - int(starts[k]), width)
+                text, first = raw[starts[k] : starts[k + 1] - 1], low - int(starts[k])
+                begin = max(0, first)
+                same = text[begin : first + width + len(item)].tobytes().find(item.tobytes()) if first + width + len(item) > 0 else -1
+                edits, end = (0, begin + same + len(item)) if same >= 0 else aligned(item, text, first, width)
                 if edits <= limit and (known is None or (edits, end) < known):
                     best[k][self.ids[window]] = (edits, end)
         if self.short:
