@@ -1,21 +1,24 @@
 """Exact Jaccard join of shingle sets in the metric space of Jaccard distance.
 
-Documents with equal sets are one point. Points join in regions, each with a centre:
+Documents with equal sets are one point. Points join in regions:
 
 1. *Regions.* Nearly all points are at distance exactly 1 from any pivot that isn't a near copy, so pivots
    alone can't divide the whole space: every window would hold every point. First-level regions come from
    projections instead. The hash universe is cut into ``k + 1`` parts, ``k`` being the largest symmetric
    difference that linked sets of a size class can have; linked sets agree exactly on one part at least, so
    the points that agree on a part (a cell) include both ends of every link. Cells with the same
-   smallest member are one region, centred on that member. A set with many empty parts can't rely on them and
+   smallest member are one region. A set with many empty parts can't rely on them and
    also offers its smallest shingles, of which linked sets share one. Sets of a class's upper end also
    offer their cells in the next class.
 2. *Pivots.* In a region the distances of all points to a few pivots are computed. A point within the
-   threshold of a pivot is linked to it; two points in one pivot's ball need no test. Points go to the
-   Voronoi region of their nearest pivot, and every other point goes along if the triangle inequality lets
-   it link to a member: its distance to the pivot is at most the region's radius plus the threshold.
-3. *Recursion.* The regions of the pivots are joined in the same way until a region has at most
-   ``REGION`` points, which one task joins exactly, again by pivots and windows. Pivots drop out, so this ends.
+   threshold of a pivot is linked to it. Balls that share points connect their pivots; the points of the
+   largest group of balls are connected and need no test among themselves, so only the others stay at home.
+   These go to the Voronoi region of their nearest pivot, and every other point goes along if the triangle
+   inequality lets it link to a member: its distance to the pivot is at most the region's radius plus the
+   threshold. Where windows hold nearly everything (a dense group of near copies) the region stays whole.
+3. *Recursion.* The regions are joined in the same way until one has at most ``REGION`` points, which one
+   task joins exactly, again by pivots and windows, or all its points at home were pivots. Pivots have met
+   everything and drop out, so this ends.
 
 Links are emitted as spanning edges, never as all pairs. Components come from label propagation with pointer
 jumping over tables in the shared folder. Shingles are 64-bit hashes of word hashes; two different shingles
@@ -41,11 +44,13 @@ from . import store
 
 WORDS, THRESHOLD = 3, (9, 10)
 #: Points and shingles that one task joins, or lets meet the pivots of a larger region; pivots of one.
-REGION, REGION_SHINGLES, PIVOTS = 2_000, 4_000_000, 8
+REGION, REGION_SHINGLES, PIVOTS = 2_000, 4_000_000, 32
 GROWTH = 1.25  # of a size class
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
+#: Rows of up to two numbers that may be sent to every executor, some 50 MB as a hash table.
+SENT_ROWS = 1_000_000
 CHUNK = 4_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -292,6 +297,12 @@ def _sets_for(df: DataFrame, members: DataFrame, *, key: str, text: str, words:
 EDGE = "a long, b long"
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (materialised, of two numbers a row at most), to be sent to every executor if it has no more than
+    ``rows`` rows; beyond that a join exchanges both sides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _small(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     def solve(group):
         import pandas as pd
@@ -303,68 +314,112 @@ def _small(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> D
     return regions.join(sets, "doc_id").groupBy("region").applyInPandas(solve, EDGE)
 
 
-def _distances(regions: DataFrame, pivots: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(region, doc_id, home, pivot, distance, linked) for each point and pivot of a region, a bounded number
-    of points meeting the region's pivots in one task."""
-    salted = regions.join(sets, "doc_id")
-    parts = regions.groupBy("region").agg(F.ceil(F.greatest(F.count("*") / REGION, F.sum("n") / REGION_SHINGLES)).cast("int").alias("parts"))
-    left = salted.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("parts")
-    right = (
-        pivots.join(sets, "doc_id")
-        .join(parts, "region")
-        .select(F.col("region").alias("r"), F.col("doc_id").alias("pivot"), F.col("shingles").alias("pivot_shingles"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+def merged_masks(masks: list[int]) -> list[int]:
+    """Masks that share a bit become one, until none do."""
+    groups: list[int] = []
+    for mask in masks:
+        apart = []
+        for g in groups:
+            if g & mask:
+                mask |= g
+            else:
+                apart.append(g)
+        groups = [*apart, mask]
+    return groups
+
+
+MET = "region long, doc_id long, n long, near long, pivots array<long>, distances array<float>, tested boolean"
+
+
+def _met(large: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Each point of a large region with its distances to the region's pivots and which balls it is in.
+
+    Pivots come from the points at home. A bounded number of points meets them in one task: regions are
+    salted into parts, and each part gets a copy of the pivots. Rows with a null ``doc_id`` have the groups of
+    pivots that a part's points connect. ``tested``: every point at home was a pivot.
+    """
+    sizes = large.groupBy("region").agg(
+        F.ceil(F.greatest(F.count("*") / REGION, F.sum("n") / REGION_SHINGLES)).cast("int").alias("parts"), (F.sum(F.col("home").cast("int")) <= PIVOTS).alias("tested")
     )
+    drawn = Window.partitionBy("region").orderBy(F.xxhash64("region", "doc_id"), "doc_id")
+    pivots = large.where("home").withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= PIVOTS).select(F.col("region").alias("r"), F.col("doc_id").alias("pivot"))
+    copies = sizes.select(F.col("region").alias("r"), "tested", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+    right = pivots.join(copies, "r").join(sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
+    salted = large.join(sizes.select("region", "parts"), "region").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    left = salted.join(sets, "doc_id").select("region", "part", "doc_id", "n", "shingles")
 
     def meet(key, a, b):
         import pandas as pd
 
+        columns = ["region", "doc_id", "n", "near", "pivots", "distances", "tested"]
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=columns)
+        b = b.sort_values("pivot")
         mine = [np.frombuffer(x, np.uint64) for x in a["shingles"]]
-        out = []
-        if mine and len(b):
-            sizes = np.array([len(s) for s in mine])
-            flat, bounds = np.concatenate(mine), np.concatenate([[0], np.cumsum(sizes)])
-            for pivot, raw in zip(b["pivot"], b["pivot_shingles"], strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                common = common_with(s, flat, bounds)
-                union = sizes + len(s) - common
-                out.append(pd.DataFrame({"region": key[0], "doc_id": a["doc_id"], "home": a["home"], "n": a["n"], "pivot": pivot, "distance": 1 - common / union, "near": threshold[1] * common >= threshold[0] * union}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["region", "doc_id", "home", "n", "pivot", "distance", "near"])
+        sizes = np.array([len(s) for s in mine])
+        flat, bounds = np.concatenate(mine), np.concatenate([[0], np.cumsum(sizes)])
+        near, far = np.zeros(len(a), np.int64), np.zeros((len(a), len(b)), np.float32)
+        for k, raw in enumerate(b["pivot_shingles"]):
+            pivot = np.frombuffer(raw, np.uint64)
+            common = common_with(pivot, flat, bounds)
+            union = sizes + len(pivot) - common
+            near |= (threshold[1] * common >= threshold[0] * union).astype(np.int64) << k
+            far[:, k] = 1 - common / union
+        names, tested = b["pivot"].tolist(), bool(b["tested"].iloc[0])
+        rows = pd.DataFrame({"region": key[0], "doc_id": a["doc_id"], "n": a["n"], "near": near, "pivots": [names] * len(a), "distances": list(far), "tested": tested})
+        groups = merged_masks([int(x) for x in np.unique(near) if x])
+        return pd.concat([rows, pd.DataFrame([(key[0], None, None, g, names, None, tested) for g in groups], columns=columns)]) if groups else rows
+
+    return left.groupBy("region", "part").cogroup(right.groupBy("r", "p")).applyInPandas(meet, MET)
+
+
+def _pivot_groups(met: DataFrame) -> DataFrame:
+    """Per region the groups of pivots that its points connect; a few masks for each part come together."""
+
+    def merge(key, rows):
+        import pandas as pd
 
-    schema = "region long, doc_id long, home boolean, n long, pivot long, distance double, near boolean"
-    return left.groupBy("region", "part").cogroup(right.groupBy("r", "p")).applyInPandas(meet, schema)
+        return pd.DataFrame([(key[0], g) for g in merged_masks(rows["near"].tolist())], columns=["region", "mask"])
+
+    return met.where("doc_id is null").select("region", "near").distinct().groupBy("region").applyInPandas(merge, "region long, mask long")
 
 
 def links(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Spanning edges of the links inside regions (region, doc_id, home); a link needs one end at home."""
-    reach = 1 - threshold[0] / threshold[1] + 1e-9
+    """Edges that span the components of the links inside regions (region, doc_id, n, home); of a link that
+    isn't implied by others one end at least is at home."""
+    reach = 1 - threshold[0] / threshold[1] + 1e-6
     edges = None
     while True:
         fits = (F.count("*") <= REGION) & (F.sum("n") <= REGION_SHINGLES)
-        sized = regions.join(regions.groupBy("region").agg(fits.alias("fits")), "region")
-        sized = store.materialise(sized, "jaccard-regions")
+        sized = store.materialise(regions.join(regions.groupBy("region").agg(fits.alias("fits")), "region"), "jaccard-regions")
         small = store.materialise(_small(sized.where("fits").select("region", "doc_id"), sets, threshold), "jaccard-links")
         edges = small if edges is None else edges.unionByName(small)
         large = sized.where("not fits").drop("fits")
         if not large.limit(1).count():
             return edges
-        drawn = Window.partitionBy("region").orderBy(F.xxhash64("region", "doc_id"), "doc_id")
-        pivots = large.where("home").withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= PIVOTS).select("region", "doc_id")
-        met = store.materialise(_distances(large, pivots, sets, threshold), "jaccard-distances")
-        edges = edges.unionByName(met.where("near and doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-        # homes go to their nearest pivot; pivots have met everything and are done
-        nearest = Window.partitionBy("region", "doc_id").orderBy("distance", "pivot")
-        homes = met.where("home").withColumn("k", F.row_number().over(nearest)).where("k = 1").join(pivots, ["region", "doc_id"], "left_anti")
-        radius = homes.groupBy("region", "pivot").agg(F.max("distance").alias("radius"))
-        around = met.join(radius, ["region", "pivot"]).where(F.col("distance") <= F.col("radius") + reach)
-        around = around.join(homes.select("region", "doc_id", "pivot", F.lit(True).alias("member")), ["region", "doc_id", "pivot"], "left")
-        # in a pivot's ball everything is connected already: without points outside it nothing is left to do
-        tally = around.groupBy("region", "pivot").agg(F.count(F.when(~F.col("near"), 1)).alias("outside"), F.count("member").alias("members"))
-        fewer = F.col("outside") < F.col("members")  # any link still unknown has an end outside the ball
-        regions = (
-            around.join(tally.where("outside > 0"), ["region", "pivot"])
-            .where(F.col("doc_id") != F.col("pivot"))
-            .select(F.xxhash64("region", "pivot").alias("region"), "doc_id", "n", F.when(fewer, ~F.col("near")).otherwise(F.coalesce("member", F.lit(False))).alias("home"))
-        )
+        met = store.materialise(_met(large, sets, threshold), "jaccard-met")
+        groups = store.materialise(_pivot_groups(met), "jaccard-groups")
+        points = met.where("doc_id is not null")
+        first = F.expr("try_element_at(filter(pivots, (p, k) -> (shiftright(near, k) & 1) = 1), 1)")
+        edges = edges.unionByName(points.where("near <> 0").select(first.alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
+        named = groups.join(met.groupBy("region").agg(F.first("pivots").alias("pivots")), "region")
+        together = named.select(F.expr("filter(pivots, (p, k) -> (shiftright(mask, k) & 1) = 1)").alias("g"))
+        edges = edges.unionByName(together.select(F.col("g")[0].alias("a"), F.explode("g").alias("b")).where("a <> b"))
+        # the group of pivots with the most points is the region's majority: links within it are implied
+        held = points.where("near <> 0 and not tested").join(groups, "region").where("(near & mask) <> 0").groupBy("region", "mask").agg(F.count("*").alias("points"))
+        majority = held.groupBy("region").agg(F.max_by("mask", F.struct("points", "mask")).alias("major"))
+        open_ = points.where("not tested and not array_contains(pivots, doc_id)").join(majority, "region", "left")
+        open_ = open_.withColumn("home", F.coalesce(F.expr("near & major"), F.lit(0)) == 0)
+        # Voronoi regions of the pivots for the points at home, with the window of the triangle inequality
+        nearest = F.expr("array_position(distances, array_min(distances))").cast("int")
+        open_ = store.materialise(open_.withColumn("nearest", F.when(F.col("home"), nearest)), "jaccard-open")
+        radius = open_.where("home").groupBy("region", F.col("nearest").alias("k")).agg(F.max(F.array_min("distances")).alias("radius"))
+        balls = radius.groupBy("region").agg(F.collect_list(F.struct("k", "radius")).alias("balls"))  # as many as pivots
+        around = F.expr(f"transform(filter(balls, w -> element_at(distances, w.k) <= w.radius + {reach}), w -> w.k)")
+        windowed = open_.join(balls, "region").withColumn("around", around)
+        spread = windowed.groupBy("region").agg((F.sum(F.size("around")) <= 1.5 * F.count("*")).alias("divides"))
+        placed = windowed.join(spread, "region").select("region", "doc_id", "n", "home", "nearest", F.explode(F.when(F.col("divides"), F.col("around")).otherwise(F.array(F.lit(0)))).alias("k"))
+        regions = placed.select(F.xxhash64("region", "k").alias("region"), "doc_id", "n", (F.col("home") & ((F.col("k") == 0) | (F.col("k") == F.col("nearest")))).alias("home"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -392,10 +447,13 @@ def joined(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
     classes = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("same_set"))
     members = store.materialise(named.select("doc_id", "n_shingles", "set_id").join(classes, "set_id").drop("set_id"), "jaccard-members")
     reps = members.where("doc_id = rep").select("doc_id").distinct()
-    cells = named.join(reps, "doc_id").select("doc_id", F.col("n_shingles").alias("n"), F.explode("cells").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("doc_id").alias("region"), F.max("doc_id").alias("last")).where("region < last").drop("last")
-    regions = store.materialise(cells.join(shared, "cell").select("region", "doc_id", "n").distinct().withColumn("home", F.lit(True)), "jaccard-first")
-    sets = store.materialise(_sets_for(df, regions.select("doc_id").distinct(), key=key, text=text, words=words), "jaccard-sets")
+    cells = named.select("doc_id", F.col("n_shingles").alias("n"), F.xxhash64("set_id").alias("set_key"), F.explode("cells").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.min("set_key").alias("region"), F.max("set_key").alias("last")).where("region < last").drop("last")
+    shared = store.materialise(shared, "jaccard-cells")
+    inside = cells.join(bounded(shared, SENT_ROWS), "cell").select("region", "doc_id", "n").distinct().join(reps, "doc_id", "left_semi")
+    regions = store.materialise(inside.withColumn("home", F.lit(True)), "jaccard-first")
+    asked = store.materialise(regions.select("doc_id").distinct(), "jaccard-asked")
+    sets = store.materialise(_sets_for(df, bounded(asked, SENT_ROWS), key=key, text=text, words=words), "jaccard-sets")
     found = components(links(regions, sets, threshold))
     labelled = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "same_set")
     alone = points.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("same_set"))
