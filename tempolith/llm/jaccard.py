@@ -183,7 +183,7 @@ def cells_of(shingles: np.ndarray, classes: Classes) -> np.ndarray:
             # too many empty parts: of the smallest hashes, linked sets share one
             first = n - -(-n * classes.num // classes.den) + 1
             out.append(mixed(np.sort(mixed(shingles))[:first] + mixed(np.array([c + 1_000_000], np.uint64))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out) & np.uint64((1 << 8 * CELL_BYTES) - 1) if out else np.zeros(0, np.uint64)
 
 
 PROFILE = "doc_id long, n_shingles long, set_id binary, cells array<long>"
@@ -209,6 +209,86 @@ def profiles(df: DataFrame, *, key: str, text: str, words: int, threshold: tuple
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PROFILE)
 
 
+CELL_BYTES, CROWD = 7, 8
+
+
+def first_regions(points: DataFrame) -> DataFrame:
+    """(region, doc_id) for the points that share a cell with another document.
+
+    Cells travel packed, 11 bytes each instead of a row: a batch of points is cut by a hash of the cell, and
+    each cut is one row of sorted cells, the points' places in a list, and that list. Where a batch has more than
+    ``CROWD`` points in a cell, one is packed, with a mark, and all of them go to the region of that cell at
+    once: a hot cell costs its reader one entry for each batch.
+    """
+    cuts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "cut int, packed binary, region long, doc_id long"
+    names = ["cut", "packed", "region", "doc_id"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                lists = batch.column(1)
+                cell = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                place = np.repeat(np.arange(len(docs)), np.diff(lists.offsets.to_numpy()))
+                order = np.lexsort((place, cell, cell % np.uint64(cuts)))
+                cell, place = cell[order], place[order]
+                fresh = np.ones(len(cell), bool)
+                fresh[1:] = (cell[1:] != cell[:-1]) | (place[1:] != place[:-1])
+                cell, place = cell[fresh], place[fresh]
+                head = np.flatnonzero(np.diff(cell, prepend=~cell[:1])) if len(cell) else np.zeros(0, np.int64)
+                count = np.diff(np.append(head, len(cell)))
+                crowd = np.repeat(count > CROWD, count)
+                if crowd.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(int(crowd.sum()), pa.int32()), pa.nulls(int(crowd.sum()), pa.binary()), pa.array(cell[crowd].view(np.int64)), pa.array(docs[place[crowd]])], names=names
+                    )
+                    first = np.zeros(len(cell), bool)
+                    first[head] = True
+                    kept = ~crowd | first
+                    cell, place, crowd = cell[kept], place[kept], crowd[kept]
+                cut = (cell % np.uint64(cuts)).astype(np.int64)
+                edge = np.searchsorted(cut, np.arange(cuts + 1))
+                rows = []
+                for k in np.flatnonzero(np.diff(edge)):
+                    part = slice(edge[k], edge[k + 1])
+                    used, local = np.unique(place[part], return_inverse=True)
+                    low = cell[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CELL_BYTES].tobytes()
+                    sizes = np.array([len(local), len(used)], "<u4").tobytes()
+                    rows.append((int(k), sizes + low + (local.astype("<u2") | (crowd[part].astype("<u2") << 15)).tobytes() + docs[used].tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names=names)
+
+    def meet(key, rows):
+        import pandas as pd
+
+        cells, docs, marks = [], [], []
+        for raw in rows["packed"]:
+            n, used = np.frombuffer(raw, "<u4", 2)
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :CELL_BYTES] = np.frombuffer(raw, np.uint8, int(n) * CELL_BYTES, 8).reshape(-1, CELL_BYTES)
+            local = np.frombuffer(raw, "<u2", int(n), 8 + int(n) * CELL_BYTES)
+            names = np.frombuffer(raw, "<i8", int(used), 8 + int(n) * (CELL_BYTES + 2))
+            cells.append(wide.view("<u8").ravel())
+            docs.append(names[local & 0x7FFF])
+            marks.append(local >> 15 == 1)
+        cell, doc, mark = np.concatenate(cells), np.concatenate(docs), np.concatenate(marks)
+        order = np.lexsort((doc, cell))
+        cell, doc, mark = cell[order], doc[order], mark[order]
+        head = np.flatnonzero(np.diff(cell, prepend=~cell[:1]))
+        count = np.diff(np.append(head, len(cell)))
+        crowded = np.logical_or.reduceat(mark, head)
+        region = np.where(crowded, cell[head].view(np.int64), doc[head])  # sorted: the first is the smallest
+        shared = np.repeat((doc[head] != doc[head + count - 1]) | crowded, count)
+        return pd.DataFrame({"region": np.repeat(region, count)[shared], "doc_id": doc[shared]}).drop_duplicates()
+
+    packed = points.where("doc_id is not null and size(cells) > 0").select("doc_id", "cells").mapInArrow(pack, schema)
+    packed = store.materialise(packed, "jaccard-packed")
+    crowds = packed.where("cut is null").select("region", "doc_id")
+    return packed.where("cut is not null").select("cut", "packed").groupBy("cut").applyInPandas(meet, "region long, doc_id long").unionByName(crowds)
+
+
 class Points:
     """Union of points by links, with the pairs already known to be connected."""
 
@@ -446,11 +526,8 @@ def joined(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
     named = points.where("n_shingles > 0")
     classes = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("same_set"))
     members = store.materialise(named.select("doc_id", "n_shingles", "set_id").join(classes, "set_id").drop("set_id"), "jaccard-members")
-    reps = members.where("doc_id = rep").select("doc_id").distinct()
-    cells = named.select("doc_id", F.col("n_shingles").alias("n"), F.xxhash64("set_id").alias("set_key"), F.explode("cells").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("set_key").alias("region"), F.max("set_key").alias("last")).where("region < last").drop("last")
-    shared = store.materialise(shared, "jaccard-cells")
-    inside = cells.join(bounded(shared, SENT_ROWS), "cell").select("region", "doc_id", "n").distinct().join(reps, "doc_id", "left_semi")
+    reps = store.materialise(members.where("doc_id = rep").select("doc_id", F.col("n_shingles").alias("n")).distinct(), "jaccard-reps")
+    inside = first_regions(named).distinct().join(bounded(reps, SENT_ROWS), "doc_id").select("region", "doc_id", "n")
     regions = store.materialise(inside.withColumn("home", F.lit(True)), "jaccard-first")
     asked = store.materialise(regions.select("doc_id").distinct(), "jaccard-asked")
     sets = store.materialise(_sets_for(df, bounded(asked, SENT_ROWS), key=key, text=text, words=words), "jaccard-sets")

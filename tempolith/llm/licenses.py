@@ -39,123 +39,129 @@ class Rule(NamedTuple):
     pattern: str
 
 
-#: Grants and disclaimers, each with a word that its text can't do without. One blank stands between words.
+#: Grants and disclaimers. One blank stands between words.
 _GRANTS = [
-    ("mit", "furnished", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mit", "sublicense", r"rights to use copy modify merge publish distribute sublicense and or sell copies"),
-    ("mit", "noninfringement", r"warranties of merchantability fitness for a particular purpose and noninfringement"),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice"),
-    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd", "endorse", r"neither the name of (?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse"),
-    ("bsd", "contributors", r"this software is provided by the (?:[^ ]+ ){1,6}and contributors as is"),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("apache", "apache", r"licensed under the apache license"),
-    ("apache", "compliance", r"you may not use this file except in compliance with the license"),
-    ("apache", "basis", r"distributed on an as is basis without warranties or conditions of any kind"),
-    ("apache", "agreed", r"unless required by applicable law or agreed to in writing software"),
-    ("gpl", "redistribute", r"free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of version (?:[^ ]+ )?of the gnu general public license"),
-    ("gpl", "received", r"you should have received a copy of the gnu general public license along with"),
-    ("lgpl", "lesser", r"under the terms of the gnu lesser general public license"),
-    ("lgpl", "received", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
-    ("agpl", "affero", r"under the terms of the gnu affero general public license"),
-    ("agpl", "received", r"you should have received a copy of the gnu affero general public license"),
-    ("gfdl", "documentation", r"under the terms of the gnu free documentation license"),
-    ("gfdl", "invariant", r"with no invariant sections no front cover texts and no back cover texts"),
-    ("mpl", "mozilla", r"this source code form is subject to the terms of the mozilla public license"),
-    ("mpl", "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
-    ("epl", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
-    ("cddl", "cddl", r"subject to the terms of the common development and distribution license"),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("unlicense", "anyone", r"anyone is free to copy modify publish use compile sell or distribute this software"),
-    ("wtfpl", "everyone", r"everyone is permitted to copy and distribute verbatim or modified copies"),
-    ("boost", "boost", r"distributed under the boost software license"),
-    ("zlib", "altered", r"altered source versions must be plainly marked as such"),
-    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
-    ("artistic", "artistic", r"under the same terms as perl itself|under the terms of the artistic license"),
-    ("psf", "python", r"python software foundation license agreement"),
-    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
-    ("cc0", "waived", r"waived all copyright and related (?:or|and) neighboring rights"),
-    ("cc0", "dedicated", r"dedicated the work to the public domain"),
-    ("public-domain", "domain", r"(?:released|placed|dedicated|put) (?:in|into|to) the public domain"),
-    ("public-domain", "domain", r"is in the public domain|public domain dedication"),
-    ("reserved", "reserved", r"copyright (?:[^ ]+ ){0,8}all rights reserved"),
-    ("reserved", "reserved", r"no rights reserved|some rights reserved"),
-    ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution)(?: [^ ]+){0,6} is (?:strictly )?prohibited"),
-    ("proprietary", "reproduced", r"no part of this (?:publication|work|document|book) may be reproduced"),
-    ("proprietary", "permission", r"without (?:the )?(?:prior )?(?:express )?written permission of the (?:publisher|author|copyright holder|owner)"),
-    ("non-commercial", "commercial", r"(?:for )?non ?commercial (?:use|purposes) only|not for commercial use"),
-    ("no-derivatives", "derivative", r"no derivative works (?:are )?(?:allowed|permitted)"),
-    ("evaluation", "evaluation", r"for evaluation purposes only"),
-    ("ofl", "font", r"licensed under the sil open font license"),
-    ("odbl", "database", r"open database license|database contents license"),
-    ("permission", "permission", r"(?:reprinted|reproduced|used) (?:with|by) (?:kind )?permission"),
-    ("copyleft", "copyleft", r"copyleft"),
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", r"rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", r"warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", r"neither the name of (?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse"),
+    ("bsd", r"this software is provided by the (?:[^ ]+ ){1,6}and contributors as is"),
+    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    ("apache", r"licensed under the apache license"),
+    ("apache", r"you may not use this file except in compliance with the license"),
+    ("apache", r"distributed on an as is basis without warranties or conditions of any kind"),
+    ("apache", r"unless required by applicable law or agreed to in writing software"),
+    ("gpl", r"free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", r"you can redistribute it and or modify it under the terms of version (?:[^ ]+ )?of the gnu general public license"),
+    ("gpl", r"you should have received a copy of the gnu general public license along with"),
+    ("lgpl", r"under the terms of the gnu lesser general public license"),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl", r"under the terms of the gnu affero general public license"),
+    ("agpl", r"you should have received a copy of the gnu affero general public license"),
+    ("gfdl", r"under the terms of the gnu free documentation license"),
+    ("gfdl", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl", r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", r"subject to the terms of the common development and distribution license"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies"),
+    ("boost", r"distributed under the boost software license"),
+    ("zlib", r"altered source versions must be plainly marked as such"),
+    ("zlib", r"the origin of this software must not be misrepresented"),
+    ("artistic", r"under the same terms as perl itself"),
+    ("artistic", r"under the terms of the artistic license"),
+    ("psf", r"python software foundation license agreement"),
+    ("openssl", r"this product includes software developed by the openssl project"),
+    ("cc0", r"waived all copyright and related (?:or|and) neighboring rights"),
+    ("cc0", r"dedicated the work to the public domain"),
+    ("public-domain", r"(?:released|placed|dedicated|put) (?:in|into|to) the public domain"),
+    ("public-domain", r"is in the public domain"),
+    ("public-domain", r"public domain dedication"),
+    ("reserved", r"copyright (?:[^ ]+ ){0,8}all rights reserved"),
+    ("reserved", r"(?:no|some) rights reserved"),
+    ("proprietary", r"proprietary and confidential"),
+    ("proprietary", r"confidential and proprietary"),
+    ("proprietary", r"unauthorized (?:copying|use|reproduction|distribution)(?: [^ ]+){0,6} is (?:strictly )?prohibited"),
+    ("proprietary", r"no part of this (?:publication|work|document|book) may be reproduced"),
+    ("proprietary", r"without (?:the )?(?:prior )?(?:express )?written permission of the (?:publisher|author|copyright holder|owner)"),
+    ("non-commercial", r"non commercial (?:use|purposes) only"),
+    ("non-commercial", r"noncommercial (?:use|purposes) only"),
+    ("non-commercial", r"not for commercial use"),
+    ("no-derivatives", r"no derivative works (?:are )?(?:allowed|permitted)"),
+    ("evaluation", r"for evaluation purposes only"),
+    ("ofl", r"licensed under the sil open font license"),
+    ("odbl", r"open database license"),
+    ("odbl", r"database contents license"),
+    ("permission", r"(?:reprinted|reproduced|used) (?:with|by) (?:kind )?permission"),
+    ("copyleft", r"copyleft"),
 ]
 
-#: Families by name: label, a word that every name holds, and the names as alternatives of words.
+#: Families by name: label, and the names.
 _FAMILIES = [
-    ("mit", "mit", r"mit|expat|mit x"),
-    ("x11", "x", r"x consortium"),
-    ("bsd", "bsd", r"bsd|berkeley software distribution|new bsd|modified bsd|simplified bsd|freebsd|revised bsd"),
-    ("apache", "apache", r"apache|apache software|asl"),
-    ("gpl", "gpl", r"gpl|gnu gpl|gplv|gpl v"),
-    ("gpl", "gnu", r"gnu public|gnu copyleft"),
-    ("lgpl", "lgpl", r"lgpl|gnu lgpl|lgplv|lgpl v"),
-    ("lgpl", "lesser", r"gnu lesser general public|lesser general public"),
-    ("lgpl", "library", r"gnu library general public|library general public"),
-    ("agpl", "agpl", r"agpl|gnu agpl|agplv|agpl v"),
-    ("agpl", "affero", r"gnu affero general public|affero general public|affero gpl"),
-    ("gfdl", "gfdl", r"gfdl|gnu fdl"),
-    ("gfdl", "documentation", r"gnu free documentation|free documentation"),
-    ("mpl", "mpl", r"mpl|mplv|mpl v"),
-    ("mpl", "mozilla", r"mozilla public|mozilla"),
-    ("epl", "eclipse", r"eclipse public|eclipse distribution|eclipse"),
-    ("cddl", "cddl", r"cddl"),
-    ("cddl", "development", r"common development and distribution"),
-    ("cpl", "common", r"common public|ibm public"),
-    ("isc", "isc", r"isc|openbsd isc"),
-    ("zlib", "zlib", r"zlib|zlib libpng"),
-    ("libpng", "libpng", r"libpng"),
-    ("boost", "boost", r"boost software|boost"),
-    ("unlicense", "unlicense", r"unlicense|the unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("artistic", "artistic", r"artistic|perl artistic|clarified artistic"),
-    ("psf", "python", r"python software foundation|python|psf"),
-    ("php", "php", r"php"),
-    ("ruby", "ruby", r"ruby"),
-    ("openssl", "openssl", r"openssl|ssleay"),
-    ("ofl", "font", r"sil open font|open font"),
-    ("eupl", "european", r"european union public"),
-    ("eupl", "eupl", r"eupl"),
-    ("cecill", "cecill", r"cecill|cecill b|cecill c"),
-    ("ms-pl", "microsoft", r"microsoft public|microsoft reciprocal"),
-    ("afl", "academic", r"academic free"),
-    ("osl", "open", r"open software"),
-    ("qpl", "qt", r"q public|qt public|qpl"),
-    ("sleepycat", "sleepycat", r"sleepycat"),
-    ("vim", "vim", r"vim"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("ncsa", "illinois", r"university of illinois ncsa|university of illinois"),
-    ("mulan", "mulan", r"mulan permissive software|mulan psl"),
-    ("upl", "universal", r"universal permissive"),
-    ("bsl", "business", r"business source"),
-    ("sspl", "server", r"server side public"),
-    ("elastic", "elastic", r"elastic"),
-    ("odbl", "odbl", r"odbl"),
-    ("odc-by", "commons", r"open data commons attribution|odc attribution"),
-    ("cc0", "cc", r"cc zero|creative commons zero"),
+    ("mit", r"mit|expat|mit x"),
+    ("x11", r"x consortium"),
+    ("bsd", r"bsd|berkeley software distribution|new bsd|modified bsd|simplified bsd|freebsd|revised bsd"),
+    ("apache", r"apache|apache software|asl"),
+    ("gpl", r"gpl|gnu gpl|gplv|gpl v"),
+    ("gpl", r"gnu public|gnu copyleft"),
+    ("lgpl", r"lgpl|gnu lgpl|lgplv|lgpl v"),
+    ("lgpl", r"gnu lesser general public|lesser general public"),
+    ("lgpl", r"gnu library general public|library general public"),
+    ("agpl", r"agpl|gnu agpl|agplv|agpl v"),
+    ("agpl", r"gnu affero general public|affero general public|affero gpl"),
+    ("gfdl", r"gfdl|gnu fdl"),
+    ("gfdl", r"gnu free documentation|free documentation"),
+    ("mpl", r"mpl|mplv|mpl v"),
+    ("mpl", r"mozilla public|mozilla"),
+    ("epl", r"eclipse public|eclipse distribution|eclipse"),
+    ("cddl", r"cddl"),
+    ("cddl", r"common development and distribution"),
+    ("cpl", r"common public|ibm public"),
+    ("isc", r"isc|openbsd isc"),
+    ("zlib", r"zlib|zlib libpng"),
+    ("libpng", r"libpng"),
+    ("boost", r"boost software|boost"),
+    ("unlicense", r"unlicense|the unlicense"),
+    ("wtfpl", r"wtfpl"),
+    ("artistic", r"artistic|perl artistic|clarified artistic"),
+    ("psf", r"python software foundation|python|psf"),
+    ("php", r"php"),
+    ("ruby", r"ruby"),
+    ("openssl", r"openssl|ssleay"),
+    ("ofl", r"sil open font|open font"),
+    ("eupl", r"european union public"),
+    ("eupl", r"eupl"),
+    ("cecill", r"cecill|cecill b|cecill c"),
+    ("ms-pl", r"microsoft public|microsoft reciprocal"),
+    ("afl", r"academic free"),
+    ("osl", r"open software"),
+    ("qpl", r"q public|qt public|qpl"),
+    ("sleepycat", r"sleepycat"),
+    ("vim", r"vim"),
+    ("postgresql", r"postgresql"),
+    ("ncsa", r"university of illinois ncsa|university of illinois"),
+    ("mulan", r"mulan permissive software|mulan psl"),
+    ("upl", r"universal permissive"),
+    ("bsl", r"business source"),
+    ("sspl", r"server side public"),
+    ("elastic", r"elastic"),
+    ("odbl", r"odbl"),
+    ("odc-by", r"open data commons attribution|odc attribution"),
+    ("cc0", r"cc zero|creative commons zero"),
 ]
-#: How a family is named: what stands around the name, which word gates it and how much it says.
+#: How a family is named: how much that says, and what stands around the name.
 _NAMINGS = [
-    (GRANT, "license", r"(?:licensed|released|distributed|available|published|provided) under (?:the |a |an )?(?:terms of )?(?:the )?(?:{0}) (?:style )?licen[sc]e"),
-    (NAMED, None, r"(?:licensed|released|distributed|available|published|provided) under (?:the |a |an )?(?:terms of )?(?:the )?(?:{0})"),
-    (NAMED, None, r"(?:{0}) licen[sc]ed?(?: version)?"),
-    (TAGGED, None, r"spdx license identifier (?:{0})"),
-    (TAGGED, None, r"licen[sc]e (?:{0})"),
-    (LINKED, None, r"(?:opensource org licen[sc]es|choosealicense com licen[sc]es|spdx org licen[sc]es) (?:{0})"),
+    (GRANT, r"(?:licensed|released|distributed|available|published|provided) under (?:the |a |an )?(?:terms of )?(?:the )?{0} (?:style )?licen[sc]e"),
+    (NAMED, r"(?:licensed|released|distributed|available|published|provided) under (?:the |a |an )?(?:terms of )?(?:the )?{0}"),
+    (NAMED, r"{0} licen[sc]ed?(?: version)?"),
+    (TAGGED, r"spdx license identifier {0}"),
+    (TAGGED, r"licen[sc]e {0}"),
+    (LINKED, r"(?:opensource org licen[sc]es|choosealicense com licen[sc]es|spdx org licen[sc]es) {0}"),
 ]
 #: Creative Commons: the label's elements and their words.
 _COMMONS = {
@@ -168,22 +174,33 @@ _COMMONS = {
 }
 
 
+#: Words that say little, taken as a gate only if a pattern has no other.
+_PLAIN = {"under", "identifier", "license", "licensed", "public", "general", "software", "the", "this", "distributed"}
+
+
+def keyword_of(pattern: str) -> str:
+    """The longest telling word that every match of ``pattern`` holds as a whole: no group, class or option
+    touches it."""
+    blank = lambda m: (" " if m[1][:1] == " " else "") + "?" + (" " if m[1][-1:] == " " else "")
+    fixed = re.sub(r"\(\?:((?:[^()]|\([^()]*\))*)\)(?:[?*+]|\{[\d,]*\})?", blank, pattern)
+    return max((w for w in fixed.split(" ") if re.fullmatch("[a-z]+", w)), key=lambda w: (w not in _PLAIN, len(w), w))
+
+
 def _rules() -> list[Rule]:
-    rules = [Rule(label, BASE_PRIORITY, phrase.split()[-1], phrase) for phrase, label in BASE.items()]
-    rules += [Rule(label, GRANT, keyword, pattern) for label, keyword, pattern in _GRANTS]
-    for label, keyword, names in _FAMILIES:
-        for priority, gate, frame in _NAMINGS:
-            rules.append(Rule(label, priority, gate or keyword, frame.format(names)))
+    made = [(label, BASE_PRIORITY, phrase) for phrase, label in BASE.items()]
+    made += [(label, GRANT, pattern) for label, pattern in _GRANTS]
+    for label, names in _FAMILIES:
+        made += [(label, priority, around.format(name)) for name in names.split("|") for priority, around in _NAMINGS]
     for label, words in sorted(_COMMONS.items(), key=lambda x: -len(x[0])):
         short = label[3:].replace("-", " ")
-        rules += [
-            Rule(label, GRANT, "creative", rf"(?:licensed|released|available|published) under (?:the |a )?creative commons {words}"),
-            Rule(label, NAMED, "creative", rf"creative commons {words}(?: licen[sc]e)?"),
-            Rule(label, NAMED, "cc", rf"cc {short}"),
-            Rule(label, LINKED, "creativecommons", rf"creativecommons org licenses {short}"),
+        made += [
+            (label, GRANT, rf"(?:licensed|released|available|published) under (?:the |a )?creative commons {words}"),
+            (label, NAMED, rf"creative commons {words}(?: licen[sc]e)?"),
+            (label, NAMED, rf"cc {short}"),
+            (label, LINKED, rf"creativecommons org licenses {short}"),
         ]
-    rules += [Rule("cc", HINTED, "creative", r"creative commons"), Rule("licensed", HINTED, "licensed", r"licensed (?:under|to|by)")]
-    return rules
+    made += [("cc", HINTED, r"creative commons"), ("licensed", HINTED, r"licensed (?:under|to|by)")]
+    return [Rule(label, priority, keyword_of(pattern), pattern) for label, priority, pattern in made]
 
 
 RULES = _rules()
@@ -215,10 +232,8 @@ class Scanner:
             by_keyword.setdefault(rule.keyword, []).append(k)
         for keyword, members in by_keyword.items():
             self.gates.add_word(f" {keyword} ", members)
-            if len(keyword) > 2:  # words that only begin so, such as gplv
-                self.gates.add_word(f" {keyword}", members)
         self.gates.make_automaton()
-        self.patterns = [re.compile(rf"(?<= ){r.pattern}(?= )" if "|" not in r.pattern else rf"(?<= )(?:{r.pattern})(?= )") for r in RULES]
+        self.patterns = [re.compile(rf"(?<= ){r.pattern}(?= )") for r in RULES]
 
     def scan(self, text: str | None) -> tuple[int, list[Detection], str]:
         """How many words, the resolved detections in word numbers, and the words between blanks."""
