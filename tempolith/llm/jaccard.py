@@ -217,8 +217,9 @@ def first_regions(points: DataFrame) -> DataFrame:
 
     Cells travel packed, 11 bytes each instead of a row: a batch of points is cut by a hash of the cell, and
     each cut is one row of sorted cells, the points' places in a list, and that list. Where a batch has more than
-    ``CROWD`` points in a cell, one is packed, with a mark, and all of them go to the region of that cell at
-    once: a hot cell costs its reader one entry for each batch.
+    ``CROWD`` points in a cell, the one of the smallest id is packed, with a mark, and all are put aside until
+    the cell's region is known: a hot cell costs its reader one entry for each batch. A cell's region is the
+    smallest id in it, so that the many cells of one group of near copies are few regions.
     """
     cuts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "cut int, packed binary, region long, doc_id long"
@@ -232,7 +233,7 @@ def first_regions(points: DataFrame) -> DataFrame:
                 lists = batch.column(1)
                 cell = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 place = np.repeat(np.arange(len(docs)), np.diff(lists.offsets.to_numpy()))
-                order = np.lexsort((place, cell, cell % np.uint64(cuts)))
+                order = np.lexsort((docs[place], cell, cell % np.uint64(cuts)))
                 cell, place = cell[order], place[order]
                 fresh = np.ones(len(cell), bool)
                 fresh[1:] = (cell[1:] != cell[:-1]) | (place[1:] != place[:-1])
@@ -279,14 +280,18 @@ def first_regions(points: DataFrame) -> DataFrame:
         head = np.flatnonzero(np.diff(cell, prepend=~cell[:1]))
         count = np.diff(np.append(head, len(cell)))
         crowded = np.logical_or.reduceat(mark, head)
-        region = np.where(crowded, cell[head].view(np.int64), doc[head])  # sorted: the first is the smallest
+        region = doc[head]  # sorted: the first is the smallest
         shared = np.repeat((doc[head] != doc[head + count - 1]) | crowded, count)
-        return pd.DataFrame({"region": np.repeat(region, count)[shared], "doc_id": doc[shared]}).drop_duplicates()
+        members = pd.DataFrame({"region": np.repeat(region, count)[shared], "doc_id": doc[shared]}).drop_duplicates().assign(cell=None)
+        return pd.concat([members, pd.DataFrame({"region": region[crowded], "doc_id": None, "cell": cell[head][crowded].view(np.int64)})])
 
     packed = points.where("doc_id is not null and size(cells) > 0").select("doc_id", "cells").mapInArrow(pack, schema)
     packed = store.materialise(packed, "jaccard-packed")
-    crowds = packed.where("cut is null").select("region", "doc_id")
-    return packed.where("cut is not null").select("cut", "packed").groupBy("cut").applyInPandas(meet, "region long, doc_id long").unionByName(crowds)
+    met = packed.where("cut is not null").select("cut", "packed").groupBy("cut").applyInPandas(meet, "region long, doc_id long, cell long")
+    met = store.materialise(met, "jaccard-cells")
+    crowded = bounded(store.materialise(met.where("cell is not null").select("region", "cell"), "jaccard-crowds"), SENT_ROWS)
+    crowds = packed.where("cut is null").select(F.col("region").alias("cell"), "doc_id").join(crowded, "cell").select("region", "doc_id")
+    return met.where("cell is null").select("region", "doc_id").unionByName(crowds)
 
 
 class Points:
