@@ -212,7 +212,7 @@ def profiles(df: DataFrame, *, key: str, text: str, words: int, threshold: tuple
 CELL_BYTES, CROWD = 7, 8
 
 
-def first_regions(points: DataFrame) -> DataFrame:
+def first_regions(points: DataFrame, scratch: store.Scratch) -> DataFrame:
     """(region, doc_id) for the points that share a cell with another document.
 
     Cells travel packed, 11 bytes each instead of a row: a batch of points is cut by a hash of the cell, and
@@ -286,11 +286,13 @@ def first_regions(points: DataFrame) -> DataFrame:
         return pd.concat([members, pd.DataFrame({"region": region[crowded], "doc_id": None, "cell": cell[head][crowded].view(np.int64)})])
 
     packed = points.where("doc_id is not null and size(cells) > 0").select("doc_id", "cells").mapInArrow(pack, schema)
-    packed = store.materialise(packed, "jaccard-packed")
+    packed = scratch.keep(packed, "jaccard-packed")
     met = packed.where("cut is not null").select("cut", "packed").groupBy("cut").applyInPandas(meet, "region long, doc_id long, cell long")
-    met = store.materialise(met, "jaccard-cells")
-    crowded = bounded(store.materialise(met.where("cell is not null").select("region", "cell"), "jaccard-crowds"), SENT_ROWS)
+    met = scratch.keep(met, "jaccard-cells")
+    crowded = bounded(scratch.keep(met.where("cell is not null").select("region", "cell"), "jaccard-crowded"), SENT_ROWS)
     crowds = packed.where("cut is null").select(F.col("region").alias("cell"), "doc_id").join(crowded, "cell").select("region", "doc_id")
+    crowds = scratch.keep(crowds.distinct(), "jaccard-crowds")
+    scratch.drop(packed)
     return met.where("cell is null").select("region", "doc_id").unionByName(crowds)
 
 
@@ -469,21 +471,21 @@ def _pivot_groups(met: DataFrame) -> DataFrame:
     return met.where("doc_id is null").select("region", "near").distinct().groupBy("region").applyInPandas(merge, "region long, mask long")
 
 
-def links(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def links(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int], scratch: store.Scratch) -> DataFrame:
     """Edges that span the components of the links inside regions (region, doc_id, n, home); of a link that
     isn't implied by others one end at least is at home."""
     reach = 1 - threshold[0] / threshold[1] + 1e-6
     edges = None
     while True:
         fits = (F.count("*") <= REGION) & (F.sum("n") <= REGION_SHINGLES)
-        sized = store.materialise(regions.join(regions.groupBy("region").agg(fits.alias("fits")), "region"), "jaccard-regions")
-        small = store.materialise(_small(sized.where("fits").select("region", "doc_id"), sets, threshold), "jaccard-links")
+        sized = scratch.keep(regions.join(regions.groupBy("region").agg(fits.alias("fits")), "region"), "jaccard-regions")
+        small = scratch.keep(_small(sized.where("fits").select("region", "doc_id"), sets, threshold), "jaccard-links")
         edges = small if edges is None else edges.unionByName(small)
         large = sized.where("not fits").drop("fits")
         if not large.limit(1).count():
             return edges
-        met = store.materialise(_met(large, sets, threshold), "jaccard-met")
-        groups = store.materialise(_pivot_groups(met), "jaccard-groups")
+        met = scratch.keep(_met(large, sets, threshold), "jaccard-met")
+        groups = scratch.keep(_pivot_groups(met), "jaccard-groups")
         points = met.where("doc_id is not null")
         first = F.expr("try_element_at(filter(pivots, (p, k) -> (shiftright(near, k) & 1) = 1), 1)")
         edges = edges.unionByName(points.where("near <> 0").select(first.alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
@@ -497,7 +499,7 @@ def links(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Da
         open_ = open_.withColumn("home", F.coalesce(F.expr("near & major"), F.lit(0)) == 0)
         # Voronoi regions of the pivots for the points at home, with the window of the triangle inequality
         nearest = F.expr("array_position(distances, array_min(distances))").cast("int")
-        open_ = store.materialise(open_.withColumn("nearest", F.when(F.col("home"), nearest)), "jaccard-open")
+        open_ = scratch.keep(open_.withColumn("nearest", F.when(F.col("home"), nearest)), "jaccard-open")
         radius = open_.where("home").groupBy("region", F.col("nearest").alias("k")).agg(F.max(F.array_min("distances")).alias("radius"))
         balls = radius.groupBy("region").agg(F.collect_list(F.struct("k", "radius")).alias("balls"))  # as many as pivots
         around = F.expr(f"transform(filter(balls, w -> element_at(distances, w.k) <= w.radius + {reach}), w -> w.k)")
@@ -522,21 +524,24 @@ def components(edges: DataFrame) -> DataFrame:
         store.discard(labels)
         labels = new
         if not changed:
+            store.discard(both)
             return labels.select("id", "component")
 
 
 def joined(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, and the number of documents with the same set."""
+    scratch = store.Scratch()
     points = store.materialise(profiles(df, key=key, text=text, words=words, threshold=threshold), "jaccard-profiles")
     named = points.where("n_shingles > 0")
     classes = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("same_set"))
     members = store.materialise(named.select("doc_id", "n_shingles", "set_id").join(classes, "set_id").drop("set_id"), "jaccard-members")
-    reps = store.materialise(members.where("doc_id = rep").select("doc_id", F.col("n_shingles").alias("n")).distinct(), "jaccard-reps")
-    inside = first_regions(named).distinct().join(bounded(reps, SENT_ROWS), "doc_id").select("region", "doc_id", "n")
-    regions = store.materialise(inside.withColumn("home", F.lit(True)), "jaccard-first")
-    asked = store.materialise(regions.select("doc_id").distinct(), "jaccard-asked")
-    sets = store.materialise(_sets_for(df, bounded(asked, SENT_ROWS), key=key, text=text, words=words), "jaccard-sets")
-    found = components(links(regions, sets, threshold))
+    reps = scratch.keep(members.where("doc_id = rep").select("doc_id", F.col("n_shingles").alias("n")).distinct(), "jaccard-reps")
+    inside = first_regions(named, scratch).distinct().join(bounded(reps, SENT_ROWS), "doc_id").select("region", "doc_id", "n")
+    regions = scratch.keep(inside.withColumn("home", F.lit(True)), "jaccard-first")
+    asked = scratch.keep(regions.select("doc_id").distinct(), "jaccard-asked")
+    sets = scratch.keep(_sets_for(df, bounded(asked, SENT_ROWS), key=key, text=text, words=words), "jaccard-sets")
+    found = components(links(regions, sets, threshold, scratch))
+    scratch.clear()
     labelled = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "same_set")
     alone = points.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("same_set"))
     return labelled.unionByName(alone)

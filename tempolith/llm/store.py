@@ -50,3 +50,24 @@ def discard(df: DataFrame | None) -> None:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Scratch:
+    """Tables in the shared folder that can go together once what was made of them is written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        self.tables.append(out)
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        discard(df)
+        self.tables = [t for t in self.tables if t is not df]
+
+    def clear(self) -> None:
+        for df in self.tables:
+            discard(df)
+        self.tables = []

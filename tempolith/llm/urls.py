@@ -93,6 +93,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = DAMPING, r
             rank = store.materialise(rank, "host-rank")
             store.discard(cut)
             cut = rank
+    store.discard(steps)
+    store.discard(start)
     return rank
 
 
