@@ -1,6 +1,6 @@
 """Markdown and caption texts as line tables: sections, nodes, fences, references, tables, logs.
 
-STR-06, STR-07, STR-10 to STR-17, STR-20 to STR-22, SRC-01, SRC-05, SRC-07, SRC-08, SRC-16, SRC-17, SRC-20, SRC-21,
+J-19, STR-06, STR-07, STR-10 to STR-17, STR-20 to STR-22, SRC-01, SRC-05, SRC-07, SRC-08, SRC-16, SRC-17, SRC-20, SRC-21,
 AGG-20, AGG-22, J-12, J-20, SET-05, V-15. Documents are exploded into numbered lines; stretches are
 running sums over them.
 """
@@ -191,3 +191,52 @@ def front_matter(df: DataFrame, *, key: Sequence[str], text: str) -> DataFrame:
     inline = F.filter(F.transform(F.split(F.regexp_replace(value, r"^\[|\]$", ""), ","), lambda x: F.trim(F.regexp_replace(x, r"""^\s*["']|["']\s*$""", ""))), lambda x: x != "")
     values = F.when(F.size("items") > 0, F.transform("items", lambda i: i["v"])).when(value.rlike(r"^\[.*\]$"), inline).when(value != "", F.array(F.regexp_replace(value, r"""^["']|["']$""", ""))).otherwise(F.array().cast("array<string>"))
     return grouped.select(*key, "ord", F.trim(F.substring_index("head", ":", 1)).alias("name"), values.alias("values"))
+
+
+def rewritten_references(df: DataFrame, mapping: DataFrame, *, key: Sequence[str], text: str) -> DataFrame:
+    """Replace whole picture targets by a mapping (key, old, new). A target is replaced once, so that swaps work:
+    first each old target by a mark of its number, then the marks by the new targets."""
+    pairs = mapping.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("old", "new"))).alias("_p"))
+    marked = F.aggregate(F.sequence(F.lit(1), F.size("_p")), F.col(text), lambda t, i: F.replace(t, F.concat(F.lit("]("), F.element_at("_p", i)["old"], F.lit(")")), F.concat(F.lit("](\u0001"), i.cast("string"), F.lit("\u0002)"))))
+    named = F.aggregate(F.sequence(F.lit(1), F.size("_p")), marked, lambda t, i: F.replace(t, F.concat(F.lit("](\u0001"), i.cast("string"), F.lit("\u0002)")), F.concat(F.lit("]("), F.element_at("_p", i)["new"], F.lit(")"))))
+    return df.join(pairs, list(key), "left").withColumn(text, F.when(F.size("_p") > 0, named).otherwise(F.col(text))).drop("_p")
+
+
+def reference_path(folder: Column, target: Column) -> Column:
+    """A target relative to the folder of the text that holds it; each leading ``../`` leaves one folder."""
+    ups = F.size(F.regexp_extract_all(F.regexp_extract(target, r"^(?:\.\./)*", 0), F.lit(r"\.\./"), F.lit(0)))
+    parts = F.split(folder, "/")
+    kept = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - ups, F.lit(0)))
+    return F.concat_ws("/", F.filter(kept, lambda x: x != ""), F.regexp_replace(target, r"^(?:\.\./)*", ""))
+
+
+def lecture_items(lines: DataFrame, *, key: Sequence[str]) -> DataFrame:
+    """Timed items of a merged lecture: of each chapter (level 1 or 2) its timed sub-sections if it has any, else
+    the chapter itself. The time stands in the heading or in the first line with text under it."""
+    head = F.col("line").rlike(r"^#{1,4}\s+\S")
+    numbered = number_islands(with_fences(lines, key=key).withColumn("_head", head & ~F.col("fenced")), key=key, order=["line_no"], starts=F.col("_head"), out="_s")
+    inner = ~F.col("_head") & (F.length(F.trim("line")) > 0)
+    rows = numbered.groupBy(*key, "_s").agg(F.bool_or("_head").alias("real"), F.max(F.when(F.col("_head"), F.col("line"))).alias("head"), F.min("line_no").alias("at"), F.min_by(F.when(inner, F.col("line")), F.when(inner, F.col("line_no"))).alias("under"))
+    clock = r"(\d{1,2}(?::\d{2}){1,2})"
+    time = F.coalesce(*[F.when(F.length(F.regexp_extract(c, p, 1)) > 0, seconds_of(F.regexp_extract(c, p, 1))) for c, p in ((F.col("head"), r"\[" + clock + r"\]"), (F.col("under"), r"^\s*\*" + clock))])
+    title = F.trim(F.regexp_replace(F.regexp_replace("head", r"^#+\s+", ""), r"\[[\d:]+\]", ""))
+    timed = rows.where("real").select(*key, "at", F.length(F.regexp_extract("head", "^#+", 0)).alias("level"), time.alias("t"), title.alias("title"))
+    w = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    chaptered = timed.withColumn("chapter", F.sum((F.col("level") <= 2).cast("int")).over(w))
+    detailed = F.max((F.col("t").isNotNull() & (F.col("level") > 2)).cast("int")).over(Window.partitionBy(*key, "chapter"))
+    return chaptered.withColumn("_d", detailed).where(F.col("t").isNotNull() & ((F.col("_d") == 0) | (F.col("level") > 2))).select(*key, "chapter", "t", "title")
+
+
+def registered(*registries: DataFrame, key: Sequence[str], name: str = "name") -> DataFrame:
+    """The union of registries, each name once; a registry that couldn't be read is simply not given."""
+    out = registries[0].select(*key, name)
+    for other in registries[1:]:
+        out = out.unionByName(other.select(*key, name))
+    return out.distinct()
+
+
+def migrated(front: DataFrame, *, key: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """Front matter rows of the old form as one row of the new columns; ``names`` maps old to new. Columns are
+    arrays of texts; what the old form lacks is empty."""
+    empty = F.array().cast("array<string>")
+    return front.groupBy(*key).agg(*[F.coalesce(F.max_by(F.when(F.col("name") == old, F.col("values")), F.when(F.col("name") == old, F.col("ord"))), empty).alias(new) for old, new in names.items()])

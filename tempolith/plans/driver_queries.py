@@ -104,8 +104,8 @@ SELECT a.event_type, a.s, round(coalesce(mean, 0), 6) AS mean, round(coalesce(la
 FROM axis a LEFT JOIN g ON g.event_type = a.event_type AND g.s = a.s""")
 def filled_buckets(spark, sf_dir):
     ev = events(spark, sf_dir)
-    first = ev.agg(F.floor(F.min("t") / 3600) * 3600).withColumnRenamed("(FLOOR((min(t) / 3600)) * 3600)", "origin").toDF("origin")
-    rebased = ev.crossJoin(F.broadcast(first)).withColumn("t", F.col("t") - F.col("origin"))  # one row
+    origin = ev.agg(F.floor(F.min("t") / 3600) * 3600).first()[0]
+    rebased = ev.withColumn("t", F.col("t") - F.lit(origin))
     out = sequences.buckets(rebased, key=["event_type"], time="t", value="value", width=3600.0)
     return out.select("event_type", "s", F.round("mean", 6).alias("mean"), F.round("largest", 6).alias("largest"), "n")
 

@@ -433,9 +433,9 @@ def evidence_vote(spark, sf_dir):
 SELECT w.user_id, w.w AS "window", count(ev.event_id) AS n, round(coalesce(sum(ev.value), 0), 3) AS total FROM w CROSS JOIN o LEFT JOIN ev ON ev.user_id = w.user_id AND ev.t >= o + a AND ev.t < o + a + 864000 GROUP BY ALL""")
 def per_window(spark, sf_dir):
     ev = events(spark, sf_dir)
-    origin = ev.agg(F.min(F.floor(F.col("t") / 86400) * 86400).alias("o"))
-    users = ev.select("user_id").distinct().crossJoin(F.broadcast(origin))  # one row
-    windows = users.select("user_id", "o", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("window")).select("user_id", "window", (F.col("o") + F.col("window") * 2592000.0).alias("orig_from")).withColumn("orig_to", F.col("orig_from") + 864000)
+    origin = ev.agg(F.min(F.floor(F.col("t") / 86400) * 86400)).first()[0]
+    users = ev.select("user_id").distinct()
+    windows = users.select("user_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("window")).withColumn("orig_from", F.lit(float(origin)) + F.col("window") * 2592000.0).withColumn("orig_to", F.col("orig_from") + 864000)
     held = temporal.in_windows(ev, windows, key=["user_id"], time="t", start="orig_from", end="orig_to", width=864000.0)
     found = held.groupBy("user_id", "window").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return windows.join(found, ["user_id", "window"], "left").select("user_id", "window", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 3).alias("total"))

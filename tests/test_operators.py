@@ -383,3 +383,19 @@ def test_streaming_matches_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("buckets").count() > 0
+
+
+def test_references_lectures_and_front_matter(spark):
+    df = rows(spark, [("a", "![x](s/1.jpg) ![y](s/2.jpg)"), ("b", "none")], "vid string, md string")
+    m = rows(spark, [("a", "s/1.jpg", "s/2.jpg"), ("a", "s/2.jpg", "s/1.jpg")], "vid string, old string, new string")
+    got = {r.vid: r.md for r in markup.rewritten_references(df, m, key=["vid"], text="md").collect()}
+    assert got == {"a": "![x](s/2.jpg) ![y](s/1.jpg)", "b": "none"}
+    assert one(spark, markup.reference_path(F.lit("out/chapters"), F.lit("../slides/1.jpg")).alias("p")).p == "out/slides/1.jpg"
+    md = "# One [00:01:00]\ntext\n## Two\n*00:02:00–00:03:00*\n### Sub [00:02:30]\n```\n# no [00:09:00]\n```\n# Three"
+    lines = markup.lines_of(rows(spark, [("a", md)], "vid string, md string"), key=["vid"], text="md")
+    assert [(r.t, r.title) for r in markup.lecture_items(lines, key=["vid"]).orderBy("t").collect()] == [(60, "One"), (150, "Sub")]
+    front = markup.front_matter(rows(spark, [("a", "---\ntitle: 'T'\ntags: [x, \"y\"]\nmore:\n  - p\n  - q\n---\nbody")], "vid string, t string"), key=["vid"], text="t")
+    got = markup.migrated(front, key=["vid"], names={"title": "name", "tags": "labels", "more": "rest", "none": "gone"}).first()
+    assert (got["name"], got["labels"], got["rest"], got["gone"]) == (["T"], ["x", "y"], ["p", "q"], [])
+    both = markup.registered(rows(spark, [("a", "x")], "vid string, name string"), rows(spark, [("a", "x"), ("a", "y")], "vid string, name string"), key=["vid"])
+    assert both.count() == 2
