@@ -10,6 +10,7 @@ Documents with equal sets are one point. Points join in regions:
    smallest member are one region. A set with many empty parts can't rely on them and
    also offers its smallest shingles, of which linked sets share one. Sets of a class's upper end also
    offer their cells in the next class.
+   Sketches that bound the difference of two sets from below then drop points that can link to none.
 2. *Pivots.* In a region the distances of all points to a few pivots are computed. A point within the
    threshold of a pivot is linked to it. Balls that share points connect their pivots; the points of the
    largest group of balls are connected and need no test among themselves, so only the others stay at home.
@@ -160,6 +161,55 @@ class Classes:
         return self.differences(c) + 1 + self.spare(c)
 
 
+SKETCH_BITS = 1 << 17
+
+
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """The parities of hashed shingles: sets that differ in ``d`` elements have sketches that differ in ``d`` bits at
+    most. Bits are a power of two of at least twice the set's size; half of a sketch over the other half, by
+    exclusive or, is the sketch of half as many bits."""
+    bits = min(SKETCH_BITS, max(64, 1 << (2 * len(shingles) - 1).bit_length())) if len(shingles) else 64
+    count = np.bincount((mixed(shingles ^ _C) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def possible_groups(sizes: np.ndarray, sketches: list[bytes], threshold: tuple[int, int]) -> np.ndarray:
+    """A label per point: points that a chain of pairs connects whose sketches leave a link possible."""
+    num, den = threshold
+    width = np.array([len(s) // 8 for s in sketches])
+    near = np.zeros((len(sizes), len(sizes)), bool)
+    for words in np.unique(width):
+        rows = np.flatnonzero(width == words)
+        cols = np.flatnonzero((width >= words) & (num * sizes <= den * sizes[rows].max()))
+        b = np.concatenate([folded(np.frombuffer(b"".join(sketches[i] for i in cols[width[cols] == w]), np.uint64).reshape(-1, w), words) for w in np.unique(width[cols])])
+        cols = np.concatenate([cols[width[cols] == w] for w in np.unique(width[cols])])
+        a = np.frombuffer(b"".join(sketches[i] for i in rows), np.uint64).reshape(-1, words)
+        step = max(1, 4_000_000 // max(1, b.size))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            apart = np.bitwise_count(a[k : k + step, None] ^ b[None]).sum(2, dtype=np.int64)
+            total = sizes[part][:, None] + sizes[cols][None]
+            near[np.ix_(part, cols)] = (den + num) * apart <= (den - num) * total
+    near |= near.T
+    label = np.full(len(sizes), -1)
+    for k in range(len(sizes)):
+        if label[k] < 0:
+            label[k] = k
+            queue = [k]
+            while queue:
+                new = np.flatnonzero(near[queue.pop()] & (label < 0))
+                label[new] = k
+                queue.extend(new.tolist())
+    return label
+
+
 def cells_of(shingles: np.ndarray, classes: Classes) -> np.ndarray:
     """The cells that a point is in: linked points share one at least."""
     n = len(shingles)
@@ -186,7 +236,7 @@ def cells_of(shingles: np.ndarray, classes: Classes) -> np.ndarray:
     return np.concatenate(out) & np.uint64((1 << 8 * CELL_BYTES) - 1) if out else np.zeros(0, np.uint64)
 
 
-PROFILE = "doc_id long, n_shingles long, set_id binary, cells array<long>"
+PROFILE = "doc_id long, n_shingles long, set_id binary, cells array<long>, sketch binary"
 
 
 def profiles(df: DataFrame, *, key: str, text: str, words: int, threshold: tuple[int, int]) -> DataFrame:
@@ -202,8 +252,9 @@ def profiles(df: DataFrame, *, key: str, text: str, words: int, threshold: tuple
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([cells_of(s, classes).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([sketch_of(s) for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_id", "cells"],
+                names=["doc_id", "n_shingles", "set_id", "cells", "sketch"],
             )
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PROFILE)
@@ -390,6 +441,26 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def _refined(regions: DataFrame, sketches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Small regions without the points that can link to none, divided where no link is possible. A region is
+    named by its points, so that one that came about in many cells is one."""
+
+    def divide(group):
+        import pandas as pd
+
+        group = group.drop_duplicates("doc_id").sort_values("doc_id")
+        label = possible_groups(group["n"].to_numpy(), group["sketch"].tolist(), threshold)
+        ids, n, out = group["doc_id"].to_numpy(), group["n"].to_numpy(), []
+        order = np.argsort(label, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            if len(part) > 1:
+                name = int.from_bytes(hashlib.blake2b(ids[part].tobytes(), digest_size=8).digest(), "little", signed=True)
+                out.append(pd.DataFrame({"region": name, "doc_id": ids[part], "n": n[part]}))
+        return pd.concat(out) if out else pd.DataFrame({"region": [], "doc_id": [], "n": []}, dtype="int64")
+
+    return regions.join(sketches, "doc_id").groupBy("region").applyInPandas(divide, "region long, doc_id long, n long").distinct()
+
+
 def _small(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     def solve(group):
         import pandas as pd
@@ -471,17 +542,20 @@ def _pivot_groups(met: DataFrame) -> DataFrame:
     return met.where("doc_id is null").select("region", "near").distinct().groupBy("region").applyInPandas(merge, "region long, mask long")
 
 
-def links(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int], scratch: store.Scratch) -> DataFrame:
+def links(regions: DataFrame, sketches: DataFrame, sets_of, threshold: tuple[int, int], scratch: store.Scratch) -> DataFrame:
     """Edges that span the components of the links inside regions (region, doc_id, n, home); of a link that
-    isn't implied by others one end at least is at home."""
+    isn't implied by others one end at least is at home. ``sets_of`` gives the shingles of asked documents: only
+    points that sketches leave a link are asked for."""
     reach = 1 - threshold[0] / threshold[1] + 1e-6
     edges = None
     while True:
         fits = (F.count("*") <= REGION) & (F.sum("n") <= REGION_SHINGLES)
         sized = scratch.keep(regions.join(regions.groupBy("region").agg(fits.alias("fits")), "region"), "jaccard-regions")
-        small = scratch.keep(_small(sized.where("fits").select("region", "doc_id"), sets, threshold), "jaccard-links")
-        edges = small if edges is None else edges.unionByName(small)
+        fine = scratch.keep(_refined(sized.where("fits").select("region", "doc_id", "n"), sketches, threshold), "jaccard-refined")
         large = sized.where("not fits").drop("fits")
+        sets = sets_of(fine.select("doc_id").unionByName(large.select("doc_id")).distinct())
+        small = scratch.keep(_small(fine.select("region", "doc_id"), sets, threshold), "jaccard-links")
+        edges = small if edges is None else edges.unionByName(small)
         if not large.limit(1).count():
             return edges
         met = scratch.keep(_met(large, sets, threshold), "jaccard-met")
@@ -538,9 +612,14 @@ def joined(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
     reps = scratch.keep(members.where("doc_id = rep").select("doc_id", F.col("n_shingles").alias("n")).distinct(), "jaccard-reps")
     inside = first_regions(named, scratch).distinct().join(bounded(reps, SENT_ROWS), "doc_id").select("region", "doc_id", "n")
     regions = scratch.keep(inside.withColumn("home", F.lit(True)), "jaccard-first")
-    asked = scratch.keep(regions.select("doc_id").distinct(), "jaccard-asked")
-    sets = scratch.keep(_sets_for(df, bounded(asked, SENT_ROWS), key=key, text=text, words=words), "jaccard-sets")
-    found = components(links(regions, sets, threshold, scratch))
+    met = scratch.keep(regions.select("doc_id").distinct(), "jaccard-met")
+    sketches = scratch.keep(named.select("doc_id", "sketch").join(bounded(met, SENT_ROWS), "doc_id", "left_semi"), "jaccard-sketches")
+
+    def sets_of(documents: DataFrame) -> DataFrame:
+        asked = scratch.keep(documents, "jaccard-asked")
+        return scratch.keep(_sets_for(df, bounded(asked, SENT_ROWS), key=key, text=text, words=words), "jaccard-sets")
+
+    found = components(links(regions, sketches, sets_of, threshold, scratch))
     scratch.clear()
     labelled = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "same_set")
     alone = points.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("same_set"))

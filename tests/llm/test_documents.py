@@ -334,3 +334,18 @@ def test_distrust_flows_against_links(spark):
     rows = [(1, "http://bad.com/de/x", ""), (2, "http://fan.net/a", link("http://bad.com/q")), (3, "http://good.org/", link("http://friend.net/z")), (4, "http://friend.net/b", ""), (5, "http://lone.net/", "")]
     got = {r.page_id: r.verdict for r in urls.judged(frame(spark, rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
+def test_sketches_bound_differences():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for n in (3, 40, 700):
+        a = np.unique(rnd.integers(0, 1 << 62, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 10], rnd.integers(0, 1 << 62, n // 10 + n // 3, dtype=np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        x, y = (np.frombuffer(jaccard.sketch_of(s), np.uint64)[None] for s in (a, b))
+        words = min(x.shape[1], y.shape[1])
+        assert np.bitwise_count(jaccard.folded(x, words) ^ jaccard.folded(y, words)).sum() <= apart
+        label = jaccard.possible_groups(np.array([len(a), len(b), n]), [jaccard.sketch_of(a), jaccard.sketch_of(b), jaccard.sketch_of(rnd.integers(0, 1 << 62, n, dtype=np.uint64))], (9, 10))
+        assert jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b), (9, 10)) <= (label[0] == label[1])
