@@ -35,15 +35,16 @@ def held_out(key: str = "doc_id"):
 def learn(df: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id", documents: int = SAMPLE_DOCUMENTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Raw content per language, most frequent language first, from labelled rows: for each language, ``documents`` rows drawn by a hash of the text,
     equal parts of each up to ``size`` bytes. The row limit is applied before rows are exchanged."""
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    drawn = Window.partitionBy("lang").orderBy("h", "part")
     share = max(1, size // documents)
     rows = (
         df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
         .select(F.col(label).alias("lang"), F.col(text).alias("text"))
+        # a middle part: beginnings may hold titles and markup; only the part is exchanged
+        .select("lang", F.xxhash64("text").alias("h"), F.expr(f"substring(text, greatest(1, cast(length(text) / 2 as int) - {share}), {4 * share})").alias("part"))
         .withColumn("n", F.row_number().over(drawn))
         .where(F.col("n") <= documents)
-        # a middle part: beginnings may hold titles and markup
-        .select("lang", "n", F.expr(f"substring(text, greatest(1, cast(length(text) / 2 as int) - {share}), {4 * share})").alias("part"))
+        .select("lang", "n", "part")
     )
     content: dict[str, list[bytes]] = {}
     for row in rows.orderBy("lang", "n").limit(LANGUAGES * documents).collect():  # at most that many short parts
