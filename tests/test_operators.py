@@ -357,7 +357,7 @@ def test_registry_and_settings():
     with pytest.raises(KeyError):
         r.run("y")
     assert artifacts.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
-    assert artifacts.from_environment("BN", {"BN_FRAMES_FPS": "3", "X": "1"}) == {"frames": {"fps": "3"}}
+    assert artifacts.from_environment("TL", {"TL_FRAMES_FPS": "3", "X": "1"}) == {"frames": {"fps": "3"}}
     assert artifacts.coerced("0", True) is False and artifacts.coerced("3", 2) == 3
 
 
