@@ -336,14 +336,12 @@ def first_regions(points: DataFrame, scratch: store.Scratch) -> DataFrame:
         members = pd.DataFrame({"region": np.repeat(region, count)[shared], "doc_id": doc[shared]}).drop_duplicates().assign(cell=None)
         return pd.concat([members, pd.DataFrame({"region": region[crowded], "doc_id": None, "cell": cell[head][crowded].view(np.int64)})])
 
+    # packing is done anew for the few crowds: writing it down would cost more disk than its exchange
     packed = points.where("doc_id is not null and size(cells) > 0").select("doc_id", "cells").mapInArrow(pack, schema)
-    packed = scratch.keep(packed, "jaccard-packed")
     met = packed.where("cut is not null").select("cut", "packed").groupBy("cut").applyInPandas(meet, "region long, doc_id long, cell long")
     met = scratch.keep(met, "jaccard-cells")
     crowded = bounded(scratch.keep(met.where("cell is not null").select("region", "cell"), "jaccard-crowded"), SENT_ROWS)
     crowds = packed.where("cut is null").select(F.col("region").alias("cell"), "doc_id").join(crowded, "cell").select("region", "doc_id")
-    crowds = scratch.keep(crowds.distinct(), "jaccard-crowds")
-    scratch.drop(packed)
     return met.where("cell is null").select("region", "doc_id").unionByName(crowds)
 
 
