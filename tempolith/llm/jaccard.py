@@ -17,9 +17,9 @@ Documents with equal sets are one point. Points join in regions:
    These go to the Voronoi region of their nearest pivot, and every other point goes along if the triangle
    inequality lets it link to a member: its distance to the pivot is at most the region's radius plus the
    threshold. Where windows hold nearly everything (a dense group of near copies) the region stays whole.
-3. *Recursion.* The regions are joined in the same way until one has at most ``REGION`` points, which one
-   task joins exactly, again by pivots and windows, or all its points at home were pivots. Pivots have met
-   everything and drop out, so this ends.
+3. *Recursion.* A region of at most ``REGION`` points is joined exactly in one task, again by pivots and
+   windows. Of a larger one's regions, those that are still too large are cut in parts, whose pairs are
+   divided by their sketches and then joined in the same way.
 
 Links are emitted as spanning edges, never as all pairs. Components come from label propagation with pointer
 jumping over tables in the shared folder. Shingles are 64-bit hashes of word hashes; two different shingles
@@ -470,6 +470,16 @@ def _small(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> D
     return regions.join(sets, "doc_id").groupBy("region").applyInPandas(solve, EDGE)
 
 
+def _paired(large: DataFrame) -> DataFrame:
+    """A large region as the pairs of its parts, each a region that one task's sketches can divide. Parts meet by
+    their sketches only; what those leave is small again."""
+    parts = large.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / (REGION // 2)), F.lit(2)).cast("int").alias("parts"))
+    dealt = large.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
+    met = dealt.withColumn("other", other)
+    return met.select(F.xxhash64("region", F.least("part", "other"), F.greatest("part", "other")).alias("region"), "doc_id", "n")
+
+
 def merged_masks(masks: list[int]) -> list[int]:
     """Masks that share a bit become one, until none do."""
     groups: list[int] = []
@@ -545,12 +555,16 @@ def links(regions: DataFrame, sketches: DataFrame, sets_of, threshold: tuple[int
     isn't implied by others one end at least is at home. ``sets_of`` gives the shingles of asked documents: only
     points that sketches leave a link are asked for."""
     reach = 1 - threshold[0] / threshold[1] + 1e-6
-    edges = None
+    edges, paired = None, False
     while True:
         fits = (F.count("*") <= REGION) & (F.sum("n") <= REGION_SHINGLES)
         sized = scratch.keep(regions.join(regions.groupBy("region").agg(fits.alias("fits")), "region"), "jaccard-regions")
-        fine = scratch.keep(_refined(sized.where("fits").select("region", "doc_id", "n"), sketches, threshold), "jaccard-refined")
+        tight = sized.where("fits").select("region", "doc_id", "n")
         large = sized.where("not fits").drop("fits")
+        if paired:
+            tight, large = tight.unionByName(_paired(large)), large.where("false")
+        fine = scratch.keep(_refined(tight, sketches, threshold), "jaccard-refined")
+        paired = True
         sets = sets_of(fine.select("doc_id").unionByName(large.select("doc_id")).distinct())
         small = scratch.keep(_small(fine.select("region", "doc_id"), sets, threshold), "jaccard-links")
         edges = small if edges is None else edges.unionByName(small)
