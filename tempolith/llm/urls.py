@@ -1,8 +1,10 @@
 """URL filter: rules first, then trust and distrust propagated over the graph of hosts.
 
-Links in pages give directed edges between hosts. Trust is personalised PageRank from the hosts that an
-allow rule names, along links; distrust is the same from hosts that a block rule names, against the links: who
-links to a blocked host is suspect. A host is blocked if its distrust exceeds ``RATIO`` times its trust; a
+Links in pages give directed edges between hosts; a relative link stays on its host and gives none. Trust is
+personalised PageRank from the hosts that an allow rule names, along links; distrust is the same from hosts that
+a block rule names, against the links: who links to a blocked host is suspect. Every named host is one seed of
+the same weight, parted between trust and distrust as its pages are between both kinds of rules, so both walks
+have one scale and a host's seed doesn't depend on how many pages there are. A host is blocked if its distrust exceeds ``RATIO`` times its trust; a
 host that neither reaches is allowed. A page's verdict is that of the longest rule that fits its URL, else
 that of its host. Rank that reaches a host without links is not passed on.
 
@@ -38,7 +40,7 @@ class Rule(NamedTuple):
 #: The rules of the registered query.
 RULES = (Rule("allow", "org/"), Rule("block", "example.org/es/"), Rule("block", "example.org/en/1"), Rule("allow", "com/fr/"), Rule("block", "com/de/"))
 DAMPING, ROUNDS, RATIO, CUT_EVERY = 0.85, 8, 1.0, 4
-LINK = r"""(?i)\bhref\s*=\s*["']?\s*([a-z][a-z0-9+.\-]*://[^"'\s>]+)"""
+LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s>]+)"""
 
 
 def after_scheme(url: Column) -> Column:
@@ -68,13 +70,15 @@ def fitting(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """Distinct directed edges between different hosts."""
     target = F.explode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINK), F.lit(1)))
-    links = pages.select(host_of(F.col(url)).alias("src"), target.alias("to_url")).select("src", host_of(F.col("to_url")).alias("dst"))
+    links = pages.select(host_of(F.col(url)).alias("src"), target.alias("to_url"))
+    absolute = F.when(F.col("to_url").startswith("//"), F.concat(F.lit("http:"), "to_url")).otherwise(F.col("to_url"))  # the page's scheme
+    links = links.select("src", host_of(absolute).alias("dst"))
     return links.where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` of both walks. ``seeds`` has host, trust and distrust, each
-    column summing to one; both walks share every join and exchange."""
+    """(host, trust, distrust) after ``rounds`` of both walks. ``seeds`` has host, trust and
+    distrust, on one scale; both walks share every join and exchange."""
     outs = edges.groupBy(F.col("src").alias("a")).agg((1.0 / F.count("*")).alias("w"))
     ins = edges.groupBy(F.col("dst").alias("a")).agg((1.0 / F.count("*")).alias("w"))
     forward = edges.join(outs, edges.src == outs.a).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").alias("wt"), F.lit(0.0).alias("wd"))
@@ -104,13 +108,12 @@ def judged(pages: DataFrame, *, url: str = "url", html: str = "html", rules=RULE
     named = pages.drop(html).withColumns({"host": host, "path": path})
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
     named = named.withColumns({"rule": rule, "by_rule": verdict})
-    marks = named.where("host <> ''").groupBy("host").agg(
-        F.max(F.when(F.col("by_rule") == "allow", 1.0).otherwise(0.0)).alias("trust"), F.max(F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0)).alias("distrust")
-    )
-    # a host that both kinds of rules name says nothing of hosts around it
-    marks = store.materialise(marks.withColumns({"trust": F.when(F.col("distrust") == 0, F.col("trust")).otherwise(0.0), "distrust": F.when(F.col("trust") == 0, F.col("distrust")).otherwise(0.0)}), "host-marks")
-    total = marks.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()  # two numbers
-    seeds = marks.select("host", (F.col("trust") / max(total["t"] or 0, 1)).alias("trust"), (F.col("distrust") / max(total["d"] or 0, 1)).alias("distrust"))
+    count = lambda kind: F.count_if(F.col("by_rule") == kind)
+    marks = named.where("host <> '' and by_rule is not null").groupBy("host").agg(count("allow").alias("allowed"), count("block").alias("blocked"))
+    marks = store.materialise(marks, "host-marks")
+    named_hosts = max(marks.count(), 1)
+    share = lambda kind: F.col(kind) / (F.col("allowed") + F.col("blocked")) / named_hosts
+    seeds = marks.select("host", share("allowed").alias("trust"), share("blocked").alias("distrust"))
     rank = propagate(seeds, host_edges(pages, url=url, html=html))
     scored = named.join(rank, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     by_graph = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")

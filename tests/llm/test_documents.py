@@ -336,6 +336,23 @@ def test_distrust_flows_against_links(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_mixed_hosts_are_seeds_of_both_walks(spark):
+    link = lambda u: f'<a href="{u}">x</a>'
+    rows = [(k, f"http://bad.com/de/{k}", "") for k in range(3)] + [(3, "http://bad.com/fr/x", link("//friend.net/z?u=http://no.net/")), (4, "http://bad.com/", link("/here"))]
+    rows += [(5, "http://fan.net/a", link("//bad.com/q")), (6, "http://friend.net/b", "")]
+    rows += [(10 + k, f"http://good.com/fr/{k}", "") for k in range(3)] + [(13, "http://good.com/de/x", ""), (14, "http://good.com/", "")]
+    kind = "page_id long, url string, html string"
+    got = {r.page_id: r for r in urls.judged(frame(spark, rows, kind)).collect()}
+    # two named hosts with half of the weight each; friend.net has a link from bad.com, fan.net one to it
+    near = lambda r, trust, distrust: abs(r.trust - trust) < 1e-12 and abs(r.distrust - distrust) < 1e-12
+    assert near(got[4], 0.15 / 8, 0.15 * 3 / 8) and near(got[14], 0.15 * 3 / 8, 0.15 / 8)
+    assert near(got[6], 0.85 * 0.15 / 8, 0) and near(got[5], 0, 0.85 * 0.15 * 3 / 8)
+    assert {k: got[k].verdict for k in (3, 4, 5, 6, 13, 14)} == {3: "allow", 4: "block", 5: "block", 6: "allow", 13: "block", 14: "allow"}
+    # the same pages many times over change no verdict, nor does one more allowed page of a pure host
+    more = [(100 * n + r[0], *r[1:]) for r in rows for n in range(5)] + [(999, "http://pure.org/", "")]
+    assert {r.page_id: r.verdict for r in urls.judged(frame(spark, more, kind)).collect() if r.page_id < 100} == {k: r.verdict for k, r in got.items()}
+
+
 def test_sketches_bound_differences():
     import numpy as np
 
