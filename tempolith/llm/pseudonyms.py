@@ -10,7 +10,7 @@ pseudonyms in all documents, different values have different ones, and the key's
 kind        found as                                        symbols
 =========== =============================================== ====================================
 card        13 to 19 digits, grouped or not, Luhn-valid     digits but the first and the check digit
-phone       + country code and national number              national digits
+phone       + country code, one to five national groups     national digits
 ssn         ddd-dd-dddd in the issued ranges                area, group, serial
 ip          four octets                                     octets
 date        y-m-d, d.m.y, m/d/y or d/m/y, calendar-valid    day number in its block of 73,000 days
@@ -19,6 +19,11 @@ iban        country, check digits, account; mod 97 valid    account digits; chec
 secret      access key ids, quoted tokens, passwords        letters and digits, or hex digits
 =========== =============================================== ====================================
 
+Letters in an IBAN's account stay. Its blanks may stand among letters only in the countries whose accounts have
+letters; there the country's length tells where it ends, so words in capitals after it don't count. A secret's
+label is found in any case, and copies of one secret in capitals and in small letters have the same pseudonym but
+for the case; where a permuted symbol sequence would fall into another format it is permuted again.
+
 Invalid look-alikes stay as they are. Null texts stay null, with no values; whole texts are treated; repeated
 rows get equal results; an empty table gives an empty one; other columns pass through.
 """
@@ -35,11 +40,34 @@ ROUNDS = 6  # even, so that the halves end where they began
 DATE_MODULI, DATE_DAYS, DATE_ORIGIN = (250, 292), 73_000, "1900-01-01"
 DEFAULT_KEY = "change this key"
 
+#: Countries whose accounts may have letters, by the length of their IBAN.
+LETTERED = {
+    18: "FK NL", 19: "MK", 20: "KZ LU", 21: "CH LI LV", 22: "BG BH GB GE IE", 23: "GI IQ OM", 24: "AD MD PK RO SA VG", 26: "TR", 27: "FR GR IT MC SM",
+    28: "AL AZ BY CY DO GT HN LB NI SV", 29: "BR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _lettered(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+IBANS = [*(_lettered(*x) for x in LETTERED.items()), r"[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"]
+#: A digit of a phone number after the one before; written out as often as it occurs, for look-behind must have a bound.
+NEXT = r"[ .\-()]{0,3}[0-9]"
+#: What follows the plus sign: ten digits after a 1, else up to five groups that end with the 15th digit at the latest and
+#: not inside a date, an address or another number of several parts.
+NUMBERS = [
+    r"1[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}",
+    r"[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?[0-9]{1,12}|[0-9]{1,14})(?:[ .\-][0-9]{1,12}){0,4}"
+    rf"(?<=[0-9]{NEXT * 7})(?<![0-9]{NEXT * 15})(?!/[0-9]{{1,2}}/[0-9])(?![.\-][0-9]+[.\-][0-9])",
+    r"[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}",
+]
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\bpassword=[0-9A-Za-z]{6,128}|\btoken = \"[0-9A-Za-z]{8,256}\"",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?\b",
-    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])",
+    "secret": r"\b(?i:AKIA[0-9A-Z]{16}\b|password=[0-9A-Z]{6,128}|token = \"[0-9A-Z]{8,256}\")",
+    "iban": rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(IBANS)})\b",
+    "phone": rf"(?<![0-9])\+(?:{'|'.join(NUMBERS)})(?![0-9])",
     "date": r"(?<![0-9.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9\-/]|\.[0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
@@ -84,13 +112,14 @@ class Network:
         """``body`` with ``name`` standing for ``value``, worked out once."""
         return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    def characters(self, text: str, tweak: str, hexadecimal: bool = False, digits_only: bool = False) -> str:
-        """The permutation of the letters and digits of ``text``; every other character keeps its place."""
+    def characters(self, text: str, tweak: str, hexadecimal: bool | str = False, digits_only: bool = False) -> str:
+        """The permutation of the letters and digits of ``text``; every other character keeps its place. Hex digits
+        are small, or with ``hexadecimal="upper"`` capital letters."""
         letters = "lower" if not digits_only else ""
         size = "if(c rlike '[0-9]', 10, 26)" if not hexadecimal else "16"
         value = "if(c rlike '[0-9]', ascii(c) - 48, ascii(lower(c)) - 97)" if not hexadecimal else "cast(conv(c, 16, 10) as int)"
         wanted = "c rlike '[0-9]'" if digits_only else "c rlike '[0-9A-Za-z]'" if letters else ""
-        put = "if(w.c rlike '[0-9]', chr(48 + w.v), if(w.c rlike '[A-Z]', chr(65 + w.v), chr(97 + w.v)))" if not hexadecimal else "lower(conv(w.v, 10, 16))"
+        put = "if(w.c rlike '[0-9]', chr(48 + w.v), if(w.c rlike '[A-Z]', chr(65 + w.v), chr(97 + w.v)))" if not hexadecimal else f"{'upper' if hexadecimal == 'upper' else 'lower'}(conv(w.v, 10, 16))"
         body = self.bound("k", f"filter(cs, c -> {wanted})", self.bound(
             "p", self.permuted(f"transform(k, c -> {value})", f"transform(k, c -> {size})", f"concat({tweak}, '|', array_join(transform(k, c -> {size}), ','))"),
             # the n-th letter or digit of the text takes the n-th permuted symbol
@@ -180,16 +209,22 @@ def _iban(net: Network) -> tuple[str, str]:
     bare = "replace(v, ' ', '')"
     valid = net.bound("z", bare, f"{_mod97('concat(substr(z, 5), substr(z, 1, 4))')} = 1 and length(z) between 15 and 34")
     body = net.bound("z", bare, net.bound("q", net.characters("substr(z, 5)", "concat('iban', substr(z, 1, 2))", digits_only=True), net.bound(
-        "t", f"concat(lpad(cast(98 - {_mod97(f'concat(q, substr(z, 1, 2), {chr(39)}00{chr(39)})')} as string), 2, '0'), q)", _fill("v", "t"))))
+        "t", f"concat(lpad(cast(98 - {_mod97(f'concat(q, substr(z, 1, 2), {chr(39)}00{chr(39)})')} as string), 2, '0'), q)", _fill("v", "regexp_replace(t, '[^0-9]', '')"))))
     return valid, body
 
 
 def _secret(net: Network) -> tuple[str, str]:
-    head = r"regexp_extract(v, '^AKIA|^password=|^token = \"', 0)"
+    head = r"regexp_extract(v, '(?i)^AKIA|^password=|^token = \"', 0)"
     rest = f"substr(v, length({head}) + 1)"
-    by_hex = net.characters(rest, f"concat('hex', {head})", hexadecimal=True)
-    by_class = net.characters(rest, f"concat('key', {head})")
-    return "true", f"concat({head}, if({rest} rlike '^[0-9a-f]+\"?$', {by_hex}, {by_class}))"
+    label = f"if({head} ilike 'akia', 'AKIA', lower({head}))"
+    lower, upper = ("{0} rlike '^[0-9a-f]+\"?$'", "{0} rlike '^[0-9A-F]*[A-F][0-9A-F]*\"?$'")
+    by_hex = net.characters(rest, f"concat('hex', {label})", hexadecimal=True)
+    # only the formats' own values: capital hex keeps a letter, and others don't become hex
+    again = lambda form, once: f"aggregate(sequence(1, 32), {rest}, (y, turn) -> if(turn > 1 and {form.format('y')}, y, {once}))"
+    by_upper = again(upper, net.characters("y", f"concat('hex', {label})", hexadecimal="upper"))
+    by_class = again(f"not ({lower} or {upper})", net.characters("y", f"concat('key', {label})"))
+    by_id = net.characters(rest, f"concat('key', {label})")
+    return "true", f"concat({head}, case when {head} ilike 'akia' then {by_id} when {lower.format(rest)} then {by_hex} when {upper.format(rest)} then {by_upper} else {by_class} end)"
 
 
 _KINDS = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card}
