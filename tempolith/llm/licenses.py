@@ -1,7 +1,7 @@
 """License scan by ordered signature rules.
 
 A text is lower-cased (A-Z) and reduced to its words; rules are regular expressions over the words joined
-by single blanks. Each rule is gated by a keyword that any match must contain; one Aho-Corasick pass over
+by single blanks. Each rule is gated by a keyword that any match must contain as a word or, before versions, as a word's beginning; one Aho-Corasick pass over
 the text finds which keywords occur, and only their rules are run. Detections are then resolved: one that
 lies inside another is suppressed if the other's rule has a higher priority, or the same and comes first or
 is longer. The base phrases are rules of the highest priority and are never suppressed.
@@ -37,6 +37,7 @@ class Rule(NamedTuple):
     priority: int
     keyword: str
     pattern: str
+    prefix: bool = False  # the keyword only begins a word, as in gplv3
 
 
 #: Grants and disclaimers. One blank stands between words.
@@ -107,16 +108,16 @@ _FAMILIES = [
     ("x11", r"x consortium"),
     ("bsd", r"bsd|berkeley software distribution|new bsd|modified bsd|simplified bsd|freebsd|revised bsd"),
     ("apache", r"apache|apache software|asl"),
-    ("gpl", r"gpl|gnu gpl|gplv|gpl v"),
+    ("gpl", r"gpl|gnu gpl"),
     ("gpl", r"gnu public|gnu copyleft"),
-    ("lgpl", r"lgpl|gnu lgpl|lgplv|lgpl v"),
+    ("lgpl", r"lgpl|gnu lgpl"),
     ("lgpl", r"gnu lesser general public|lesser general public"),
     ("lgpl", r"gnu library general public|library general public"),
-    ("agpl", r"agpl|gnu agpl|agplv|agpl v"),
+    ("agpl", r"agpl|gnu agpl"),
     ("agpl", r"gnu affero general public|affero general public|affero gpl"),
     ("gfdl", r"gfdl|gnu fdl"),
     ("gfdl", r"gnu free documentation|free documentation"),
-    ("mpl", r"mpl|mplv|mpl v"),
+    ("mpl", r"mpl"),
     ("mpl", r"mozilla public|mozilla"),
     ("epl", r"eclipse public|eclipse distribution|eclipse"),
     ("cddl", r"cddl"),
@@ -152,8 +153,11 @@ _FAMILIES = [
     ("elastic", r"elastic"),
     ("odbl", r"odbl"),
     ("odc-by", r"open data commons attribution|odc attribution"),
-    ("cc0", r"cc zero|creative commons zero"),
+    ("cc0", r"cc0|cc zero|creative commons zero|publicdomain zero"),
 ]
+#: Names that versions follow, within the word or after it: GPLv3, LGPLv2.1, GPL v3, AGPL version 3, MPL-2.0.
+_VERSIONED = ["gpl", "lgpl", "agpl", "mpl"]
+_VERSION = r"(?: ?v(?:ersion)?)? ?[0-9]+(?: [0-9]+)?"
 #: How a family is named: how much that says, and what stands around the name.
 _NAMINGS = [
     (GRANT, r"(?:licensed|released|distributed|available|published|provided) under (?:the |a |an )?(?:terms of )?(?:the )?{0} (?:style )?licen[sc]e"),
@@ -183,7 +187,7 @@ def keyword_of(pattern: str) -> str:
     touches it."""
     blank = lambda m: (" " if m[1][:1] == " " else "") + "?" + (" " if m[1][-1:] == " " else "")
     fixed = re.sub(r"\(\?:((?:[^()]|\([^()]*\))*)\)(?:[?*+]|\{[\d,]*\})?", blank, pattern)
-    return max((w for w in fixed.split(" ") if re.fullmatch("[a-z]+", w)), key=lambda w: (w not in _PLAIN, len(w), w))
+    return max((w for w in fixed.split(" ") if re.fullmatch("[a-z][a-z0-9]*", w)), key=lambda w: (w not in _PLAIN, len(w), w))
 
 
 def _rules() -> list[Rule]:
@@ -191,6 +195,7 @@ def _rules() -> list[Rule]:
     made += [(label, GRANT, pattern) for label, pattern in _GRANTS]
     for label, names in _FAMILIES:
         made += [(label, priority, around.format(name)) for name in names.split("|") for priority, around in _NAMINGS]
+    made += [("cc0", NAMED, r"cc0"), ("cc0", LINKED, r"publicdomain zero")]
     for label, words in sorted(_COMMONS.items(), key=lambda x: -len(x[0])):
         short = label[3:].replace("-", " ")
         made += [
@@ -200,7 +205,8 @@ def _rules() -> list[Rule]:
             (label, LINKED, rf"creativecommons org licenses {short}"),
         ]
     made += [("cc", HINTED, r"creative commons"), ("licensed", HINTED, r"licensed (?:under|to|by)")]
-    return [Rule(label, priority, keyword_of(pattern), pattern) for label, priority, pattern in made]
+    versions = [Rule(name, priority, name, around.format(name + _VERSION), True) for name in _VERSIONED for priority, around in _NAMINGS]
+    return [Rule(label, priority, keyword_of(pattern), pattern) for label, priority, pattern in made] + versions
 
 
 RULES = _rules()
@@ -227,11 +233,11 @@ class Scanner:
         import ahocorasick
 
         self.gates = ahocorasick.Automaton()
-        by_keyword: dict[str, list[int]] = {}
+        by_gate: dict[str, list[int]] = {}
         for k, rule in enumerate(RULES):
-            by_keyword.setdefault(rule.keyword, []).append(k)
-        for keyword, members in by_keyword.items():
-            self.gates.add_word(f" {keyword} ", members)
+            by_gate.setdefault(f" {rule.keyword}" + ("" if rule.prefix else " "), []).append(k)
+        for gate, members in by_gate.items():
+            self.gates.add_word(gate, members)
         self.gates.make_automaton()
         self.patterns = [re.compile(rf"(?<= ){r.pattern}(?= )") for r in RULES]
 

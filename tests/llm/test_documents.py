@@ -177,6 +177,17 @@ def test_license_detections():
         assert label in [licenses.RULES[d.rule].label for d in licenses.scanner().scan(text)[1]]
 
 
+def test_versions_and_zero_in_license_names():
+    labels = lambda text: {licenses.RULES[d.rule].label for d in licenses.scanner().scan(text)[1]}
+    for name in ("gpl", "lgpl", "agpl", "mpl"):
+        for version in ("v3", "v2.1", " v3", "-3.0", "3", " version 2", "-v2.0", " v 2"):
+            for text in ("Licensed under the {}.", "a {} license", "{} licensed", "License: {}", "SPDX-License-Identifier: {}-only", "distributed under the terms of the {} license", "https://opensource.org/licenses/{}"):
+                assert name in labels(text.format(name.upper() + version)), (text, name, version)
+    for text in ("CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0", "https://creativecommons.org/publicdomain/zero/1.0/", "licensed under CC0"):
+        assert "cc0" in labels(text), text
+    assert not labels("gplv3 xgpl3 license gplx license mplayer license cc00") & {"gpl", "lgpl", "agpl", "mpl", "cc0"}
+
+
 def test_license_query_counts(spark):
     texts = ["CC by cc BY", "cc-by", None, "", "ccby", "general public licenses", "x all rights reserved", "all  Rights\nreserved all rights reserved"]
     df = frame(spark, [(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, detections int").drop("detections")
