@@ -367,6 +367,19 @@ def test_language_of_odd_texts(spark):
     assert max(map(len, content.values())) <= language.DICTIONARY_BYTES
 
 
+def test_short_texts_that_tie_in_bytes_are_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null")
+    content = language.learn(docs)
+    short = [(k, lang, cut) for k, (lang, text) in enumerate((r.lang, r.text) for r in docs.select("lang", "text").collect()) if any(map(str.isalpha, cut := " ".join((text or "").split()[:4])))]
+    models = language.Compressors(content)
+    narrow = [x for x in short if models.ranked(models.sizes(x[2].lower().encode()))[1] < language.NARROW]
+    assert len(narrow) > 20
+    kept = language.identified(frame(spark, narrow, "doc_id long, lang string, text string"), content).count()
+    assert kept >= 0.9 * len(narrow)
+    right = [sum(models.names[models.ranked(sizes(text.lower().encode()))[0]] == lang for _, lang, text in narrow) for sizes in (models.sizes, models.added)]
+    assert right[1] >= right[0]
+
+
 # --- URLs
 
 
