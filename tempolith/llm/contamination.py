@@ -3,11 +3,14 @@
 An occurrence of an item of ``m`` characters with at most ``e`` edits shares at least ``m - q + 1 - q * e``
 of the item's q-grams with the document, all on ``e + 1`` neighbouring diagonals (document position minus
 item position). Shared q-grams are counted in bands of ``2 * (e + 1)`` diagonals that overlap by half, so
-each such run of diagonals lies in one band; bands that reach the bound are retained and verified by an
+each such run of diagonals lies in one band. Coarse bands of whole items, which hold those of all their windows, are
+counted first, and q-grams in none that reaches the least bound are left out; bands that reach the bound are retained and verified by an
 alignment confined to the band's diagonals.
 
 Texts are compared in lower case, with every run of ASCII marks and blanks as one blank. An item longer than
-``WINDOW`` characters is looked for in overlapping windows of that length; a window found counts. Items of
+``WINDOW`` characters is looked for in overlapping windows of that length; a window found counts. Of an item longer
+than ``PART`` characters a passage counts too: any window of ``PART`` characters, one begins every ``PART_STEP``; its edits
+are given only if the item, or a long window of it, isn't found. Items of
 fewer than ``LEAST`` characters are too short to be evidence and are looked for exactly, as whole words.
 Null and empty texts contain nothing; null and empty items are never found; repeated rows get equal results;
 empty tables give empty results or no finds; other columns pass through. The benchmark is gone through in
@@ -28,6 +31,8 @@ from . import store
 Q = 8
 EDITS = 0.1  # of an item's characters
 WINDOW, LEAST = 400, 48
+PART, PART_STEP = 200, 50
+COARSE = 128  # diagonals, no fewer than a band of any window has
 BLOCK_BYTES = 8_000_000
 CHUNK = 2_000_000
 BITS = 22
@@ -44,6 +49,23 @@ def grams(raw: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(raw, (len(raw) - Q + 1, Q), (1, 1)).copy().view(np.uint64).ravel() if len(raw) >= Q else np.zeros(0, np.uint64)
 
 
+def met(known: np.ndarray, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``codes``, entry of the sorted ``known``) of each equal pair, for the places ``at``."""
+    low = np.searchsorted(known, codes[at], "left")
+    count = np.searchsorted(known, codes[at], "right") - low
+    return np.repeat(at, count), np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def sorted_grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q-gram, text, place) of all q-grams, sorted by q-gram."""
+    codes = [grams(t) for t in texts]
+    number = np.repeat(np.arange(len(codes)), [len(c) for c in codes]) if codes else np.zeros(0, np.int64)
+    place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
+    code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+    order = np.argsort(code, kind="stable")
+    return code[order], number[order], place[order]
+
+
 def slots(codes: np.ndarray) -> np.ndarray:
     return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -72,26 +94,32 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]]):
         self.ids: list[int] = []
         self.windows: list[np.ndarray] = []
+        self.part: list[bool] = []  # a passage; those of an item follow its long windows
         self.short: list[tuple[int, bytes]] = []
+        whole: list[np.ndarray] = []
+        owner: list[int] = []  # of each window, as a number of ``whole``
         for item_id, text in items:
             raw = normalised(text)
             if len(raw) < LEAST:
                 if raw:
                     self.short.append((item_id, b" " + raw + b" "))
                 continue
-            last = max(0, len(raw) - WINDOW)
-            for start in sorted({*range(0, last + 1, WINDOW // 2), last}):
-                self.ids.append(item_id)
-                self.windows.append(np.frombuffer(raw[start : start + WINDOW], np.uint8))
+            whole.append(np.frombuffer(raw, np.uint8))
+            for size, step in ((WINDOW, WINDOW // 2), (PART, PART_STEP))[: 1 + (len(raw) > PART)]:
+                last = max(0, len(raw) - size)
+                for start in sorted({*range(0, last + 1, step), last}):
+                    self.ids.append(item_id)
+                    self.windows.append(np.frombuffer(raw[start : start + size], np.uint8))
+                    self.part.append(size == PART)
+                    owner.append(len(whole) - 1)
         length = np.array([len(w) for w in self.windows], np.int64)
         self.budget = np.floor(EDITS * length).astype(np.int64)
         self.bound = np.maximum(1, length - Q + 1 - Q * self.budget)
-        codes = [grams(w) for w in self.windows]
-        window = np.repeat(np.arange(len(codes)), [len(c) for c in codes]) if codes else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
-        code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-        order = np.argsort(code, kind="stable")
-        self.code, self.window, self.place = code[order], window[order], place[order]
+        self.code, self.window, self.place = sorted_grams(self.windows)
+        self.item_code, self.item, self.item_place = sorted_grams(whole)
+        self.least = np.full(len(whole), 1 << 40)
+        np.minimum.at(self.least, np.array(owner, np.int64), self.bound)
+        self.longest = max(map(len, whole), default=0)
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[slots(self.code)] = True
 
@@ -101,15 +129,16 @@ class Index:
         at = np.flatnonzero(self.seen[slots(codes)])
         if not len(at) or not len(self.code):
             return []
-        low = np.searchsorted(self.code, codes[at], "left")
-        count = np.searchsorted(self.code, codes[at], "right") - low
-        at, low, count = at[count > 0], low[count > 0], count[count > 0]
-        total = int(count.sum())
-        if not total:
+        place, entry = met(self.item_code, codes, at)
+        band = (place - self.item_place[entry] + self.longest) // COARSE + 1
+        hit = np.concatenate([self.item[entry] * (1 << 40) + band, self.item[entry] * (1 << 40) + band - 1])
+        key, hits = np.unique(hit, return_counts=True)
+        at = np.unique(np.tile(place, 2)[np.isin(hit, key[hits >= self.least[key >> 40]])])
+        if not len(at):
             return []
-        entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(total)
+        at, entry = met(self.code, codes, at)
         window = self.window[entry]
-        diagonal = np.repeat(at, count) - self.place[entry] + WINDOW  # never negative
+        diagonal = at - self.place[entry] + WINDOW  # never negative
         step = self.budget[window] + 1
         band = diagonal // step
         hit = np.concatenate([window * (1 << 40) + band, window * (1 << 40) + np.maximum(band - 1, 0)])
@@ -139,28 +168,28 @@ class Index:
     def _chunk(self, part: list[bytes]) -> list[list[dict]]:
         starts = np.cumsum([0, *(len(p) + 1 for p in part)])
         raw = np.frombuffer(b"\0".join(part) + b"\0", np.uint8)
-        best: list[dict[int, tuple[int, int]]] = [{} for _ in part]
+        best: list[dict[int, tuple[bool, int, int]]] = [{} for _ in part]
         for window, low, width in self.candidates(raw):
-            item, limit = self.windows[window], int(self.budget[window])
+            item, limit, passage = self.windows[window], int(self.budget[window]), self.part[window]
             owner = min(max(int(np.searchsorted(starts, max(low, 0) + len(item) // 2, "right")) - 1, 0), len(part) - 1)
             for k in {owner, *(n for n in (owner - 1, owner + 1) if 0 <= n < len(part) and starts[n] < low + width + len(item) and starts[n + 1] > low)}:
                 known = best[k].get(self.ids[window])
-                if known and known[0] == 0:
+                if known and (known[0], known[1]) <= (passage, 0):
                     continue
                 text, first = raw[starts[k] : starts[k + 1] - 1], low - int(starts[k])
                 begin = max(0, first)
                 same = text[begin : first + width + len(item)].tobytes().find(item.tobytes()) if first + width + len(item) > 0 else -1
                 edits, end = (0, begin + same + len(item)) if same >= 0 else aligned(item, text, first, width)
-                if edits <= limit and (known is None or (edits, end) < known):
-                    best[k][self.ids[window]] = (edits, end)
+                if edits <= limit and (known is None or (passage, edits, end) < known):
+                    best[k][self.ids[window]] = (passage, edits, end)
         if self.short:
             for k, text in enumerate(part):
                 padded = b" " + text + b" "
                 for item_id, words in self.short:
                     place = padded.find(words)
                     if place >= 0:
-                        best[k][item_id] = (0, place + len(words) - 2)
-        return [[{"item_id": i, "edits": e, "at": p} for i, (e, p) in sorted(b.items())] for b in best]
+                        best[k][item_id] = (False, 0, place + len(words) - 2)
+        return [[{"item_id": i, "edits": e, "at": p} for i, (_, e, p) in sorted(b.items())] for b in best]
 
 
 def blocks_of(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:

@@ -314,6 +314,26 @@ def test_items_are_found_within_their_budget(spark):
     assert contamination.Index([(1, None), (2, ""), (3, "short one")]).find(["a Short, one!", "shorter one"]) == [[{"item_id": 3, "edits": 0, "at": 11}], []]
 
 
+def test_passages_of_long_items_are_found():
+    rnd = random.Random(8)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(n))[:n]
+    filler = text(500)
+    for length in (260, 300, 401, 598, 1500):
+        item = text(length).strip().ljust(length, "x")
+        index = contamination.Index([(7, item)])
+        for start in {0, 1, 9, (length - 250) // 2, length - 250}:  # any 250 characters hold a window
+            passage = item[start : start + 250].strip()
+            assert len(passage) < 249 or [f["item_id"] for f in index.find([f"{filler} {passage} {filler}"])[0]] == [7], (length, start)
+        assert index.find([f"{filler} {item[:150]} {filler}", filler]) == [[], []]
+    # the whole item's edits are given where it is found, even if all of them lie in all of its passages
+    item = text(300).strip().ljust(300, "x")
+    index = contamination.Index([(7, item)])
+    for edits in (3, 29):
+        hurt = item[:100] + "".join("q" if k % 3 == 0 and k // 3 < edits else c for k, c in enumerate(item[100:200])) + item[200:]
+        apart = sum(a != b for a, b in zip(item, hurt, strict=True))
+        assert [(f["item_id"], f["edits"]) for f in index.find([f"{filler} {hurt} {filler}"])[0]] == [(7, apart)]
+
+
 def test_alignment_against_the_full_table():
     import numpy as np
 
