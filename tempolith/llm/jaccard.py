@@ -1,25 +1,25 @@
 """Exact Jaccard join of shingle sets in the metric space of Jaccard distance.
 
-Documents with equal sets are one point. Points join in regions:
-
-1. *Regions.* Nearly all points are at distance exactly 1 from any pivot that isn't a near copy, so pivots
-   alone can't divide the whole space: every window would hold every point. First-level regions come from
-   projections instead. The hash universe is cut into ``k + 1`` parts, ``k`` being the largest symmetric
-   difference that linked sets of a size class can have; linked sets agree exactly on one part at least, so
-   the points that agree on a part (a cell) include both ends of every link. Cells with the same
-   smallest member are one region. A set with many empty parts can't rely on them and
-   also offers its smallest shingles, of which linked sets share one. Sets of a class's upper end also
-   offer their cells in the next class.
-   Sketches that bound the difference of two sets from below then drop points that can link to none.
-2. *Pivots.* In a region the distances of all points to a few pivots are computed. A point within the
-   threshold of a pivot is linked to it. Balls that share points connect their pivots; the points of the
-   largest group of balls are connected and need no test among themselves, so only the others stay at home.
-   These go to the Voronoi region of their nearest pivot, and every other point goes along if the triangle
-   inequality lets it link to a member: its distance to the pivot is at most the region's radius plus the
-   threshold. Where windows hold nearly everything (a dense group of near copies) the region stays whole.
-3. *Recursion.* A region of at most ``REGION`` points is joined exactly in one task, again by pivots and
-   windows. Of a larger one's regions, those that are still too large are cut in parts, whose pairs are
-   divided by their sketches and then joined in the same way.
+Documents with equal sets are one point, named by its smallest id. Points join in regions of pivots:
+
+1. *Pivots.* Nearly all points are at distance exactly 1 from any pivot that isn't a near copy, so a pivot can only
+   divide the points that may be near it. Which may is told by projections: the hash universe is cut into
+   ``k + 1`` parts, ``k`` being the largest symmetric difference that linked sets of a size class can have; linked
+   sets agree exactly on one part at least, so the points that agree on a part (a cell) include both ends of every
+   link. A set with many empty parts can't rely on them and also offers its smallest shingles, of which linked sets
+   share one. Sets of a class's upper end also offer their cells in the next class. The smallest point of a
+   cell is a pivot; its region is all points that share a cell with it whose smallest point it is.
+2. *Voronoi regions and windows.* Every region meets its pivots: distances of its points to them are computed exactly.
+   A point within the threshold of a pivot is linked to it. Balls that share points connect their pivots; the
+   points of the largest group of balls are connected and need no test among themselves, so only the others stay
+   at home, each in the Voronoi region of its nearest pivot. Any other point goes along if the triangle inequality lets
+   it link to a point at home: its distance to the pivot is at least the least distance at home less the
+   threshold, and at most the greatest plus the threshold.
+3. *Recursion.* A Voronoi region of at most ``REGION`` points is joined exactly in one task, again by pivots and
+   windows. A larger one draws ``PIVOTS`` pivots from the points at home and is divided by them in the same way.
+   In a dense group, where windows hold nearly everything, points at home are pivots themselves, up to ``SWEPT`` in
+   a round, and meet the others with sketches that bound the difference of two sets from below. A group of
+   points that are all nearly but not quite linked costs the square of its size at that: no bound tells them apart.
 
 Links are emitted as spanning edges, never as all pairs. Components come from label propagation with pointer
 jumping over tables in the shared folder. Shingles are 64-bit hashes of word hashes; two different shingles
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,14 +45,16 @@ from pyspark.sql import functions as F
 from . import store
 
 WORDS, THRESHOLD = 3, (9, 10)
-#: Points and shingles that one task joins, or lets meet the pivots of a larger region; pivots of one.
-REGION, REGION_SHINGLES, PIVOTS = 2_000, 4_000_000, 32
+#: Points and shingles that one task joins, or lets meet the pivots of a larger region; pivots of one, and of a dense one.
+REGION, REGION_SHINGLES, PIVOTS, SWEPT = 2_000, 4_000_000, 32, 1_000
 GROWTH = 1.25  # of a size class
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
-#: Rows of up to two numbers that may be sent to every executor, some 50 MB as a hash table.
+#: Ids that may be sent to every executor, some 50 MB as a hash table; more are exchanged.
 SENT_ROWS = 1_000_000
+#: Cells that one task sorts.
+CUT_CELLS = 400_000
 CHUNK = 4_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -164,50 +167,20 @@ class Classes:
 SKETCH_BITS = 1 << 17
 
 
-def sketch_of(shingles: np.ndarray) -> bytes:
-    """The parities of hashed shingles: sets that differ in ``d`` elements have sketches that differ in ``d`` bits at
-    most. Bits are a power of two of at least twice the set's size; half of a sketch over the other half, by
-    exclusive or, is the sketch of half as many bits."""
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """The parities of hashed shingles, in 64-bit words: sets that differ in ``d`` elements have sketches that differ
+    in ``d`` bits at most. Bits are a power of two of at least twice the set's size; half of a sketch over the other
+    half, by exclusive or, is the sketch of half as many bits."""
     bits = min(SKETCH_BITS, max(64, 1 << (2 * len(shingles) - 1).bit_length())) if len(shingles) else 64
     count = np.bincount((mixed(shingles ^ _C) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
-    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def folded(sketches: np.ndarray, words: int) -> np.ndarray:
-    while sketches.shape[1] > words:
-        half = sketches.shape[1] // 2
-        sketches = sketches[:, :half] ^ sketches[:, half:]
-    return sketches
-
-
-def possible_groups(sizes: np.ndarray, sketches: list[bytes], threshold: tuple[int, int]) -> np.ndarray:
-    """A label per point: points that a chain of pairs connects whose sketches leave a link possible."""
-    num, den = threshold
-    width = np.array([len(s) // 8 for s in sketches])
-    near = np.zeros((len(sizes), len(sizes)), bool)
-    for words in np.unique(width):
-        rows = np.flatnonzero(width == words)
-        cols = np.flatnonzero((width >= words) & (num * sizes <= den * sizes[rows].max()))
-        b = np.concatenate([folded(np.frombuffer(b"".join(sketches[i] for i in cols[width[cols] == w]), np.uint64).reshape(-1, w), words) for w in np.unique(width[cols])])
-        cols = np.concatenate([cols[width[cols] == w] for w in np.unique(width[cols])])
-        a = np.frombuffer(b"".join(sketches[i] for i in rows), np.uint64).reshape(-1, words)
-        step = max(1, 4_000_000 // max(1, b.size))
-        for k in range(0, len(rows), step):
-            part = rows[k : k + step]
-            apart = np.bitwise_count(a[k : k + step, None] ^ b[None]).sum(2, dtype=np.int64)
-            total = sizes[part][:, None] + sizes[cols][None]
-            near[np.ix_(part, cols)] = (den + num) * apart <= (den - num) * total
-    near |= near.T
-    label = np.full(len(sizes), -1)
-    for k in range(len(sizes)):
-        if label[k] < 0:
-            label[k] = k
-            queue = [k]
-            while queue:
-                new = np.flatnonzero(near[queue.pop()] & (label < 0))
-                label[new] = k
-                queue.extend(new.tolist())
-    return label
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
 
 
 def cells_of(shingles: np.ndarray, classes: Classes) -> np.ndarray:
@@ -236,7 +209,7 @@ def cells_of(shingles: np.ndarray, classes: Classes) -> np.ndarray:
     return np.concatenate(out) & np.uint64((1 << 8 * CELL_BYTES) - 1) if out else np.zeros(0, np.uint64)
 
 
-PROFILE = "doc_id long, n_shingles long, set_id binary, cells array<long>, sketch binary"
+PROFILE = "doc_id long, n_shingles long, set_id binary, n_cells long, cells array<long>"
 
 
 def profiles(df: DataFrame, *, key: str, text: str, words: int, threshold: tuple[int, int]) -> DataFrame:
@@ -246,35 +219,36 @@ def profiles(df: DataFrame, *, key: str, text: str, words: int, threshold: tuple
         classes = Classes(threshold)
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), words)
+            cells = [cells_of(s, classes).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([cells_of(s, classes).view(np.int64) for s in sets], pa.list_(pa.int64())),
-                    pa.array([sketch_of(s) for s in sets], pa.binary()),
+                    pa.array([len(c) for c in cells], pa.int64()),
+                    pa.array(cells, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_id", "cells", "sketch"],
+                names=["doc_id", "n_shingles", "set_id", "n_cells", "cells"],
             )
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PROFILE)
 
 
 CELL_BYTES, CROWD = 7, 8
+#: What a row of a meeting says: ``doc_id`` is in the region; so is all of its crowd; ``doc_id`` is in the crowd of ``region``.
+MEMBER, CROWDED, LOCAL = 0, 1, 2
 
 
-def first_regions(points: DataFrame, scratch: store.Scratch) -> DataFrame:
-    """(region, doc_id) for the points that share a cell with another document.
+def first_regions(points: DataFrame, total: int, scratch: store.Scratch) -> DataFrame:
+    """(region, doc_id) for the points (one for each set: doc_id, cells; ``total`` cells at most) that share a cell with another, the region named by its pivot.
 
-    Cells travel packed, 11 bytes each instead of a row: a batch of points is cut by a hash of the cell, and
+    Cells travel packed, 9 bytes each instead of a row: a batch of points is cut by a hash of the cell, and
     each cut is one row of sorted cells, the points' places in a list, and that list. Where a batch has more than
-    ``CROWD`` points in a cell, the one of the smallest id is packed, with a mark, and all are put aside until
-    the cell's region is known: a hot cell costs its reader one entry for each batch. A cell's region is the
-    smallest id in it, so that the many cells of one group of near copies are few regions.
+    ``CROWD`` points in a cell, only the smallest is packed, with a mark, and stands for its crowd, all
+    points of the batch that meet it so: a hot cell costs its reader one entry for each batch, and its points go
+    to the regions of their crowds by a join of distinct rows.
     """
-    cuts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "cut int, packed binary, region long, doc_id long"
-    names = ["cut", "packed", "region", "doc_id"]
+    cuts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // CUT_CELLS))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -292,17 +266,18 @@ def first_regions(points: DataFrame, scratch: store.Scratch) -> DataFrame:
                 head = np.flatnonzero(np.diff(cell, prepend=~cell[:1])) if len(cell) else np.zeros(0, np.int64)
                 count = np.diff(np.append(head, len(cell)))
                 crowd = np.repeat(count > CROWD, count)
+                rows = []
                 if crowd.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(int(crowd.sum()), pa.int32()), pa.nulls(int(crowd.sum()), pa.binary()), pa.array(cell[crowd].view(np.int64)), pa.array(docs[place[crowd]])], names=names
-                    )
+                    leader = np.repeat(place[head], count)
+                    both = np.unique(leader[crowd] * len(docs) + place[crowd])
+                    for k in np.unique(both // len(docs)):
+                        rows.append((int(docs[k] % cuts), struct.pack("<Iq", 0, docs[k]) + docs[both[both // len(docs) == k] % len(docs)].tobytes()))
                     first = np.zeros(len(cell), bool)
                     first[head] = True
                     kept = ~crowd | first
                     cell, place, crowd = cell[kept], place[kept], crowd[kept]
                 cut = (cell % np.uint64(cuts)).astype(np.int64)
                 edge = np.searchsorted(cut, np.arange(cuts + 1))
-                rows = []
                 for k in np.flatnonzero(np.diff(edge)):
                     part = slice(edge[k], edge[k + 1])
                     used, local = np.unique(place[part], return_inverse=True)
@@ -310,14 +285,18 @@ def first_regions(points: DataFrame, scratch: store.Scratch) -> DataFrame:
                     sizes = np.array([len(local), len(used)], "<u4").tobytes()
                     rows.append((int(k), sizes + low + (local.astype("<u2") | (crowd[part].astype("<u2") << 15)).tobytes() + docs[used].tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cut", "packed"])
 
     def meet(key, rows):
         import pandas as pd
 
-        cells, docs, marks = [], [], []
+        cells, docs, marks, out = [], [], [], []
         for raw in rows["packed"]:
             n, used = np.frombuffer(raw, "<u4", 2)
+            if not n:  # a crowd
+                members = np.frombuffer(raw, "<i8", offset=12)
+                out.append(pd.DataFrame({"kind": LOCAL, "region": struct.unpack_from("<q", raw, 4)[0], "doc_id": members}))
+                continue
             wide = np.zeros((n, 8), np.uint8)
             wide[:, :CELL_BYTES] = np.frombuffer(raw, np.uint8, int(n) * CELL_BYTES, 8).reshape(-1, CELL_BYTES)
             local = np.frombuffer(raw, "<u2", int(n), 8 + int(n) * CELL_BYTES)
@@ -325,24 +304,24 @@ def first_regions(points: DataFrame, scratch: store.Scratch) -> DataFrame:
             cells.append(wide.view("<u8").ravel())
             docs.append(names[local & 0x7FFF])
             marks.append(local >> 15 == 1)
-        cell, doc, mark = np.concatenate(cells), np.concatenate(docs), np.concatenate(marks)
-        order = np.lexsort((doc, cell))
-        cell, doc, mark = cell[order], doc[order], mark[order]
-        head = np.flatnonzero(np.diff(cell, prepend=~cell[:1]))
-        count = np.diff(np.append(head, len(cell)))
-        crowded = np.logical_or.reduceat(mark, head)
-        region = doc[head]  # sorted: the first is the smallest
-        shared = np.repeat((doc[head] != doc[head + count - 1]) | crowded, count)
-        members = pd.DataFrame({"region": np.repeat(region, count)[shared], "doc_id": doc[shared]}).drop_duplicates().assign(cell=None)
-        return pd.concat([members, pd.DataFrame({"region": region[crowded], "doc_id": None, "cell": cell[head][crowded].view(np.int64)})])
-
-    # packing is done anew for the few crowds: writing it down would cost more disk than its exchange
-    packed = points.where("doc_id is not null and size(cells) > 0").select("doc_id", "cells").mapInArrow(pack, schema)
-    met = packed.where("cut is not null").select("cut", "packed").groupBy("cut").applyInPandas(meet, "region long, doc_id long, cell long")
-    met = scratch.keep(met, "jaccard-cells")
-    crowded = bounded(scratch.keep(met.where("cell is not null").select("region", "cell"), "jaccard-crowded"), SENT_ROWS)
-    crowds = packed.where("cut is null").select(F.col("region").alias("cell"), "doc_id").join(crowded, "cell").select("region", "doc_id")
-    return met.where("cell is null").select("region", "doc_id").unionByName(crowds)
+        if cells:
+            cell, doc, mark = np.concatenate(cells), np.concatenate(docs), np.concatenate(marks)
+            order = np.lexsort((doc, cell))
+            cell, doc, mark = cell[order], doc[order], mark[order]
+            head = np.flatnonzero(np.diff(cell, prepend=~cell[:1]))
+            count = np.diff(np.append(head, len(cell)))
+            region = np.repeat(doc[head], count)  # sorted: the first is the smallest
+            shared = np.repeat((count > 1) | np.logical_or.reduceat(mark, head), count)
+            found = np.unique(np.stack([mark[shared].astype(np.int64) * CROWDED, region[shared], doc[shared]]), axis=1)
+            out.append(pd.DataFrame({"kind": found[0], "region": found[1], "doc_id": found[2]}))
+        return pd.concat(out)
+
+    packed = points.mapInArrow(pack, "cut long, packed binary")
+    met = scratch.keep(packed.groupBy("cut").applyInPandas(meet, "kind int, region long, doc_id long"), "jaccard-cells")
+    crowds = met.where(F.col("kind") == CROWDED).select(F.col("doc_id").alias("leader"), "region").distinct()
+    local = met.where(F.col("kind") == LOCAL).select(F.col("region").alias("leader"), "doc_id")
+    members = met.where(F.col("kind") == MEMBER).select("region", "doc_id")
+    return members.unionByName(local.join(crowds, "leader").select("region", "doc_id")).distinct()
 
 
 class Points:
@@ -364,6 +343,12 @@ class Points:
         self.parent[max(a, b)] = min(a, b)
         return True
 
+    def largest(self) -> int:
+        """A point of the largest component."""
+        roots = [self.find(x) for x in range(len(self.parent))]
+        names, counts = np.unique(roots, return_counts=True)
+        return int(names[np.argmax(counts)])
+
 
 def common_with(pivot: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The sizes of the intersections of ``pivot`` with each of the sets laid end to end in ``flat``."""
@@ -375,109 +360,142 @@ def common_with(pivot: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> np.n
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def join_region(sets: list[np.ndarray], threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """Spanning edges of the link graph of a small region.
+class Region:
+    """Points of one task and the spanning edges of their links."""
+
+    def __init__(self, sets: list[np.ndarray], home: np.ndarray, threshold: tuple[int, int]):
+        self.sets, self.sizes, self.threshold = sets, np.array([len(s) for s in sets]), threshold
+        self.known, self.edges = Points(len(sets)), []
+        settled = np.flatnonzero(~home)  # they are connected already
+        for x in settled[1:]:
+            self.known.join(int(settled[0]), int(x))
+        sketches = [sketch_of(s) for s in sets]
+        words = min(map(len, sketches))
+        self.sketches = np.stack([folded(s, words) for s in sketches])
+
+    def distances(self, pivot: int, rest: np.ndarray) -> np.ndarray:
+        """Exact distances; what is linked to the pivot is joined with it."""
+        flat = np.concatenate([self.sets[m] for m in rest])
+        common = common_with(self.sets[pivot], flat, np.concatenate([[0], np.cumsum(self.sizes[rest])]))
+        union = self.sizes[rest] + self.sizes[pivot] - common
+        for m in rest[self.threshold[1] * common >= self.threshold[0] * union]:
+            if self.known.join(pivot, int(m)):
+                self.edges.append((pivot, int(m)))
+        return 1 - common / union
 
-    A pivot meets all points that remain, links its ball and drops out. It is drawn from the smallest
-    component, since points that are connected already need no test. Large remainders are divided between two
-    far pivots: a point goes to its nearer pivot, and to the other one too if its distances to both differ by
-    no more than twice the threshold, which two linked points' distances can.
+    def link(self, pivot: int, rest: np.ndarray) -> None:
+        """Join ``pivot`` with what is linked to it and not connected yet; only pairs that sketches leave possible are tested."""
+        num, den = self.threshold
+        apart = np.bitwise_count(self.sketches[rest] ^ self.sketches[pivot]).sum(1, dtype=np.int64)
+        due = rest[(den + num) * apart <= (den - num) * (self.sizes[rest] + self.sizes[pivot])]
+        while len(due):
+            root = self.known.find(pivot)
+            due = np.array([m for m in due.tolist() if self.known.find(m) != root], np.int64)
+            if len(due):
+                self.distances(pivot, due[:64])
+                due = due[64:]
+
+    def sweep(self, pivots: np.ndarray, others: np.ndarray, first: int = 0) -> None:
+        """Each pivot meets the others and the pivots after it. After the ``first`` ones, a pivot connected
+        to what is then the largest component needs no test: what isn't is tested against it."""
+        chief = None
+        for k, pivot in enumerate(pivots.tolist()):
+            if first and k == first:
+                chief = self.known.largest()
+            if chief is None or self.known.find(pivot) != self.known.find(chief):
+                self.link(pivot, np.concatenate([pivots[k + 1 :] if chief is None else np.delete(pivots, k), others]))
+
+
+def join_region(sets: list[np.ndarray], threshold: tuple[int, int], home: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges of the link graph of a small region. Points not at home are connected already.
+
+    Large regions are divided between two far pivots: a point goes to its nearer pivot, and to the other one too if
+    its distances to both differ by no more than twice the threshold, which two linked points' distances can. Where
+    that divides no more, points meet by their sketches first.
     """
-    sizes = np.array([len(s) for s in sets])
+    home = np.ones(len(sets), bool) if home is None else home
     reach = 1 - threshold[0] / threshold[1] + 1e-9
-    known, edges = Points(len(sets)), []
-
-    def meet(pivot: int, rest: np.ndarray) -> np.ndarray:
-        flat = np.concatenate([sets[m] for m in rest])
-        common = common_with(sets[pivot], flat, np.concatenate([[0], np.cumsum(sizes[rest])]))
-        union = sizes[rest] + sizes[pivot] - common
-        for m in rest[threshold[1] * common >= threshold[0] * union]:
-            if known.join(pivot, int(m)):
-                edges.append((pivot, int(m)))
-        return 1 - common / union
-
+    region = Region(sets, home, threshold)
     stack = [np.arange(len(sets))]
     while stack:
         members = stack.pop()
-        roots = np.array([known.find(int(m)) for m in members])
+        roots = np.array([region.known.find(int(m)) for m in members])
         names, counts = np.unique(roots, return_counts=True)
         if len(names) < 2:
             continue
-        pivot = int(members[np.flatnonzero(roots == names[np.argmin(counts)])[0]])
-        rest = members[members != pivot]
-        near = meet(pivot, rest)
-        if len(rest) > 64:
-            other = int(rest[np.argmax(near)])
-            near, rest = near[rest != other], rest[rest != other]
-            far = meet(other, rest)
-            first, second = rest[near - far <= 2 * reach], rest[far - near <= 2 * reach]
-            if max(len(first), len(second)) <= 0.8 * len(rest):
-                stack += [first, second]
+        if len(members) > 64:
+            one = int(members[np.flatnonzero(roots == names[np.argmin(counts)])[0]])
+            rest = members[members != one]
+            near = region.distances(one, rest)
+            two = int(rest[np.argmax(near)])
+            near, rest = near[rest != two], rest[rest != two]
+            far = region.distances(two, rest)
+            parts = rest[near - far <= 2 * reach], rest[far - near <= 2 * reach]
+            if max(map(len, parts)) <= 0.8 * len(rest):
+                stack += parts
                 continue
-        stack.append(rest)
-    return edges
+            members = rest
+        settled = ~home[members]
+        if settled.any():  # one component: what is at home meets it
+            region.sweep(members[~settled], members[settled])
+        else:
+            region.sweep(members, members[:0], PIVOTS)
+    return region.edges
 
 
 def _sets_for(df: DataFrame, members: DataFrame, *, key: str, text: str, words: int) -> DataFrame:
-    """(doc_id, shingles) of the documents among ``members`` (column ``doc_id``, distinct)."""
+    """(doc_id, n, shingles) of the documents among ``members`` (column ``doc_id``, distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "shingles"])
 
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(members, "doc_id")
-    return rows.mapInArrow(run, "doc_id long, shingles binary")
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(members, "doc_id").distinct()
+    return rows.mapInArrow(run, "doc_id long, n long, shingles binary")
 
 
 EDGE = "a long, b long"
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` (materialised, of two numbers a row at most), to be sent to every executor if it has no more than
-    ``rows`` rows; beyond that a join exchanges both sides."""
+    """``df`` (materialised ids), to be sent to every executor if it has no more than ``rows`` rows; beyond that a
+    join exchanges both sides."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _refined(regions: DataFrame, sketches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Small regions without the points that can link to none, divided where no link is possible. A region is
-    named by its points, so that one that came about in many cells is one."""
-
-    def divide(group):
-        import pandas as pd
+def _lots(regions: DataFrame) -> int:
+    """So many tasks' worth of points and shingles, at least as many as partitions: regions (or parts of large
+    ones) that share a hash are worked on together."""
+    weight = regions.agg(F.greatest(F.count("*") / REGION, F.coalesce(F.sum("n"), F.lit(0)) / REGION_SHINGLES)).first()[0]
+    return max(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * weight))
 
-        group = group.drop_duplicates("doc_id").sort_values("doc_id")
-        label = possible_groups(group["n"].to_numpy(), group["sketch"].tolist(), threshold)
-        ids, n, out = group["doc_id"].to_numpy(), group["n"].to_numpy(), []
-        order = np.argsort(label, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-            if len(part) > 1:
-                name = int.from_bytes(hashlib.blake2b(ids[part].tobytes(), digest_size=8).digest(), "little", signed=True)
-                out.append(pd.DataFrame({"region": name, "doc_id": ids[part], "n": n[part]}))
-        return pd.concat(out) if out else pd.DataFrame({"region": [], "doc_id": [], "n": []}, dtype="int64")
 
-    return regions.join(sketches, "doc_id").groupBy("region").applyInPandas(divide, "region long, doc_id long, n long").distinct()
+def runs_of(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Where equal neighbours begin and end."""
+    if not len(columns[0]):
+        return []
+    fresh = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1
+    return list(zip([0, *fresh.tolist()], [*fresh.tolist(), len(columns[0])], strict=True))
 
 
 def _small(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    def solve(group):
-        import pandas as pd
+    """Edges of regions (region, doc_id, n, home) that one task can hold."""
 
-        found = join_region([np.frombuffer(x, np.uint64) for x in group["shingles"]], threshold)
-        ids = group["doc_id"].to_numpy()
-        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
-
-    return regions.join(sets, "doc_id").groupBy("region").applyInPandas(solve, EDGE)
+    def solve(lot):
+        import pandas as pd
 
+        lot = lot.sort_values(["region", "doc_id"], ignore_index=True)
+        out = []
+        for begin, end in runs_of(lot["region"].to_numpy()):
+            part = lot.iloc[begin:end]
+            ids = part["doc_id"].to_numpy()
+            out += [(ids[i], ids[j]) for i, j in join_region([np.frombuffer(x, np.uint64) for x in part["shingles"]], threshold, part["home"].to_numpy(bool))]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-def _paired(large: DataFrame) -> DataFrame:
-    """A large region as the pairs of its parts, each a region that one task's sketches can divide. Parts meet by
-    their sketches only; what those leave is small again."""
-    parts = large.groupBy("region").agg(F.greatest(F.ceil(F.count("*") / (REGION // 2)), F.lit(2)).cast("int").alias("parts"))
-    dealt = large.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
-    met = dealt.withColumn("other", other)
-    return met.select(F.xxhash64("region", F.least("part", "other"), F.greatest("part", "other")).alias("region"), "doc_id", "n")
+    lots = _lots(regions)
+    dealt = regions.join(sets.drop("n"), "doc_id").withColumn("lot", F.pmod(F.xxhash64("region"), F.lit(lots)))
+    return dealt.groupBy("lot").applyInPandas(solve, EDGE)
 
 
 def merged_masks(masks: list[int]) -> list[int]:
@@ -494,105 +512,146 @@ def merged_masks(masks: list[int]) -> list[int]:
     return groups
 
 
-MET = "region long, doc_id long, n long, near long, pivots array<long>, distances array<float>, tested boolean"
+def drawn(regions: DataFrame, most: int) -> DataFrame:
+    """(region, pivot): up to ``most`` points at home of each region, by a hash."""
+    order = Window.partitionBy("region").orderBy(F.xxhash64("region", "doc_id"), "doc_id")
+    return regions.where("home").withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("region", F.col("doc_id").alias("pivot"))
 
 
-def _met(large: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Each point of a large region with its distances to the region's pivots and which balls it is in.
+def _meeting(regions: DataFrame, pivots: DataFrame, sets: DataFrame, work, schema: str) -> DataFrame:
+    """``work(region, points, pivots)`` for each region: the points (doc_id, n, home, shingles) of a region meet all of its pivots
+    (pivot, raw), a bounded number of points in one task. Large regions are salted into parts, and each part gets a
+    copy of the pivots."""
+    lots = _lots(regions)
+    sizes = regions.groupBy("region").agg(F.ceil(F.greatest(F.count("*") / REGION, F.sum("n") / REGION_SHINGLES, F.lit(1))).cast("int").alias("parts"))
+    lot = F.pmod(F.xxhash64("region", "part"), F.lit(lots))
+    copies = pivots.join(sizes, "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = copies.join(sets.select(F.col("doc_id").alias("pivot"), "shingles"), "pivot")
+    right = right.select(lot.alias("at"), F.col("region").alias("r"), F.col("part").alias("p"), "pivot", F.col("shingles").alias("raw"))
+    salted = regions.join(sizes, "region").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    left = salted.join(sets.drop("n"), "doc_id").select(lot.alias("lot"), "region", "part", "doc_id", "n", "home", "shingles")
 
-    Pivots come from the points at home. A bounded number of points meets them in one task: regions are
-    salted into parts, and each part gets a copy of the pivots. Rows with a null ``doc_id`` have the groups of
-    pivots that a part's points connect. ``tested``: every point at home was a pivot.
-    """
-    sizes = large.groupBy("region").agg(
-        F.ceil(F.greatest(F.count("*") / REGION, F.sum("n") / REGION_SHINGLES)).cast("int").alias("parts"), (F.sum(F.col("home").cast("int")) <= PIVOTS).alias("tested")
-    )
-    drawn = Window.partitionBy("region").orderBy(F.xxhash64("region", "doc_id"), "doc_id")
-    pivots = large.where("home").withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= PIVOTS).select(F.col("region").alias("r"), F.col("doc_id").alias("pivot"))
-    copies = sizes.select(F.col("region").alias("r"), "tested", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
-    right = pivots.join(copies, "r").join(sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
-    salted = large.join(sizes.select("region", "parts"), "region").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    left = salted.join(sets, "doc_id").select("region", "part", "doc_id", "n", "shingles")
-
-    def meet(key, a, b):
+    def meet(a, b):
         import pandas as pd
 
-        columns = ["region", "doc_id", "n", "near", "pivots", "distances", "tested"]
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=columns)
-        b = b.sort_values("pivot")
-        mine = [np.frombuffer(x, np.uint64) for x in a["shingles"]]
-        sizes = np.array([len(s) for s in mine])
-        flat, bounds = np.concatenate(mine), np.concatenate([[0], np.cumsum(sizes)])
-        near, far = np.zeros(len(a), np.int64), np.zeros((len(a), len(b)), np.float32)
-        for k, raw in enumerate(b["pivot_shingles"]):
-            pivot = np.frombuffer(raw, np.uint64)
+        a, b = a.sort_values(["region", "part", "doc_id"], ignore_index=True), b.sort_values(["r", "p", "pivot"], ignore_index=True)
+        mine = {(int(b["r"][i]), int(b["p"][i])): (i, j) for i, j in runs_of(b["r"].to_numpy(), b["p"].to_numpy())}
+        out = []
+        for i, j in runs_of(a["region"].to_numpy(), a["part"].to_numpy()):
+            region = int(a["region"][i])
+            if (found := mine.get((region, int(a["part"][i])))) is not None:
+                out += work(region, a.iloc[i:j], b.iloc[slice(*found)])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
+
+    return left.groupBy("lot").cogroup(right.groupBy("at")).applyInPandas(meet, schema)
+
+
+#: The mark of the points that are connected already, which count as one more ball.
+SETTLED = 1 << 62
+MET = "region long, doc_id long, n long, near long, pivots array<long>, distances array<float>"
+
+
+def _met(regions: DataFrame, pivots: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Each point of a region with its distances to the region's pivots and which balls it is in. Rows with a null
+    ``doc_id`` have the groups of pivots that a part's points connect."""
+
+    def work(region, points, pivots):
+        sets = [np.frombuffer(x, np.uint64) for x in points["shingles"]]
+        sizes = np.array([len(s) for s in sets])
+        flat, bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
+        names = list(dict.fromkeys(pivots["pivot"].tolist()))
+        near, far = np.where(points["home"].to_numpy(bool), 0, SETTLED), np.ones((len(sets), len(names)), np.float32)
+        for name, raw in zip(pivots["pivot"], pivots["raw"], strict=True):
+            pivot, k = np.frombuffer(raw, np.uint64), names.index(name)
             common = common_with(pivot, flat, bounds)
             union = sizes + len(pivot) - common
             near |= (threshold[1] * common >= threshold[0] * union).astype(np.int64) << k
-            far[:, k] = 1 - common / union
-        names, tested = b["pivot"].tolist(), bool(b["tested"].iloc[0])
-        rows = pd.DataFrame({"region": key[0], "doc_id": a["doc_id"], "n": a["n"], "near": near, "pivots": [names] * len(a), "distances": list(far), "tested": tested})
-        groups = merged_masks([int(x) for x in np.unique(near) if x])
-        return pd.concat([rows, pd.DataFrame([(key[0], None, None, g, names, None, tested) for g in groups], columns=columns)]) if groups else rows
+            far[:, k] = np.minimum(far[:, k], 1 - common / union)
+        rows = [(region, d, n, m, names, f) for d, n, m, f in zip(points["doc_id"].tolist(), points["n"].tolist(), near.tolist(), far.tolist(), strict=True)]
+        return rows + [(region, None, None, g, names, None) for g in merged_masks([x for x in set(near.tolist()) if x])]
+
+    return _meeting(regions, pivots, sets, work, MET)
 
-    return left.groupBy("region", "part").cogroup(right.groupBy("r", "p")).applyInPandas(meet, MET)
 
+def _swept(regions: DataFrame, pivots: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Edges between pivots, points at home of dense regions, and all points of the region. Pivots are met in the parts that they are in, too."""
 
-def _pivot_groups(met: DataFrame) -> DataFrame:
+    def work(region, points, pivots):
+        apart, n = points[~points["doc_id"].isin(pivots["pivot"])], len(pivots)
+        ids = [*pivots["pivot"].tolist(), *apart["doc_id"].tolist()]
+        home = np.concatenate([np.ones(n, bool), apart["home"].to_numpy(bool)])
+        part = Region([np.frombuffer(x, np.uint64) for x in [*pivots["raw"], *apart["shingles"]]], home, threshold)
+        part.sweep(np.arange(n), np.arange(n, len(ids)))
+        return [(ids[i], ids[j]) for i, j in part.edges]
+
+    return _meeting(regions, pivots, sets, work, EDGE)
+
+
+def _pivot_groups(met: DataFrame, lots: int) -> DataFrame:
     """Per region the groups of pivots that its points connect; a few masks for each part come together."""
 
-    def merge(key, rows):
+    def merge(lot):
         import pandas as pd
 
-        return pd.DataFrame([(key[0], g) for g in merged_masks(rows["near"].tolist())], columns=["region", "mask"])
+        return pd.DataFrame([(region, g) for region, rows in lot.groupby("region") for g in merged_masks(rows["near"].tolist())], columns=["region", "mask"])
+
+    masks = met.where("doc_id is null").select("region", "near").distinct()
+    return masks.groupBy(F.pmod(F.xxhash64("region"), F.lit(lots))).applyInPandas(merge, "region long, mask long")
 
-    return met.where("doc_id is null").select("region", "near").distinct().groupBy("region").applyInPandas(merge, "region long, mask long")
 
+REGIONS = ["region", "doc_id", "n", "home", "dense"]
 
-def links(regions: DataFrame, sketches: DataFrame, sets_of, threshold: tuple[int, int], scratch: store.Scratch) -> DataFrame:
-    """Edges that span the components of the links inside regions (region, doc_id, n, home); of a link that
-    isn't implied by others one end at least is at home. ``sets_of`` gives the shingles of asked documents: only
-    points that sketches leave a link are asked for."""
+
+def divided(met: DataFrame, groups: DataFrame, threshold: tuple[int, int], scratch: store.Scratch) -> tuple[DataFrame, DataFrame]:
+    """Edges within balls, and the next regions: Voronoi regions of the pivots for the points at home, with the
+    windows of the triangle inequality."""
     reach = 1 - threshold[0] / threshold[1] + 1e-6
-    edges, paired = None, False
+    points = met.where("doc_id is not null")
+    first = F.expr("try_element_at(filter(pivots, (p, k) -> (shiftright(near, k) & 1) = 1), 1)")
+    edges = points.where("near <> 0").select(first.alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    named = groups.join(met.groupBy("region").agg(F.first("pivots").alias("pivots")), "region")
+    together = named.select(F.expr("filter(pivots, (p, k) -> (shiftright(mask, k) & 1) = 1)").alias("g"))
+    edges = edges.unionByName(together.select(F.try_element_at("g", F.lit(1)).alias("a"), F.explode("g").alias("b")).where("a <> b"))
+    # the group of pivots with the most points is the region's majority: links within it are implied
+    held = points.where("near <> 0").join(groups, "region").where("(near & mask) <> 0").groupBy("region", "mask").agg(F.count("*").alias("points"))
+    majority = held.groupBy("region").agg(F.max_by("mask", F.struct("points", "mask")).alias("major"))
+    rest = points.where("not array_contains(pivots, doc_id)").join(majority, "region", "left")
+    rest = rest.withColumn("home", F.coalesce(F.expr("near & major"), F.lit(0)) == 0)
+    nearest = F.expr("array_position(distances, array_min(distances))").cast("int")
+    rest = scratch.keep(rest.select("region", "doc_id", "n", "distances", "home", F.when(F.col("home"), nearest).alias("nearest")), "jaccard-open")
+    ring = rest.where("home").groupBy("region", F.col("nearest").alias("k")).agg(F.min(F.array_min("distances")).alias("least"), F.max(F.array_min("distances")).alias("most"))
+    rings = ring.groupBy("region").agg(F.collect_list(F.struct("k", "least", "most")).alias("rings"))  # as many as pivots
+    around = F.expr(f"transform(filter(rings, w -> element_at(distances, w.k) between w.least - {reach} and w.most + {reach}), w -> w.k)")
+    windowed = rest.join(rings, "region").withColumn("around", around)
+    spread = windowed.groupBy("region").agg((F.sum(F.size("around")) > 1.5 * F.count("*")).alias("dense"))
+    placed = windowed.join(spread, "region").select("region", "doc_id", "n", "home", "nearest", "dense", F.explode(F.when(F.col("dense"), F.array(F.lit(0))).otherwise(F.col("around"))).alias("k"))
+    at_home = F.col("home") & ((F.col("k") == 0) | (F.col("k") == F.col("nearest")))
+    return edges, placed.select(F.xxhash64("region", "k").alias("region"), "doc_id", "n", at_home.alias("home"), "dense")
+
+
+def links(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int], scratch: store.Scratch) -> DataFrame:
+    """Edges that span the components of the links inside the regions of pivots (region, doc_id, n), each named by its pivot."""
+    pivots = regions.select("region", F.col("region").alias("pivot")).distinct()
+    due, edges = regions.withColumn("home", F.lit(True)), None
     while True:
+        met = scratch.keep(_met(due, pivots, sets, threshold), "jaccard-met")
+        groups = scratch.keep(_pivot_groups(met, _lots(due)), "jaccard-groups")
+        found, regions = divided(met, groups, threshold, scratch)
+        edges = found if edges is None else edges.unionByName(found)
         fits = (F.count("*") <= REGION) & (F.sum("n") <= REGION_SHINGLES)
-        sized = scratch.keep(regions.join(regions.groupBy("region").agg(fits.alias("fits")), "region"), "jaccard-regions")
-        tight = sized.where("fits").select("region", "doc_id", "n")
-        large = sized.where("not fits").drop("fits")
-        if paired:
-            tight, large = tight.unionByName(_paired(large)), large.where("false")
-        fine = scratch.keep(_refined(tight, sketches, threshold), "jaccard-refined")
-        paired = True
-        sets = sets_of(fine.select("doc_id").unionByName(large.select("doc_id")).distinct())
-        small = scratch.keep(_small(fine.select("region", "doc_id"), sets, threshold), "jaccard-links")
-        edges = small if edges is None else edges.unionByName(small)
-        if not large.limit(1).count():
+        alive = regions.groupBy("region").agg(fits.alias("fits"), F.bool_or("home").alias("open"), F.count("*").alias("points")).where("open and points > 1")
+        sized = scratch.keep(regions.join(alive.select("region", "fits"), "region"), "jaccard-regions")
+        edges = edges.unionByName(scratch.keep(_small(sized.where("fits"), sets, threshold), "jaccard-links"))
+        dense = sized.where("not fits and dense").select("region", "doc_id", "n", "home")
+        while dense.where("home").limit(1).count():
+            swept = scratch.keep(drawn(dense, SWEPT), "jaccard-swept")
+            edges = edges.unionByName(scratch.keep(_swept(dense, swept, sets, threshold), "jaccard-links"))
+            tested = swept.withColumnRenamed("pivot", "doc_id")
+            dense = scratch.keep(dense.join(tested, ["region", "doc_id"], "left_anti"), "jaccard-dense")
+        due = sized.where("not fits and not dense").select("region", "doc_id", "n", "home")
+        if not due.limit(1).count():
             return edges
-        met = scratch.keep(_met(large, sets, threshold), "jaccard-met")
-        groups = scratch.keep(_pivot_groups(met), "jaccard-groups")
-        points = met.where("doc_id is not null")
-        first = F.expr("try_element_at(filter(pivots, (p, k) -> (shiftright(near, k) & 1) = 1), 1)")
-        edges = edges.unionByName(points.where("near <> 0").select(first.alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
-        named = groups.join(met.groupBy("region").agg(F.first("pivots").alias("pivots")), "region")
-        together = named.select(F.expr("filter(pivots, (p, k) -> (shiftright(mask, k) & 1) = 1)").alias("g"))
-        edges = edges.unionByName(together.select(F.col("g")[0].alias("a"), F.explode("g").alias("b")).where("a <> b"))
-        # the group of pivots with the most points is the region's majority: links within it are implied
-        held = points.where("near <> 0 and not tested").join(groups, "region").where("(near & mask) <> 0").groupBy("region", "mask").agg(F.count("*").alias("points"))
-        majority = held.groupBy("region").agg(F.max_by("mask", F.struct("points", "mask")).alias("major"))
-        open_ = points.where("not tested and not array_contains(pivots, doc_id)").join(majority, "region", "left")
-        open_ = open_.withColumn("home", F.coalesce(F.expr("near & major"), F.lit(0)) == 0)
-        # Voronoi regions of the pivots for the points at home, with the window of the triangle inequality
-        nearest = F.expr("array_position(distances, array_min(distances))").cast("int")
-        open_ = scratch.keep(open_.withColumn("nearest", F.when(F.col("home"), nearest)), "jaccard-open")
-        radius = open_.where("home").groupBy("region", F.col("nearest").alias("k")).agg(F.max(F.array_min("distances")).alias("radius"))
-        balls = radius.groupBy("region").agg(F.collect_list(F.struct("k", "radius")).alias("balls"))  # as many as pivots
-        around = F.expr(f"transform(filter(balls, w -> element_at(distances, w.k) <= w.radius + {reach}), w -> w.k)")
-        windowed = open_.join(balls, "region").withColumn("around", around)
-        spread = windowed.groupBy("region").agg((F.sum(F.size("around")) <= 1.5 * F.count("*")).alias("divides"))
-        placed = windowed.join(spread, "region").select("region", "doc_id", "n", "home", "nearest", F.explode(F.when(F.col("divides"), F.col("around")).otherwise(F.array(F.lit(0)))).alias("k"))
-        regions = placed.select(F.xxhash64("region", "k").alias("region"), "doc_id", "n", (F.col("home") & ((F.col("k") == 0) | (F.col("k") == F.col("nearest")))).alias("home"))
+        pivots = scratch.keep(drawn(due, PIVOTS), "jaccard-pivots")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -617,24 +676,21 @@ def components(edges: DataFrame) -> DataFrame:
 def joined(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, and the number of documents with the same set."""
     scratch = store.Scratch()
-    points = store.materialise(profiles(df, key=key, text=text, words=words, threshold=threshold), "jaccard-profiles")
-    named = points.where("n_shingles > 0")
-    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("same_set"))
-    members = store.materialise(named.select("doc_id", "n_shingles", "set_id").join(classes, "set_id").drop("set_id"), "jaccard-members")
-    reps = scratch.keep(members.where("doc_id = rep").select("doc_id", F.col("n_shingles").alias("n")).distinct(), "jaccard-reps")
-    inside = first_regions(named, scratch).distinct().join(bounded(reps, SENT_ROWS), "doc_id").select("region", "doc_id", "n")
-    regions = scratch.keep(inside.withColumn("home", F.lit(True)), "jaccard-first")
-    met = scratch.keep(regions.select("doc_id").distinct(), "jaccard-met")
-    sketches = scratch.keep(named.select("doc_id", "sketch").join(bounded(met, SENT_ROWS), "doc_id", "left_semi"), "jaccard-sketches")
-
-    def sets_of(documents: DataFrame) -> DataFrame:
-        asked = scratch.keep(documents, "jaccard-asked")
-        return scratch.keep(_sets_for(df, bounded(asked, SENT_ROWS), key=key, text=text, words=words), "jaccard-sets")
-
-    found = components(links(regions, sketches, sets_of, threshold, scratch))
+    profiled = store.materialise(profiles(df, key=key, text=text, words=words, threshold=threshold), "jaccard-profiles")
+    named = profiled.where("n_shingles > 0")
+    # one point for each set: copies go no further
+    points = named.where("doc_id is not null and n_cells > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min_by("cells", "doc_id").alias("cells"))
+    total = named.agg(F.sum("n_cells")).first()[0] or 0
+    first = scratch.keep(first_regions(points.select("doc_id", "cells"), total, scratch), "jaccard-first")
+    asked = scratch.keep(first.select("doc_id").distinct(), "jaccard-asked")
+    sets = scratch.keep(_sets_for(df, bounded(asked, SENT_ROWS), key=key, text=text, words=words), "jaccard-sets")
+    regions = scratch.keep(first.join(sets.select("doc_id", "n"), "doc_id").select("region", "doc_id", "n"), "jaccard-regions")
+    found = components(links(regions, sets, threshold, scratch))
     scratch.clear()
+    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("same_set"))
+    members = named.select("doc_id", "n_shingles", "set_id").join(classes, "set_id").drop("set_id")
     labelled = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "same_set")
-    alone = points.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("same_set"))
+    alone = profiled.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("same_set"))
     return labelled.unionByName(alone)
 
 

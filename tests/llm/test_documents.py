@@ -119,19 +119,41 @@ def families():
     return rows + [(100001, None), (100002, ""), (100003, " \n"), (100004, "A b"), (100005, "a B")]
 
 
-@pytest.mark.parametrize("words, threshold, region, pivots", [(3, (9, 10), 2000, 32), (5, (8, 10), 2000, 32), (2, (8, 10), 12, 3)])
-def test_components(spark, families, monkeypatch, words, threshold, region, pivots):
-    monkeypatch.setattr(jaccard, "REGION", region)
-    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+@pytest.mark.parametrize("words, threshold, region, pivots, sent", [(3, (9, 10), 2000, 32, 1000), (5, (8, 10), 2000, 32, 1000), (2, (8, 10), 12, 3, 0), (3, (9, 10), 3, 2, 0)])
+def test_components(spark, families, monkeypatch, words, threshold, region, pivots, sent):
+    for name, value in (("REGION", region), ("PIVOTS", pivots), ("SWEPT", pivots + 1), ("SENT_ROWS", sent), ("CROWD", 8 if sent else 2), ("CUT_CELLS", 400_000 if sent else 50)):
+        monkeypatch.setattr(jaccard, name, value)
     df = frame(spark, [(*r, 0) for r in families], "doc_id long, text string, cell int").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(df, words=words, threshold=threshold).collect()}
     assert got == links_by_force(families, words, threshold)
 
 
-def test_joins_that_exchange_both_sides(spark, families, monkeypatch):
-    monkeypatch.setattr(jaccard, "SENT_ROWS", 0)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(frame(spark, families)).collect()}
-    assert got == links_by_force(families, 3, (9, 10))
+def test_dense_regions_are_swept(spark, monkeypatch):
+    """A crowd of points at much the same distance from each other, some linked: windows hold nearly everything."""
+    for name, value in (("REGION", 20), ("PIVOTS", 3), ("SWEPT", 7), ("CROWD", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    swept, rounds = jaccard._swept, []
+    monkeypatch.setattr(jaccard, "_swept", lambda *a: rounds.append(1) or swept(*a))
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rnd.choice((1, 2, 2, 3, 4))):
+            words[rnd.randrange(60)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i + 1, " ".join(words)))
+    rows += [(200 + i, rows[5][1]) for i in range(40)]  # copies are one point
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(frame(spark, rows).repartition(3), words=2, threshold=(9, 10)).collect()}
+    assert got == links_by_force(rows, 2, (9, 10)) and len({c for _, c in got.values()}) > 5
+    assert len(rounds) > 1
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (2, a + " z"), (2, b), (3, b + " z"), (2, b), (4, c), (None, c + " z"), (None, a)]
+    got = [(r.doc_id, r.component_id) for r in jaccard.joined(frame(spark, rows)).collect()]
+    assert sorted(x for x in got if x[0]) == [(1, 1), (2, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
+    assert sorted((x[1] for x in got if x[0] is None), key=str) == [1, None]
 
 
 def test_one_of_each_group_stays(spark):
@@ -464,9 +486,6 @@ def test_sketches_bound_differences():
     for n in (3, 40, 700):
         a = np.unique(rnd.integers(0, 1 << 62, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: n - n // 10], rnd.integers(0, 1 << 62, n // 10 + n // 3, dtype=np.uint64)]))
-        apart = len(np.setxor1d(a, b))
-        x, y = (np.frombuffer(jaccard.sketch_of(s), np.uint64)[None] for s in (a, b))
-        words = min(x.shape[1], y.shape[1])
-        assert np.bitwise_count(jaccard.folded(x, words) ^ jaccard.folded(y, words)).sum() <= apart
-        label = jaccard.possible_groups(np.array([len(a), len(b), n]), [jaccard.sketch_of(a), jaccard.sketch_of(b), jaccard.sketch_of(rnd.integers(0, 1 << 62, n, dtype=np.uint64))], (9, 10))
-        assert jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b), (9, 10)) <= (label[0] == label[1])
+        x, y = jaccard.sketch_of(a), jaccard.sketch_of(b)
+        words = min(len(x), len(y))
+        assert np.bitwise_count(jaccard.folded(x, words) ^ jaccard.folded(y, words)).sum() <= len(np.setxor1d(a, b))
