@@ -13,14 +13,15 @@ than ``PART`` characters a passage counts too: any window of ``PART`` characters
 are given only if the item, or a long window of it, isn't found. Items of
 fewer than ``LEAST`` characters are too short to be evidence and are looked for exactly, as whole words.
 Null and empty texts contain nothing; null and empty items are never found; repeated rows get equal results;
-empty tables give empty results or no finds; other columns pass through. The benchmark is gone through in
-blocks of at most ``BLOCK_BYTES``, so what is sent to executors has a fixed bound.
+empty tables give empty results or no finds; other columns pass through, one with the result's name with ``_input`` after
+it. The benchmark is gone through in blocks of at most ``BLOCK_BYTES``: one block at a time is in the driver and sent to executors,
+and each is one pass over the texts whose few finds are written to the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -194,7 +195,8 @@ class Index:
 
 def blocks_of(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
-    for row in items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text)).distinct().orderBy(key, text).toLocalIterator():
+    rows = items.select(store.column(key).cast("long").alias("k"), store.column(text).alias("t")).where("k is not null and t is not null")
+    for row in rows.distinct().orderBy("k", "t").toLocalIterator():
         if block and size + len(row[1]) > BLOCK_BYTES:
             yield block
             block, size = [], 0
@@ -203,28 +205,44 @@ def blocks_of(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int,
     yield block
 
 
-def with_finds(df: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", out: str = "finds") -> DataFrame:
-    """``df`` with the items that each whole text contains."""
+def _finder(block: list[tuple[int, str]]):
     from pyspark.sql.pandas.functions import PandasUDFType, pandas_udf
 
-    def finder(block):
-        def run(batches):
-            import pandas as pd
+    def run(batches):
+        import pandas as pd
+
+        index = Index(block)
+        for batch in batches:
+            yield pd.Series(index.find([x if isinstance(x, str) else None for x in batch]), dtype=object)
+
+    return pandas_udf(run, FOUND, PandasUDFType.SCALAR_ITER)
 
-            index = Index(block)
-            for batch in batches:
-                yield pd.Series(index.find([x if isinstance(x, str) else None for x in batch]), dtype=object)
 
-        return pandas_udf(run, FOUND, PandasUDFType.SCALAR_ITER)
+def _found(df: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, out: str = "") -> DataFrame:
+    """(row, finds): each whole row with the items that its text contains."""
+    blocks = blocks_of(items, item_key, item_text)
+    first, second = next(blocks), next(blocks, None)
+    rows = df.select(store.whole_row(df, [out]).alias("row"), store.column(text).alias("text"))
+    if second is None:
+        return rows.select("row", _finder(first)("text").alias("finds"))
+    spark = df.sparkSession
+    numbered = store.materialise(rows.withColumn("n", F.monotonically_increasing_id()), "numbered")
+    path = store.fresh_path(spark, "finds")
+    for block in chain([first, second], blocks):
+        numbered.select("n", _finder(block)("text").alias("finds")).where(F.size("finds") > 0).write.mode("append").parquet(path)
+    each = spark.read.parquet(path).select("n", F.explode("finds").alias("f")).groupBy("n", F.col("f.item_id").alias("item_id")).agg(F.min(F.struct("f.edits", "f.at")).alias("f"))
+    found = each.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("item_id", "f.edits", "f.at"))).alias("finds"))
+    return numbered.join(found, "n", "left").select("row", F.coalesce("finds", F.array().cast(FOUND)).alias("finds"))
 
-    found = [finder(block)(F.col(text)) for block in blocks_of(items, item_key, item_text)]
-    return df.withColumn(out, reduce(F.concat, found))
+
+def with_finds(df: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", out: str = "finds") -> DataFrame:
+    """``df`` with the items that each whole text contains."""
+    return _found(df, items, text, item_key, item_text, out).select("row.*", F.col("finds").alias(out))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item, columns as they were."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return with_finds(docs, items, out="_finds").where(F.size("_finds") == 0).select(*columns)
+    return _found(docs, items, "text", "item_id", "text").where(F.size("finds") == 0).select("row.*")
 
 
 def op7_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,8 +51,6 @@ GROWTH = 1.25  # of a size class
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
-#: Ids that may be sent to every executor, some 50 MB as a hash table; more are exchanged.
-SENT_ROWS = 1_000_000
 #: Cells that one task sorts.
 CUT_CELLS = 400_000
 CHUNK = 4_000_000
@@ -458,12 +456,6 @@ def _sets_for(df: DataFrame, members: DataFrame, *, key: str, text: str, words:
 EDGE = "a long, b long"
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` (materialised ids), to be sent to every executor if it has no more than ``rows`` rows; beyond that a
-    join exchanges both sides."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def _lots(regions: DataFrame) -> int:
     """So many tasks' worth of points and shingles, at least as many as partitions: regions (or parts of large
     ones) that share a hash are worked on together."""
@@ -683,7 +675,7 @@ def joined(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
     total = named.agg(F.sum("n_cells")).first()[0] or 0
     first = scratch.keep(first_regions(points.select("doc_id", "cells"), total, scratch), "jaccard-first")
     asked = scratch.keep(first.select("doc_id").distinct(), "jaccard-asked")
-    sets = scratch.keep(_sets_for(df, bounded(asked, SENT_ROWS), key=key, text=text, words=words), "jaccard-sets")
+    sets = scratch.keep(_sets_for(df, store.bounded(asked, store.SENT_ROWS), key=key, text=text, words=words), "jaccard-sets")
     regions = scratch.keep(first.join(sets.select("doc_id", "n"), "doc_id").select("region", "doc_id", "n"), "jaccard-regions")
     found = components(links(regions, sets, threshold, scratch))
     scratch.clear()

@@ -9,7 +9,8 @@ the bytes that it adds decide and give the margin; a margin that is narrow even
 
 Null texts and texts without a letter are ``und`` with score 0. Equal sums go to the language with more
 learned documents, then to the first in alphabetical order, with score 0. With no learned language everything is ``und``.
-Repeated rows get equal results; an empty table gives an empty one.
+A null id is not held out. Repeated rows get equal results; an empty table gives an empty one. Other columns pass through; those with a
+result's name get ``_input`` after theirs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import store
 
 #: The bounds of what is learned from: documents and bytes of raw content per language, languages.
-SAMPLE_DOCUMENTS, DICTIONARY_BYTES, LANGUAGES = 400, 131_072, 500
+SAMPLE_DOCUMENTS, DICTIONARY_BYTES, LANGUAGES = 400, 131_072, 200
 BLOCK = 4096
 LEVEL = 5
 STRETCHES, STRETCH = 16, 2048
@@ -32,32 +33,36 @@ SCHEMA = "lang_pred string, score double, margin double"
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
-
-
-def learn(df: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id", documents: int = SAMPLE_DOCUMENTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Raw content per language, most frequent language first, from labelled rows: for each language, ``documents`` rows drawn by a hash of the text,
-    equal parts of each up to ``size`` bytes. The row limit is applied before rows are exchanged."""
-    drawn = Window.partitionBy("lang").orderBy("h", "part")
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def learn(df: DataFrame, *, text: str = "text", label: str = "lang", documents: int = SAMPLE_DOCUMENTS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+    """Raw content per language, most frequent language first, from labelled rows: of each language's different texts
+    the ``documents`` least by hash, equal parts of each up to ``size`` bytes. What can't be among them is left out by a
+    threshold on the hash before anything is exchanged, so a frequent language or text costs no task more than others."""
+    rows = df.where(store.column(label).isNotNull() & (F.length(store.column(text)) > 0)).select(store.column(label).alias("lang"), store.column(text).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return {}
+    # four times as many as needed pass, so that fewer than needed are as good as impossible
+    least = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * max(documents, 100) / max(r["texts"], 1)))])
     share = max(1, size // documents)
-    rows = (
-        df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-        .select(F.col(label).alias("lang"), F.col(text).alias("text"))
+    parts = (
+        rows.where(F.pmod("h", F.lit(1 << 32)) / F.lit(float(1 << 32)) < F.try_element_at(least, F.col("lang")))
         # a middle part: beginnings may hold titles and markup; only the part is exchanged
-        .select("lang", F.xxhash64("text").alias("h"), F.expr(f"substring(text, greatest(1, cast(length(text) / 2 as int) - {share}), {4 * share})").alias("part"))
-        .withColumn("n", F.row_number().over(drawn))
+        .select("lang", "h", F.expr(f"substring(text, greatest(1, cast(length(text) / 2 as int) - {share}), {4 * share})").alias("part"))
+        .groupBy("lang", "h").agg(F.min("part").alias("part"))
+        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
         .where(F.col("n") <= documents)
-        .select("lang", "n", "part")
-    )
+    )
     content: dict[str, list[bytes]] = {}
-    for row in rows.orderBy("lang", "n").limit(LANGUAGES * documents).collect():  # at most that many short parts
+    for row in parts.select("lang", "n", "part").orderBy("lang", "n").collect():  # at most LANGUAGES * documents short parts
         content.setdefault(row["lang"], []).append(row["part"].lower().encode())
-    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    rank = {row["lang"]: k for k, row in enumerate(counts)}
     out = {}
-    for lang, parts in sorted(content.items(), key=lambda x: rank.get(x[0], LANGUAGES)):
-        each = max(1, size // len(parts))
-        out[lang] = b"\n".join(p[:each] for p in parts)[:size]
+    for lang in (r["lang"] for r in counts if r["lang"] in content):
+        each = max(1, size // len(content[lang]))
+        out[lang] = b"\n".join(p[:each] for p in content[lang])[:size]
     return out
 
 
@@ -106,8 +111,15 @@ class Compressors:
         return self.names[first], min(1.0, margin / (margin + 0.05)), margin
 
 
+RESULTS = ("lang_pred", "score", "margin")
+
+
 def classify(df: DataFrame, content: dict[str, bytes], *, text: str = "text") -> DataFrame:
     """Add ``lang_pred``, ``score`` and ``margin`` for every whole text."""
+    return _judged(df, content, text).select("row.*", "judged.*")
+
+
+def _judged(df: DataFrame, content: dict[str, bytes], text: str) -> DataFrame:
     from pyspark.sql.pandas.functions import PandasUDFType, pandas_udf
 
     def run(batches):
@@ -115,10 +127,10 @@ def classify(df: DataFrame, content: dict[str, bytes], *, text: str = "text") ->
 
         models = Compressors(content)
         for batch in batches:
-            yield pd.DataFrame([models.judge(x if isinstance(x, str) else None) for x in batch], columns=["lang_pred", "score", "margin"])
+            yield pd.DataFrame([models.judge(x if isinstance(x, str) else None) for x in batch], columns=list(RESULTS))
 
-    judged = pandas_udf(run, SCHEMA, PandasUDFType.SCALAR_ITER)
-    return df.withColumn("_judged", judged(F.col(text))).select("*", "_judged.*").drop("_judged")
+    judge = pandas_udf(run, SCHEMA, PandasUDFType.SCALAR_ITER)
+    return df.select(store.whole_row(df, RESULTS).alias("row"), judge(store.column(text)).alias("judged"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +140,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(rows, content).select("doc_id", "held_out", "lang_pred", "score", "margin")
 
 
-def identified(docs: DataFrame, content: dict[str, bytes], *, narrow: float = NARROW) -> DataFrame:
+def identified(docs: DataFrame, content: dict[str, bytes], *, text: str = "text", narrow: float = NARROW) -> DataFrame:
     """The rows of ``docs`` whose language is told with a margin that isn't narrow, columns as they were."""
-    columns = docs.columns
-    kept = classify(docs, content).where((F.col("lang_pred") != UNDETERMINED) & (F.col("margin") >= narrow))
-    return kept.select(*columns)
+    kept = _judged(docs, content, text).where((F.col("judged.lang_pred") != UNDETERMINED) & (F.col("judged.margin") >= narrow))
+    return kept.select("row.*").toDF(*docs.columns)
 
 
 QUERIES = {"op8_language": op8_language}

@@ -7,7 +7,7 @@ lies inside another is suppressed if the other's rule has a higher priority, or
 is longer. The base phrases are rules of the highest priority and are never suppressed.
 
 Null and empty texts have no words and no detections. Whole texts are scanned; repeated rows get equal
-results; an empty table gives an empty one.
+results; an empty table gives an empty one. Other columns pass through; those with a result's name get ``_input`` after theirs.
 """
 
 from __future__ import annotations
@@ -219,12 +219,16 @@ class Detection(NamedTuple):
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Suppress what lies inside a detection that outranks it: by priority, then length, then rule order."""
-    rank = lambda d: (-RULES[d.rule].priority, d.start - d.end, d.rule, d.start)
-    kept: list[Detection] = []
+    """Suppress what lies inside a detection that outranks it: by priority, then length, then rule order. One sweep by
+    start; the largest end so far is kept for each priority."""
+    rank = lambda d: (d.start, -d.end, -RULES[d.rule].priority, d.rule)
+    reach: dict[int, int] = {}
+    kept = []
     for d in sorted(found, key=rank):
-        if RULES[d.rule].priority == BASE_PRIORITY or not any(k.start <= d.start and d.end <= k.end for k in kept):
+        own = RULES[d.rule].priority
+        if own == BASE_PRIORITY or not any(end >= d.end for priority, end in reach.items() if priority >= own):
             kept.append(d)
+        reach[own] = max(reach.get(own, 0), d.end)
     return sorted(kept)
 
 
@@ -283,7 +287,7 @@ def with_detections(df: DataFrame, *, text: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_words", "detections"])
 
     scan = pandas_udf(run, DETECTIONS, PandasUDFType.SCALAR_ITER)
-    return df.withColumn("_scan", scan(F.col(text))).select("*", "_scan.*").drop("_scan")
+    return df.select(store.whole_row(df, ("n_words", "detections")).alias("row"), scan(store.column(text)).alias("scan")).select("row.*", "scan.*")
 
 
 def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

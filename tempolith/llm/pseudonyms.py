@@ -25,7 +25,8 @@ label is found in any case, and copies of one secret in capitals and in small le
 for the case; where a permuted symbol sequence would fall into another format it is permuted again.
 
 Invalid look-alikes stay as they are. Null texts stay null, with no values; whole texts are treated; repeated
-rows get equal results; an empty table gives an empty one; other columns pass through.
+rows get equal results; an empty table gives an empty one; other columns pass through, one named ``pii`` as ``pii_input``.
+The key is part of the plan, as any literal is: who reads plans or event logs can invert the pseudonyms.
 """
 
 from __future__ import annotations
@@ -38,7 +39,10 @@ from . import store
 ROUNDS = 6  # even, so that the halves end where they began
 #: Days of a block, as 250 x 292 symbols; the first block begins on 1900-01-01.
 DATE_MODULI, DATE_DAYS, DATE_ORIGIN = (250, 292), 73_000, "1900-01-01"
-DEFAULT_KEY = "change this key"
+#: The key of the registered query, which is public; callers pass one of their own.
+QUERY_KEY = "tempolith"
+#: Set around values while a text is cut; a text that has it is gone through twice instead.
+CUT = "\ue0f7"
 
 #: Countries whose accounts may have letters, by the length of their IBAN.
 LETTERED = {
@@ -230,29 +234,52 @@ def _secret(net: Network) -> tuple[str, str]:
 _KINDS = {"email": _email, "secret": _secret, "iban": _iban, "phone": _phone, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card}
 
 
+#: What a value of a kind has at least, told without its pattern.
+_SIGNS = {
+    "email": "instr(v, '@') > 0", "secret": "ascii(v) > 64", "iban": "ascii(v) between 65 and 90", "phone": "ascii(v) = 43",
+    "date": "length(v) = 10", "ssn": "length(v) = 11", "ip": "instr(v, '.') > 0", "card": "length(v) > 12",
+}
+
+
 def pseudonym(value: str, key: str, inverse: bool = False) -> str:
     """SQL: (kind, value) of a match, with a null kind and the value as it was if it isn't valid."""
     net = Network(key, inverse)
     cases = []
     for kind, make in _KINDS.items():
         valid, body = make(net)
-        cases.append(f"when {_is('v', kind)} and ({valid}) then named_struct('kind', '{kind}', 'value', {body})")
+        cases.append(f"when {_SIGNS[kind]} and {_is('v', kind)} and ({valid}) then named_struct('kind', '{kind}', 'value', {body})")
     chosen = f"case {' '.join(cases)} else named_struct('kind', cast(null as string), 'value', v) end"
     return net.bound("v", value, chosen)
 
 
-def pseudonymised(df: DataFrame, *, text: str = "text", key: str = DEFAULT_KEY, inverse: bool = False) -> DataFrame:
+def cut_at_values(text: Column) -> Column:
+    """The text in parts, every second of which is a match of ``ANY``."""
+    once = F.split(F.regexp_replace(text, f"(?:{ANY})", f"{CUT}$0{CUT}"), CUT, -1)
+    gaps, values = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    twice = F.slice(F.flatten(F.zip_with(gaps, values, lambda gap, value: F.array(gap, value))), 1, 2 * F.size(values) + 1)
+    return F.when(F.contains(text, F.lit(CUT)), twice).otherwise(once)
+
+
+def pseudonymised(df: DataFrame, *, key: str, text: str = "text", inverse: bool = False) -> DataFrame:
     """``df`` with ``text`` rewritten and ``pii``: (kind, pseudonym) of each valid value, in order."""
-    pattern = F.lit(ANY)
-    found = df.withColumn("_hits", F.transform(F.regexp_extract_all(F.col(text), pattern, F.lit(0)), lambda v: F.struct(v.alias("v"))))
-    replaced = found.withColumn("_new", F.expr(f"transform(_hits, hit -> {pseudonym('hit.v', key, inverse)})"))
-    parts = F.split(F.col(text), ANY, -1)
-    joined = F.array_join(F.zip_with(parts, "_new", lambda gap, new: F.concat(gap, F.coalesce(new["value"], F.lit("")))), "")
-    return replaced.withColumns({text: F.when(F.size("_hits") > 0, joined).otherwise(F.col(text)), "pii": F.filter(F.coalesce("_new", F.array()), lambda x: x["kind"].isNotNull())}).drop("_hits", "_new")
+    found = df.select(store.whole_row(df, ["pii"]).alias("row"), store.column(text).alias("text")).withColumn("parts", cut_at_values(F.col("text")))
+    plain = "named_struct('kind', cast(null as string), 'value', part)"
+    found = found.withColumn("new", F.expr(f"transform(parts, (part, i) -> if(i % 2 = 0, {plain}, {pseudonym('part', key, inverse)}))"))
+    joined = F.when(F.size("parts") > 1, F.array_join(F.transform("new", lambda x: x["value"]), "")).otherwise(F.col("text"))
+    pii = F.filter(F.coalesce("new", F.array()), lambda x: x["kind"].isNotNull())
+    return found.select(*[joined.alias(c) if c == text else F.col(f"row.{_tick(n)}") for c, n in zip(df.columns, _fields(df), strict=True)], pii.alias("pii"))
+
+
+def _fields(df: DataFrame) -> list[str]:
+    return df.select(store.whole_row(df, ["pii"]).alias("row")).schema["row"].dataType.fieldNames()
+
+
+def _tick(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pseudonymised(store.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = pseudonymised(store.read_table(spark, sf_dir, "documents").select("doc_id", "text"), key=QUERY_KEY)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"]))), ",")
     return rows.select("doc_id", F.size("pii").cast("long").alias("n_values"), kinds.alias("kinds"), F.transform("pii", lambda x: x["value"]).alias("pseudonyms"), "text")
 

@@ -34,6 +34,8 @@ from .pieces import BatchEncoder
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 NO_ID = -(1 << 63)
+#: Bytes of text of a file; its records are smaller. A reader holds one file.
+FILE_BYTES = 256_000_000
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<IB")
 INDEX_SCHEMA = "file string, ordinal long, offset long, length long, doc_id long, n_tokens long, ids_crc32 long"
@@ -93,7 +95,9 @@ def write_records(
     """Encode every whole text, append ``end_id`` and write the records under ``path`` in ascending ``key``."""
     spark = df.sparkSession
     tokenizer = vocabulary or vocabulary_path(VOCABULARY)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not files:
+        size = df.agg(F.sum(F.octet_length(store.column(text)))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer)
@@ -105,7 +109,7 @@ def write_records(
                 framed = [frame(NO_ID if k is None else k, np.append(x, np.uint32(end_id))) for k, x in zip(keys, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], names=["frame"])
 
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    rows = df.select(store.column(key).cast("long").alias("k"), store.column(text).alias("t"))
     dealt = rows.repartitionByRange(files, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t"))
     dealt.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
@@ -134,8 +138,9 @@ def with_starts(index: DataFrame) -> DataFrame:
     """Add ``start``: how many ids precede a record. Totals per file are few (one row for each file)."""
     from pyspark.sql import Window
 
+    number = F.regexp_extract("file", r"^part-([0-9]+)", 1).cast("long")  # names don't sort beyond five digits
     totals = index.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("file", F.coalesce(F.sum("file_tokens").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     return (

@@ -10,8 +10,8 @@ slot, so that no task has to see a whole shard.
 The law is ``bytes``: shards hold near-equal bytes. Equal texts have equal hashes and so stand together; they
 stay in one shard unless a boundary's tolerance is smaller than their group, in which case the group is
 split by document id. Null texts count one byte and hash as the empty text; null ids come first; rows that
-repeat both text and id can't be told apart and stay in one shard. Other columns pass through. An empty
-table gives an empty result.
+repeat both text and id can't be told apart and stay in one shard. Other columns pass through; those with a result's name get
+``_input`` after theirs. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SHARDS = 8
 TOLERANCE, RANGE_TOLERANCE = 0.001, 0.2
 #: Candidates per boundary and round.
 FAN = 24
+#: Bytes of a range, which one task writes. So the ranges grow with the table, and no task does.
+RANGE_BYTES = 64_000_000
 LEAST = -(1 << 63)
 MOST = (1 << 63) - 1
 
@@ -122,10 +124,12 @@ class Boundary:
             return
 
 
-def find_boundaries(keys: DataFrame, shards: int, ranges: int, *, tolerance: float = TOLERANCE, range_tolerance: float = RANGE_TOLERANCE, fan: int = FAN) -> list[tuple[Key, int]]:
-    """The starts of all ranges but the first, ``ranges`` for each shard, with the exact rows below them."""
+def find_boundaries(keys: DataFrame, shards: int, *, ranges: int | None = None, tolerance: float = TOLERANCE, range_tolerance: float = RANGE_TOLERANCE, fan: int = FAN) -> tuple[list[tuple[Key, int]], int]:
+    """The starts of all ranges but the first with the exact rows below them, and how many ranges each shard has: as
+    many as ``RANGE_BYTES`` asks for."""
     total = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     rows, size = int(total[0]), int(total[1])
+    ranges = ranges or max(1, -(-size // (shards * RANGE_BYTES)))
     n = shards * ranges
     bounds = [Boundary(size * k / n, (tolerance * size / shards) if k % ranges == 0 else (range_tolerance * size / n), rows, size) for k in range(1, n)]
     while open_ := [b for b in bounds if b.settled is None]:
@@ -138,19 +142,21 @@ def find_boundaries(keys: DataFrame, shards: int, ranges: int, *, tolerance: flo
                 at = (at[0] + found[k][0], at[1] + found[k][1])
         for b in open_:
             b.narrow(probes, found, below)
-    return [(b.settled, b.rows_below) for b in bounds]
+    return [(b.settled, b.rows_below) for b in bounds], ranges
+
+
+RESULTS = ("size", "shard", "slot")
 
 
 def sharded(df: DataFrame, *, shards: int = SHARDS, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """``df`` with ``size``, ``shard`` and ``slot``, each partition holding one range of one shard in order."""
     from pyspark.sql.functions import pandas_udf
 
-    spark = df.sparkSession
-    ranges = ranges or max(1, round(int(spark.conf.get("spark.sql.shuffle.partitions")) / shards))
-    size = (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long")
-    columns = {"_h": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_d": F.coalesce(F.col(key).cast("long"), F.lit(LEAST + 1)), "size": size}
-    keys = store.materialise(df.select(*(c.alias(k) for k, c in columns.items())), "shard-keys")
-    bounds = find_boundaries(keys, shards, ranges)
+    size = (F.coalesce(F.octet_length(store.column(text)), F.lit(0)) + 1).cast("long").alias("size")
+    h = F.xxhash64(F.coalesce(store.column(text), F.lit(""))).alias("h")
+    d = F.coalesce(store.column(key).cast("long"), F.lit(LEAST + 1)).alias("d")
+    keys = store.materialise(df.select(h, d, size), "shard-keys")
+    bounds, ranges = find_boundaries(keys, shards, ranges=ranges)
     store.discard(keys)
     starts = [b[0] for b in bounds]
     below = [0, *(b[1] for b in bounds)]
@@ -163,15 +169,14 @@ def sharded(df: DataFrame, *, shards: int = SHARDS, key: str = "doc_id", text: s
         return pd.DataFrame({"range": k.astype(np.int32), "first": begin[k]})
 
     located = pandas_udf(locate, "range int, first long")
-    placed = df.withColumns(columns).withColumn("_at", located("_h", "_d"))
-    placed = placed.withColumns({"_range": F.col("_at.range"), "_first": F.col("_at.first")}).drop("_at")
-    dealt = placed.repartition(shards * ranges, "_range")
-    order = Window.partitionBy("_range").orderBy("_h", "_d")
+    placed = df.select(store.whole_row(df, RESULTS).alias("row"), h, d, size).withColumn("at", located("h", "d"))
+    dealt = placed.select("*", F.col("at.range").alias("range")).repartitionById(shards * ranges, F.col("range"))
+    order = Window.partitionBy("range").orderBy("h", "d")
     return dealt.select(
-        *df.columns,
+        "row.*",
         "size",
-        F.floor(F.col("_range") / ranges).cast("int").alias("shard"),
-        (F.col("_first") + F.row_number().over(order) - 1).cast("long").alias("slot"),
+        F.floor(F.col("range") / ranges).cast("int").alias("shard"),
+        (F.col("at.first") + F.row_number().over(order) - 1).cast("long").alias("slot"),
     )
 
 

@@ -2,6 +2,9 @@
 
 Executors share only the folder named by ``spark.checkpoint.dir``; every intermediate table is written
 there as Parquet, which cuts lineage and survives the loss of an executor.
+
+Operators that add columns keep the caller's row in one struct meanwhile, so that names of their own never meet its
+names. A column of the caller that has the name of a result stays, with ``_input`` after its name.
 """
 
 from __future__ import annotations
@@ -9,16 +12,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+_kept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session. Only where the cluster names none (as in tests) one is set."""
+    """The shared folder of this session. Only where all of Spark is one process (as in tests) one is set if none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/tempolith-shared"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tempolith-{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/tempolith-{spark.sparkContext.applicationId}"
+    if path not in _kept:  # what nobody deletes goes with the application
+        _kept.add(path)
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+    return path
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -48,10 +66,39 @@ def discard(df: DataFrame | None) -> None:
         drop_path(df.sparkSession, path)
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, whatever marks are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame, results: Iterable[str] = ()) -> Column:
+    """All columns of ``df`` as one struct, free of the names of ``results``."""
+    taken, fields = {r.lower() for r in results}, []
+    held = taken | {c.lower() for c in df.columns}
+    for c in df.columns:
+        name = c
+        if c.lower() in taken:
+            while name.lower() in held:
+                name += "_input"
+            held.add(name.lower())
+        fields.append(column(c).alias(name))
+    return F.struct(*fields)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (materialised ids), to be sent to every executor if it has no more than ``rows`` rows; beyond that a
+    join exchanges both sides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids that may be sent to every executor, some 50 MB as a hash table; more are exchanged.
+SENT_ROWS = 1_000_000
+
+
 class Scratch:
     """Tables in the shared folder that can go together once what was made of them is written."""
 
