@@ -456,11 +456,18 @@ def _sets_for(df: DataFrame, members: DataFrame, *, key: str, text: str, words:
 EDGE = "a long, b long"
 
 
-def _lots(regions: DataFrame) -> int:
-    """So many tasks' worth of points and shingles, at least as many as partitions: regions (or parts of large
-    ones) that share a hash are worked on together."""
-    weight = regions.agg(F.greatest(F.count("*") / REGION, F.coalesce(F.sum("n"), F.lit(0)) / REGION_SHINGLES)).first()[0]
-    return max(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * weight))
+def _volume(regions: DataFrame) -> tuple[int, int]:
+    """How many rows, and so many tasks' worth of points and shingles, at least as many as partitions: regions (or
+    parts of large ones) that share a hash are worked on together."""
+    rows, shingles = regions.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    weight = max(rows / REGION, shingles / REGION_SHINGLES)
+    return rows, max(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * weight))
+
+
+def _with_sets(rows: DataFrame, count: int, sets: DataFrame) -> DataFrame:
+    """``rows`` (ids and flags, ``count`` of them) with the sets of their ``doc_id``: sets stay where they are as long as the rows
+    are few enough to be sent."""
+    return sets.join(F.broadcast(rows) if count <= store.SENT_ROWS // 2 else rows, "doc_id")
 
 
 def runs_of(*columns: np.ndarray) -> list[tuple[int, int]]:
@@ -485,8 +492,8 @@ def _small(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> D
             out += [(ids[i], ids[j]) for i, j in join_region([np.frombuffer(x, np.uint64) for x in part["shingles"]], threshold, part["home"].to_numpy(bool))]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    lots = _lots(regions)
-    dealt = regions.join(sets.drop("n"), "doc_id").withColumn("lot", F.pmod(F.xxhash64("region"), F.lit(lots)))
+    rows, lots = _volume(regions)
+    dealt = _with_sets(regions, rows, sets.drop("n")).withColumn("lot", F.pmod(F.xxhash64("region"), F.lit(lots)))
     return dealt.groupBy("lot").applyInPandas(solve, EDGE)
 
 
@@ -514,14 +521,14 @@ def _meeting(regions: DataFrame, pivots: DataFrame, sets: DataFrame, work, schem
     """``work(region, points, pivots)`` for each region: the points (doc_id, n, home, shingles) of a region meet all of its pivots
     (pivot, raw), a bounded number of points in one task. Large regions are salted into parts, and each part gets a
     copy of the pivots."""
-    lots = _lots(regions)
+    rows, lots = _volume(regions)
     sizes = regions.groupBy("region").agg(F.ceil(F.greatest(F.count("*") / REGION, F.sum("n") / REGION_SHINGLES, F.lit(1))).cast("int").alias("parts"))
     lot = F.pmod(F.xxhash64("region", "part"), F.lit(lots))
     copies = pivots.join(sizes, "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = copies.join(sets.select(F.col("doc_id").alias("pivot"), "shingles"), "pivot")
-    right = right.select(lot.alias("at"), F.col("region").alias("r"), F.col("part").alias("p"), "pivot", F.col("shingles").alias("raw"))
+    right = _with_sets(copies.withColumnRenamed("pivot", "doc_id"), copies.count(), sets.drop("n"))
+    right = right.select(lot.alias("at"), F.col("region").alias("r"), F.col("part").alias("p"), F.col("doc_id").alias("pivot"), F.col("shingles").alias("raw"))
     salted = regions.join(sizes, "region").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    left = salted.join(sets.drop("n"), "doc_id").select(lot.alias("lot"), "region", "part", "doc_id", "n", "home", "shingles")
+    left = _with_sets(salted, rows, sets.drop("n")).select(lot.alias("lot"), "region", "part", "doc_id", "n", "home", "shingles")
 
     def meet(a, b):
         import pandas as pd
@@ -627,7 +634,7 @@ def links(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int], scrat
     due, edges = regions.withColumn("home", F.lit(True)), None
     while True:
         met = scratch.keep(_met(due, pivots, sets, threshold), "jaccard-met")
-        groups = scratch.keep(_pivot_groups(met, _lots(due)), "jaccard-groups")
+        groups = scratch.keep(_pivot_groups(met, _volume(due)[1]), "jaccard-groups")
         found, regions = divided(met, groups, threshold, scratch)
         edges = found if edges is None else edges.unionByName(found)
         fits = (F.count("*") <= REGION) & (F.sum("n") <= REGION_SHINGLES)
