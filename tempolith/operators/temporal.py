@@ -29,11 +29,13 @@ def nearest(left: DataFrame, right: DataFrame, *, key: Sequence[str], left_time:
     l = left.select(*key, F.col(left_time).cast("double").alias("_t"), F.lit(1).alias("_side"), F.col(left_id).alias("_id"), F.lit(None).cast(right.schema[right_id].dataType).alias("_r"))
     r = right.groupBy(*key, F.col(right_time).cast("double").alias("_t")).agg(F.min(right_id).alias("_r"))
     r = r.select(*key, "_t", F.lit(0).alias("_side"), F.lit(None).cast(left.schema[left_id].dataType).alias("_id"), "_r")
+    # both frames end at the current row, so each is one running value; a right row at the same time counts as before
     w = Window.partitionBy(*key).orderBy("_t", "_side", "_id")
+    back = Window.partitionBy(*key).orderBy(F.desc("_t"), F.desc("_side"), F.desc("_id"))
     here = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("t"), F.col("_r").alias("r")))
     merged = l.unionByName(r).withColumns({
         "_before": F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_after": F.first(here, True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+        "_after": F.last(here, True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
     }).where("_side = 1")
     d0, d1 = F.col("_t") - F.col("_before.t"), F.col("_after.t") - F.col("_t")
     best = F.when(d0.isNull(), F.col("_after")).when(d1.isNull() | (d0 <= d1), F.col("_before")).otherwise(F.col("_after"))
@@ -90,8 +92,8 @@ def first_anchor(sections: DataFrame, cues: DataFrame, *, key: Sequence[str], se
 def nearest_later(left: DataFrame, right: DataFrame, *, key: Sequence[str], left_time: str, left_id: str, right_time: str, right_id: str) -> DataFrame:
     l = left.select(*key, F.col(left_time).cast("double").alias("_t"), F.lit(0).alias("_side"), F.col(left_id), F.lit(None).cast(right.schema[right_id].dataType).alias("_r"))
     r = right.select(*key, F.col(right_time).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(left.schema[left_id].dataType).alias(left_id), F.col(right_id).alias("_r"))
-    w = Window.partitionBy(*key).orderBy("_t", "_side", "_r").rowsBetween(0, Window.unboundedFollowing)
-    return l.unionByName(r).withColumn("_later", F.first("_r", True).over(w)).where("_side = 0").select(*key, left_id, "_later")
+    back = Window.partitionBy(*key).orderBy(F.desc("_t"), F.desc("_side"), F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    return l.unionByName(r).withColumn("_later", F.last("_r", True).over(back)).where("_side = 0").select(*key, left_id, "_later")
 
 
 def piecewise(points: DataFrame, sections: DataFrame, *, key: Sequence[str], time: str) -> DataFrame:

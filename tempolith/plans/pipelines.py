@@ -75,20 +75,15 @@ def measure(lines: DataFrame, durations: DataFrame) -> tuple[DataFrame, DataFram
     events = found.unionByName(cuts)
     share = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("dur"))), F.lit(0.0)) / F.max("duration")
     ratios = durations.join(events, "vid", "left").groupBy("vid").agg(F.count(F.when(F.col("kind") == "cut", 1)).alias("n_cuts"), share("freeze").alias("freeze_ratio"), share("silence").alias("silence_ratio"))
-    return buckets, events, ratios
+    motion = buckets.groupBy("vid").agg(F.avg("mean").alias("motion_mean"))
+    return buckets, events, ratios.join(motion, "vid", "left")
 
 
-def triaged(meta: DataFrame, ratios: DataFrame, *, keywords=(), high: float = 3.0, low: float = 0.5, still: float = 0.6) -> DataFrame:
-    """A mode per entity from words of its title and measured cuts; without a measurement confidence is capped."""
-    from ..operators import terms
-
-    hits = terms.keyword_leanings(meta, [*keywords, ("slides", "slides"), ("podcast", "stream")], key=["vid", "duration"], text="title")
-    both = hits.join(ratios, "vid", "left").withColumn("per_min", F.col("n_cuts") / (F.col("duration") / 60))
-    evidence = [
-        (F.col("n_slides") > F.col("n_stream"), "slides", 1, "title says slides"), (F.col("n_stream") > F.col("n_slides"), "stream", 1, "title says talk"),
-        (F.col("freeze_ratio") >= still, "slides", 2, "mostly still"), (F.col("per_min") >= high, "stream", 2, "many cuts"), (F.col("per_min") <= low, "slides", 1, "few cuts"),
-    ]
-    return triage.vote(both, evidence, measured=F.col("n_cuts").isNotNull())
+def triaged(meta: DataFrame, ratios: DataFrame, *, texts=("title",), lists=(), settings: dict[str, float] | None = None, **words) -> DataFrame:
+    """A mode per entity from words of its fields and measured cuts, stills and motion; without a measurement confidence is capped."""
+    hits = triage.word_hits(meta, texts=texts, lists=lists, **words)
+    both = hits.join(ratios, "vid", "left").withColumn("cuts_per_min", F.when(F.col("duration") > 0, F.col("n_cuts") / (F.col("duration") / 60)))
+    return triage.vote(both, triage.evidence(settings), measured=F.col("n_cuts").isNotNull())
 
 
 def sampled(durations: DataFrame, *, length: float = 30.0) -> DataFrame:

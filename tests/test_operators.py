@@ -284,9 +284,58 @@ def test_measurement_logs(spark):
     buckets, events, ratios = pipelines.measure(lines, rows(spark, [("a", 5.0)], "vid string, duration double"))
     assert [(r.s, r["mean"], r.n) for r in buckets.orderBy("s").collect()] == [(0, 1.0, 1), (1, 0.0, 0), (2, 3.0, 1), (3, 0.0, 0), (4, 0.0, 0), (5, 0.0, 0)]
     assert {(r.kind, r.t_from, r.t_to) for r in events.collect()} == {("freeze", 1.0, 2.0), ("silence", 3.0, 5.0), ("cut", 2.5, 2.5)}
-    assert tuple(ratios.first()) == ("a", 1, 0.2, 0.4)
-    mode = pipelines.triaged(rows(spark, [("a", "my slides", 5.0), ("b", "a podcast", 5.0)], "vid string, title string, duration double"), ratios)
-    assert {r.vid: (r.suggest, r.confidence <= 0.55) for r in mode.collect()} == {"a": ("stream", True), "b": ("stream", True)}
+    assert tuple(ratios.first()) == ("a", 1, 0.2, 0.4, 4.0 / 6)
+    meta = rows(spark, [("a", "my slides PPT", ["x"], 5.0), ("b", "a talk", ["播客 播客", "PPT"], 5.0)], "vid string, title string, tags array<string>, duration double")
+    mode = {r.vid: r for r in pipelines.triaged(meta, ratios.withColumn("motion_mean", F.lit(0.01)), lists=["tags"]).collect()}
+    # twelve cuts a minute and a word of pages: two points against none; no measurement: at most a half
+    assert (mode["a"].slides, mode["a"].stream, mode["a"].suggest, mode["a"].confidence, mode["a"].reasons) == (2, 0, "slides", 0.7, ["words of pages", "many cuts"])
+    assert (mode["b"].n_slides, mode["b"].n_stream, mode["b"].slides, mode["b"].stream, mode["b"].suggest, mode["b"].confidence) == (1, 1, 1, 1, "stream", 0.4)
+    moving = pipelines.triaged(meta, ratios.withColumn("motion_mean", F.lit(0.06)), lists=["tags"], settings={"cuts_per_min_high": 12.5}).where("vid = 'a'").first()
+    assert (moving.slides, moving.stream, moving.reasons) == (1, 1, ["words of pages", "always moving"])
+
+
+def test_window_verdicts(spark):
+    df = rows(spark, [("a", 0, 5.0, 0.0), ("a", 1, 0.2, 0.0), ("a", 2, None, 0.2), ("b", 0, 1.0, 0.0), ("b", 1, 1.0, 0.0)], "vid string, window int, cuts double, motion double")
+    judge = lambda **more: {(r.vid, r.window): r.suggest for r in triage.window_verdicts(df, key=["vid"], cuts=F.col("cuts"), motion=F.col("motion"), **more).collect()}
+    assert judge() == {}  # a window has one point for pages at most
+    assert judge(slides=F.lit(1)) == {("a", 0): "slides", ("a", 1): "stream", ("a", 2): "stream"}
+    assert judge(margin=1) == {("a", 0): "slides", ("a", 1): "stream", ("a", 2): "stream"}
+
+
+def test_roles_follow_their_rules(spark):
+    names = vision.FEATURES.replace(" double", "").split(", ")
+    page = dict.fromkeys(names, 0.0) | {"std": 0.2, "fg": 0.1, "mode": 0.6, "edge": 0.02, "stroke": 2.0, "content": 0.5, "bands": 6.0, "app_fg": 0.1, "app_bands": 5.0, "app_run": 4.0, "bar_window": 0.5}
+    cases = [
+        ({}, "layout_grid", 0.74), ({"white": 0.999}, "uniform_frame", 0.6), ({"fg": 0.001}, "uniform_frame", 0.6), ({"std": 0.01}, "uniform_frame", 0.75),
+        ({"bar_left": 0.2, "bar_right": 0.2}, "letterbox", 0.75), ({"bar_left": 0.1, "bar_top": 0.15}, "layout_grid", 0.74), ({"bar_left": 0.2, "bar_right": 0.2, "bar_window": 0.1}, "layout_grid", 0.74),
+        ({"skin": 0.1, "mode": 0.3}, "face_dominant", 0.65), ({"skin": 0.1}, "layout_weak", 0.3),
+        ({"stroke": 16.0, "content": 0.6, "border": 0.3}, "stroke_scale", 0.65), ({"app_fg": 0.03, "app_bands": 13.0, "app_run": 1.5, "bands": 13.0}, "ui_dense_small_text", 0.65),
+        ({"app_fg": 0.03, "app_bands": 13.0, "app_run": 0.0}, "layout_grid", 0.74), ({"mode": 0.4}, "layout_weak", 0.3),
+    ]
+    data = [("a", k, tuple(float((page | more)[n]) for n in names)) for k, (more, *_) in enumerate(cases)]
+    df = rows(spark, data, f"vid string, k int, feat struct<{vision.FEATURES.replace(' double', ': double')}>")
+    got = {r.k: (r.role.criterion, r.role.confidence) for r in vision.roles(df, key=["vid"]).collect()}
+    assert got == {k: (c, x) for k, (_, c, x) in enumerate(cases)}
+    regions = rows(spark, [("caption_strip", "ok", [0.0, 0.8, 1.0, 1.0]), ("handwriting", "ok", [0.0, 0.0, 1.0, 1.0]), ("transient_overlay", "ok", [0.0, 0.0, 0.1, 0.1]), ("pip_window", "insufficient", [0.0, 0.0, 0.1, 0.1])], "kind string, applicability string, box array<double>")
+    assert [r.kind for r in vision.usable_masks(regions).collect()] == ["caption_strip"]
+    screen = np.ones((180, 320), np.float32)
+    for y in range(6, 170, 8):
+        screen[y : y + 3, 4:300:13] = 0.2
+    fg, bands, run, _ = vision.app_screen(screen)
+    assert fg < 0.032 and bands >= 12 and run == 1.0
+    rates = rows(spark, [("a", 0.05, 0.0)] * 3 + [("a", 0.0, 0.0)] * 6 + [("b", 0.05, 0.05)] * 9 + [("c", 0.05, 0.0)] * 3, "vid string, bottom double, title double")
+    assert {r.vid: (r["first"], r["last"]) for r in vision.legacy_caption(rates, key=["vid"]).collect()} == {"a": (23, 27), "b": (None, None), "c": (None, None)}
+
+
+def test_nearest_is_linear_in_a_key(spark):
+    import time
+
+    n = 30_000
+    left = spark.range(n).selectExpr("1 AS k", "id AS l", "id * 2.0 AS t")
+    right = spark.range(n).selectExpr("1 AS k", "id AS r", "id * 2.0 + 0.5 AS rt")
+    began = time.perf_counter()
+    got = temporal.nearest(left, right, key=["k"], left_time="t", left_id="l", right_time="rt", right_id="r").agg(F.sum("distance"), F.count("r")).first()
+    assert tuple(got) == (0.5 * n, n) and time.perf_counter() - began < 20
 
 
 def test_slides_from_frames(spark):
@@ -324,13 +373,21 @@ def test_vision_on_drawn_frames(spark, tmp_path):
     small = vision.resized(grey, *vision.SMALL)
     assert abs(small.mean() - grey.mean()) < 1e-4
     assert vision.ink_ratio(np.ones((27, 48), np.float32)) == 0 and vision.ink_ratio(small) > 0
-    half = np.where(np.arange(48) < 36, 0.2, 0.8) * np.ones((27, 1))
+    half = np.where(np.arange(48) < 36, 0.2, 0.8) + rng.uniform(-0.04, 0.04, (27, 48))
     assert abs(vision.ink_ratio(half.astype(np.float32)) - 0.25) < 0.05
     up, down = vision.difference_hash(grey), vision.difference_hash(grey, rising=False)
     assert up & down == 0
     a = rng.random((9, 11))
     want = np.array([[a[max(0, y - 2) : y + 3, max(0, x - 2) : x + 3].mean() for x in range(11)] for y in range(9)])
-    assert np.allclose(vision.box_mean(a, 2), want)
+    assert np.allclose(vision.box_mean(a, 5), want)
+    block = np.zeros((20, 30), bool)
+    block[4:13, 5:15] = True
+    block[16, 2:28] = True
+    core = vision.block_core(block, 3, 3)
+    assert core[4:13, 6:14].all() and not core[16, 20:].any() and not vision.block_core(block, 5, 3).any()
+    cross = np.zeros((5, 5), bool)
+    cross[2, 2] = True
+    assert vision.grown(cross, 1).sum() == 5 and vision.grown(cross, 2).sum() == 13
     assert vision.largest_block(np.array([[1, 1, 0], [0, 1, 0], [1, 0, 1]])) == 3
     assert np.allclose(vision.pairwise_rms(a, a), np.sqrt(((a[:, None] - a[None]) ** 2).mean(2)), atol=1e-6)
     red = page.copy()
@@ -345,7 +402,7 @@ def test_vision_on_drawn_frames(spark, tmp_path):
     sig = vision.with_signatures(df).first().sig
     assert len(sig.small) == 27 * 48 and sig.dhash == up
     roles = vision.roles(vision.with_features(df), key=["vid"]).first()
-    assert roles.role.role == "full_page" and roles.role.criterion == "page"
+    assert roles.role.role == "full_page" and roles.role.criterion == "layout_grid"
     frames = spark.createDataFrame([("a", i, f"f{i}", small.ravel().tolist()) for i in range(30)], "vid string, i int, file string, small array<float>")
     assert pipelines.regions(frames).where("kind = 'transient_overlay'").count() == 0
 
