@@ -97,15 +97,17 @@ def rolling_median_replicated(spark, sf_dir):
     return out.select("user_id", "event_id", F.round("rolling_median", 6).alias("med"))
 
 
-@query(f"""WITH {EV}, b AS (SELECT event_type, floor(t / 3600) - (SELECT floor(min(t) / 3600) FROM ev) AS s, value FROM ev),
+#: The first hour of the events' month, and the kinds of events that open and close, or are matched.
+HOUR_ZERO, DAY_ZERO, OPENING, CLOSING = 473_352, 19_723, "click", "view"
+
+
+@query(f"""WITH {EV}, b AS (SELECT event_type, floor(t / 3600) - {HOUR_ZERO} AS s, value FROM ev),
 g AS (SELECT event_type, s, avg(value) AS mean, max(value) AS largest, count(*) AS n FROM b GROUP BY event_type, s),
 axis AS (SELECT event_type, unnest(generate_series(0, max(s)::BIGINT)) AS s FROM b GROUP BY event_type)
 SELECT a.event_type, a.s, round(coalesce(mean, 0), 6) AS mean, round(coalesce(largest, 0), 6) AS largest, coalesce(n, 0) AS n
 FROM axis a LEFT JOIN g ON g.event_type = a.event_type AND g.s = a.s""")
 def filled_buckets(spark, sf_dir):
-    ev = events(spark, sf_dir)
-    origin = ev.agg(F.floor(F.min("t") / 3600) * 3600).first()[0]
-    rebased = ev.withColumn("t", F.col("t") - F.lit(origin))
+    rebased = events(spark, sf_dir).withColumn("t", F.col("t") - HOUR_ZERO * 3600)
     out = sequences.buckets(rebased, key=["event_type"], time="t", value="value", width=3600.0)
     return out.select("event_type", "s", F.round("mean", 6).alias("mean"), F.round("largest", 6).alias("largest"), "n")
 
@@ -122,14 +124,12 @@ def pearson(spark, sf_dir):
     return sequences.correlation(ev, key=["user_id"], x="value", y="h").select("user_id", "n", F.round("r", 5).alias("r"))
 
 
-@query(f"""WITH {EV}, o AS (SELECT user_id, event_type, t, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS nx, max(t) OVER (PARTITION BY user_id) AS dur
-  FROM (SELECT *, max(t) OVER (PARTITION BY user_id) AS mt FROM ev) WHERE event_type IN (SELECT min(event_type) FROM events UNION SELECT max(event_type) FROM events))
-SELECT user_id, t AS t_from, coalesce(nx, dur0) AS t_to FROM (SELECT o.*, d.dur0 FROM o JOIN (SELECT user_id, max(t) AS dur0 FROM ev GROUP BY user_id) d USING (user_id)) WHERE event_type = (SELECT min(event_type) FROM events)""")
+@query(f"""WITH {EV}, o AS (SELECT user_id, event_type, t, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS nx FROM ev WHERE event_type IN ('{OPENING}', '{CLOSING}'))
+SELECT user_id, t AS t_from, coalesce(nx, dur0) AS t_to FROM o JOIN (SELECT user_id, max(t) AS dur0 FROM ev GROUP BY user_id) d USING (user_id) WHERE event_type = '{OPENING}'""")
 def paired_events(spark, sf_dir):
     ev = events(spark, sf_dir)
-    bounds = ev.agg(F.min("event_type"), F.max("event_type")).first()
     ends = ev.groupBy("user_id").agg(F.max("t").alias("dur0"))
-    out = sequences.paired_events(ev.join(ends, "user_id"), key=["user_id"], order=["t", "event_id"], time="t", kind="event_type", opening=bounds[0], closing=bounds[1], duration="dur0")
+    out = sequences.paired_events(ev.join(ends, "user_id"), key=["user_id"], order=["t", "event_id"], time="t", kind="event_type", opening=OPENING, closing=CLOSING, duration="dur0")
     return out.select("user_id", "t_from", "t_to")
 
 
@@ -197,11 +197,10 @@ def frame_index(spark, sf_dir):
 
 def two_kinds(spark, sf_dir):
     ev = events(spark, sf_dir)
-    kinds = ev.agg(F.min("event_type"), F.max("event_type")).first()
-    return ev.where(F.col("event_type") == kinds[0]).select("user_id", "t", "event_id"), ev.where(F.col("event_type") == kinds[1]).select("user_id", F.col("t").alias("rt"), F.col("event_id").alias("r_id"))
+    return ev.where(F.col("event_type") == OPENING).select("user_id", "t", "event_id"), ev.where(F.col("event_type") == CLOSING).select("user_id", F.col("t").alias("rt"), F.col("event_id").alias("r_id"))
 
 
-NEAREST = f"""WITH {EV}, l AS (SELECT * FROM ev WHERE event_type = (SELECT min(event_type) FROM events)), r AS (SELECT * FROM ev WHERE event_type = (SELECT max(event_type) FROM events)),
+NEAREST = f"""WITH {EV}, l AS (SELECT * FROM ev WHERE event_type = '{OPENING}'), r AS (SELECT * FROM ev WHERE event_type = '{CLOSING}'),
 m AS (SELECT l.event_id, r.event_id AS r_id, abs(r.t - l.t) AS d, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(r.t - l.t), r.t, r.event_id) AS k FROM l JOIN r USING (user_id))
 """
 
@@ -220,30 +219,40 @@ def nearest_within(spark, sf_dir):
     return out.where("r_id is not null").select("event_id", "r_id")
 
 
-@query(f"""WITH {SPANS}, p AS (SELECT x.c, x.o, y.o AS n, least(x.z, y.z) - greatest(x.a, y.a) AS ov, row_number() OVER (PARTITION BY x.o ORDER BY least(x.z, y.z) - greatest(x.a, y.a) DESC, y.o) AS k
-  FROM sp x JOIN sp y ON x.c = y.c AND x.o <> y.o AND x.o % 2 = 0 AND y.o % 2 = 1 WHERE least(x.z, y.z) > greatest(x.a, y.a))
+SHIFT = 40.0  # days by which a second plan of the same orders is later
+
+
+def replanned(spark, sf_dir):
+    sp = spans(spark, sf_dir)
+    return sp, sp.select("c", F.col("o").alias("n"), (F.col("a") + SHIFT).alias("a"), (F.col("z") + SHIFT).alias("z"))
+
+
+REPLANNED = f"{SPANS}, np AS (SELECT c, o AS n, a + {SHIFT} AS a, z + {SHIFT} AS z FROM sp)"
+
+
+@query(f"""WITH {REPLANNED}, p AS (SELECT x.c, x.o, y.n, least(x.z, y.z) - greatest(x.a, y.a) AS ov, row_number() OVER (PARTITION BY x.o ORDER BY least(x.z, y.z) - greatest(x.a, y.a) DESC, y.n) AS k
+  FROM sp x JOIN np y ON x.c = y.c WHERE least(x.z, y.z) > greatest(x.a, y.a))
 SELECT c, o, n, round(ov, 4) AS overlap FROM p WHERE k = 1""")
 def overlap_best(spark, sf_dir):
-    sp = spans(spark, sf_dir)
-    old, new = sp.where("o % 2 = 0"), sp.where("o % 2 = 1").withColumnRenamed("o", "n")
+    old, new = replanned(spark, sf_dir)
     return temporal.best_overlap(old, new, key=["c"], old_id="o", new_id="n", width=60.0, old_span=("a", "z"), new_span=("a", "z"), fall_back=False).select("c", "o", "n", F.round("overlap", 4).alias("overlap"))
 
 
-@query(f"""WITH {SPANS}, p AS (SELECT x.c, x.o, y.o AS n, least(x.z, y.z) - greatest(x.a, y.a) AS ov, abs(x.a - y.a) AS ds, y.a AS ya FROM sp x JOIN sp y ON x.c = y.c AND x.o % 2 = 0 AND y.o % 2 = 1),
+@query(f"""WITH {REPLANNED}, p AS (SELECT x.c, x.o, y.n, least(x.z, y.z) - greatest(x.a, y.a) AS ov, abs(x.a - y.a) AS ds, y.a AS ya FROM sp x JOIN np y ON x.c = y.c),
 k AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY CASE WHEN ov > 0 THEN 0 ELSE 1 END, CASE WHEN ov > 0 THEN -ov ELSE ds END, CASE WHEN ov > 0 THEN n ELSE 0 END, ya, n) AS r FROM p)
 SELECT c, o, n, round(greatest(ov, 0), 4) AS overlap FROM k WHERE r = 1""")
 def overlap_or_nearest(spark, sf_dir):
-    sp = spans(spark, sf_dir)
-    old, new = sp.where("o % 2 = 0"), sp.where("o % 2 = 1").withColumnRenamed("o", "n")
+    old, new = replanned(spark, sf_dir)
     return temporal.best_overlap(old, new, key=["c"], old_id="o", new_id="n", width=60.0, old_span=("a", "z"), new_span=("a", "z")).select("c", "o", "n", F.round("overlap", 4).alias("overlap"))
 
 
-@query(f"""WITH {SPANS}, q AS (SELECT o_custkey AS c, o_orderkey AS o, epoch_us(o_orderdate) / 8.64e10 AS t FROM orders WHERE o_orderkey % 2 = 0)
-SELECT c, o FROM q WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.c = q.c AND sp.o % 2 = 1 AND q.t BETWEEN sp.a - 1 AND sp.z)""")
+@query(f"""WITH {SPANS}, q AS (SELECT o_custkey AS c, o_orderkey AS o, epoch_us(o_orderdate) / 8.64e10 AS t FROM orders)
+SELECT c, o FROM q WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.c = q.c AND q.t BETWEEN sp.a + 5 - 1 AND sp.z)""")
 def outside_spans(spark, sf_dir):
-    sp = spans(spark, sf_dir)
-    points = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 8.64e10).alias("t"))
-    return temporal.outside_all(points, sp.where("o % 2 = 1"), key=["c"], time="t", start="a", end="z", tolerance=1.0).select("c", "o")
+    """Orders placed while no order of the customer, five days old at least, was on its way."""
+    sp = spans(spark, sf_dir).withColumn("a", F.col("a") + 5)
+    points = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 8.64e10).alias("t"))
+    return temporal.outside_all(points, sp, key=["c"], time="t", start="a", end="z", tolerance=1.0).select("c", "o")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS k, l_linenumber AS w, 100.0 * l_linenumber AS o, sum(l_quantity) OVER win - l_quantity AS mf, sum(l_quantity) OVER win AS mt

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, texts, times
 from ..operators import assemble, folds, integrity, markup, pick, state, temporal, terms, triage
-from .driver_queries import EV, events, query, spread, table
+from .driver_queries import DAY_ZERO, DIFFS, EV, events, query, spread, table
 
 #: DuckDB has no look-ahead: n-grams by position there.
 GRAMS = """(SELECT list_distinct(list(substr(c, i, 4))) FROM (SELECT {0} AS c) x, LATERAL (SELECT unnest(generate_series(1, length(c) - 3)) AS i) y WHERE length(c) >= 4)"""
@@ -107,11 +107,11 @@ def counts_by(spark, sf_dir):
 def sign_hashes(spark, sf_dir):
     """64 signs of each vector as one 64-bit number (the sign of component i is bit i)."""
     e = table(spark, sf_dir, "embeddings")
-    bits = F.aggregate(F.sequence(F.lit(0), F.least(F.size("embedding"), F.lit(63)) - 1), F.lit(0).cast("long"), lambda s, i: s + F.when(F.get("embedding", i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    bits = F.aggregate(F.sequence(F.lit(0), F.least(F.size("embedding"), F.lit(64)) - 1), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.when(F.get("embedding", i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
     return e.select("vec_id", "label", bits.alias("h"))
 
 
-HASHES = """h AS (SELECT vec_id, label, sum(CASE WHEN v > 0 THEN (1::BIGINT << (i - 1)) ELSE 0::BIGINT END)::BIGINT AS h FROM (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE i <= 63 GROUP BY ALL)"""
+HASHES = """h AS (SELECT vec_id, label, bit_or(CASE WHEN v <= 0 THEN 0::BIGINT WHEN i = 64 THEN -9223372036854775808 ELSE 1::BIGINT << (i - 1) END)::BIGINT AS h FROM (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE i <= 64 GROUP BY ALL)"""
 
 
 @query(f"WITH {HASHES} SELECT a.vec_id, bit_count(xor(a.h, b.h)) AS d FROM h a JOIN h b ON b.vec_id = a.vec_id + 1")
@@ -184,47 +184,93 @@ def escaped_and_clipped(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", texts.html_escaped(F.col("url")).alias("safe"), texts.clip(F.col("url"), 30).alias("short"))
 
 
-#: A Markdown document per conversation: turns as sections with pictures, quotes and fences.
+#: What a turn adds to its conversation's Markdown document, by (turn + length of its text) modulo 6: {t} and {u} are
+#: times, {n} the slide's number in four digits, {m} without zeros, {w} the text without marks.
+TURNS = [
+    "## [{t}] {role}\n*{t}–{u} ｜ slide {n}*\n{w}\n![x](slides/{n}.jpg)\n> note\n> - item",
+    "## [{t}] {role}\n```\n## [00:00:09] in a fence\n![no](slides/9.jpg)\n# deep\n```\n{w}\n> - no\n\n> 1. one\n> note\n> * two\nafter",
+    "## [{t}] {role}\n{w}\n![y](pictures/7.gif) ![z](../slides/{m}.png)\n> other\n> - thing\n* {t} - {u} *",
+    "## {role} without a time\n\n  *slides: {m}, {n}；{t}~{u}*\n#### deep\n![f](figures/fig_{m}.png) ![g](figures/{m}.png)\n{w}",
+    "# {role}\n## [{s}] short form\n*no time, no page*\n~~~\n###### fenced\n{w}\n~~~\n###### six\n> note",
+    "##no heading\n#####  five \n## \n##\t[{t}]   tabs  \n![s](a/b/sheets/sheet_{m}.png)![t](sheets/sheet_x.png)\n{w}\n*{u}—{t} slide {m}、{n}*",
+]
+
+
 def markdown(spark, sf_dir):
+    """A Markdown document per conversation, irregular on purpose: fences, headings and references that aren't, missing times."""
     c = table(spark, sf_dir, "conversations")
-    head = F.concat(F.lit("## ["), times.hms(F.col("turn") * 60), F.lit("] "), F.col("role"))
-    body = F.concat(head, F.lit("\n*"), times.hms(F.col("turn") * 60), F.lit("–"), times.hms(F.col("turn") * 60 + 59), F.lit(" ｜ slide "), F.lpad((F.col("turn") + 1).cast("string"), 4, "0"), F.lit("*\n"), F.regexp_replace("text", "[#`>*|\r]", ""), F.lit("\n![x](slides/"), F.lpad((F.col("turn") + 1).cast("string"), 4, "0"), F.lit(".jpg)\n> note\n> - item"))
+    n = F.lpad((F.col("turn") + 1).cast("string"), 4, "0")
+    values = {"t": times.hms(F.col("turn") * 60), "u": times.hms(F.col("turn") * 60 + 59), "s": F.substring(times.hms(F.col("turn") * 60), 4, 5), "n": n, "m": (F.col("turn") + 1).cast("string"), "role": F.col("role"), "w": F.regexp_replace("text", "[#`>*|~\r]", "")}
+    body = F.element_at(F.array(*map(F.lit, TURNS)), ((F.col("turn") + F.length("text")) % 6 + 1).cast("int"))
+    for name, value in values.items():
+        body = F.replace(body, F.lit("{" + name + "}"), value)
     return assemble.joined_lines(c, key=["conv_id"], order=["turn", "role", "text"], line=body, out="md")
 
 
+def _sql_markdown() -> str:
+    hms = "printf('%02d:%02d:%02d', (({0}) // 3600)::INT, (({0}) // 60 % 60)::INT, (({0}) % 60)::INT)"
+    t, u = hms.format("turn * 60"), hms.format("turn * 60 + 59")
+    body = "[" + ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for x in TURNS) + "][(turn + length(text)) % 6 + 1]"
+    for name, value in {"t": t, "u": u, "s": f"substr({t}, 4, 5)", "n": "lpad((turn + 1)::VARCHAR, 4, '0')", "m": "(turn + 1)::VARCHAR", "role": "role", "w": r"regexp_replace(text, '[#`>*|~\r]', '', 'g')"}.items():
+        body = f"replace({body}, '{{{name}}}', {value})"
+    return f"md AS (SELECT conv_id, string_agg({body}, chr(10) ORDER BY turn, role, text) AS md FROM conversations GROUP BY conv_id)"
+
+
+MD = _sql_markdown()
+#: Numbered lines, and which of them are in fences.
+LINES = MD + r""", ln AS (SELECT conv_id, unnest(string_split(md, chr(10))) AS line, unnest(range(len(string_split(md, chr(10))))) AS i FROM md),
+fn AS (SELECT *, mark OR sum(mark::INT) OVER (PARTITION BY conv_id ORDER BY i) % 2 = 1 AS fenced FROM (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS mark FROM ln))"""
+#: Seconds of a written time.
+SECONDS = "list_reduce(list_prepend(0::BIGINT, [x::BIGINT FOR x IN string_split({0}, ':')]), lambda a, x: a * 60 + x)"
+
+
 def markdown_lines(spark, sf_dir):
     return markup.lines_of(spread(markdown(spark, sf_dir)), key=["conv_id"], text="md")
 
 
-@query("""SELECT conv_id, count(*) AS n_sections, sum(turn * 60) AS t_sum, sum(turn + 1) AS slide_sum, count(*) AS n_images, sum(59) AS span_sum FROM conversations GROUP BY conv_id""")
+@query("WITH " + LINES + r""", h AS (SELECT *, regexp_matches(line, '^##\s+\S') AS head FROM ln), n AS (SELECT *, sum(head::INT) OVER (PARTITION BY conv_id ORDER BY i) AS s FROM h),
+g AS (SELECT conv_id, s, min(i) AS head_idx, max(i) + 1 AS end_idx, any_value(regexp_replace(line, '^##\s+', '')) FILTER (head) AS title, arg_min(line, i) FILTER (NOT head AND length(trim(line)) > 0) AS first_line,
+  sum(len(list_filter([regexp_extract(line, '!\[[^\]]*\]\((?:[^()\s]*/)?slides/(\d{1,4})\.(?:jpg|png)\)', 1)], lambda x: x <> ''))) AS n_images,
+  coalesce(sum(nullif(regexp_extract(line, '!\[[^\]]*\]\((?:[^()\s]*/)?slides/(\d{1,4})\.(?:jpg|png)\)', 1), '')::BIGINT), 0) AS image_sum FROM n WHERE s > 0 GROUP BY conv_id, s),
+f AS (SELECT *, CASE WHEN regexp_matches(first_line, '^\s*\*[^*].*\*\s*$') THEN first_line END AS tl FROM g),
+p AS (SELECT *, regexp_extract(tl, '(\d{1,2}(?::\d{2}){1,2})\s*[-–—~]\s*(\d{1,2}(?::\d{2}){1,2})', ['a', 'b']) AS r, regexp_extract_all(regexp_extract(tl, '(?i)slides?\s*[:：]?\s*((?:\d{1,4}\s*[,，、]?\s*)+)', 1), '\d+') AS sl FROM f)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY head_idx)::INT AS ord, trim(title) AS title, head_idx::INT AS head_idx, end_idx::INT AS end_idx, CASE WHEN r.a <> '' THEN """ + SECONDS.format("r.a") + r""" END AS t_from,
+ CASE WHEN r.a <> '' THEN """ + SECONDS.format("r.b") + r""" END AS t_to, coalesce(array_to_string([x::INT FOR x IN sl], ','), '') AS pages, n_images::INT AS n_images, image_sum::BIGINT AS image_sum FROM p""")
 def markdown_sections(spark, sf_dir):
-    lines = markdown_lines(spark, sf_dir)
-    s = markup.sections(lines, key=["conv_id"])
-    return s.groupBy("conv_id").agg(F.count("*").alias("n_sections"), F.sum("raw_time.a").alias("t_sum"), F.sum(F.aggregate("raw_slides", F.lit(0), lambda a, x: a + x)).alias("slide_sum"), F.sum(F.size("images")).alias("n_images"), F.sum(F.col("raw_time.b") - F.col("raw_time.a")).alias("span_sum"))
+    s = markup.sections(markdown_lines(spark, sf_dir), key=["conv_id"])
+    pages = F.aggregate("images", F.lit(0).cast("long"), lambda a, x: a + x["page"])
+    return s.select("conv_id", "ord", "title", "head_idx", "end_idx", F.col("raw_time.a").alias("t_from"), F.col("raw_time.b").alias("t_to"), F.array_join("raw_slides", ",").alias("pages"), F.size("images").alias("n_images"), pages.alias("image_sum"))
 
 
-@query("""SELECT conv_id, count(*) AS n, max(turn) * 60 AS last_t FROM conversations GROUP BY conv_id""")
+@query("WITH " + LINES + r""", h AS (SELECT *, regexp_matches(line, '^##\s+\[(\d{1,2}(?::\d{2}){1,2})\]') AS head FROM ln), n AS (SELECT *, sum(head::INT) OVER (PARTITION BY conv_id ORDER BY i) AS s FROM h),
+g AS (SELECT conv_id, s, min(i) AS head_no, any_value(line) FILTER (head) AS hl, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), '') AS body FROM n WHERE s > 0 GROUP BY conv_id, s)
+SELECT conv_id, head_no::INT AS head_no, """ + SECONDS.format(r"regexp_extract(hl, '\[([0-9:]+)\]', 1)") + r""" AS t, trim(regexp_extract(hl, '\]\s*(.*)$', 1)) AS title, sha256(trim(body, ' ')) AS body FROM g""")
 def anchored_sections(spark, sf_dir):
     s = markup.anchored_sections(markdown_lines(spark, sf_dir), key=["conv_id"])
-    return s.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))
+    return s.select("conv_id", "head_no", "t", "title", F.sha2("body", 256).alias("body"))
 
 
-@query("""SELECT conv_id, count(*) AS annotations FROM conversations GROUP BY conv_id""")
+@query("WITH " + LINES + r""", q AS (SELECT *, regexp_matches(line, '^\s*>') AS q FROM ln), b AS (SELECT *, sum(CASE WHEN q = before THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY i) AS b FROM (SELECT *, lag(q) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM q)),
+k AS (SELECT conv_id, b, bool_or(contains(line, 'note')) AS has, sum(regexp_matches(line, '^\s*>\s*(?:[-*+]|\d+[.)])\s+\S')::INT) AS items FROM b WHERE q GROUP BY conv_id, b)
+SELECT conv_id, coalesce(sum(greatest(items, 1)) FILTER (has), 0)::BIGINT AS annotations FROM md LEFT JOIN k USING (conv_id) GROUP BY conv_id""")
 def annotation_counts(spark, sf_dir):
     return markup.annotation_count(markdown_lines(spark, sf_dir), key=["conv_id"], marker="note")
 
 
-@query("""SELECT conv_id, count(*) AS n, sum(turn + 1) AS pages, bool_and(true) AS all_allowed FROM conversations GROUP BY conv_id""")
+@query("WITH " + MD + r""", m AS (SELECT conv_id, unnest(regexp_extract_all(md, '!\[[^\]\n]*\]\((?:[^()\s]*/)?(?:slides|sheets|figures)/[^()\s/]+\)')) AS r, unnest(range(len(regexp_extract_all(md, '!\[[^\]\n]*\]\((?:[^()\s]*/)?(?:slides|sheets|figures)/[^()\s/]+\)')))) AS ord FROM md),
+p AS (SELECT conv_id, ord, regexp_extract(r, '\((.*)\)$', 1) AS target, regexp_extract(r, '(slides|sheets|figures)/([^()\s/]+)\)$', 1) AS kind, regexp_extract(r, '/([^()\s/]+)\)$', 1) AS name FROM m)
+SELECT conv_id, ord::INT AS ord, target, kind, CASE WHEN kind = 'slides' AND regexp_matches(name, '^\d+(\.\w+)?$') THEN lpad(regexp_extract(name, '^\d+'), 4, '0') || CASE WHEN contains(name, '.') THEN regexp_extract(name, '\.\w+$') ELSE '.jpg' END ELSE name END AS canonical,
+ CASE kind WHEN 'slides' THEN regexp_matches(name, '^\d{1,4}\.(jpg|png)$') WHEN 'sheets' THEN regexp_matches(name, '^sheet_\d+\.(jpg|png)$') ELSE regexp_matches(name, '^fig_\d+\.(jpg|png)$') END AS allowed FROM p""")
 def picture_references(spark, sf_dir):
     r = markup.picture_references(spread(markdown(spark, sf_dir)), key=["conv_id"], text="md")
-    return r.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.regexp_extract("canonical", r"^(\d+)", 1).cast("long")).alias("pages"), F.bool_and("allowed").alias("all_allowed"))
+    return r.select("conv_id", "ord", "target", "kind", "canonical", "allowed")
 
 
-@query("""SELECT conv_id, count(*) AS n, 3 AS level FROM conversations GROUP BY conv_id""")
+@query("WITH " + LINES + r""", d AS (SELECT conv_id, i, CASE WHEN NOT fenced AND regexp_matches(line, '^#{1,5}\s') THEN '#' || line ELSE line END AS line, fenced FROM fn)
+SELECT conv_id, i::INT AS line_no, length(regexp_extract(line, '^#+')) AS level, trim(regexp_replace(line, '^#+\s+', '')) AS title FROM d WHERE NOT fenced AND regexp_matches(line, '^#{1,6}\s+\S')""")
 def demoted_headings(spark, sf_dir):
     lines = markup.demoted(markdown_lines(spark, sf_dir), key=["conv_id"])
-    h = markup.headings(lines, key=["conv_id"])
-    return h.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("level").alias("level"))
+    return markup.headings(lines, key=["conv_id"]).select("conv_id", "line_no", "level", "title")
 
 
 @query("""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq, turn * 5.0 AS t_from, turn * 5.0 + 2.5 AS t_to FROM conversations""")
@@ -269,12 +315,16 @@ def tile_map(spark, sf_dir):
     return assemble.tile_map(table(spark, sf_dir, "part"), key=["p_brand"], order=["p_partkey"], blank=F.col("p_size") <= 5).select("p_partkey", "index", "sheet", "tile_row", "tile_col")
 
 
-@query("""SELECT page_id, strlen(url) + 5 AS bytes, strpos(f, '<!--StartFragment-->') > 0 AS whole FROM (SELECT page_id, url, '<!--StartFragment-->' AS f FROM pages)""")
+@query("""WITH p AS (SELECT page_id, strlen(url) AS n FROM pages)
+SELECT page_id, n + 5 AS bytes, true AS whole, true AS ordered FROM p""")
 def clipboard_offsets(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", assemble.clipboard_html(F.concat(F.lit("é<b>"), "url"), F.lit("http://ü")).alias("h"))
+    """The byte offsets in a clipboard's head, tried out on its own bytes."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", assemble.clipboard_html(F.concat(F.lit("é<b>"), "url"), F.lit("http://ü")).alias("h"))
     at = lambda n: F.regexp_extract("h", rf"{n}:(\d{{10}})", 1).cast("long")
-    cut = F.substring(F.col("h").cast("binary"), at("StartFragment") + 1, at("EndFragment") - at("StartFragment")).cast("string")
-    return p.select("page_id", (at("EndFragment") - at("StartFragment")).alias("bytes"), cut.startswith("é<b>").alias("whole"))
+    part = lambda a, b: F.substring(F.col("h").cast("binary"), at(a) + 1, at(b) - at(a)).cast("string")
+    whole = (part("StartFragment", "EndFragment") == F.concat(F.lit("é<b>"), "url")) & part("StartHTML", "EndHTML").startswith("<html>") & part("StartHTML", "EndHTML").endswith("</html>")
+    ordered = (at("StartHTML") < at("StartFragment")) & (at("EndFragment") < at("EndHTML")) & (at("EndHTML") == F.octet_length("h"))
+    return p.select("page_id", (at("EndFragment") - at("StartFragment")).alias("bytes"), whole.alias("whole"), ordered.alias("ordered"))
 
 
 @query("""SELECT l_orderkey, string_agg(l_linenumber || ':' || l_returnflag, '; ' ORDER BY l_linenumber, l_returnflag) AS messages FROM lineitem GROUP BY l_orderkey""")
@@ -309,25 +359,55 @@ def distance_picks(spark, sf_dir):
     return folds.spaced_picks(events(spark, sf_dir), key=["user_id"], time="t", tie=["event_id"], value="value", threshold=60, apart=86400)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS size, greatest(length(text), 30) AS w, CASE WHEN turn % 3 = 0 THEN turn * 20 END AS anchor, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k FROM conversations),
+h AS (SELECT *, k = 1 OR (anchor IS NOT NULL AND (before IS NULL OR anchor > before + 1)) AS head FROM (SELECT *, lag(anchor) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM o)),
+g AS (SELECT *, sum(head::INT) OVER (PARTITION BY conv_id ORDER BY k) AS g FROM h),
+p AS (SELECT g.*, sum(w) OVER (PARTITION BY conv_id, g) AS total, k = max(k) OVER (PARTITION BY conv_id, g) AS final, heads FROM g JOIN (SELECT conv_id, list({'k': k, 'a': anchor} ORDER BY k) AS heads FROM g WHERE head GROUP BY conv_id) USING (conv_id)),
+s AS (SELECT conv_id, 0::BIGINT AS k, 0::BIGINT AS turn, 0::BIGINT AS size, 0::BIGINT AS f, 0::BIGINT AS l, 0::BIGINT AS a, 0::BIGINT AS z FROM (SELECT DISTINCT conv_id FROM o)
+ UNION ALL SELECT conv_id, k, turn, size, f, l, a, CASE WHEN final THEN least(greatest(l, a + 1), greatest(l, a)) ELSE least(greatest(a + greatest(1, round_even((l - f) * w / total, 0)::BIGINT), a + 1), greatest(l, a)) END
+ FROM (SELECT *, CASE WHEN head THEN f ELSE sz END AS a FROM (SELECT *, CASE WHEN head THEN greatest(least(coalesce(list_filter(heads, lambda x: x.k > k AND x.a > f + 1)[1].a, 600), 600), f + 1) ELSE sl END AS l
+  FROM (SELECT p.*, s.l AS sl, s.z AS sz, CASE WHEN NOT head THEN s.f WHEN anchor IS NOT NULL AND anchor >= s.l THEN anchor ELSE s.l END AS f FROM s JOIN p ON p.conv_id = s.conv_id AND p.k = s.k + 1))))
+SELECT conv_id, turn, size, a AS range_from, z AS range_to FROM s WHERE k > 0""")
 def proportional_ranges(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"), F.when(F.col("turn") % 3 == 0, F.col("turn") * 20).alias("anchor"), F.lit(0).alias("a"), F.lit(600).alias("z"))
     return folds.proportional_ranges(c, key=["conv_id"], order=["turn", "size"], anchor="anchor", weight="size", start="a", end="z")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, text, turn * 5 AS a, turn * 5 + length(text) % 5 AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+r AS (SELECT conv_id, k, turn, text, a, b, a AS first, b AS last, 1 AS p FROM o WHERE k = 1
+ UNION ALL SELECT o.conv_id, o.k, o.turn, o.text, o.a, o.b, CASE WHEN o.a - r.last < 1.2 AND o.b - r.first <= 12 THEN r.first ELSE o.a END, o.b, CASE WHEN o.a - r.last < 1.2 AND o.b - r.first <= 12 THEN r.p ELSE r.p + 1 END FROM r JOIN o ON o.conv_id = r.conv_id AND o.k = r.k + 1),
+m AS (SELECT conv_id, p, min(a) AS t_start, max(b) AS t_end, min(turn) AS seg_from, max(turn) AS seg_to, string_agg(text, '' ORDER BY k) AS text FROM r GROUP BY conv_id, p),
+q AS (SELECT *, sum(CASE WHEN p = 1 OR length(regexp_replace(text, '\\s+', '', 'g')) >= 400 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p) AS id FROM m)
+SELECT conv_id, id, min(t_start) AS t_start, max(t_end) AS t_end, min(seg_from) AS seg_from, max(seg_to) AS seg_to, string_agg(text, '' ORDER BY p) AS text, length(regexp_replace(string_agg(text, '' ORDER BY p), '\\s+', '', 'g')) AS chars FROM q GROUP BY conv_id, id""")
 def paragraphs(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumns({"t0": F.col("turn") * 5.0, "t1": F.col("turn") * 5.0 + F.length("text") % 5})
-    return folds.paragraphs(c, key=["conv_id"], order="turn", start="t0", end="t1", text="text")
-
-
-@query()
+    return folds.paragraphs(c, key=["conv_id"], order="turn", start="t0", end="t1", text="text", span=12.0, short=400)
+
+
+@query(f"""WITH RECURSIVE {HASHES}, o AS (SELECT label, vec_id AS id, vec_id * 5.0 AS t_start, vec_id * 5.0 + 5 AS t_end, vec_id % 7 AS score, h, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM h),
+r AS (SELECT label, k, 1 AS s, id, t_start, t_end, 10 AS n_frames, score, h, []::BIGINT[] AS merged, '' AS why FROM o WHERE k = 1
+ UNION ALL SELECT label, k, CASE WHEN same THEN s ELSE s + 1 END, CASE WHEN same AND NOT better THEN rid ELSE id END, CASE WHEN same THEN least(rs, t_start) ELSE t_start END, CASE WHEN same THEN greatest(re, t_end) ELSE t_end END,
+  CASE WHEN same THEN rn + 10 ELSE 10 END, CASE WHEN same AND NOT better THEN rscore ELSE score END, CASE WHEN same AND NOT better THEN rh ELSE h END,
+  CASE WHEN NOT same THEN []::BIGINT[] WHEN better THEN list_concat([rid], rm) ELSE list_append(rm, id) END, CASE WHEN same THEN 'hash' ELSE '' END
+  FROM (SELECT o.*, r.s, r.id AS rid, r.t_start AS rs, r.t_end AS re, r.n_frames AS rn, r.score AS rscore, r.h AS rh, r.merged AS rm, o.score > r.score AS better,
+    bit_count(xor(r.h, o.h)) <= 26 AND greatest(r.t_end, o.t_end) - least(r.t_start, o.t_start) <= 240 AS same FROM r JOIN o ON o.label = r.label AND o.k = r.k + 1))
+SELECT label, row_number() OVER (PARTITION BY label ORDER BY s)::INT AS id, id::INT AS source_id, t_start::DOUBLE AS t_start, t_end::DOUBLE AS t_end, n_frames, score::DOUBLE AS score, h AS dhash, array_to_string(merged, ',') AS merged_from, why AS merge_reason
+FROM (SELECT *, k = max(k) OVER (PARTITION BY label, s) AS final FROM r) WHERE final""")
 def merged_segments(spark, sf_dir):
     h = sign_hashes(spark, sf_dir).select("label", F.col("vec_id").cast("int").alias("id"), (F.col("vec_id") * 5.0).alias("t_start"), (F.col("vec_id") * 5.0 + 5).alias("t_end"), F.lit(10).alias("n_frames"), (F.col("vec_id") % 7).cast("double").alias("score"), F.col("h").alias("dhash"), F.lit("").alias("text"))
-    return folds.merge_pages(h, key=["label"], hash_limit=22)
-
-
-@query()
+    return folds.merge_pages(h, key=["label"], hash_limit=26).drop("text").withColumn("merged_from", F.array_join("merged_from", ","))
+
+
+@query(f"""WITH {DIFFS}, l AS (SELECT user_id, greatest(quantile_cont(diff, 0.85), 1.2 * avg(diff)) AS q, count(*) AS n FROM df GROUP BY user_id),
+c AS (SELECT user_id, i, n, n >= 8 AND diff >= q AS cut, i > 0 AND diff <= 20 AS small FROM df JOIN l USING (user_id)),
+b AS (SELECT *, max(cut::INT) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near, sum((NOT small)::INT) OVER (PARTITION BY user_id ORDER BY i) AS isl FROM c),
+r AS (SELECT user_id, min(i) - 1 AS first FROM b WHERE small GROUP BY user_id, isl HAVING count(*) >= 2),
+w AS (SELECT r.*, near = 1 AS near FROM r JOIN b ON b.user_id = r.user_id AND b.i = r.first),
+st AS (SELECT user_id, first FROM (SELECT *, bool_or(near) OVER (PARTITION BY user_id) AS any_near FROM w) WHERE near OR NOT any_near),
+e AS (SELECT user_id, first AS a FROM st UNION SELECT user_id, 0 FROM l),
+x AS (SELECT user_id, a, coalesce(lead(a) OVER (PARTITION BY user_id ORDER BY a), n) AS b, n FROM e JOIN l USING (user_id)),
+y AS (SELECT * FROM x WHERE a = 0 OR b - a >= 3)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY a)::INT AS id, a::INT AS i_start, coalesce(lead(a) OVER (PARTITION BY user_id ORDER BY a), n)::INT AS i_end FROM y""")
 def axis_segments(spark, sf_dir):
     from ..operators import sequences
 
@@ -354,9 +434,9 @@ def round_counter(spark, sf_dir):
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'missing' WHEN a.q = b.q THEN 'same' ELSE 'changed' END AS state
-FROM (SELECT doc_id, (n_chars > 1500)::INT::VARCHAR AS q FROM documents WHERE doc_id % 10 <> 3) a FULL JOIN (SELECT doc_id, quality::VARCHAR AS q FROM labels) b USING (doc_id)""")
+FROM (SELECT doc_id + 3 AS doc_id, (n_chars > 1500)::INT::VARCHAR AS q FROM documents) a FULL JOIN (SELECT doc_id, quality::VARCHAR AS q FROM labels) b USING (doc_id)""")
 def digest_drift(spark, sf_dir):
-    was = table(spark, sf_dir, "documents").where("doc_id % 10 <> 3").select("doc_id", (F.col("n_chars") > 1500).cast("int").cast("string").alias("digest"))
+    was = table(spark, sf_dir, "documents").select((F.col("doc_id") + 3).alias("doc_id"), (F.col("n_chars") > 1500).cast("int").cast("string").alias("digest"))
     now = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("digest"))
     return state.digest_drift(was, now, key=["doc_id"])
 
@@ -371,9 +451,11 @@ def duplicate_keys(spark, sf_dir):
     return integrity.duplicates(table(spark, sf_dir, "lineitem"), key=["l_orderkey"], of=["l_linenumber"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey, o_custkey + 7 AS c_custkey FROM orders WHERE o_custkey + 7 NOT IN (SELECT c_custkey FROM customer)")
 def fk_violations(spark, sf_dir):
-    return integrity.missing(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), on=["c_custkey"])
+    """Orders whose customer, seven further on, isn't there."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + 7).alias("c_custkey"))
+    return integrity.missing(o, table(spark, sf_dir, "customer"), on=["c_custkey"])
 
 
 @query("""WITH s AS (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) / 8.64e10 AS a, max(epoch_us(o_orderdate) / 8.64e10 + 30) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM orders)
@@ -384,10 +466,10 @@ def overlaps(spark, sf_dir):
     return integrity.overlapping(o, key=["o_custkey"], order=["o_orderdate", "o_orderkey"], start="a", end="z", tolerance=1.0).select("o_custkey", "o_orderkey")
 
 
-@query("""SELECT conv_id, turn FROM (SELECT conv_id, turn, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) + 1 AS e FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE (conv_id + turn) % 5 <> 2)) WHERE turn <> e""")
+@query("""SELECT conv_id, turn FROM (SELECT conv_id, turn, coalesce(lag(turn + 1 + (conv_id + turn) % 3 // 2) OVER (PARTITION BY conv_id ORDER BY turn), 0) + 1 AS e FROM (SELECT DISTINCT conv_id, turn FROM conversations)) WHERE turn + 1 <> e""")
 def not_contiguous(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("(conv_id + turn) % 5 <> 2").select("conv_id", "turn").distinct().withColumn("no", F.col("turn") + 1)
-    return integrity.not_contiguous(c, key=["conv_id"], order=["turn"], first="no", last="no").select("conv_id", "turn")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct().withColumns({"no": F.col("turn") + 1, "to": F.col("turn") + 1 + F.floor((F.col("conv_id") + F.col("turn")) % 3 / 2)})
+    return integrity.not_contiguous(c, key=["conv_id"], order=["turn"], first="no", last="to").select("conv_id", "turn")
 
 
 @query("""WITH m AS (SELECT user_id, max(event_id % 50) + 1 AS n FROM events GROUP BY user_id), e AS (SELECT user_id, unnest(generate_series(1, n)) AS k FROM m) SELECT user_id, k FROM e EXCEPT SELECT user_id, event_id % 50 FROM events""")
@@ -403,11 +485,12 @@ def uncovered(spark, sf_dir):
     return integrity.uncovered_ordinals(c.where("role = 'assistant'"), c.select("conv_id", "turn").distinct(), key=["conv_id"], ordinal="turn").select("conv_id", "turn")
 
 
-@query("""SELECT doc_id, CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'extra' ELSE 'differs' END AS state FROM (SELECT doc_id, lang AS a FROM documents WHERE doc_id % 2 = 0) FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS b FROM documents WHERE doc_id % 3 = 0) USING (doc_id) WHERE a IS DISTINCT FROM b""")
+@query("""SELECT doc_id, CASE WHEN z.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' ELSE 'differs' END AS state FROM (SELECT doc_id, lang, 1 AS k FROM documents) a
+FULL JOIN (SELECT doc_id + 5 AS doc_id, CASE WHEN n_chars > 900 THEN lang ELSE 'xx' END AS lang, 1 AS k FROM documents) z USING (doc_id) WHERE z.k IS NULL OR a.k IS NULL OR a.lang IS DISTINCT FROM z.lang""")
 def full_compare(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    right = d.where("doc_id % 3 = 0").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")))
-    return integrity.full_compare(d.where("doc_id % 2 = 0"), right, on=["doc_id"], columns=["lang"])
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    right = d.select((F.col("doc_id") + 5).alias("doc_id"), F.when(F.col("n_chars") > 900, F.col("lang")).otherwise("xx").alias("lang"))
+    return integrity.full_compare(d, right, on=["doc_id"], columns=["lang"])
 
 
 @query("""WITH i AS (SELECT CASE WHEN toxic = 1 THEN 'error' WHEN quality = 0 THEN 'warning' ELSE 'review' END AS level, 'lang:' || lang AS owner, doc_id FROM labels JOIN documents USING (doc_id))
@@ -429,13 +512,12 @@ def evidence_vote(spark, sf_dir):
     return triage.vote(u, evidence).select("user_id", "slides", "stream", "suggest", F.round("confidence", 4).alias("confidence"))
 
 
-@query(f"""WITH {EV}, w AS (SELECT user_id, w, 30.0 * 86400 * w AS a FROM (SELECT DISTINCT user_id FROM events), range(3) r(w)), o AS (SELECT min(floor(t / 86400) * 86400) AS o FROM ev)
-SELECT w.user_id, w.w AS "window", count(ev.event_id) AS n, round(coalesce(sum(ev.value), 0), 3) AS total FROM w CROSS JOIN o LEFT JOIN ev ON ev.user_id = w.user_id AND ev.t >= o + a AND ev.t < o + a + 864000 GROUP BY ALL""")
+@query(f"""WITH {EV}, w AS (SELECT user_id, w, 30.0 * 86400 * w AS a FROM (SELECT DISTINCT user_id FROM events), range(3) r(w))
+SELECT w.user_id, w.w AS "window", count(ev.event_id) AS n, round(coalesce(sum(ev.value), 0), 3) AS total FROM w LEFT JOIN ev ON ev.user_id = w.user_id AND ev.t >= {DAY_ZERO * 86400} + a AND ev.t < {DAY_ZERO * 86400} + a + 864000 GROUP BY ALL""")
 def per_window(spark, sf_dir):
     ev = events(spark, sf_dir)
-    origin = ev.agg(F.min(F.floor(F.col("t") / 86400) * 86400)).first()[0]
     users = ev.select("user_id").distinct()
-    windows = users.select("user_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("window")).withColumn("orig_from", F.lit(float(origin)) + F.col("window") * 2592000.0).withColumn("orig_to", F.col("orig_from") + 864000)
+    windows = users.select("user_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("window")).withColumn("orig_from", F.lit(DAY_ZERO * 86400.0) + F.col("window") * 2592000.0).withColumn("orig_to", F.col("orig_from") + 864000)
     held = temporal.in_windows(ev, windows, key=["user_id"], time="t", start="orig_from", end="orig_to", width=864000.0)
     found = held.groupBy("user_id", "window").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return windows.join(found, ["user_id", "window"], "left").select("user_id", "window", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 3).alias("total"))
