@@ -1,7 +1,8 @@
 """License scan by ordered signature rules.
 
 A text is lower-cased (A-Z) and reduced to its words; rules are regular expressions over the words joined
-by single blanks. Each rule is gated by a keyword that any match must contain as a word or, before versions, as a word's beginning; one Aho-Corasick pass over
+by single blanks: the hand-written ones of ``signatures``, and after them, with less priority, names of licenses in the
+usual frames. Each rule is gated by a keyword that any match must contain as a word or, before versions, as a word's beginning; one Aho-Corasick pass over
 the text finds which keywords occur, and only their rules are run. Detections are then resolved: one that
 lies inside another is suppressed if the other's rule has a higher priority, or the same and comes first or
 is longer. The base phrases are rules of the highest priority and are never suppressed.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import store
+from . import signatures, store
 
 #: Bytes of words stay, A-Z in lower case; every other byte becomes a blank. Bytes over 0x7F are in words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isdigit() or 97 <= c <= 122 else 32 for c in range(256))
@@ -40,68 +41,6 @@ class Rule(NamedTuple):
     prefix: bool = False  # the keyword only begins a word, as in gplv3
 
 
-#: Grants and disclaimers. One blank stands between words.
-_GRANTS = [
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mit", r"rights to use copy modify merge publish distribute sublicense and or sell copies"),
-    ("mit", r"warranties of merchantability fitness for a particular purpose and noninfringement"),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", r"redistributions of source code must retain the above copyright notice"),
-    ("bsd", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd", r"neither the name of (?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse"),
-    ("bsd", r"this software is provided by the (?:[^ ]+ ){1,6}and contributors as is"),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    ("apache", r"licensed under the apache license"),
-    ("apache", r"you may not use this file except in compliance with the license"),
-    ("apache", r"distributed on an as is basis without warranties or conditions of any kind"),
-    ("apache", r"unless required by applicable law or agreed to in writing software"),
-    ("gpl", r"free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl", r"you can redistribute it and or modify it under the terms of version (?:[^ ]+ )?of the gnu general public license"),
-    ("gpl", r"you should have received a copy of the gnu general public license along with"),
-    ("lgpl", r"under the terms of the gnu lesser general public license"),
-    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
-    ("agpl", r"under the terms of the gnu affero general public license"),
-    ("agpl", r"you should have received a copy of the gnu affero general public license"),
-    ("gfdl", r"under the terms of the gnu free documentation license"),
-    ("gfdl", r"with no invariant sections no front cover texts and no back cover texts"),
-    ("mpl", r"this source code form is subject to the terms of the mozilla public license"),
-    ("mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
-    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
-    ("cddl", r"subject to the terms of the common development and distribution license"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software"),
-    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies"),
-    ("boost", r"distributed under the boost software license"),
-    ("zlib", r"altered source versions must be plainly marked as such"),
-    ("zlib", r"the origin of this software must not be misrepresented"),
-    ("artistic", r"under the same terms as perl itself"),
-    ("artistic", r"under the terms of the artistic license"),
-    ("psf", r"python software foundation license agreement"),
-    ("openssl", r"this product includes software developed by the openssl project"),
-    ("cc0", r"waived all copyright and related (?:or|and) neighboring rights"),
-    ("cc0", r"dedicated the work to the public domain"),
-    ("public-domain", r"(?:released|placed|dedicated|put) (?:in|into|to) the public domain"),
-    ("public-domain", r"is in the public domain"),
-    ("public-domain", r"public domain dedication"),
-    ("reserved", r"copyright (?:[^ ]+ ){0,8}all rights reserved"),
-    ("reserved", r"(?:no|some) rights reserved"),
-    ("proprietary", r"proprietary and confidential"),
-    ("proprietary", r"confidential and proprietary"),
-    ("proprietary", r"unauthorized (?:copying|use|reproduction|distribution)(?: [^ ]+){0,6} is (?:strictly )?prohibited"),
-    ("proprietary", r"no part of this (?:publication|work|document|book) may be reproduced"),
-    ("proprietary", r"without (?:the )?(?:prior )?(?:express )?written permission of the (?:publisher|author|copyright holder|owner)"),
-    ("non-commercial", r"non commercial (?:use|purposes) only"),
-    ("non-commercial", r"noncommercial (?:use|purposes) only"),
-    ("non-commercial", r"not for commercial use"),
-    ("no-derivatives", r"no derivative works (?:are )?(?:allowed|permitted)"),
-    ("evaluation", r"for evaluation purposes only"),
-    ("ofl", r"licensed under the sil open font license"),
-    ("odbl", r"open database license"),
-    ("odbl", r"database contents license"),
-    ("permission", r"(?:reprinted|reproduced|used) (?:with|by) (?:kind )?permission"),
-    ("copyleft", r"copyleft"),
-]
-
 #: Families by name: label, and the names.
 _FAMILIES = [
     ("mit", r"mit|expat|mit x"),
@@ -179,7 +118,7 @@ _COMMONS = {
 
 
 #: Words that say little, taken as a gate only if a pattern has no other.
-_PLAIN = {"under", "identifier", "license", "licensed", "public", "general", "software", "the", "this", "distributed"}
+_PLAIN = {"a", "of", "is", "for", "and", "or", "to", "in", "that", "you", "may", "with", "without", "under", "identifier", "license", "licensed", "public", "general", "software", "the", "this", "distributed"}
 
 
 def keyword_of(pattern: str) -> str:
@@ -187,12 +126,14 @@ def keyword_of(pattern: str) -> str:
     touches it."""
     blank = lambda m: (" " if m[1][:1] == " " else "") + "?" + (" " if m[1][-1:] == " " else "")
     fixed = re.sub(r"\(\?:((?:[^()]|\([^()]*\))*)\)(?:[?*+]|\{[\d,]*\})?", blank, pattern)
-    return max((w for w in fixed.split(" ") if re.fullmatch("[a-z][a-z0-9]*", w)), key=lambda w: (w not in _PLAIN, len(w), w))
+    fixed = re.sub(r"[^ ]+ \?[^ ]+", "?", fixed)  # the blank between may be missing
+    return max((w for w in fixed.split(" ") if re.fullmatch("[a-z\x80-\xff][a-z0-9\x80-\xff]*", w)), key=lambda w: (w not in _PLAIN, len(w), w))
 
 
 def _rules() -> list[Rule]:
     made = [(label, BASE_PRIORITY, phrase) for phrase, label in BASE.items()]
-    made += [(label, GRANT, pattern) for label, pattern in _GRANTS]
+    made += [(label, GRANT, pattern.encode().decode("latin-1")) for label, pattern in signatures.GRANTS]  # a character for each byte
+    made += [(label, GRANT, rf"spdx license identifier {name}") for label, name in signatures.SPDX]
     for label, names in _FAMILIES:
         made += [(label, priority, around.format(name)) for name in names.split("|") for priority, around in _NAMINGS]
     made += [("cc0", NAMED, r"cc0"), ("cc0", LINKED, r"publicdomain zero")]
