@@ -8,7 +8,9 @@ Documents with equal sets are one point, named by its smallest id. Points join i
    sets agree exactly on one part at least, so the points that agree on a part (a cell) include both ends of every
    link. A set with many empty parts can't rely on them and also offers its smallest shingles, of which linked sets
    share one. Sets of a class's upper end also offer their cells in the next class. The smallest point of a
-   cell is a pivot; its region is all points that share a cell with it whose smallest point it is.
+   cell is a pivot; its region is all points that share a cell with it whose smallest point it is. Sketches that bound
+   the difference of two sets from below divide a region where no link is possible, before any set is exchanged; the
+   smallest point of each part is its pivot.
 2. *Voronoi regions and windows.* Every region meets its pivots: distances of its points to them are computed exactly.
    A point within the threshold of a pivot is linked to it. Balls that share points connect their pivots; the
    points of the largest group of balls are connected and need no test among themselves, so only the others stay
@@ -207,7 +209,7 @@ def cells_of(shingles: np.ndarray, classes: Classes) -> np.ndarray:
     return np.concatenate(out) & np.uint64((1 << 8 * CELL_BYTES) - 1) if out else np.zeros(0, np.uint64)
 
 
-PROFILE = "doc_id long, n_shingles long, set_id binary, n_cells long, cells array<long>"
+PROFILE = "doc_id long, n_shingles long, set_id binary, sketch binary, n_cells long, cells array<long>"
 
 
 def profiles(df: DataFrame, *, key: str, text: str, words: int, threshold: tuple[int, int]) -> DataFrame:
@@ -223,10 +225,11 @@ def profiles(df: DataFrame, *, key: str, text: str, words: int, threshold: tuple
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    pa.array([sketch_of(s).tobytes() for s in sets], pa.binary()),
                     pa.array([len(c) for c in cells], pa.int64()),
                     pa.array(cells, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_id", "n_cells", "cells"],
+                names=["doc_id", "n_shingles", "set_id", "sketch", "n_cells", "cells"],
             )
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PROFILE)
@@ -358,6 +361,25 @@ def common_with(pivot: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> np.n
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def possible_groups(sizes: np.ndarray, sketches: list[np.ndarray], threshold: tuple[int, int]) -> list[np.ndarray]:
+    """Points that a chain of pairs connects whose sketches leave a link possible; no group of one."""
+    num, den = threshold
+    words = min(map(len, sketches))
+    folds, left, out = np.stack([folded(s, words) for s in sketches]), np.arange(len(sizes)), []
+    while len(left):
+        group, queue, left = [], [int(left[0])], left[1:]
+        while queue:
+            at = queue.pop()
+            group.append(at)
+            apart = np.bitwise_count(folds[left] ^ folds[at]).sum(1, dtype=np.int64)
+            near = (den + num) * apart <= (den - num) * (sizes[left] + sizes[at])
+            queue += left[near].tolist()
+            left = left[~near]
+        if len(group) > 1:
+            out.append(np.sort(np.array(group)))
+    return out
+
+
 class Region:
     """Points of one task and the spanning edges of their links."""
 
@@ -478,6 +500,29 @@ def runs_of(*columns: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *fresh.tolist()], [*fresh.tolist(), len(columns[0])], strict=True))
 
 
+def _parted(regions: DataFrame, sketches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(region, pivot, doc_id, n): the regions of pivots (region, doc_id) in parts between which sketches (doc_id, n, sketch) leave no link.
+    A part is named by its points, so that one that came about with many pivots is one. Larger regions than one task's stay whole."""
+
+    def divide(lot):
+        import pandas as pd
+
+        lot = lot.sort_values(["region", "doc_id", "n"], ignore_index=True)
+        ids, n, out = lot["doc_id"].to_numpy(), lot["n"].to_numpy(), []
+        for begin, end in runs_of(lot["region"].to_numpy()):
+            groups = possible_groups(n[begin:end], [np.frombuffer(x, np.uint64) for x in lot["sketch"].iloc[begin:end]], threshold)
+            for k in groups:
+                mine = ids[begin:end][k]
+                name = int.from_bytes(hashlib.blake2b(mine.tobytes(), digest_size=8).digest(), "little", signed=True)
+                out.append(pd.DataFrame({"region": name, "pivot": mine[0], "doc_id": mine, "n": n[begin:end][k]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("region", "pivot", "doc_id", "n")}, dtype="int64")
+
+    sized = regions.join(regions.groupBy("region").agg((F.count("*") <= REGION).alias("fits")), "region").join(sketches, "doc_id")
+    lots = _volume(regions.withColumn("n", F.lit(0)))[1]
+    parts = sized.where("fits").withColumn("lot", F.pmod(F.xxhash64("region"), F.lit(lots))).groupBy("lot").applyInPandas(divide, "region long, pivot long, doc_id long, n long")
+    return parts.unionByName(sized.where("not fits").select("region", F.col("region").alias("pivot"), "doc_id", "n")).distinct()
+
+
 def _small(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Edges of regions (region, doc_id, n, home) that one task can hold."""
 
@@ -629,9 +674,9 @@ def divided(met: DataFrame, groups: DataFrame, threshold: tuple[int, int], scrat
 
 
 def links(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int], scratch: store.Scratch) -> DataFrame:
-    """Edges that span the components of the links inside the regions of pivots (region, doc_id, n), each named by its pivot."""
-    pivots = regions.select("region", F.col("region").alias("pivot")).distinct()
-    due, edges = regions.withColumn("home", F.lit(True)), None
+    """Edges that span the components of the links inside the regions of pivots (region, pivot, doc_id, n)."""
+    pivots = regions.select("region", "pivot").distinct()
+    due, edges = regions.select("region", "doc_id", "n", F.lit(True).alias("home")), None
     while True:
         met = scratch.keep(_met(due, pivots, sets, threshold), "jaccard-met")
         groups = scratch.keep(_pivot_groups(met, _volume(due)[1]), "jaccard-groups")
@@ -676,21 +721,24 @@ def joined(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
     """Per document: doc_id, n_shingles, component_id, and the number of documents with the same set."""
     scratch = store.Scratch()
     profiled = store.materialise(profiles(df, key=key, text=text, words=words, threshold=threshold), "jaccard-profiles")
-    named = profiled.where("n_shingles > 0")
+    named = profiled.where("n_shingles > 0").select("doc_id", "n_shingles", "set_id")
+    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("same_set"))
+    alone = profiled.where("n_shingles = 0").select("doc_id", "n_shingles", "set_id", F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("same_set"))
+    members = store.materialise(named.join(classes, "set_id").select("doc_id", "n_shingles", "set_id", "rep", "same_set").unionByName(alone), "jaccard-members")
     # one point for each set: copies go no further
-    points = named.where("doc_id is not null and n_cells > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min_by("cells", "doc_id").alias("cells"))
-    total = named.agg(F.sum("n_cells")).first()[0] or 0
+    copies = scratch.keep(members.where("n_shingles > 0 and doc_id <> rep").select("doc_id", "set_id").distinct(), "jaccard-copies")
+    points = profiled.where("doc_id is not null and n_cells > 0").select("doc_id", "set_id", "cells").join(store.bounded(copies, store.SENT_ROWS), ["doc_id", "set_id"], "left_anti")
+    total = profiled.agg(F.sum("n_cells")).first()[0] or 0
     first = scratch.keep(first_regions(points.select("doc_id", "cells"), total, scratch), "jaccard-first")
-    asked = scratch.keep(first.select("doc_id").distinct(), "jaccard-asked")
+    met = scratch.keep(first.select("doc_id").distinct(), "jaccard-met")
+    sketches = profiled.where("n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), "sketch").join(store.bounded(met, store.SENT_ROWS), "doc_id", "left_semi").distinct()
+    regions = scratch.keep(_parted(first, scratch.keep(sketches, "jaccard-sketches"), threshold), "jaccard-regions")
+    store.discard(profiled)
+    asked = scratch.keep(regions.select("doc_id").distinct(), "jaccard-asked")
     sets = scratch.keep(_sets_for(df, store.bounded(asked, store.SENT_ROWS), key=key, text=text, words=words), "jaccard-sets")
-    regions = scratch.keep(first.join(sets.select("doc_id", "n"), "doc_id").select("region", "doc_id", "n"), "jaccard-regions")
     found = components(links(regions, sets, threshold, scratch))
     scratch.clear()
-    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("same_set"))
-    members = named.select("doc_id", "n_shingles", "set_id").join(classes, "set_id").drop("set_id")
-    labelled = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "same_set")
-    alone = profiled.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("same_set"))
-    return labelled.unionByName(alone)
+    return members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "same_set")
 
 
 def representatives(docs: DataFrame, *, key: str = "doc_id", words: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:

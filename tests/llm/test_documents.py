@@ -596,3 +596,5 @@ def test_sketches_bound_differences():
         x, y = jaccard.sketch_of(a), jaccard.sketch_of(b)
         words = min(len(x), len(y))
         assert np.bitwise_count(jaccard.folded(x, words) ^ jaccard.folded(y, words)).sum() <= len(np.setxor1d(a, b))
+        groups = jaccard.possible_groups(np.array([len(a), len(b), n]), [x, y, jaccard.sketch_of(np.unique(rnd.integers(0, 1 << 62, n, dtype=np.uint64)))], (9, 10))
+        assert not jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b), (9, 10)) or any({0, 1} <= set(g.tolist()) for g in groups)
