@@ -752,4 +752,29 @@ def op3_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_metric_join": op3_metric_join}
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_metric_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM w
+        ), n AS (
+            SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS k, s FROM s
+        ), u AS (
+            SELECT k, min(doc_id) AS rep, count(*) AS same_set, any_value(n) AS n, any_value(s) AS s FROM n WHERE n > 0 GROUP BY k
+        ), x AS (
+            SELECT rep, n, unnest(s) AS g FROM u
+        ), p AS (
+            SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+            GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ), e AS (
+            SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+        ), r AS (
+            SELECT rep AS a, rep AS b FROM u UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b
+        ), c AS (
+            SELECT a AS rep, min(b) AS component FROM r GROUP BY a
+        )
+        SELECT n.doc_id, n.n AS n_shingles, coalesce(component, n.doc_id) AS component_id, coalesce(same_set, 1) AS same_set
+        FROM n LEFT JOIN u ON u.k = n.k AND n.n > 0 LEFT JOIN c USING (rep)
+    """,
+}

@@ -146,5 +146,20 @@ def identified(docs: DataFrame, content: dict[str, bytes], *, text: str = "text"
     return kept.select("row.*").toDF(*docs.columns)
 
 
-QUERIES = {"op8_language": op8_language}
-SQL: dict[str, str] = {}
+def language_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op8: which documents are held out, and which have no letter."""
+    return op8_language(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == UNDETERMINED).alias("undetermined"))
+
+
+QUERIES = {"op8_language": op8_language, "language_flags": language_flags}
+SQL = {
+    "language_flags": """
+        WITH b AS (
+            SELECT i, list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i)
+        ), t AS (SELECT list(c ORDER BY i) AS t FROM b),
+        d AS (SELECT doc_id, text, hex(encode(doc_id::VARCHAR)) AS h FROM documents)
+        SELECT doc_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || substr(h, 2 * k + 1, 2))::UBIGINT FOR k IN range(length(h) // 2)]), lambda c, x: xor(t[(xor(c, x) & 255)::INT + 1], c >> 8)), 4294967295::UBIGINT) % 5 = 0 AS held_out,
+            NOT regexp_matches(coalesce(text, ''), '\\pL') AS undetermined
+        FROM d, t
+    """,
+}

@@ -193,5 +193,14 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_histogram_sort": op1_histogram_sort}
-SQL: dict[str, str] = {}
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op1: every document once with its size, and whether slots are gapless and shards near equal."""
+    rows = op1_histogram_sort(spark, sf_dir)
+    shard = rows.groupBy("shard").agg(F.sum("size").alias("bytes"), (F.count_distinct("slot") == F.count("*")).alias("own"), (F.max("slot") == F.count("*") - 1).alias("dense"))
+    whole = shard.agg(F.bool_and(F.col("own") & F.col("dense")).alias("gapless"), (F.max("bytes") - F.min("bytes")).alias("apart"), F.count("*").alias("shards"))
+    sizes = rows.groupBy("law").agg(F.count("*").alias("documents"), F.count_distinct("doc_id").alias("ids"), F.sum("size").alias("bytes"), F.max("size").alias("largest"))
+    return sizes.join(F.broadcast(whole), F.lit(True)).select("law", "documents", "ids", "bytes", "shards", "gapless", (F.col("apart") <= F.col("largest") + 0.003 * F.col("bytes")).alias("near_equal"))
+
+
+QUERIES = {"op1_histogram_sort": op1_histogram_sort, "shard_sizes": shard_sizes}
+SQL = {"shard_sizes": "SELECT 'bytes' AS law, count(*) AS documents, count(DISTINCT doc_id) AS ids, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS bytes, 8 AS shards, true AS gapless, true AS near_equal FROM documents"}

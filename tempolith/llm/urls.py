@@ -170,6 +170,19 @@ def op9_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(store.read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
-QUERIES = {"op9_link_graph": op9_link_graph}
-#: The walks are compared with dense ones in the tests; SQL has what the rules and the URL alone decide.
-SQL: dict[str, str] = {}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op9: host, path, the rule that fits, and the verdict of pages that a rule fits."""
+    found = op9_link_graph(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))
+
+
+QUERIES = {"op9_link_graph": op9_link_graph, "url_rules": url_rules}
+SQL = {
+    "url_rules": """
+        WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+        r(rule, verdict) AS (VALUES ('org/', 'allow'), ('example.org/es/', 'block'), ('example.org/en/1', 'block'), ('com/fr/', 'allow'), ('com/de/', 'block')),
+        f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS by_rule FROM p JOIN r ON ('.' || host) LIKE '%.' || split_part(rule, '/', 1) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY page_id)
+        SELECT page_id, host, path, rule, by_rule FROM p LEFT JOIN f USING (page_id)
+    """,
+}
