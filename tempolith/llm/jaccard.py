@@ -55,7 +55,8 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 #: Cells that one task sorts.
 CUT_CELLS = 400_000
-CHUNK = 4_000_000
+#: Characters that are shingled at once, and rows of a batch: they bound what a worker holds beside its longest text.
+CHUNK, ROWS = 1_000_000, 1024
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -128,6 +129,12 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def linked(common: int, a: int, b: int, threshold: tuple[int, int]) -> bool:
     return threshold[1] * common >= threshold[0] * (a + b - common)
 
@@ -217,7 +224,7 @@ def profiles(df: DataFrame, *, key: str, text: str, words: int, threshold: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(threshold)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             cells = [cells_of(s, classes).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -252,41 +259,39 @@ def first_regions(points: DataFrame, total: int, scratch: store.Scratch) -> Data
     cuts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // CUT_CELLS))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                lists = batch.column(1)
-                cell = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                place = np.repeat(np.arange(len(docs)), np.diff(lists.offsets.to_numpy()))
-                order = np.lexsort((docs[place], cell, cell % np.uint64(cuts)))
-                cell, place = cell[order], place[order]
-                fresh = np.ones(len(cell), bool)
-                fresh[1:] = (cell[1:] != cell[:-1]) | (place[1:] != place[:-1])
-                cell, place = cell[fresh], place[fresh]
-                head = np.flatnonzero(np.diff(cell, prepend=~cell[:1])) if len(cell) else np.zeros(0, np.int64)
-                count = np.diff(np.append(head, len(cell)))
-                crowd = np.repeat(count > CROWD, count)
-                rows = []
-                if crowd.any():
-                    leader = np.repeat(place[head], count)
-                    both = np.unique(leader[crowd] * len(docs) + place[crowd])
-                    for k in np.unique(both // len(docs)):
-                        rows.append((int(docs[k] % cuts), struct.pack("<Iq", 0, docs[k]) + docs[both[both // len(docs) == k] % len(docs)].tobytes()))
-                    first = np.zeros(len(cell), bool)
-                    first[head] = True
-                    kept = ~crowd | first
-                    cell, place, crowd = cell[kept], place[kept], crowd[kept]
-                cut = (cell % np.uint64(cuts)).astype(np.int64)
-                edge = np.searchsorted(cut, np.arange(cuts + 1))
-                for k in np.flatnonzero(np.diff(edge)):
-                    part = slice(edge[k], edge[k + 1])
-                    used, local = np.unique(place[part], return_inverse=True)
-                    low = cell[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CELL_BYTES].tobytes()
-                    sizes = np.array([len(local), len(used)], "<u4").tobytes()
-                    rows.append((int(k), sizes + low + (local.astype("<u2") | (crowd[part].astype("<u2") << 15)).tobytes() + docs[used].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cut", "packed"])
+        for batch in slices(batches, 2 * ROWS):
+            docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = batch.column(1)
+            cell = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            place = np.repeat(np.arange(len(docs)), np.diff(lists.offsets.to_numpy()))
+            order = np.lexsort((docs[place], cell, cell % np.uint64(cuts)))
+            cell, place = cell[order], place[order]
+            fresh = np.ones(len(cell), bool)
+            fresh[1:] = (cell[1:] != cell[:-1]) | (place[1:] != place[:-1])
+            cell, place = cell[fresh], place[fresh]
+            head = np.flatnonzero(np.diff(cell, prepend=~cell[:1])) if len(cell) else np.zeros(0, np.int64)
+            count = np.diff(np.append(head, len(cell)))
+            crowd = np.repeat(count > CROWD, count)
+            rows = []
+            if crowd.any():
+                leader = np.repeat(place[head], count)
+                both = np.unique(leader[crowd] * len(docs) + place[crowd])
+                for k in np.unique(both // len(docs)):
+                    rows.append((int(docs[k] % cuts), struct.pack("<Iq", 0, docs[k]) + docs[both[both // len(docs) == k] % len(docs)].tobytes()))
+                first = np.zeros(len(cell), bool)
+                first[head] = True
+                kept = ~crowd | first
+                cell, place, crowd = cell[kept], place[kept], crowd[kept]
+            cut = (cell % np.uint64(cuts)).astype(np.int64)
+            edge = np.searchsorted(cut, np.arange(cuts + 1))
+            for k in np.flatnonzero(np.diff(edge)):
+                part = slice(edge[k], edge[k + 1])
+                used, local = np.unique(place[part], return_inverse=True)
+                low = cell[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CELL_BYTES].tobytes()
+                sizes = np.array([len(local), len(used)], "<u4").tobytes()
+                rows.append((int(k), sizes + low + (local.astype("<u2") | (crowd[part].astype("<u2") << 15)).tobytes() + docs[used].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cut", "packed"])
 
     def meet(key, rows):
         import pandas as pd
@@ -467,7 +472,7 @@ def _sets_for(df: DataFrame, members: DataFrame, *, key: str, text: str, words:
     """(doc_id, n, shingles) of the documents among ``members`` (column ``doc_id``, distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             sets = shingle_sets(batch.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "shingles"])
 
