@@ -1,6 +1,6 @@
 """Text normalisation, character n-grams and Markdown scraps as column expressions.
 
-STR-01 to STR-05, STR-08, STR-09, STR-13, STR-18, STR-19, STR-23 to STR-27, AGG-10, AGG-11, AGG-19, SET-05.
+STR-01 to STR-05, STR-08, STR-09, STR-13, STR-18, STR-19, STR-23 to STR-27, AGG-10, AGG-11, AGG-19, SET-05, PRJ-11, PRJ-13.
 """
 
 from __future__ import annotations
@@ -121,3 +121,20 @@ def table_pairs(line: Column) -> Column:
     cells = F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     row = line.rlike(r"^\s*\|") & (F.size(cells) >= 2) & ~line.rlike(r"^\s*\|[\s:|\-]+$")
     return F.when(row, F.struct(cells[0].alias("left"), cells[1].alias("right")))
+
+
+def _two_digits(x: Column) -> Column:
+    return F.when(x.rlike(r"^\d$"), F.concat(F.lit("0"), x)).otherwise(x)
+
+
+def chapter_list(csv: Column) -> Column:
+    """Chapters of a list with commas of either width, single digits as two; null if there are none."""
+    parts = F.filter(F.transform(F.split(F.replace(csv, F.lit("，"), F.lit(",")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(parts) > 0, F.transform(parts, _two_digits))
+
+
+def dispatched_ids(ids: Column, owner: Column, scope: Column) -> Column:
+    """Those of ``ids`` that ``chapter:03,04`` in owner or scope names, in their order; all if neither names any."""
+    lists = F.regexp_extract_all(F.concat_ws(" | ", owner, scope), F.lit(r"chapter:([0-9][0-9,\s]*)"), F.lit(1))
+    picked = F.transform(F.filter(F.flatten(F.transform(lists, lambda x: F.transform(F.split(x, ","), lambda y: F.trim(y)))), lambda y: y != ""), _two_digits)
+    return F.when(F.size(picked) > 0, F.filter(ids, lambda x: F.array_contains(picked, x))).otherwise(ids)

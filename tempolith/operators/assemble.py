@@ -1,7 +1,7 @@
 """Ordered assembly: transcripts, tables, outlines, digests, exports. Order is always by a sort inside the
 aggregate, never by arrival.
 
-SNK-01 to SNK-18, SNK-20, AGG-19, AGG-23, AGG-28, STR-22, STR-28 to STR-31, WIN-26, ORC-11, ORC-26, ORC-27, PRJ-03.
+SNK-01 to SNK-18, SNK-20, AGG-19, AGG-23, AGG-28, STR-22, STR-31, WIN-26, ORC-11, ORC-26, ORC-27, PRJ-03.
 """
 
 from __future__ import annotations

@@ -106,3 +106,15 @@ def first_available(base: DataFrame, *others: tuple[DataFrame, str], key: Sequen
         source = F.coalesce(source, F.when(F.col(f"_v{k}").isNotNull(), name)) if k > 1 else F.when(F.col("_v0").isNotNull(), "base").otherwise(F.when(F.col("_v1").isNotNull(), name))
         value = F.coalesce(value, f"_v{k}")
     return out.withColumns({column: value, "source": source}).drop(*[f"_v{k}" for k in range(len(others) + 1)])
+
+
+def candidate_document(c: Column) -> Column:
+    """What is written of a candidate: its numbers rounded, its role with the evidence, and what hides it."""
+    same = [c[n].alias(n) for n in ("role", "role_evidence", "occlusion")]
+    return F.struct(c["t"].alias("t"), c["file"].alias("file"), F.bround(c["score"], 4).alias("score"), c["ocr_chars"].alias("ocr_chars"), F.bround(c["ink"], 4).alias("ink"), *same, F.coalesce(c["transient_overlay"], F.lit(False)).alias("transient_overlay"))
+
+
+def chosen_document(c: Column) -> Column:
+    """What is written of the chosen one: its text, sharpness and hash too."""
+    text = F.coalesce(c["ocr_text"], F.lit(""))
+    return F.struct(c["t"].alias("t"), c["file"].alias("file"), F.bround(c["score"], 4).alias("score"), c["ocr_chars"].alias("ocr_chars"), text.alias("ocr_text"), F.bround(c["ink"], 4).alias("ink"), F.bround(c["sharp"], 5).alias("sharp"), c["dhash"].alias("dhash"), c["role"].alias("role"), c["role_evidence"].alias("role_evidence"))
