@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, texts, times
-from ..operators import assemble, integrity, markup, pick, state, triage, vision
+from ..operators import assemble, folds, integrity, markup, pick, state, temporal, terms, triage, vision
 from .driver_queries import events, query, table
 from .rule_queries import _spark, _with
 
@@ -275,3 +275,104 @@ def issues_of_an_owner(spark, sf_dir):
 @query(_with(i=ISSUES.replace("o_custkey AS owner_k", "CAST(o_custkey % 9 AS VARCHAR(9)) AS chapter")) + "SELECT message FROM i WHERE chapter IN ('3', '5')")
 def issues_in_scope(spark, sf_dir):
     return integrity.scoped(_spark(spark, sf_dir, ISSUES.replace("o_custkey AS owner_k", "CAST(o_custkey % 9 AS VARCHAR(9)) AS chapter")), ["3", "5", "?"]).select("message")
+
+
+# --- logs, notes, front matter, glossaries ---------------------------------------------------------------------------
+
+LOG = """SELECT o_custkey AS vid, 'frame:' || CAST(o_orderkey AS VARCHAR(20)) || ' pts:1 pts_time:' || CAST(o_orderkey % 5000 AS VARCHAR(20)) || '.25' AS a, CASE WHEN o_orderkey % 3 = 0 THEN 'lavfi.scd.mafd=oops' ELSE 'lavfi.scd.mafd=' || CAST(o_orderkey % 17 AS VARCHAR(20)) || '.5' END AS b,
+ CASE WHEN o_orderkey % 4 = 0 THEN 'freeze_start: ' || CAST(o_orderkey AS VARCHAR(20)) WHEN o_orderkey % 4 = 1 THEN 'freeze_end=' || CAST(o_orderkey AS VARCHAR(20)) || '.5' ELSE 'other=1' END AS c, o_orderkey AS k FROM {orders}"""
+
+
+def _log_lines(spark, sf_dir):
+    rows = _spark(spark, sf_dir, LOG)
+    return rows.select("vid", F.posexplode(F.array("a", "b", "c")).alias("p", "line"), "k").select("vid", (F.col("k") * 3 + F.col("p")).alias("line_no"), "line")
+
+
+@query(_with(l=LOG) + "SELECT vid, k % 5000 + 0.25 AS t, CASE WHEN k % 3 <> 0 THEN k % 17 + 0.5 END AS mafd FROM l")
+def measurement_rows(spark, sf_dir):
+    return markup.measurement_rows(_log_lines(spark, sf_dir), key=["vid"], names=["lavfi.scd.mafd"])
+
+
+@query(_with(l=LOG) + "SELECT vid, k * 3 + 2 AS line_no, CASE WHEN k % 4 = 0 THEN 'start' ELSE 'end' END AS kind, k + CASE WHEN k % 4 = 0 THEN 0 ELSE 0.5 END AS t FROM l WHERE k % 4 < 2")
+def log_events(spark, sf_dir):
+    return markup.log_events(_log_lines(spark, sf_dir), key=["vid"], name="freeze")
+
+
+PROBE = "SELECT p_partkey AS k, CASE WHEN p_size % 5 = 0 THEN 'nothing' ELSE '  Duration: 0' || CAST(p_size % 9 AS VARCHAR(9)) || ':' || lpad(CAST(p_partkey % 60 AS VARCHAR(9)), 2, '0') || ':07.50, start_NL Video: h264, ' || CAST(p_size * 20 + 100 AS VARCHAR(9)) || 'x' || CAST(p_size * 10 + 100 AS VARCHAR(9)) || ', 29.97 fps' END AS text, CASE WHEN p_size % 3 = 0 THEN 'https://x/video/BV1abcdefghi?a=1&p=' || CAST(p_size AS VARCHAR(9)) ELSE 'BV1abcdefghi' END AS url FROM {part}"
+
+
+@query(_with(p=PROBE.replace("{part}", "part")) + ", q AS (SELECT p_partkey AS k, p_size AS s FROM part) SELECT k, CASE WHEN s % 5 <> 0 THEN s % 9 * 3600 + k % 60 * 60 + 7.5 END AS duration, CASE WHEN s % 5 <> 0 THEN s * 20 + 100 END AS width, CASE WHEN s % 5 <> 0 THEN s * 10 + 100 END AS height, CASE WHEN s % 5 <> 0 THEN 29.97 END AS fps, CASE WHEN s % 3 = 0 THEN s ELSE 1 END AS page FROM q")
+def media_properties(spark, sf_dir):
+    p = spark.sql(PROBE.replace("VARCHAR(9)", "STRING").replace("_NL", "' || chr(10) || '"), part=table(spark, sf_dir, "part"))
+    pages = p.select("k", markup.target_of(F.col("url"))["page"].alias("page"))
+    return markup.media_properties(p, key=["k"], text="text").join(pages, "k")
+
+
+CUES = """SELECT conv_id AS vid, '_OPEN"from": ' || CAST(turn * 5 AS VARCHAR(9)) || '.5, "to": ' || CAST(turn * 5 + 4 AS VARCHAR(9)) || ', "content": "' || CASE WHEN length(text) % 4 = 0 THEN '  ' ELSE ' t' || CAST(length(text) AS VARCHAR(9)) || ' ' END || '"_SHUT' AS cue, turn, text FROM {conversations}"""
+
+
+@query(_with(c=CUES) + "SELECT vid, row_number() OVER (PARTITION BY vid ORDER BY turn, text)::INT AS seq, turn * 5 + 0.5 AS t_from, turn * 5 + 4 AS t_to, 't' || length(text) AS text FROM c WHERE length(text) % 4 <> 0")
+def json_cues(spark, sf_dir):
+    cues = _spark(spark, sf_dir, CUES)
+    cue = F.replace(F.replace("cue", F.lit("_OPEN"), F.lit("{")), F.lit("_SHUT"), F.lit("}"))
+    docs = assemble.joined_lines(cues, key=["vid"], order=["turn", "text"], line=cue, separator=",", out="body")
+    return markup.json_cues(docs.select("vid", F.concat(F.lit('{"body": ['), "body", F.lit("]}")).alias("doc")), key=["vid"], text="doc").select("vid", "seq", "t_from", "t_to", "text")
+
+
+NOTE = """SELECT conv_id AS vid, turn, text, '## ' || CASE WHEN length(text) % 5 = 0 THEN 'plain' ELSE '[0' || CAST(turn AS VARCHAR(9)) || ':' || CAST(length(text) % 50 + 10 AS VARCHAR(9)) || '] n' || CAST(length(text) AS VARCHAR(9)) END || '_NL- what: a' || CAST(turn AS VARCHAR(9)) || '_NL* **why**： b_NL' || CASE WHEN length(text) % 3 = 0 THEN '- what：c' ELSE 'no bullet: d' END AS node FROM {conversations}"""
+
+
+@query(_with(n=NOTE) + """, o AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY turn, text) AS g, length(text) % 5 <> 0 AS good FROM n)
+SELECT vid, '0' || turn || ':' || (length(text) % 50 + 10) AS time, 'n' || length(text) AS node, unnest(CASE WHEN length(text) % 3 = 0 THEN ['a' || turn, 'c'] ELSE ['a' || turn] END) AS hook FROM o WHERE good""")
+def note_hooks(spark, sf_dir):
+    docs = assemble.joined_lines(_spark(spark, sf_dir, NOTE), key=["vid"], order=["turn", "text"], line=F.col("node"), out="md")
+    nodes = markup.note_nodes(markup.lines_of(docs, key=["vid"], text="md"), key=["vid"])
+    return markup.hooks(nodes, key=["vid"], label="what")
+
+
+FRONT = "SELECT p_partkey AS k, '---_NLtitle: \"T' || CAST(p_size AS VARCHAR(9)) || '\"_NLtags: [x, \"y\"' || CASE WHEN p_size % 2 = 0 THEN ', z' ELSE '' END || ']_NLmore:_NL  - p_NL  - q' || CAST(p_size AS VARCHAR(9)) || '_NL---_NLbody' AS t FROM {part}"
+
+
+@query("SELECT p_partkey AS k, 'T' || p_size AS name, CASE WHEN p_size % 2 = 0 THEN 'x,y,z' ELSE 'x,y' END AS labels, 'p,q' || p_size AS rest, '' AS gone FROM part")
+def migrated_fronts(spark, sf_dir):
+    docs = spark.sql(FRONT.replace("VARCHAR(9)", "STRING").replace("_NL", "' || chr(10) || '"), part=table(spark, sf_dir, "part"))
+    out = markup.migrated(markup.front_matter(docs, key=["k"], text="t"), key=["k"], names={"title": "name", "tags": "labels", "more": "rest", "none": "gone"})
+    return out.select("k", *[F.array_join(c, ",").alias(c) for c in ("name", "labels", "rest", "gone")])
+
+
+@query("SELECT c_custkey AS vid, CASE WHEN c_custkey % 3 = 0 THEN 'own' ELSE 'p' || c_nationkey END AS terms, CASE WHEN c_custkey % 3 <> 0 THEN 'profile' WHEN c_custkey % 2 = 0 THEN 'confirmed' ELSE 'proposed' END AS status, CASE WHEN c_custkey % 3 = 0 THEN 'own' ELSE 'p' || c_nationkey END AS kept, 'p' || c_nationkey AS proposal, CASE WHEN c_custkey % 3 = 0 THEN 'own,new' END AS reviewed FROM customer")
+def glossaries(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("vid"), F.array(F.concat(F.lit("p"), F.col("c_nationkey").cast("string"))).alias("terms_use"))
+    glossary = c.where("vid % 3 = 0").select("vid", (F.col("vid") % 2 == 0).alias("confirmed"), F.array(F.lit("own"), F.lit("bad")).alias("terms_use"), F.create_map(F.lit("a"), F.lit("b")).alias("terms_avoid"))
+    done = terms.reviewed(glossary, drop=["bad"], add=["new", "own"], avoid={"a": "c"})
+    good = glossary.withColumn("terms_use", F.array(F.lit("own")))
+    text = lambda x: F.array_join(x, ",")
+    out = terms.effective_glossary(good, c, key=["vid"]).select("vid", text("terms_use").alias("terms"), "status")
+    out = out.join(terms.proposed(good, c, key=["vid"]).select("vid", text("terms_use").alias("kept"), text("proposal").alias("proposal")), "vid")
+    return out.join(done.select("vid", text("terms_use").alias("reviewed")), "vid", "left")
+
+
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT user_id AS u, extract(hour FROM ts)::INT AS r, extract(day FROM ts)::INT % 6 AS c FROM events WHERE value > 60),
+x AS (SELECT u, r, c, r AS lr, c AS lc FROM c UNION SELECT c.u, c.r, c.c, x.lr, x.lc FROM x JOIN c ON c.u = x.u AND abs(c.r - x.r) + abs(c.c - x.c) = 1) SELECT u, r, c, arg_min(lr || '-' || lc, (lr, lc)) AS component FROM x GROUP BY u, r, c""")
+def grid_components(spark, sf_dir):
+    c = table(spark, sf_dir, "events").where("value > 60").select(F.col("user_id").alias("u"), F.hour("ts").alias("r"), (F.dayofmonth("ts") % 6).alias("c")).distinct()
+    return folds.grid_components(c, key=["u"], row="r", col="c")
+
+
+@query("""WITH g AS (SELECT o_custkey AS vid, o_orderpriority AS ord, (o_orderkey % 20)::INT AS id FROM orders), k AS (SELECT DISTINCT vid, ord, id FROM g WHERE id < 15), m AS (SELECT vid, ord, min(id * 10) AS t_start, string_agg(id::VARCHAR, ',' ORDER BY id) AS slides FROM k GROUP BY ALL)
+SELECT vid, lpad((row_number() OVER w)::VARCHAR, 2, '0') AS id, t_start, coalesce(lead(t_start) OVER w, 500) AS t_end, slides FROM m WINDOW w AS (PARTITION BY vid ORDER BY t_start, ord)""")
+def chapters_of_groups(spark, sf_dir):
+    g = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("vid"), F.col("o_orderpriority").alias("ord")).agg(F.collect_set((F.col("o_orderkey") % 20).cast("int")).alias("slides"))
+    vids = g.select("vid").distinct()
+    slides = vids.select("vid", F.explode(F.sequence(F.lit(0), F.lit(14))).alias("id")).withColumn("t_start", F.col("id") * 10)
+    return folds.chapters_of_groups(g, slides, vids.withColumn("duration", F.lit(500)), key=["vid"]).withColumn("slides", F.array_join("slides", ","))
+
+
+@query("""WITH s AS (SELECT o_custkey AS k, o_orderkey AS sec, o_orderkey % 6000 AS t FROM orders), c AS (SELECT o_custkey AS k, l_orderkey * 10 + l_linenumber AS cue, l_partkey * 31 % 6000 AS t, repeat('x', (l_quantity % 12)::INT) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+n AS (SELECT s.k, sec, arg_min(cue, (CASE WHEN length(w) >= 6 THEN 0 ELSE 1 END, c.t, cue)) AS cue FROM s JOIN c ON c.k = s.k AND c.t BETWEEN s.t - 3 AND s.t + 18 GROUP BY s.k, sec), l AS (SELECT s.k, sec, arg_min(cue, (c.t, cue)) AS cue FROM s JOIN c ON c.k = s.k AND c.t >= s.t GROUP BY s.k, sec)
+SELECT s.k, s.sec, coalesce(n.cue, l.cue) AS cue FROM s LEFT JOIN n ON n.sec = s.sec LEFT JOIN l ON l.sec = s.sec""")
+def anchor_cues(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    s = o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("sec"), (F.col("o_orderkey") % 6000).cast("double").alias("t"))
+    c = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("cue"), (F.col("l_partkey") * 31 % 6000).cast("double").alias("ct"), F.repeat(F.lit("x"), (F.col("l_quantity") % 12).cast("int")).alias("w"))
+    return temporal.first_anchor(s, c, key=["k"], section_id="sec", section_time="t", cue_id="cue", cue_time="ct", cue_text="w")
