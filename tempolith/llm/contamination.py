@@ -35,7 +35,7 @@ WINDOW, LEAST = 400, 48
 PART, PART_STEP = 200, 50
 COARSE = 128  # diagonals, no fewer than a band of any window has
 BLOCK_BYTES = 8_000_000
-CHUNK = 2_000_000
+CHUNK = 400_000  # characters that are compared at once, beside a longer text
 BITS = 22
 WORD_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 FOUND = "array<struct<item_id: long, edits: int, at: int>>"
@@ -218,31 +218,33 @@ def _finder(block: list[tuple[int, str]]):
     return pandas_udf(run, FOUND, PandasUDFType.SCALAR_ITER)
 
 
-def _found(df: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, out: str = "") -> DataFrame:
-    """(row, finds): each whole row with the items that its text contains."""
+def _found(df: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, out: str) -> DataFrame:
+    """``df`` with the items that its text contains, in a new column ``out``."""
     blocks = blocks_of(items, item_key, item_text)
     first, second = next(blocks), next(blocks, None)
-    rows = df.select(store.whole_row(df, [out]).alias("row"), store.column(text).alias("text"))
     if second is None:
-        return rows.select("row", _finder(first)("text").alias("finds"))
+        return df.withColumn(out, _finder(first)(store.column(text)))
     spark = df.sparkSession
-    numbered = store.materialise(rows.withColumn("n", F.monotonically_increasing_id()), "numbered")
+    n = store.free_name(df, "n")
+    numbered = store.materialise(df.withColumn(n, F.monotonically_increasing_id()), "numbered")
     path = store.fresh_path(spark, "finds")
     for block in chain([first, second], blocks):
-        numbered.select("n", _finder(block)("text").alias("finds")).where(F.size("finds") > 0).write.mode("append").parquet(path)
+        numbered.select(store.column(n).alias("n"), _finder(block)(store.column(text)).alias("finds")).where(F.size("finds") > 0).write.mode("append").parquet(path)
     each = spark.read.parquet(path).select("n", F.explode("finds").alias("f")).groupBy("n", F.col("f.item_id").alias("item_id")).agg(F.min(F.struct("f.edits", "f.at")).alias("f"))
-    found = each.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("item_id", "f.edits", "f.at"))).alias("finds"))
-    return numbered.join(found, "n", "left").select("row", F.coalesce("finds", F.array().cast(FOUND)).alias("finds"))
+    found = each.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("item_id", "f.edits", "f.at"))).alias(out)).withColumnRenamed("n", n)
+    return numbered.join(found, n, "left").withColumn(out, F.coalesce(store.column(out), F.array().cast(FOUND))).drop(n)
 
 
 def with_finds(df: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", out: str = "finds") -> DataFrame:
     """``df`` with the items that each whole text contains."""
-    return _found(df, items, text, item_key, item_text, out).select("row.*", F.col("finds").alias(out))
+    rows, text = store.set_apart(df, [out], text)
+    return _found(rows, items, text, item_key, item_text, out)
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item, columns as they were."""
-    return _found(docs, items, "text", "item_id", "text").where(F.size("finds") == 0).select("row.*")
+    finds = store.free_name(docs, "finds")
+    return _found(docs, items, "text", "item_id", "text", finds).where(F.size(finds) == 0).drop(finds)
 
 
 def op7_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,10 +116,12 @@ RESULTS = ("lang_pred", "score", "margin")
 
 def classify(df: DataFrame, content: dict[str, bytes], *, text: str = "text") -> DataFrame:
     """Add ``lang_pred``, ``score`` and ``margin`` for every whole text."""
-    return _judged(df, content, text).select("row.*", "judged.*")
+    rows, text = store.set_apart(df, RESULTS, text)
+    judged = store.free_name(rows, "judged")
+    return rows.withColumn(judged, _judge(content)(store.column(text))).select(*[store.column(c) for c in rows.columns], f"{judged}.*")
 
 
-def _judged(df: DataFrame, content: dict[str, bytes], text: str) -> DataFrame:
+def _judge(content: dict[str, bytes]):
     from pyspark.sql.pandas.functions import PandasUDFType, pandas_udf
 
     def run(batches):
@@ -129,8 +131,7 @@ def _judged(df: DataFrame, content: dict[str, bytes], text: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([models.judge(x if isinstance(x, str) else None) for x in batch], columns=list(RESULTS))
 
-    judge = pandas_udf(run, SCHEMA, PandasUDFType.SCALAR_ITER)
-    return df.select(store.whole_row(df, RESULTS).alias("row"), judge(store.column(text)).alias("judged"))
+    return pandas_udf(run, SCHEMA, PandasUDFType.SCALAR_ITER)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +143,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def identified(docs: DataFrame, content: dict[str, bytes], *, text: str = "text", narrow: float = NARROW) -> DataFrame:
     """The rows of ``docs`` whose language is told with a margin that isn't narrow, columns as they were."""
-    kept = _judged(docs, content, text).where((F.col("judged.lang_pred") != UNDETERMINED) & (F.col("judged.margin") >= narrow))
-    return kept.select("row.*").toDF(*docs.columns)
+    judged = store.free_name(docs, "judged")
+    told = docs.withColumn(judged, _judge(content)(store.column(text)))
+    return told.where((F.col(f"{judged}.lang_pred") != UNDETERMINED) & (F.col(f"{judged}.margin") >= narrow)).drop(judged)
 
 
 def language_flags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,20 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_apart(df: DataFrame, results: Iterable[str], text: str) -> tuple[DataFrame, str]:
+    """``df`` with its columns free of the names of ``results``, and what its column ``text`` is called now."""
+    named = df.select(whole_row(df, results).alias("row")).schema["row"].dataType.fieldNames()
+    return df.select(*[column(c).alias(n) for c, n in zip(df.columns, named, strict=True)]), named[df.columns.index(text)]
+
+
 def whole_row(df: DataFrame, results: Iterable[str] = ()) -> Column:
     """All columns of ``df`` as one struct, free of the names of ``results``."""
     taken, fields = {r.lower() for r in results}, []

@@ -205,7 +205,7 @@ def test_odd_rows_and_clashing_columns(spark, odd):
     assert {(r.doc_id, r.kept) for r in digests.groups(df).collect() if r.group_size == 4} == {(1, False), (4, True), (None, False)}
     assert sum(r.group_size for r in {r.keep_id: r for r in digests.groups(df).collect()}.values()) == 8
     assert {r.component_id for r in jaccard.joined(df).collect() if r.n_shingles == 1} == {1} | {5}
-    assert Counter(r.doc_id for r in jaccard.representatives(df, words=3).collect()) == Counter([1, 1, None, None, 2, 3, 5]) or True
+    kept(jaccard.representatives(df, words=3).collect(), 7)  # all but the one that is near to a smaller id
     for stage in (language.identified(df, content), contamination.clean(df, items), jaccard.representatives(df), digests.survivors(df)):
         assert stage.columns == df.columns and stage.count() > 0
     pages = df.withColumns({"url": F.col("text"), "html": F.col("text")})
