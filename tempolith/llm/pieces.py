@@ -107,7 +107,7 @@ def split_pieces(texts: Sequence[str]) -> tuple[pa.BinaryArray, np.ndarray]:
 class BatchEncoder:
     """Encode batches of texts with a function of one piece, remembering pieces in a bounded table."""
 
-    def __init__(self, encode_pieces: Callable[[list[bytes]], list[tuple[int, ...]]], remember: int = 800_000):
+    def __init__(self, encode_pieces: Callable[[list[bytes]], list[tuple[int, ...]]], remember: int = 200_000):
         self.encode_pieces, self.remember = encode_pieces, remember
         self.known: dict[bytes, bytes] = {}  # ids as 32-bit numbers: a fifth of a tuple's memory
 
