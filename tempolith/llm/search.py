@@ -44,12 +44,12 @@ SHARD = "ids array<long>, terms array<binary>, offsets array<int>, slots array<i
 _ARROW = pa.schema([("ids", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), *((n, pa.list_(pa.int32())) for n in ("offsets", "slots", "impacts"))])
 
 
-def stretches(text: str | None) -> Iterator[list[bytes]]:
+def stretches(text: str | None, size: int = STRETCH) -> Iterator[list[bytes]]:
     """All terms of ``text`` in order, a stretch at a time."""
     raw = (text or "").encode().translate(_TABLE)
     at = 0
     while at < len(raw):
-        end = raw.find(b" ", at + STRETCH)
+        end = raw.find(b" ", at + size)
         end = len(raw) if end < 0 else end
         yield raw[at:end].split()
         at = end
@@ -62,8 +62,8 @@ def weight(documents: int, df: int) -> int:
 class ShardBuilder:
     """Postings of one shard while it grows."""
 
-    def __init__(self, documents: int, terms: int):
-        self.documents, self.total = documents, terms
+    def __init__(self, documents: int, terms: int, postings: int = SHARD_POSTINGS, stretch: int = STRETCH):
+        self.documents, self.total, self.postings, self.stretch = documents, terms, postings, stretch
         self._clear()
 
     def _clear(self) -> None:
@@ -76,12 +76,12 @@ class ShardBuilder:
 
     def add(self, doc_id: int | None, text: str | None) -> None:
         slot, held = len(self.ids), False
-        for words in stretches(text):
+        for words in stretches(text, self.stretch):
             if words:
                 held = True
                 self.waiting += words
                 self.waiting_slots.append((slot, len(words)))
-                if len(self.waiting) >= STRETCH // 8:
+                if len(self.waiting) >= self.stretch // 8:
                     self._count()
         if held:
             self.ids.append(doc_id)
@@ -100,7 +100,7 @@ class ShardBuilder:
 
     @property
     def full(self) -> bool:
-        return self.size + len(self.waiting) >= SHARD_POSTINGS
+        return self.size + len(self.waiting) >= self.postings
 
     def close(self) -> pa.RecordBatch | None:
         """The shard as one row, or nothing if it has no terms."""
@@ -121,14 +121,14 @@ class ShardBuilder:
         return out
 
 
-def built(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+def built(docs: DataFrame, *, key: str = "doc_id", text: str = "text", postings: int = SHARD_POSTINGS, stretch: int = STRETCH) -> tuple[DataFrame, int]:
     """The shards of ``docs``, and how many documents have terms."""
     terms = F.regexp_count(store.column(text), F.lit(LETTERS))
     documents, total = docs.select(terms.alias("n")).agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
     total = total or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = ShardBuilder(documents, total)
+        shard = ShardBuilder(documents, total, postings, stretch)
         for batch in batches:
             for doc_id, whole in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard.add(doc_id, whole.as_py())
