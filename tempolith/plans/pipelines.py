@@ -58,7 +58,7 @@ def slides(frames: DataFrame, cues: DataFrame, *, fps: float = 2.0, page_roles:
 def slideset(pages: DataFrame, files: DataFrame) -> DataFrame:
     """The identity of each entity's set of pages: stable columns only, three decimals."""
     rows = pages.join(files.select("vid", F.col("path").alias("frame"), "sha256"), ["vid", "frame"], "left")
-    fixed = lambda c: F.format_number(F.bround(c, 3), "0.000")
+    fixed = lambda c: F.format_string("%.3f", F.bround(c, 3).cast("double"))
     return assemble.canonical_digest(rows, key=KEY, order=["id"], fields=[F.col("id"), fixed(F.col("t_start")), fixed(F.col("t_end")), F.col("frame"), fixed(F.col("chosen_t")), F.col("sha256")], version="slideset/1")
 
 
