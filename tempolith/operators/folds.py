@@ -1,8 +1,9 @@
 """Sequential decisions, where each depends on what the ones before decided. One grouped pandas pass per key.
 
 WIN-04 to WIN-06, WIN-07 (span cap and short merge), WIN-08, WIN-12 to WIN-15, WIN-19, WIN-25, STR-32, J-01.
-A key's rows are folded in one task: keys are entities (one recording, one conversation), not buckets of a
-whole table. Null keys form one group; empty tables give empty results.
+A key's rows are folded in one task where keys are entities (one recording, one conversation). ``greedy_chunks``, ``paragraphs`` and
+``spaced_picks`` take ``rows_per_range`` for keys of any size: their state is then carried from range to range (``ranges``).
+Null keys form one group; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import Step, fold_in_ranges, running
+
 
 def fold(df: DataFrame, *, key: Sequence[str], order: Sequence[str], columns: Sequence[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply ``step`` to each key's rows in order; ``schema`` names the columns after the keys."""
@@ -29,64 +32,94 @@ def fold(df: DataFrame, *, key: Sequence[str], order: Sequence[str], columns: Se
     return df.select(*dict.fromkeys([*key, *order, *columns])).groupBy(*key).applyInPandas(run, f"{kinds}, {schema}")
 
 
-def greedy_chunks(df: DataFrame, *, key: Sequence[str], order: Sequence[str], size: str, cap: int) -> DataFrame:
+def carried(df: DataFrame, *, key: Sequence[str], order: Sequence[str], columns: Sequence[str], step: Step, schema: str, rows_per_range: int | None) -> DataFrame:
+    """A fold whose ``step`` goes on from a state: a key in one task, or in ranges of ``rows_per_range`` rows (with ``_range``)."""
+    if rows_per_range is None:
+        return fold(df, key=key, order=order, columns=columns, step=lambda rows: step(rows, None, True)[0], schema=schema)
+    return fold_in_ranges(df, key=key, order=order, columns=columns, step=step, schema=schema, rows_per_range=rows_per_range)
+
+
+def greedy_chunks(df: DataFrame, *, key: Sequence[str], order: Sequence[str], size: str, cap: int, rows_per_range: int | None = None) -> DataFrame:
     """Pack rows in order: a chunk is closed when the next row would exceed ``cap`` and it is at least half full."""
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        chunk, filled, out = 1, 0, []
+    def step(rows: pd.DataFrame, filled, final: bool):
+        opens = []
         for n in rows[size]:
-            if out and filled + n > cap and filled >= cap / 2:
-                chunk, filled = chunk + 1, 0
-            filled += n
-            out.append(chunk)
-        return rows[list(order)].assign(chunk=out)
+            first = filled is None or filled + n > cap and filled >= cap / 2
+            filled = int(n) + (0 if first else filled)
+            opens.append(int(first))
+        return rows[list(order)].assign(chunk=opens), filled
+
+    def whole(rows: pd.DataFrame, filled, final: bool):
+        out, filled = step(rows, filled, final)
+        return out.assign(chunk=out["chunk"].cumsum()), filled
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order)
-    return fold(df, key=key, order=order, columns=[size], step=step, schema=f"{kinds}, chunk int")
+    out = carried(df, key=key, order=order, columns=[size], step=step if rows_per_range else whole, schema=f"{kinds}, chunk int", rows_per_range=rows_per_range)
+    if rows_per_range is None:
+        return out
+    opened = running(out.withColumnRenamed("chunk", "_opens"), key=key, order=order, value=F.col("_opens"), out="chunk")
+    return opened.drop("_opens").withColumn("chunk", F.col("chunk").cast("int"))
 
 
-def paragraphs(df: DataFrame, *, key: Sequence[str], order: str, start: str, end: str, text: str, gap: float = 1.2, span: float = 120.0, short: int = 30) -> DataFrame:
+def paragraphs(
+    df: DataFrame, *, key: Sequence[str], order: str, start: str, end: str, text: str, gap: float = 1.2, span: float = 120.0, short: int = 30, rows_per_range: int | None = None
+) -> DataFrame:
     """Cues to paragraphs: a new one after a pause (in whole seconds) of at least ``gap`` or beyond ``span``
     seconds; then those under ``short`` characters join the one before. The first is never joined."""
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        made: list[list] = []
-        for seq, a, b, words in zip(rows[order], rows[start], rows[end], rows[text].fillna(""), strict=True):
-            a, b = int(a), int(b)
-            if made and a - made[-1][1] < gap and b - made[-1][0] <= span:
-                last = made[-1]
-                last[1], last[3], last[4] = b, seq, last[4] + words
+    def step(rows: pd.DataFrame, state, final: bool):
+        kept, made = state or (None, None)  # the last paragraph, to which short ones may still be joined, and the one that grows
+        done: list[list] = []
+
+        def closed() -> None:
+            nonlocal kept
+            if kept and len("".join(made[4].split())) < short:
+                kept = [kept[0], made[1], kept[2], made[3], kept[4] + made[4]]
             else:
-                made.append([a, b, seq, seq, words])
-        kept: list[list] = []
-        for p in made:
-            if kept and len("".join(p[4].split())) < short:
-                kept[-1][1], kept[-1][3], kept[-1][4] = p[1], p[3], kept[-1][4] + p[4]
+                done.extend([kept] if kept else [])
+                kept = made
+
+        for seq, a, b, words in zip(rows[order].tolist(), rows[start], rows[end], rows[text].fillna(""), strict=True):
+            a, b = int(a), int(b)
+            if made and a - made[1] < gap and b - made[0] <= span:
+                made = [made[0], b, made[2], seq, made[4] + words]
             else:
-                kept.append(p)
-        out = pd.DataFrame(kept, columns=["t_start", "t_end", "seg_from", "seg_to", "text"])
+                if made:
+                    closed()
+                made = [a, b, seq, seq, words]
+        if final:
+            closed()
+            done.append(kept)
+        out = pd.DataFrame(done, columns=["t_start", "t_end", "seg_from", "seg_to", "text"])
         out.insert(0, "id", range(1, len(out) + 1))
         out["chars"] = [len("".join(t.split())) for t in out["text"]]
-        return out
+        return out, (kept, made)
 
     kind = df.schema[order].dataType.simpleString()
-    return fold(df, key=key, order=[order], columns=[start, end, text], step=step, schema=f"id int, t_start int, t_end int, seg_from {kind}, seg_to {kind}, text string, chars int")
+    schema = f"id int, t_start int, t_end int, seg_from {kind}, seg_to {kind}, text string, chars int"
+    out = carried(df, key=key, order=[order], columns=[start, end, text], step=step, schema=schema, rows_per_range=rows_per_range)
+    if rows_per_range is None:
+        return out
+    numbers = running(out.drop("id"), key=key, order=["seg_from"], value=F.lit(1), out="id").withColumn("id", F.col("id").cast("int"))
+    return numbers.select(*key, "id", "t_start", "t_end", "seg_from", "seg_to", "text", "chars")
 
 
-def spaced_picks(df: DataFrame, *, key: Sequence[str], time: str, tie: Sequence[str], value: str, threshold: float, apart: float) -> DataFrame:
+def spaced_picks(df: DataFrame, *, key: Sequence[str], time: str, tie: Sequence[str], value: str, threshold: float, apart: float, rows_per_range: int | None = None) -> DataFrame:
     """Rows whose value exceeds ``threshold``, at least ``apart`` after the last pick. The first row is picked."""
     order = [time, *tie]
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        picks, last = [], None
-        for k, (t, v) in enumerate(zip(rows[time], rows[value], strict=True)):
+    def step(rows: pd.DataFrame, last, final: bool):
+        picks = []
+        for k, (t, v) in enumerate(zip(rows[time].tolist(), rows[value], strict=True)):
             if last is None or (v is not None and v > threshold and t - last >= apart):
                 picks.append(k)
                 last = t
-        return rows.loc[picks, order]
+        return rows.loc[picks, order], last
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order)
-    return fold(df, key=key, order=order, columns=[value], step=step, schema=kinds)
+    out = carried(df, key=key, order=order, columns=[value], step=step, schema=kinds, rows_per_range=rows_per_range)
+    return out if rows_per_range is None else out.drop("_range")
 
 
 def greedy_distinct_hashes(df: DataFrame, *, key: Sequence[str], order: Sequence[str], hashed: str, limit: int = 6, most: int | None = None) -> DataFrame:
