@@ -1,6 +1,6 @@
 """Sequential decisions, where each depends on what the ones before decided. One grouped pandas pass per key.
 
-WIN-04 to WIN-06, WIN-07 (span cap and short merge), WIN-08, WIN-12 to WIN-15, WIN-19, WIN-25, STR-32, J-01.
+WIN-04 to WIN-06, WIN-07 (span cap and short merge), WIN-08, WIN-12, WIN-13, WIN-15, WIN-19, WIN-25, J-01.
 A key's rows are folded in one task where keys are entities (one recording, one conversation). ``greedy_chunks``, ``paragraphs`` and
 ``spaced_picks`` take ``rows_per_range`` for keys of any size: their state is then carried from range to range (``ranges``).
 Null keys form one group; empty tables give empty results.
@@ -8,7 +8,6 @@ Null keys form one group; empty tables give empty results.
 
 from __future__ import annotations
 
-import difflib
 from collections import Counter
 from collections.abc import Callable, Sequence
 
@@ -304,29 +303,3 @@ def grid_components(df: DataFrame, *, key: Sequence[str], row: str, col: str) ->
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (row, col))
     return fold(df, key=key, order=[row, col], columns=[], step=step, schema=f"{kinds}, component string")
-
-
-def consensus_text(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The lines of two readings, without lines that repeat a kept one to four fifths."""
-    def merged(x: str | None, y: str | None) -> str:
-        kept: list[str] = []
-        for line in [*(x or "").splitlines(), *(y or "").splitlines()]:
-            line = line.strip()
-            if line and not any(difflib.SequenceMatcher(None, line, k).ratio() >= 0.8 for k in kept):
-                kept.append(line)
-        return "\n".join(kept)
-
-    return pd.Series([merged(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
-
-
-def with_consensus(df: DataFrame, a: str, b: str, out: str = "consensus") -> DataFrame:
-    return df.withColumn(out, F.pandas_udf(consensus_text, "string")(a, b))
-
-
-def with_drift(df: DataFrame, heading: str, head: str, out: str = "shared_run") -> DataFrame:
-    """The length of the longest common run of two normalised texts."""
-
-    def longest(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, s or "", t or "", autojunk=False).find_longest_match().size for s, t in zip(x, y, strict=True)])
-
-    return df.withColumn(out, F.pandas_udf(longest, "int")(heading, head))

@@ -254,15 +254,12 @@ def stream_rules(
     ])
 
 
-def drift_rule(anchored: DataFrame, paragraphs: DataFrame, *, least: int = 12, head: int = 40, back: int = 3) -> DataFrame:
-    """V-42: the text under an anchor reads like one of the few paragraphs before it. anchored(vid, para, text),
-    paragraphs(vid, id, text). Each anchor meets ``back`` paragraphs at most."""
-    from ..functions.texts import without_marks
-    from .folds import with_drift
-
-    asked = anchored.select("vid", "para", F.left(without_marks(F.col("text")), F.lit(head)).alias("here"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("para") - back), F.col("para") - 1)).alias("id")).where("id < para and id >= 1")
-    met = asked.join(paragraphs.select("vid", "id", F.left(without_marks(F.col("text")), F.lit(head)).alias("there")), ["vid", "id"])
-    return issues(with_drift(met, "here", "there").where(F.col("shared_run") >= least), level="warning", code="V-42", owner=F.lit("stream"), detail=F.col("para"))
+def drift_rule(anchored: DataFrame, paragraphs: DataFrame, **bounds: int) -> DataFrame:
+    """V-42: a section under an anchor begins like one of the few paragraphs before its own. anchored(vid, para, text),
+    paragraphs(vid, id, text); ``bounds`` as ``readings.drifting_anchors`` has them."""
+    from .readings import drifting_anchors
+
+    return issues(drifting_anchors(anchored, paragraphs, **bounds), level="warning", code="V-42", owner=F.lit("stream"), detail=F.col("para"))
 
 
 def note_rules(nodes: DataFrame, notes: DataFrame, heads: DataFrame, *, labels: Sequence[str], required: str, head: str, tail: str, least: int = 6, most: int = 30, ratio: float = 0.2, chars: int = 400) -> DataFrame:

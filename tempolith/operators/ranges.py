@@ -29,12 +29,13 @@ def in_ranges(df: DataFrame, *, key: Sequence[str], order: Sequence[str], rows_p
     return table.read()
 
 
-def same_key(a: DataFrame, b: DataFrame, key: Sequence[str]) -> Column:
-    """Equal keys, nulls included."""
-    met = F.lit(True)
-    for k in key:
-        met &= a[k].eqNullSafe(b[k])
-    return met
+def met_by(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "left", also: Column | None = None) -> DataFrame:
+    """``a`` with the other columns of ``b`` where the columns ``on`` are equal, nulls included. What ``also`` names must be names of one side."""
+    other = {k: f"_on_{k}" for k in on}
+    equal = F.lit(True) if also is None else also
+    for k, there in other.items():
+        equal &= F.col(k).eqNullSafe(F.col(there))
+    return a.join(b.withColumnsRenamed(other), equal, how).drop(*other.values())
 
 
 def running(dealt: DataFrame, *, key: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
@@ -45,9 +46,8 @@ def running(dealt: DataFrame, *, key: Sequence[str], order: Sequence[str], value
     before = F.sum("_sum").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     later = sums.withColumn("_before", before).where("_before is not null").drop("_sum")
     own = F.sum("_value").over(Window.partitionBy(*key, "_range").orderBy(*[F.asc_nulls_last(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
-    placed = valued.withColumn("_own", own)
-    met = placed.join(later, same_key(placed, later, key) & (placed["_range"] == later["_range"]), "left")
-    return met.select(*[placed[c] for c in dealt.columns if c != "_range"], (F.col("_own") + F.coalesce("_before", F.lit(0).cast("long"))).alias(out))
+    met = met_by(valued.withColumn("_own", own), later, [*key, "_range"])
+    return met.select(*[c for c in dealt.columns if c != "_range"], (F.col("_own") + F.coalesce("_before", F.lit(0).cast("long"))).alias(out))
 
 
 def numbered(df: DataFrame, *, key: Sequence[str], order: Sequence[str], rows_per_range: int = 1_000_000, out: str = "i") -> DataFrame:
@@ -73,8 +73,7 @@ def fold_in_ranges(df: DataFrame, *, key: Sequence[str], order: Sequence[str], c
     states.write(spans.where(~(F.col("_final") & F.col("_first"))).select(*key, "_range", "_final", F.lit(None).cast("string").alias("_state"), F.lit(None).cast("string").alias("_exit"), (~F.col("_final")).alias("_open")))
 
     def folded(rows: DataFrame, cut: DataFrame, how: str, of: Callable[[pd.DataFrame, str], pd.DataFrame], shape: str) -> DataFrame:
-        met = rows.join(cut, same_key(rows, cut, key) & (rows["_range"] == cut["_range"]), how)
-        given = met.select(*[rows[c] for c in rows.columns], F.coalesce("_final", F.lit(True)).alias("_final"), "_state")
+        given = met_by(rows, cut, [*key, "_range"], how).select(*rows.columns, F.coalesce("_final", F.lit(True)).alias("_final"), "_state")
 
         def run(names, part: pd.DataFrame) -> pd.DataFrame:
             state, final = part["_state"].iloc[0], bool(part["_final"].iloc[0])
@@ -89,7 +88,6 @@ def fold_in_ranges(df: DataFrame, *, key: Sequence[str], order: Sequence[str], c
 
     while (held := states.read()).where("_open").limit(1).count():
         again = folded(dealt, held.where("_open"), "inner", lambda made, left: pd.DataFrame({"_left": [left]}), "_left string")
-        met = held.join(again, same_key(held, again, key) & (held["_range"] == again["_range"]), "left").select(*[held[c] for c in held.columns], "_left")
-        left = met.withColumn("_exit", F.coalesce("_left", "_exit")).drop("_left").withColumn("_given", F.lag("_exit").over(by_range))
+        left = met_by(held, again, [*key, "_range"]).withColumn("_exit", F.coalesce("_left", "_exit")).drop("_left").withColumn("_given", F.lag("_exit").over(by_range))
         states.write(left.select(*key, "_range", "_final", F.col("_given").alias("_state"), "_exit", (~F.col("_final") & ~F.col("_given").eqNullSafe(F.col("_state"))).alias("_open")))
     return folded(dealt, states.read(), "left", lambda made, left: made, schema)

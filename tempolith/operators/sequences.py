@@ -117,7 +117,7 @@ def paired_events(df: DataFrame, *, key: Sequence[str], order: Sequence[str], ti
 
 def correlation(df: DataFrame, *, key: Sequence[str], x: str, y: str, least: int = 3) -> DataFrame:
     """Pearson correlation per key; 0 for fewer than ``least`` rows or a constant series."""
-    r = F.corr(x, y)
+    r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
     value = F.when((F.count("*") < least) | r.isNull() | F.isnan(r), 0.0).otherwise(r)
     return df.groupBy(*key).agg(value.alias("r"), F.count("*").alias("n"))
 
