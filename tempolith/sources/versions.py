@@ -132,6 +132,10 @@ class VersionedTable:
         """The version in force, or an older one."""
         return self.spark.read.parquet(self._record(version)["data"])
 
+    def appended(self) -> DataFrame:
+        """The rows of all versions: a table whose writers only add to it."""
+        return self.spark.read.parquet(*[r["data"] for r in self._records()])
+
     def _records(self) -> list[dict]:
         return [r.asDict() for r in self.versions().orderBy("version").collect()]  # a row for each version
 
