@@ -64,12 +64,19 @@ def review_report(chapters: DataFrame, *, key: Sequence[str]) -> DataFrame:
     return out.unionByName(notes)
 
 
+def demoted_text(text: Column) -> Column:
+    """The text without white space around it and one ``#`` more before each heading that is in no fence (six at most)."""
+    # a piece begins at each fence's line, so that every second one is inside
+    pieces = F.split(F.concat(F.lit("\n"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")), r"(?m)(?=^```)")
+    moved = F.transform(pieces, lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, r"(?m)^(#{1,5}\s)", "#$1")).otherwise(x))
+    return F.substring(F.array_join(moved, ""), 2, 2**31 - 1)
+
+
 def merged_document(chapters: DataFrame, errors: DataFrame, *, key: Sequence[str], body: str = "body") -> DataFrame:
     """One document per key without errors: chapters in order under their titles, headings one level down. Keys
     with errors are left out."""
-    down = F.regexp_replace(F.col(body), r"(?m)^(#{1,5}\s)", "#$1")
     clean = chapters.join(errors.select(*key).distinct(), list(key), "left_anti")
-    return joined_lines(clean, key=key, order=["id"], line=F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.trim(down), F.lit("\n")))
+    return joined_lines(clean, key=key, order=["id"], line=F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), demoted_text(F.col(body)), F.lit("\n")))
 
 
 def inlined(df: DataFrame, images: DataFrame, *, key: Sequence[str], refs: DataFrame, text: str = "text") -> DataFrame:

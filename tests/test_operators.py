@@ -456,3 +456,9 @@ def test_references_lectures_and_front_matter(spark):
     assert (got["name"], got["labels"], got["rest"], got["gone"]) == (["T"], ["x", "y"], ["p", "q"], [])
     both = markup.registered(rows(spark, [("a", "x")], "vid string, name string"), rows(spark, [("a", "x"), ("a", "y")], "vid string, name string"), key=["vid"])
     assert both.count() == 2
+
+
+def test_headings_move_down_outside_fences(spark):
+    texts = ["\n # a\n## b\n###### c\n#none ", "```\n# in\n```\n# out", "x\n```py\n# in\n```\n# out\n```\n# open", "", None, "# one line"]
+    df = rows(spark, list(enumerate(texts)), "k int, t string").select("k", assemble.demoted_text(F.col("t")).alias("t"))
+    assert [r.t for r in df.orderBy("k").collect()] == ["## a\n### b\n###### c\n#none", "```\n# in\n```\n## out", "x\n```py\n# in\n```\n## out\n```\n# open", "", None, "## one line"]
