@@ -12,7 +12,7 @@ Texts are compared in lower case, with every run of ASCII marks and blanks as on
 than ``PART`` characters a passage counts too: any window of ``PART`` characters, one begins every ``PART_STEP``; its edits
 are given only if the item, or a long window of it, isn't found. Items of
 fewer than ``LEAST`` characters are too short to be evidence and are looked for exactly, as whole words.
-Null and empty texts contain nothing; null and empty items are never found; repeated rows get equal results;
+Null and empty texts contain nothing; items of a null or empty text are never found, those of a null id are found under it; repeated rows get equal results;
 empty tables give empty results or no finds; other columns pass through, one with the result's name with ``_input`` after
 it. The benchmark is gone through in blocks of at most ``BLOCK_BYTES``: one block at a time is in the driver and sent to executors,
 and each is one pass over the texts whose few finds are written to the shared folder.
@@ -190,12 +190,12 @@ class Index:
                     place = padded.find(words)
                     if place >= 0:
                         best[k][item_id] = (False, 0, place + len(words) - 2)
-        return [[{"item_id": i, "edits": e, "at": p} for i, (_, e, p) in sorted(b.items())] for b in best]
+        return [[{"item_id": i, "edits": e, "at": p} for i, (_, e, p) in sorted(b.items(), key=lambda x: (x[0] is None, x[0] or 0))] for b in best]
 
 
-def blocks_of(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
+def blocks_of(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int | None, str]]]:
     block, size = [], 0
-    rows = items.select(store.column(key).cast("long").alias("k"), store.column(text).alias("t")).where("k is not null and t is not null")
+    rows = items.select(store.column(key).cast("long").alias("k"), store.column(text).alias("t")).where("t is not null")
     for row in rows.distinct().orderBy("k", "t").toLocalIterator():
         if block and size + len(row[1]) > BLOCK_BYTES:
             yield block
@@ -205,7 +205,7 @@ def blocks_of(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int,
     yield block
 
 
-def _finder(block: list[tuple[int, str]]):
+def _finder(block: list[tuple[int | None, str]]):
     from pyspark.sql.pandas.functions import PandasUDFType, pandas_udf
 
     def run(batches):

@@ -231,3 +231,11 @@ def test_a_growing_benchmark_goes_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(contamination, "BLOCK_BYTES", 20_000)
     assert {r.doc_id: r.finds for r in contamination.with_finds(docs, more).collect()} == one
     assert any({f.item_id for f in x} & set(range(1000)) for x in one.values())
+
+
+def test_items_without_an_id_are_found(spark):
+    passage = "a passage of the benchmark that has no id but stands word for word in a document of the corpus"
+    items = spark.createDataFrame([(None, passage), (None, passage + " or so"), (3, passage.upper())], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of it")], "doc_id long, text string")
+    assert {r.doc_id: [f.item_id for f in r.finds] for r in contamination.with_finds(docs, items).collect()} == {1: [3, None], 2: []}
+    assert [r.doc_id for r in contamination.clean(docs, items).collect()] == [2]
