@@ -20,12 +20,12 @@ SELECT source, doc_id, chunk FROM r""")
 def hot_key_chunks(spark, sf_dir):
     """Documents packed in order by source, one of which has a third of all rows: it lies in many ranges."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
-    return folds.greedy_chunks(d, key=["source"], order=["doc_id"], size="size", cap=20_000, rows_per_range=500)
+    return folds.greedy_chunks(d, key=["source"], order=["doc_id"], size="size", cap=20_000, rows_per_range=900)
 
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents")
 def numbered_rows(spark, sf_dir):
-    return ranges.numbered(table(spark, sf_dir, "documents").select("source", "doc_id"), key=["source"], order=["doc_id"], rows_per_range=500)
+    return ranges.numbered(table(spark, sf_dir, "documents").select("source", "doc_id"), key=["source"], order=["doc_id"], rows_per_range=900)
 
 
 # --- votes ------------------------------------------------------------------------------------------------------------
