@@ -40,29 +40,33 @@ Key = tuple[int, int]
 HISTOGRAM = "bucket int, rows long, bytes long, min_h long, max_h long, min_d long, max_d long"
 
 
-def bucket_of(h: np.ndarray, d: np.ndarray, probes: list[Key]) -> np.ndarray:
+class Buckets:
     """How many of the sorted probes are at or below each key."""
-    ph, pd = np.array([p[0] for p in probes], np.int64), np.array([p[1] for p in probes], np.int64)
-    out = np.searchsorted(ph, h, "left")
-    heads, first, count = np.unique(ph, return_index=True, return_counts=True)
-    at = np.searchsorted(heads, h)
-    tied = np.flatnonzero(heads[np.minimum(at, len(heads) - 1)] == h) if len(heads) else np.zeros(0, np.int64)
-    for group in np.unique(at[tied]):  # only keys whose hash is itself a probe
-        rows = tied[at[tied] == group]
-        out[rows] += np.searchsorted(pd[first[group] : first[group] + count[group]], d[rows], "right")
-    return out
+
+    def __init__(self, probes: list[Key]):
+        self.h, self.d = (np.array([p[i] for p in probes], np.int64) for i in (0, 1))
+        self.heads, self.first, self.count = np.unique(self.h, return_index=True, return_counts=True)
+
+    def of(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
+        out = np.searchsorted(self.h, h, "left")
+        at = np.searchsorted(self.heads, h)
+        tied = np.flatnonzero(self.heads[np.minimum(at, len(self.heads) - 1)] == h) if len(self.heads) else np.zeros(0, np.int64)
+        for group in np.unique(at[tied]):  # only keys whose hash is itself a probe
+            rows = tied[at[tied] == group]
+            out[rows] += np.searchsorted(self.d[self.first[group] : self.first[group] + self.count[group]], d[rows], "right")
+        return out
 
 
 def histogram(keys: DataFrame, probes: list[Key]) -> dict[int, tuple]:
     """Exact rows, bytes and extreme keys between neighbouring probes; as many rows as probes at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(probes) + 1
+        n, buckets = len(probes) + 1, Buckets(probes)
         rows, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
         low_h, high_h, low_d, high_d = np.full(n, MOST), np.full(n, LEAST), np.full(n, MOST), np.full(n, LEAST)
         for batch in batches:
             h, d, b = (batch.column(i).to_numpy() for i in range(3))
-            k = bucket_of(h, d, probes)
+            k = buckets.of(h, d)
             rows += np.bincount(k, minlength=n)
             np.add.at(size, k, b)
             np.minimum.at(low_h, k, h)
@@ -106,22 +110,29 @@ class Boundary:
             drawn = [(h0, x) for x in range(d0 + step, d1 + 1, step)]
         return [*drawn, self.low, self.high]
 
-    def narrow(self, probes: list[Key], found: dict[int, tuple], below: list[tuple[int, int]]) -> None:
-        """``below``: rows and bytes below the start of each bucket."""
-        for k in range(len(probes) + 1):
-            rows, size, min_h, max_h, min_d, max_d = found.get(k, (0, 0, 0, 0, 0, 0))
-            if not rows or below[k][1] + size < self.target:
-                continue
-            self.below_low, self.below_high = below[k], (below[k][0] + rows, below[k][1] + size)
-            start, end = probes[k - 1] if k else (LEAST, LEAST), probes[k] if k < len(probes) else (MOST, MOST)
-            if min_h < max_h:
-                self.low = max(start, (min_h, LEAST))
-                self.high = min(end, (max_h + 1, LEAST)) if max_h < MOST else end
-                self._try()
-            else:
-                self.low, self.high = (min_h, min_d), (min_h, max_d + 1)
-                self._try(exhausted=min_d == max_d)
-            return
+    def narrow(self, probes: list[Key], k: int, found: tuple, below: tuple[int, int]) -> None:
+        """The boundary lies in bucket ``k``; ``found`` is that bucket, ``below`` the rows and bytes before it."""
+        rows, size, min_h, max_h, min_d, max_d = found
+        self.below_low, self.below_high = below, (below[0] + rows, below[1] + size)
+        start, end = probes[k - 1] if k else (LEAST, LEAST), probes[k] if k < len(probes) else (MOST, MOST)
+        if min_h < max_h:
+            self.low = max(start, (min_h, LEAST))
+            self.high = min(end, (max_h + 1, LEAST)) if max_h < MOST else end
+            self._try()
+        else:
+            self.low, self.high = (min_h, min_d), (min_h, max_d + 1)
+            self._try(exhausted=min_d == max_d)
+
+
+def settle(open_: list[Boundary], probes: list[Key], found: dict[int, tuple]) -> None:
+    """Narrow every open boundary to the bucket that its target lies in: the first whose bytes reach it."""
+    used = sorted(found)  # buckets with rows, and the rows and bytes up to the end of each
+    rows_to, bytes_to = (np.cumsum([found[k][i] for k in used]) for i in (0, 1))
+    for b, place in zip(open_, np.searchsorted(bytes_to, [b.target for b in open_], "left"), strict=True):
+        place = min(place, len(used) - 1)
+        k = used[place]
+        rows_in, bytes_in = found[k][:2]
+        b.narrow(probes, k, found[k], (int(rows_to[place]) - rows_in, int(bytes_to[place]) - bytes_in))
 
 
 def find_boundaries(keys: DataFrame, shards: int, *, ranges: int | None = None, tolerance: float = TOLERANCE, range_tolerance: float = RANGE_TOLERANCE, fan: int = FAN) -> tuple[list[tuple[Key, int]], int]:
@@ -135,13 +146,7 @@ def find_boundaries(keys: DataFrame, shards: int, *, ranges: int | None = None,
     while open_ := [b for b in bounds if b.settled is None]:
         probes = sorted({p for b in open_ for p in b.probes(fan)})
         found = histogram(keys, probes)
-        below, at = [], (0, 0)
-        for k in range(len(probes) + 1):
-            below.append(at)
-            if k in found:
-                at = (at[0] + found[k][0], at[1] + found[k][1])
-        for b in open_:
-            b.narrow(probes, found, below)
+        settle(open_, probes, found)
     return [(b.settled, b.rows_below) for b in bounds], ranges
 
 
@@ -161,11 +166,12 @@ def sharded(df: DataFrame, *, shards: int = SHARDS, key: str = "doc_id", text: s
     starts = [b[0] for b in bounds]
     below = [0, *(b[1] for b in bounds)]
 
+    begin = np.array([below[i] - below[i - i % ranges] for i in range(len(below))], np.int64)
+
     def locate(h, d):
         import pandas as pd
 
-        k = bucket_of(h.to_numpy(), d.to_numpy(), starts) if starts else np.zeros(len(h), np.int64)
-        begin = np.array([below[i] - below[i - i % ranges] for i in range(len(below))], np.int64)
+        k = Buckets(starts).of(h.to_numpy(), d.to_numpy()) if starts else np.zeros(len(h), np.int64)
         return pd.DataFrame({"range": k.astype(np.int32), "first": begin[k]})
 
     located = pandas_udf(locate, "range int, first long")

@@ -598,3 +598,25 @@ def test_sketches_bound_differences():
         assert np.bitwise_count(jaccard.folded(x, words) ^ jaccard.folded(y, words)).sum() <= len(np.setxor1d(a, b))
         groups = jaccard.possible_groups(np.array([len(a), len(b), n]), [x, y, jaccard.sketch_of(np.unique(rnd.integers(0, 1 << 62, n, dtype=np.uint64)))], (9, 10))
         assert not jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b), (9, 10)) or any({0, 1} <= set(g.tolist()) for g in groups)
+
+
+def test_a_thousand_ranges_and_the_driver_s_work(spark):
+    """Each boundary is narrowed by one look at the sums: 15,600 of them in seconds."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = 15_600
+    hashes = np.sort(rng.integers(-(1 << 62), 1 << 62, 4 * n))
+    probes = sorted((int(x), shards.LEAST) for x in hashes)
+    found = {k: (1, 100, probes[k - 1][0], probes[k - 1][0] + 9, 0, 9) for k in range(1, len(probes) + 1)}
+    bounds = [shards.Boundary(400.0 * k, 1.0, 4 * n, 400 * n) for k in range(1, n)]
+    began = time.perf_counter()
+    shards.settle(bounds, probes, found)
+    assert time.perf_counter() - began < 10
+    assert all(b.below_low[1] < b.target <= b.below_high[1] for b in bounds)
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id % 900) as text")
+    rows = shards.sharded(docs, shards=4, ranges=250).collect()
+    by = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(4)}
+    assert all(v == list(range(len(v))) for v in by.values()) and len(rows) == 5000
