@@ -17,7 +17,7 @@ beyond 64 bits as the largest such number. Other columns pass through ``compress
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +58,12 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def kept_integers(df: DataFrame, *, key: str, vector: str, parts: int = PARTS) -> tuple[DataFrame, int]:
-    """``row`` (all columns), ``key`` and ``x`` (integer components) of the rows that are kept, and their length."""
+def kept_integers(df: DataFrame, *, key: str, vector: str, parts: int = PARTS, keep: Sequence[str] | None = None) -> tuple[DataFrame, int]:
+    """``row`` (the columns of ``keep``, all if not given), ``key`` and ``x`` (integer components) of the rows that are kept, and their length."""
     v = store.column(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    held = df.select(store.whole_row(df, RESULTS).alias("row"), store.column(key).alias("key"), v.alias("v")).where(v.isNotNull() & finite & (F.size(v) > 0) & (F.size(v) % parts == 0))
+    row = store.whole_row(df.select(*map(store.column, df.columns if keep is None else keep)), RESULTS)
+    held = df.select(row.alias("row"), store.column(key).alias("key"), v.alias("v")).where(v.isNotNull() & finite & (F.size(v) > 0) & (F.size(v) % parts == 0))
     common = held.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     width = common[0] if common else parts
     return held.where(F.size("v") == width).select("row", "key", F.transform("v", lambda x: F.floor(F.lit(SCALE) * x.cast("double"))).alias("x")), width
@@ -154,20 +155,19 @@ def _capped(total):
     return F.least(total, F.lit(MOST)).cast("long")
 
 
-def compressed(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of ``df`` that are kept, with the columns of ``RESULTS``."""
-    integers, width = kept_integers(df, key=key, vector=vector, parts=parts)
-    numbered = integers.select(F.monotonically_increasing_id().alias("number"), "row", "key", "x")
+def compressed(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, keep: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``df`` that are kept (of its columns those of ``keep``, all if not given) with the columns of ``RESULTS``."""
+    integers, width = kept_integers(df.withColumn(labels := store.free_name(df, "labels"), store.column(label)), key=key, vector=vector, parts=parts, keep=[*(df.columns if keep is None else keep), labels])
+    numbered = integers.select(F.monotonically_increasing_id().alias("number"), F.col(f"row.{labels}").alias("label"), F.col("row").dropFields(labels).alias("row"), "key", "x")
     vectors = store.materialise(numbered, "codebook-vectors")  # written once, so that numbers stay
     distinct, books = learned(vectors, width, parts=parts, entries=entries, rounds=rounds)
     codes = store.materialise(assigned(distinct, books), "codebook-codes") if len(books[0]) else assigned(distinct, books)
     pieces = vectors.select("number", F.posexplode(_cut(width, parts)).alias("position", "part")).join(codes, ["position", "part"])
     packed = F.transform(F.array_sort(F.collect_list(F.struct("position", "entry"))), lambda s: F.lower(F.lpad(F.hex(s["entry"]), 2, "0")))
     coded = pieces.groupBy("number").agg(F.array_join(packed, "").alias("code"), _capped(F.sum(F.col("off").cast("decimal(38, 0)"))).alias("error"))
-    named = {c: n for c, n in zip(df.columns, vectors.schema["row"].dataType.fieldNames(), strict=True)}
-    whole = store.materialise(vectors.select("number", "row", F.col("row")[named[label]].alias("label")).join(coded, "number").drop("number"), "codebook-whole")
-    store.discard(vectors)
-    store.discard(distinct)
+    whole = store.materialise(vectors.select("number", "row", "label").join(coded, "number").drop("number"), "codebook-whole")
+    for table in (vectors, distinct, codes):
+        store.discard(table)
     sums = store.materialise(whole.groupBy("label").agg(_capped(F.sum(F.col("error").cast("decimal(38, 0)"))).alias("label_error")), "codebook-labels")
     sent = store.bounded(sums.select(F.col("label").alias("_label"), "label_error"), store.SENT_ROWS)
     out = whole.join(sent, F.col("label").eqNullSafe(F.col("_label")))
@@ -175,7 +175,7 @@ def compressed(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
 
 
 def op13_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compressed(store.read_table(spark, sf_dir, "embeddings")).select("vec_id", *RESULTS)
+    return compressed(store.read_table(spark, sf_dir, "embeddings"), keep=["vec_id"]).select("vec_id", *RESULTS)
 
 
 def _rounds_in_sql() -> str:
