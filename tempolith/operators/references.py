@@ -48,6 +48,7 @@ def reference_votes(
     chosen = rows.where(F.col("i") % stride(F.col("_rows"), usual=usual, least=least, most=most) == 0)
     references = chosen.select(*key, F.col("i").alias("_i"), F.col("_v").alias("_r"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
     far = F.abs(F.col("i") - F.col("_i")) >= F.least(F.lit(gap).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("_rows") / 4)))
-    alike = (rms_distance(F.col("_v"), F.col("_r"), 0, width) >= apart) & (rms_distance(F.col("_v"), F.col("_r"), *part) <= same)
-    met = met_by(salted, references, [*key, "_salt"], also=far & alike)
-    return met.groupBy(*key, *order, "i").agg(F.count("_i").alias("votes"))
+    # the part is short and few pairs pass it; only those are compared as a whole
+    near = met_by(salted, references, [*key, "_salt"], "inner", far & (rms_distance(F.col("_v"), F.col("_r"), *part) <= same))
+    votes = near.where(rms_distance(F.col("_v"), F.col("_r"), 0, width) >= apart).groupBy(*key, "i").agg(F.count("*").alias("votes"))
+    return met_by(placed.drop("_v"), votes, [*key, "i"]).withColumn("votes", F.coalesce("votes", F.lit(0).cast("long")))
