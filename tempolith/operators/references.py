@@ -7,7 +7,6 @@ order, looks different as a whole and the same in a part: what stays in that par
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +17,9 @@ from .ranges import met_by, numbered
 SALTS = 16
 
 
-def rms_distance(a: Column, b: Column, first: int, last: int) -> Column:
-    """Root of the mean squared difference of the components from ``first`` up to ``last``; null if one of them is."""
-    squares = [F.pow(F.try_element_at(a, F.lit(k + 1)).cast("double") - F.try_element_at(b, F.lit(k + 1)).cast("double"), 2) for k in range(first, last)]
-    return F.sqrt(reduce(lambda x, y: x + y, squares) / len(squares))
+def rms_distance(a: Column, b: Column, size: int) -> Column:
+    """Root of the mean squared difference of two arrays of ``size`` doubles; null if one is null or holds a null."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / size)
 
 
 def stride(rows: Column, *, usual: int, least: int, most: int) -> Column:
@@ -41,14 +39,17 @@ def reference_votes(
     from each other and the components ``part`` are within ``same``. ``order`` must be complete within a key. A row whose vector is null or too
     short has no votes and gives none. Each row meets ``most`` references at the most.
     """
-    placed = numbered(df.select(*key, *order, F.col(vector).alias("_v")), key=key, order=order, rows_per_range=rows_per_range)
+    components = F.when(F.size(vector) >= width, F.slice(F.col(vector).cast("array<double>"), 1, width))
+    placed = numbered(df.select(*key, *order, components.alias("_v")), key=key, order=order, rows_per_range=rows_per_range)
     sizes = placed.groupBy(*key).agg(F.count("*").alias("_rows"))
     rows = met_by(placed, sizes, key)
+    first, last = part
+    rows = rows.withColumn("_p", F.slice("_v", first + 1, last - first))
     salted = rows.withColumn("_salt", (F.col("i") % SALTS).cast("int"))
     chosen = rows.where(F.col("i") % stride(F.col("_rows"), usual=usual, least=least, most=most) == 0)
-    references = chosen.select(*key, F.col("i").alias("_i"), F.col("_v").alias("_r"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
+    references = chosen.select(*key, F.col("i").alias("_i"), F.col("_v").alias("_r"), F.col("_p").alias("_q"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
     far = F.abs(F.col("i") - F.col("_i")) >= F.least(F.lit(gap).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("_rows") / 4)))
     # the part is short and few pairs pass it; only those are compared as a whole
-    near = met_by(salted, references, [*key, "_salt"], "inner", far & (rms_distance(F.col("_v"), F.col("_r"), *part) <= same))
-    votes = near.where(rms_distance(F.col("_v"), F.col("_r"), 0, width) >= apart).groupBy(*key, "i").agg(F.count("*").alias("votes"))
+    near = met_by(salted, references, [*key, "_salt"], "inner", far & (rms_distance(F.col("_p"), F.col("_q"), last - first) <= same))
+    votes = near.where(rms_distance(F.col("_v"), F.col("_r"), width) >= apart).groupBy(*key, "i").agg(F.count("*").alias("votes"))
     return met_by(placed.drop("_v"), votes, [*key, "i"]).withColumn("votes", F.coalesce("votes", F.lit(0).cast("long")))
