@@ -1,6 +1,6 @@
 """State between runs: keyed patches, ledgers, rounds, apply-once stamps, read-through caches.
 
-J-05, J-10, STA-01 to STA-12, AGG-08, AGG-09, SRC-04, SRC-19, NST-08, NST-09, SNK-04, IMG-16, SET-08. Ledgers are
+J-05, J-10, STA-01 to STA-12, AGG-08, AGG-09, SRC-04, SRC-19, NST-08, SET-08. Ledgers are
 append-only tables; the latest row of a key is chosen by a total order, never by arrival.
 """
 

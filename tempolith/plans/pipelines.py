@@ -1,5 +1,5 @@
-"""Command-like compositions over all entities at once: CMD-01, CMD-03, CMD-05 to CMD-14, CMD-16, CMD-17, CMD-19 to
-CMD-29, ORC-01, ORC-08 to ORC-10, ORC-13 to ORC-16, ORC-25, ORC-30, SNK-03, SNK-05, SNK-11 to SNK-15, SNK-19, WIN-26.
+"""Command-like compositions over all entities at once: CMD-01, CMD-03, CMD-05, CMD-07 to CMD-09, CMD-11, CMD-12, CMD-20, CMD-21,
+CMD-23 to CMD-25, CMD-27, ORC-01, ORC-08, SNK-13, SNK-18, WIN-26.
 
 Each function takes tables and returns tables. Fetching, logging in, prompts and pixels are not queries.
 """

@@ -1,7 +1,6 @@
 """Tables of artifacts with explicit schemas, readers, sinks and the operator registry.
 
-SRC-03, SRC-09, SRC-12, SRC-13, SRC-15, SRC-20, SRC-22, SRC-23, SNK-01, SNK-04, STA-07, STA-08, NST-01, NST-03, NST-04,
-NST-07, NST-10, CMD-31, ORC-02, ORC-04 to ORC-07, ORC-20, ORC-23, ORC-34. What another system makes (downloads, decoded frames,
+SRC-15, SRC-20, SRC-22, SRC-23, SNK-01, NST-01, NST-03, NST-04, NST-07, ORC-02, ORC-20, ORC-34. What another system makes (downloads, decoded frames,
 recognised speech and text) enters as these tables.
 """
 
