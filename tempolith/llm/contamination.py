@@ -11,7 +11,8 @@ Texts are compared in lower case, with every run of ASCII marks and blanks as on
 ``WINDOW`` characters is looked for in overlapping windows of that length; a window found counts. Of an item longer
 than ``PART`` characters a passage counts too: any window of ``PART`` characters, one begins every ``PART_STEP``; its edits
 are given only if the item, or a long window of it, isn't found. Items of
-fewer than ``LEAST`` characters are too short to be evidence and are looked for exactly, as whole words.
+fewer than ``LEAST`` characters are looked for as whole words: the blanks around them are characters of theirs. Their budget is a
+tenth of their characters, too, or fewer, as many as leave ``FEWEST`` shared q-grams to tell them by.
 Null and empty texts contain nothing; items of a null or empty text are never found, those of a null id are found under it; repeated rows get equal results;
 empty tables give empty results or no finds; other columns pass through, one with the result's name with ``_input`` after
 it. The benchmark is gone through in blocks of at most ``BLOCK_BYTES``: one block at a time is in the driver and sent to executors,
@@ -32,6 +33,7 @@ from . import store
 Q = 8
 EDITS = 0.1  # of an item's characters
 WINDOW, LEAST = 400, 48
+FEWEST = 4  # q-grams that the bound of an item of fewer than LEAST characters demands
 PART, PART_STEP = 200, 50
 COARSE = 128  # diagonals, no fewer than a band of any window has
 BLOCK_BYTES = 8_000_000
@@ -97,14 +99,17 @@ class Index:
         self.windows: list[np.ndarray] = []
         self.part: list[bool] = []  # a passage; those of an item follow its long windows
         self.short: list[tuple[int, bytes]] = []
+        self.edges: list[bool] = []  # the window has a blank at both ends that its item lacks
         whole: list[np.ndarray] = []
         owner: list[int] = []  # of each window, as a number of ``whole``
         for item_id, text in items:
             raw = normalised(text)
-            if len(raw) < LEAST:
-                if raw:
-                    self.short.append((item_id, b" " + raw + b" "))
-                continue
+            edges = len(raw) < LEAST
+            if edges:
+                if not raw:
+                    continue
+                raw = b" " + raw + b" "
+                self.short.append((item_id, raw))
             whole.append(np.frombuffer(raw, np.uint8))
             for size, step in ((WINDOW, WINDOW // 2), (PART, PART_STEP))[: 1 + (len(raw) > PART)]:
                 last = max(0, len(raw) - size)
@@ -112,9 +117,11 @@ class Index:
                     self.ids.append(item_id)
                     self.windows.append(np.frombuffer(raw[start : start + size], np.uint8))
                     self.part.append(size == PART)
+                    self.edges.append(edges)
                     owner.append(len(whole) - 1)
-        length = np.array([len(w) for w in self.windows], np.int64)
-        self.budget = np.floor(EDITS * length).astype(np.int64)
+        length, short = np.array([len(w) for w in self.windows], np.int64), np.array(self.edges, bool)
+        self.budget = np.floor(EDITS * (length - 2 * short)).astype(np.int64)
+        self.budget = np.where(short, np.minimum(self.budget, np.maximum(0, (length - Q + 1 - FEWEST) // Q)), self.budget)
         self.bound = np.maximum(1, length - Q + 1 - Q * self.budget)
         self.code, self.window, self.place = sorted_grams(self.windows)
         self.item_code, self.item, self.item_place = sorted_grams(whole)
@@ -160,7 +167,7 @@ class Index:
         while at < len(texts):  # so many texts at a time as fill a chunk, joined by a byte that no text has
             part, size = [], 0
             while at < len(texts) and (not part or size < CHUNK):
-                part.append(normalised(texts[at]))
+                part.append(b" " + normalised(texts[at]) + b" ")
                 size += len(part[-1]) + 1
                 at += 1
             out.extend(self._chunk(part))
@@ -181,13 +188,13 @@ class Index:
                 begin = max(0, first)
                 same = text[begin : first + width + len(item)].tobytes().find(item.tobytes()) if first + width + len(item) > 0 else -1
                 edits, end = (0, begin + same + len(item)) if same >= 0 else aligned(item, text, first, width)
+                end -= 1 + self.edges[window]  # the blanks before the text and behind the item
                 if edits <= limit and (known is None or (passage, edits, end) < known):
                     best[k][self.ids[window]] = (passage, edits, end)
         if self.short:
             for k, text in enumerate(part):
-                padded = b" " + text + b" "
                 for item_id, words in self.short:
-                    place = padded.find(words)
+                    place = text.find(words)
                     if place >= 0:
                         best[k][item_id] = (False, 0, place + len(words) - 2)
         return [[{"item_id": i, "edits": e, "at": p} for i, (_, e, p) in sorted(b.items(), key=lambda x: (x[0] is None, x[0] or 0))] for b in best]
