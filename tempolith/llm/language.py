@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from . import store
 
-#: The bounds of what is learned from: documents and bytes of raw content per language, languages.
-SAMPLE_DOCUMENTS, DICTIONARY_BYTES, LANGUAGES = 400, 131_072, 200
+#: The bounds of what is learned from: documents and bytes of raw content per language, and bytes of all languages together. Every
+#: language is learned; where there are more than ``SAMPLE_BYTES // DICTIONARY_BYTES`` of them, each from fewer bytes and documents.
+SAMPLE_DOCUMENTS, DICTIONARY_BYTES, SAMPLE_BYTES = 400, 131_072, 1 << 25
 BLOCK = 4096
 LEVEL = 5
 STRETCHES, STRETCH = 16, 2048
@@ -42,9 +43,11 @@ def learn(df: DataFrame, *, text: str = "text", label: str = "lang", documents:
     threshold on the hash before anything is exchanged, so a frequent language or text costs no task more than others."""
     rows = df.where(store.column(label).isNotNull() & (F.length(store.column(text)) > 0)).select(store.column(label).alias("lang"), store.column(text).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").collect()  # a row for each language
     if not counts:
         return {}
+    fitting = max(1, min(size, SAMPLE_BYTES // len(counts)))
+    documents, size = max(1, documents * fitting // size), fitting
     # four times as many as needed pass, so that fewer than needed are as good as impossible
     least = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * max(documents, 100) / max(r["texts"], 1)))])
     share = max(1, size // documents)
@@ -57,7 +60,7 @@ def learn(df: DataFrame, *, text: str = "text", label: str = "lang", documents:
         .where(F.col("n") <= documents)
     )
     content: dict[str, list[bytes]] = {}
-    for row in parts.select("lang", "n", "part").orderBy("lang", "n").collect():  # at most LANGUAGES * documents short parts
+    for row in parts.select("lang", "n", "part").orderBy("lang", "n").collect():  # short parts, four times SAMPLE_BYTES at most
         content.setdefault(row["lang"], []).append(row["part"].lower().encode())
     out = {}
     for lang in (r["lang"] for r in counts if r["lang"] in content):
