@@ -211,7 +211,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def with_ids(df: DataFrame, *, text: str = "text", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """Add the ids of every whole text as ``array<int>``."""
+    """Add the ids of every whole text as ``array<int>`` (null: empty). A column that has the name already stays with ``_input`` after it."""
     path = vocabulary or vocabulary_path()
 
     def encode(batches):
@@ -220,11 +220,12 @@ def with_ids(df: DataFrame, *, text: str = "text", ids: str = "ids", vocabulary:
         for batch in batches:
             yield pd.Series([x.astype(np.int32) for x in coder_for(path)[1].encode(_strings(batch))])
 
-    return df.withColumn(ids, _iterating(encode, "array<int>")(F.col(text)))
+    rows, text = store.set_apart(df, [ids], text)
+    return rows.withColumn(ids, _iterating(encode, "array<int>")(store.column(text)))
 
 
 def with_text(df: DataFrame, *, ids: str = "ids", out: str = "decoded", vocabulary: str | None = None) -> DataFrame:
-    """Add the bytes that an array of ids stands for (null: null)."""
+    """Add the bytes that an array of ids stands for (null: null). A column that has the name already stays with ``_input`` after it."""
     path = vocabulary or vocabulary_path()
 
     def decode(batches):
@@ -234,7 +235,8 @@ def with_text(df: DataFrame, *, ids: str = "ids", out: str = "decoded", vocabula
             coder = coder_for(path)[0]
             yield pd.Series([None if x is None else coder.decode(x.tolist()) for x in batch], dtype=object)
 
-    return df.withColumn(out, _iterating(decode, "binary")(F.col(ids)))
+    rows, ids = store.set_apart(df, [out], ids)
+    return rows.withColumn(out, _iterating(decode, "binary")(store.column(ids)))
 
 
 def _strings(batch) -> list[str | None]:
@@ -274,7 +276,7 @@ def encode_decode_digests(df: DataFrame, *, key: str = "doc_id", text: str = "te
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, DIGEST_SCHEMA)
+    return df.select(store.column(key).cast("long").alias("doc_id"), store.column(text).alias("text")).mapInArrow(run, DIGEST_SCHEMA)
 
 
 def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

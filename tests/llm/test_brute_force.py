@@ -169,6 +169,31 @@ def test_all_pairs_of_items_and_texts():
     assert near > 20
 
 
+def test_all_pairs_of_short_items_and_texts():
+    rnd = random.Random(14)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(n))
+    items = [(k, words(12)[:length].strip().ljust(length, "x")) for k, length in enumerate([5, 8, 10, 13, 17, 20, 22, 24, 29, 30, 33, 36, 40, 41, 44, 47])]
+    texts = ["", " "]
+    for _ in range(150):
+        letters = list(rnd.choice(items)[1])
+        for _ in range(rnd.choice((0, 0, 1, 2, 3, 4, 5))):
+            at = rnd.randrange(len(letters))
+            letters[at : at + 1] = rnd.choice(([], ["z"], [letters[at], "y"]))
+        texts.append(words(rnd.randint(0, 9)) + rnd.choice(("", " ", " ")) + "".join(letters) + rnd.choice(("", " ", " ")) + words(rnd.randint(0, 9)))
+    index, near = contamination.Index(items), 0
+    for text, found in zip(texts, index.find(texts), strict=True):
+        want = {}
+        for k, item in items:
+            edits = least_edits(b" " + item.encode() + b" ", b" " + contamination.normalised(text) + b" ")
+            if edits <= max(0, min(len(item) // 10, (len(item) + 2 - 8 + 1 - 4) // 8)):
+                want[k] = edits
+        near += sum(0 < e for e in want.values())
+        assert {f["item_id"]: f["edits"] for f in found} == want, text
+    assert near > 20
+    item = "which river is the longest one of the earth?"
+    assert [[f["item_id"] for f in x] for x in contamination.Index([(1, item)]).find([item, "so " + item.replace("longest", "longst") + " it is", item.replace("one of", "1 in all"), "river"])] == [[1], [1], [], []]
+
+
 # --- odd rows
 
 CLASH = ("row", "h", "d", "at", "range", "first", "digest", "bytes", "id", "parts", "new", "judged", "scan", "finds", "size", "shard", "slot", "detections", "n_words", "margin", "score", "lang_pred", "pii", "host", "path", "rule", "verdict", "trust", "distrust", "k", "t", "n", "rep", "cells", "frame", "value", "set_id", "region")
@@ -239,3 +264,18 @@ def test_items_without_an_id_are_found(spark):
     docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of it")], "doc_id long, text string")
     assert {r.doc_id: [f.item_id for f in r.finds] for r in contamination.with_finds(docs, items).collect()} == {1: [3, None], 2: []}
     assert [r.doc_id for r in contamination.clean(docs, items).collect()] == [2]
+
+
+def test_every_language_is_learned_within_the_bound(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, " ".join(f"w{k % 300}x{j}" for j in range(40)), f"l{k % 300:03d}") for k in range(900)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 30_000)
+    content = language.learn(rows)
+    assert len(content) == 300 and all(0 < len(x) <= 100 for x in content.values())
+
+
+def test_token_columns_leave_the_callers_columns(spark):
+    rows = spark.createDataFrame([("hello world", "mine", 1), (None, "too", 2)], "`a.b` string, ids string, decoded int")
+    got = bpe.with_text(bpe.with_ids(rows, text="a.b")).collect()
+    assert [(r["ids_input"], r["decoded_input"]) for r in got] == [("mine", 1), ("too", 2)]
+    assert [bytes(r["decoded"]) for r in got] == [b"hello world", b""] and list(got[1]["ids"]) == []
+    assert bpe.encode_decode_digests(rows.withColumn("k.k", F.lit(7)), key="k.k", text="a.b").count() == 2
