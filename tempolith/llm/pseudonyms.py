@@ -6,18 +6,18 @@ the sequences of its format: in each round one half is shifted, symbol by symbol
 keyed hash of the other half. So a pseudonym has the same format and validity, equal values have equal
 pseudonyms in all documents, different values have different ones, and the key's owner can invert them.
 
-=========== =============================================== ====================================
+=========== =============================================== ==========================================================
 kind        found as                                        symbols
-=========== =============================================== ====================================
+=========== =============================================== ==========================================================
 card        13 to 19 digits, grouped or not, Luhn-valid     digits but the first and the check digit
 phone       + country code, one to five national groups     national digits
 ssn         ddd-dd-dddd in the issued ranges                area, group, serial
 ip          four octets                                     octets
-date        y-m-d, d.m.y, m/d/y or d/m/y, calendar-valid    day number in its block of 73,000 days
+date        y-m-d, d.m.y, m/d/y or d/m/y, calendar-valid    day number in its block of 73,000 days, or day, month, year
 email       local part and domain                           letters and digits of the local part
 iban        country, check digits, account; mod 97 valid    account digits; check digits follow
 secret      access key ids, quoted tokens, passwords        letters and digits, or hex digits
-=========== =============================================== ====================================
+=========== =============================================== ==========================================================
 
 Letters in an IBAN's account stay. Its blanks may stand among letters only in the countries whose accounts have
 letters; there the country's length tells where it ends, so words in capitals after it don't count. A secret's
@@ -39,6 +39,9 @@ from . import store
 ROUNDS = 6  # even, so that the halves end where they began
 #: Days of a block, as 250 x 292 symbols; the first block begins on 1900-01-01.
 DATE_MODULI, DATE_DAYS, DATE_ORIGIN = (250, 292), 73_000, "1900-01-01"
+#: 0001-01-01 and 9999-12-31, counted from there. The first and last block lie half outside, so a date there is
+#: outside after so many turns once in 2 to the power of 60; of days over 12, three in a hundred are in no month.
+FIRST_DAY, LAST_DAY, DATE_TURNS, DAY_FIRST_TURNS = -693_595, 2_958_463, 64, 16
 #: The key of the registered query, which is public; callers pass one of their own.
 QUERY_KEY = "tempolith"
 #: Set around values while a text is cut; a text that has it is gone through twice instead.
@@ -182,22 +185,22 @@ def _ip(net: Network) -> tuple[str, str]:
 
 
 def _date(net: Network) -> tuple[str, str]:
-    """Slashes mean month first where that is a date. Day first has a day over 12: then days up to 28 move
-    with month and year in the century, later ones keep day and month (29 February keeps its year too)."""
+    """Slashes mean month first where that is a date. Day first has a day over 12: those move among such days of their century.
+    What falls outside the calendar is permuted again, until it is a date of the years 1 to 9999."""
     formats = "case when v like '%-%' then 'yyyy-MM-dd' when v like '%.%' then 'dd.MM.yyyy' when try_to_timestamp(v, 'MM/dd/yyyy') is not null then 'MM/dd/yyyy' else 'dd/MM/yyyy' end"
     day = "date_diff(cast(try_to_timestamp(v, f) as date), date'" + DATE_ORIGIN + "')"
-    valid = net.bound("f", formats, "try_to_timestamp(v, f) is not null")
-    symbols = f"array(cast(pmod(n, {DATE_DAYS}) div {DATE_MODULI[1]} as int), cast(pmod(n, {DATE_DAYS}) % {DATE_MODULI[1]} as int))"
-    block = f"cast(floor(n / {DATE_DAYS}) as int) * {DATE_DAYS}"
-    numbered = net.bound("n", day, net.bound(
-        "p", net.permuted(symbols, f"array({DATE_MODULI[0]}, {DATE_MODULI[1]})", "concat('date', f)"),
-        f"date_format(date_add(date'{DATE_ORIGIN}', {block} + p[0] * {DATE_MODULI[1]} + p[1]), f)",
-    ))
-    dd, mm, yy = ("cast(substr(v, 1, 2) as int)", "cast(substr(v, 4, 2) as int)", "cast(substr(v, 9, 2) as int)")
-    early = net.bound("p", net.permuted(f"array({dd} - 13, {mm} - 1, {yy})", "array(16, 12, 100)", "concat('day', substr(v, 7, 2))"), "format_string('%02d/%02d/%s%02d', p[0] + 13, p[1] + 1, substr(v, 7, 2), p[2])")
-    late = net.bound("p", net.permuted(f"array(cast({yy} div 10 as int), {yy} % 10)", "array(10, 10)", "concat('late', substr(v, 1, 8))"), "concat(substr(v, 1, 8), cast(p[0] as string), cast(p[1] as string))")
-    body = net.bound("f", formats, f"case when f <> 'dd/MM/yyyy' then {numbered} when {dd} <= 28 then {early} when {mm} <> 2 then {late} else v end")
-    return valid, body
+    valid = net.bound("f", formats, f"{day} between {FIRST_DAY} and {LAST_DAY}")
+    symbols = f"array(cast(y div {DATE_MODULI[1]} as int), cast(y % {DATE_MODULI[1]} as int))"
+    moved = net.bound("p", net.permuted(symbols, f"array({DATE_MODULI[0]}, {DATE_MODULI[1]})", "concat('date', f)"), f"p[0] * {DATE_MODULI[1]} + p[1]")
+    inside = f"turn > 1 and b + y between {FIRST_DAY} and {LAST_DAY}"
+    numbered = net.bound("n", day, net.bound("b", f"cast(floor(n / {DATE_DAYS}) as int) * {DATE_DAYS}", (
+        f"date_format(date_add(date'{DATE_ORIGIN}', b + aggregate(sequence(1, {DATE_TURNS}), n - b, (y, turn) -> if({inside}, y, {moved}))), f)"
+    )))
+    symbols = "array(cast(substr(y, 1, 2) as int) - 13, cast(substr(y, 4, 2) as int) - 1, cast(substr(y, 9, 2) as int))"
+    moved = net.bound("p", net.permuted(symbols, "array(19, 12, 100)", "concat('day', substr(v, 7, 2))"), "format_string('%02d/%02d/%s%02d', p[0] + 13, p[1] + 1, substr(v, 7, 2), p[2])")
+    inside = "turn > 1 and year(try_to_timestamp(y, 'dd/MM/yyyy')) > 0"
+    day_first = f"aggregate(sequence(1, {DAY_FIRST_TURNS}), v, (y, turn) -> if({inside}, y, {moved}))"
+    return valid, net.bound("f", formats, f"if(f = 'dd/MM/yyyy', {day_first}, {numbered})")
 
 
 def _email(net: Network) -> tuple[str, str]:

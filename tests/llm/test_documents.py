@@ -313,6 +313,25 @@ def test_pseudonyms_invert_and_keep_formats(spark):
     assert other.text != got[0].text
 
 
+def test_dates_keep_to_the_calendar(spark):
+    """No date leaves its format or the calendar, no kind of date stays as it is, and the inverse gives all back."""
+    from datetime import date, datetime, timedelta
+
+    edge = [date.max - timedelta(days=45 * k) for k in range(400)] + [date.min + timedelta(days=45 * k) for k in range(400)]
+    iso = [f"{d.year:04d}-{d.month:02d}-{d.day:02d}" for d in edge]
+    late = [d for k in range(4000) if (d := date(2000, 1, 1) + timedelta(days=7 * k)).day > 12] + [date(2024, 2, 29), date(1999, 12, 31), date(1, 1, 13)]
+    first = [f"{d.day:02d}/{d.month:02d}/{d.year:04d}" for d in late]
+    values = [*iso, *first, "29/02/2023", "0000-05-05", "13/01/0000"]
+    got, kinds, back = found_alone(spark, values)
+    valid = len(iso) + len(first)
+    assert back == values and got[valid:] == values[valid:] and not any(kinds[valid:])
+    assert all(k == ["date"] for k in kinds[:valid]) and len(set(got)) == len(set(values))
+    assert all(datetime.strptime(x, "%Y-%m-%d") and len(x) == 10 for x in got[: len(iso)])
+    assert all(datetime.strptime(x, "%d/%m/%Y") and int(x[:2]) > 12 and x[6:8] == v[6:8] for x, v in zip(got[len(iso) : valid], first, strict=True))
+    assert sum(x == v for x, v in zip(got[:valid], values, strict=False)) < 5
+    assert sum(x[:5] == v[:5] for x, v in zip(got[len(iso) : valid], first, strict=True)) < len(first) / 20
+
+
 def test_network_is_a_permutation(spark):
     net = pseudonyms.Network("k")
     rows = spark.range(12 * 35).selectExpr(f"{net.permuted('array(cast(id div 35 as int), cast(id % 35 as int))', 'array(12, 35)', chr(39) + 't' + chr(39))} AS p").collect()
