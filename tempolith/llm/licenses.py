@@ -5,7 +5,9 @@ by single blanks: the hand-written ones of ``signatures``, and after them, with
 usual frames. Each rule is gated by a keyword that any match must contain as a word or, before versions, as a word's beginning; one Aho-Corasick pass over
 the text finds which keywords occur, and only their rules are run. Detections are then resolved: one that
 lies inside another is suppressed if the other's rule has a higher priority, or the same and comes first or
-is longer. The base phrases are rules of the highest priority and are never suppressed.
+is longer. The base phrases are rules of the highest priority and are never suppressed. Rules of whole SPDX expressions
+suppress nothing: every license of an expression keeps its label. Where a license's name is a common word (boost, elastic,
+python), "license" before it doesn't tell, a version or "license" after it does. A name alone (ISC, MIT) is none, an SPDX form with its version is.
 
 Null and empty texts have no words and no detections. Whole texts are scanned; repeated rows get equal
 results; an empty table gives an empty one. Other columns pass through; those with a result's name get ``_input`` after theirs.
@@ -39,6 +41,7 @@ class Rule(NamedTuple):
     keyword: str
     pattern: str
     prefix: bool = False  # the keyword only begins a word, as in gplv3
+    hides: bool = True  # whether it suppresses what lies inside its match
 
 
 #: Families by name: label, and the names.
@@ -104,7 +107,32 @@ _NAMINGS = [
     (NAMED, r"{0} licen[sc]ed?(?: version)?"),
     (TAGGED, r"spdx license identifier {0}"),
     (TAGGED, r"licen[sc]e {0}"),
-    (LINKED, r"(?:opensource org licen[sc]es|choosealicense com licen[sc]es|spdx org licen[sc]es) {0}"),
+    (LINKED, r"(?:opensource org licen[sc]es?|choosealicense com licen[sc]es|spdx org licen[sc]es) {0}"),
+]
+#: Names that are common words, and the frame that tells them only with something behind.
+_COMMON_NAMES = {"boost", "eclipse", "elastic", "mozilla", "artistic", "python", "php", "ruby", "vim", "open software", "open font", "common public", "academic free"}
+_OPEN_FRAME, _CLOSED_FRAME = r"licen[sc]e {0}", r"licen[sc]e {0} (?:(?:public |software )?licen[sc]e|v(?:ersion)? ?[0-9]+|[0-9]+)"
+#: SPDX forms that are also a product's version, a score or a sum.
+_UNTOLD = {"mit 0", r"php 3 0[01]?", "elastic 2 0", r"epl [12] 0", r"artistic [12] 0", "psf 2 0", "upl 1 0", "bsl 1 0"}
+#: Addresses of licenses, as the words that they come to. Fixed values.
+_ADDRESSES = [
+    ("gpl", r"gnu org (?:licenses|copyleft) (?:old licenses )?(?:gpl|gplv[123])(?: [123] 0)?"),
+    ("lgpl", r"gnu org (?:licenses|copyleft) (?:old licenses )?(?:lgpl|lgplv[23])(?: [23] [01])?"),
+    ("agpl", r"gnu org licenses agpl(?: 3 0)?"),
+    ("gfdl", r"gnu org (?:licenses|copyleft) (?:old licenses )?fdl(?: 1 [123])?"),
+    ("apache", r"apache org licenses(?: license [12] [01])?"),
+    ("mpl", r"mozilla org (?:en us )?mpl(?: [12] [01])?"),
+    ("epl", r"eclipse org (?:legal|org documents) epl(?: v10| v20| 2 0)?"),
+    ("boost", r"boost org license 1 0"),
+    ("ofl", r"scripts sil org ofl"),
+    ("unlicense", r"unlicense org"),
+    ("wtfpl", r"wtfpl net"),
+    ("odbl", r"opendatacommons org licenses odbl"),
+    ("odc-by", r"opendatacommons org licenses by"),
+    ("pddl", r"opendatacommons org licenses pddl"),
+    ("artistic", r"dev perl org licenses artistic"),
+    ("psf", r"docs python org (?:3 )?license"),
+    ("php", r"php net license"),
 ]
 #: Creative Commons: the label's elements and their words.
 _COMMONS = {
@@ -133,9 +161,13 @@ def keyword_of(pattern: str) -> str:
 def _rules() -> list[Rule]:
     made = [(label, BASE_PRIORITY, phrase) for phrase, label in BASE.items()]
     made += [(label, GRANT, pattern.encode().decode("latin-1")) for label, pattern in signatures.GRANTS]  # a character for each byte
-    made += [(label, GRANT, rf"spdx license identifier {name}") for label, name in signatures.SPDX]
+    made += [(label, GRANT, rf"spdx license identifier {name}") for label, name in signatures.SPDX if label not in signatures.COMPOSED]
+    made += [(label, TAGGED, name) for label, name in signatures.SPDX if label not in signatures.COMPOSED and " " in name and name not in _UNTOLD]
+    made += [(label, LINKED, address) for label, address in _ADDRESSES]
     for label, names in _FAMILIES:
-        made += [(label, priority, around.format(name)) for name in names.split("|") for priority, around in _NAMINGS]
+        for name in names.split("|"):
+            frames = [(priority, _CLOSED_FRAME if around == _OPEN_FRAME and name in _COMMON_NAMES else around) for priority, around in _NAMINGS]
+            made += [(label, priority, around.format(name)) for priority, around in frames]
     made += [("cc0", NAMED, r"cc0"), ("cc0", LINKED, r"publicdomain zero")]
     for label, words in sorted(_COMMONS.items(), key=lambda x: -len(x[0])):
         short = label[3:].replace("-", " ")
@@ -147,7 +179,14 @@ def _rules() -> list[Rule]:
         ]
     made += [("cc", HINTED, r"creative commons"), ("licensed", HINTED, r"licensed (?:under|to|by)")]
     versions = [Rule(name, priority, name, around.format(name + _VERSION), True) for name in _VERSIONED for priority, around in _NAMINGS]
-    return [Rule(label, priority, keyword_of(pattern), pattern) for label, priority, pattern in made] + versions
+    member = "|".join(name for label, name in signatures.SPDX if label not in signatures.COMPOSED)
+    one = rf"(?:{member})(?: with (?:[a-z]+ ){{1,4}}(?:exception|note)(?: [0-9] [0-9])?)?"
+    tag = "spdx license identifier"
+    later = [(label, rf"{tag} (?:{one} (?:or|and) ){{1,8}}{name}") for label, name in signatures.SPDX]
+    later.append(("dual", rf"{tag} (?:{one} (?:or|and) ){{0,7}}{one} or (?:{member})"))
+    composed = [(label, rf"{tag} {name}") for label, name in signatures.SPDX if label in signatures.COMPOSED]
+    whole = [Rule(label, GRANT, "spdx", pattern, hides=False) for label, pattern in composed + later]
+    return [Rule(label, priority, keyword_of(pattern), pattern) for label, priority, pattern in made] + versions + whole
 
 
 RULES = _rules()
@@ -167,9 +206,10 @@ def resolve(found: list[Detection]) -> list[Detection]:
     kept = []
     for d in sorted(found, key=rank):
         own = RULES[d.rule].priority
-        if own == BASE_PRIORITY or not any(end >= d.end for priority, end in reach.items() if priority >= own):
+        if own == BASE_PRIORITY or not RULES[d.rule].hides or not any(end >= d.end for priority, end in reach.items() if priority >= own):
             kept.append(d)
-        reach[own] = max(reach.get(own, 0), d.end)
+        if RULES[d.rule].hides:
+            reach[own] = max(reach.get(own, 0), d.end)
     return sorted(kept)
 
 

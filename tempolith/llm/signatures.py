@@ -249,5 +249,7 @@ SPDX = [
     ("cc-by-nc", r"cc by nc [1234] [05]"), ("cc-by-nd", r"cc by nd [1234] [05]"), ("cc-by-nc-sa", r"cc by nc sa [1234] [05]"), ("cc-by-nc-nd", r"cc by nc nd [1234] [05]"), ("ofl", r"ofl 1 [01]"), ("odbl", r"odbl 1 0"), ("artistic", r"artistic [12] 0"),
     ("psf", r"psf 2 0"), ("php", r"php 3 0[01]?"), ("postgresql", r"postgresql"), ("ncsa", r"ncsa"), ("wtfpl", r"wtfpl"), ("mulan", r"mulanpsl [12] 0"), ("upl", r"upl 1 0"), ("elastic", r"elastic 2 0"), ("sspl", r"sspl 1 0"), ("bsl", r"busl 1 1"),
     ("classpath-exception", r"gpl 2 0(?: only| or later)? with classpath exception 2 0"), ("llvm-exception", r"apache 2 0 with llvm exception"), ("syscall-note", r"gpl 2 0(?: only| or later)? with linux syscall note"), ("proprietary", r"licenseref (?:proprietary|commercial)"),
-    ("dual", r"(?:mit|apache 2 0|bsd [23] clause) or (?:mit|apache 2 0|gpl [23] 0(?: only| or later)?|bsd [23] clause)"),
 ]
+
+#: Labels of SPDX forms that hold other forms.
+COMPOSED = {"classpath-exception", "llvm-exception", "syscall-note"}

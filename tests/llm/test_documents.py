@@ -250,7 +250,8 @@ def test_suppression_by_force():
         found = [licenses.Detection(a, a + rnd.randint(1, 8), rnd.randrange(len(licenses.RULES))) for a in (rnd.randrange(20) for _ in range(rnd.randint(1, 25)))]
         found = list({(d.start, d.end, d.rule): d for d in found}.values())
         rank = lambda d: (-licenses.RULES[d.rule].priority, d.start - d.end, d.rule)
-        want = [d for d in found if licenses.RULES[d.rule].priority == licenses.BASE_PRIORITY or not any(o.start <= d.start and d.end <= o.end and rank(o) < rank(d) for o in found)]
+        free = lambda d: licenses.RULES[d.rule].priority == licenses.BASE_PRIORITY or not licenses.RULES[d.rule].hides
+        want = [d for d in found if free(d) or not any(licenses.RULES[o.rule].hides and o.start <= d.start and d.end <= o.end and rank(o) < rank(d) for o in found)]
         assert licenses.resolve(found) == sorted(want)
 
 
@@ -274,6 +275,69 @@ def test_versions_and_zero_in_license_names():
     assert not labels("gplv3 xgpl3 license gplx license mplayer license cc00") & {"gpl", "lgpl", "agpl", "mpl", "cc0"}
 
 
+def test_license_expressions_addresses_and_common_names():
+    labels = lambda text: {licenses.RULES[d.rule].label for d in licenses.scanner().scan(text)[1]}
+    for text, want in (
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache", "dual"}),
+        ("SPDX-License-Identifier: (Apache-2.0 OR MIT) AND BSD-3-Clause", {"apache", "mit", "bsd", "dual"}),
+        ("SPDX-License-Identifier: LGPL-2.1-only OR ISC", {"lgpl-2.1", "isc", "dual"}),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", {"gpl-2.0", "classpath-exception"}),
+        ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note OR MIT", {"gpl-2.0", "syscall-note", "mit", "dual"}),
+        ("SPDX-License-Identifier: Apache-2.0 AND MIT", {"apache", "mit"}),
+        ("SPDX-License-Identifier: MIT\n\nTake the bus or walk; zlib", {"mit"}),
+        ("BSD-3-Clause", {"bsd"}),
+        ("LGPL-2.1-or-later", {"lgpl-2.1"}),
+        ('"license": "ISC"', {"isc"}),
+        ("https://opensource.org/license/zlib", {"zlib"}),
+        ("https://www.gnu.org/licenses/old-licenses/lgpl-2.1.html", {"lgpl", "lgpl-2.1"}),
+        ("http://www.gnu.org/licenses/gpl-3.0.html", {"gpl", "gpl-3.0"}),
+        ("https://www.apache.org/licenses/LICENSE-2.0", {"apache"}),
+        ("http://scripts.sil.org/OFL", {"ofl"}),
+        ("License: Python 2.0", {"psf"}),
+        ("License: Boost Software License", {"boost"}),
+        ("license boost your sales", set()),
+        ("driver license elastic band", set()),
+        ("this is permitted license python", set()),
+        ("Elastic 2.0 is out, PHP 3.0 isn't, the EPL ended 2-0", set()),
+        ("ISC and MIT", set()),
+    ):
+        assert labels(text) == want, (text, labels(text))
+
+
+def scanned_by_force(text):
+    """Every rule searched in every text without gates, places counted by splitting, suppression by looking at all pairs."""
+    words = [w.lower() if w.isascii() else "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+    joined = f" {' '.join(words)} ".encode().decode("latin-1") if words else ""
+    found = []
+    for k, rule in enumerate(licenses.RULES):
+        at = 0
+        pattern = re.compile(f" (?P<found>{rule.pattern}) ")
+        while m := pattern.search(joined, at):
+            start = joined.count(" ", 0, m.start("found")) - 1
+            found.append((start, start + m["found"].count(" ") + 1, k))
+            at = m.end("found")
+    kept = []
+    for start, end, k in found:
+        mine = licenses.RULES[k]
+        over = [(a, b, j) for a, b, j in found if a <= start and end <= b and (a, b, j) != (start, end, k) and licenses.RULES[j].hides]
+        beaten = any((-licenses.RULES[j].priority, a - b, j) < (-mine.priority, start - end, k) for a, b, j in over)
+        if mine.priority == licenses.BASE_PRIORITY or not mine.hides or not beaten:
+            kept.append((start, end, mine.label, mine.priority))
+    return len(words), sorted(kept)
+
+
+def test_license_query_against_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = ["SPDX-License-Identifier: MIT OR Apache-2.0", "CC BY CC BY 4.0 éÉ all rights reserved", None, "", "GPLv3 license, the MIT license; LGPL-2.1-or-later"]
+    df = docs.unionByName(frame(spark, [(10**9 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    some = 0
+    for r in licenses.with_detections(df).collect():
+        n, want = scanned_by_force(r.text)
+        assert r.n_words == n and sorted((d.start, d.end, d.label, d.priority) for d in r.detections) == want, r.doc_id
+        some += bool(want)
+    assert some > 3  # more than the added texts alone
+
+
 def test_license_query_counts(spark):
     texts = ["CC by cc BY", "cc-by", None, "", "ccby", "general public licenses", "x all rights reserved", "all  Rights\nreserved all rights reserved"]
     df = frame(spark, [(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, detections int")
