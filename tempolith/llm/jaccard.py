@@ -10,7 +10,8 @@ Documents with equal sets are one point, named by its smallest id. Points join i
    share one. Sets of a class's upper end also offer their cells in the next class. The smallest point of a
    cell is a pivot; its region is all points that share a cell with it whose smallest point it is. Sketches that bound
    the difference of two sets from below divide a region where no link is possible, before any set is exchanged; the
-   smallest point of each part is its pivot.
+   smallest point of each part is its pivot. Of a large group, many points are pivots, and their regions are nearly the same
+   points: too large ones to divide so are one where their least points by a hash are.
 2. *Voronoi regions and windows.* Every region meets its pivots: distances of its points to them are computed exactly.
    A point within the threshold of a pivot is linked to it. Balls that share points connect their pivots; the
    points of the largest group of balls are connected and need no test among themselves, so only the others stay
@@ -505,9 +506,20 @@ def runs_of(*columns: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *fresh.tolist()], [*fresh.tolist(), len(columns[0])], strict=True))
 
 
-def _parted(regions: DataFrame, sketches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _least_point(seed: int):
+    """The point of a group with the least hash. Regions that have it in common share it the likelier, the more points they share."""
+    return F.min_by("doc_id", F.struct(F.xxhash64(F.lit(seed), "doc_id"), "doc_id"))
+
+
+def _as_one(regions: DataFrame, least: DataFrame) -> DataFrame:
+    """Regions (region, doc_id) with the same ``least`` point (region, least) become one, named by it; what shared a region still does."""
+    return regions.join(least, "region").select(F.col("least").alias("region"), "doc_id").distinct()
+
+
+def _parted(regions: DataFrame, sketches: DataFrame, threshold: tuple[int, int], scratch: store.Scratch) -> DataFrame:
     """(region, pivot, doc_id, n): the regions of pivots (region, doc_id) in parts between which sketches (doc_id, n, sketch) leave no link.
-    A part is named by its points, so that one that came about with many pivots is one. Larger regions than one task's stay whole."""
+    A part is named by its points, so that one that came about with many pivots is one. Larger regions than one task's stay whole;
+    a large group has many pivots, so those of nearly the same points become one."""
 
     def divide(lot):
         import pandas as pd
@@ -522,10 +534,14 @@ def _parted(regions: DataFrame, sketches: DataFrame, threshold: tuple[int, int])
                 out.append(pd.DataFrame({"region": name, "pivot": mine[0], "doc_id": mine, "n": n[begin:end][k]}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("region", "pivot", "doc_id", "n")}, dtype="int64")
 
-    sized = regions.join(regions.groupBy("region").agg((F.count("*") <= REGION).alias("fits")), "region").join(sketches, "doc_id")
+    counted = regions.groupBy("region").agg(F.count("*").alias("points"), _least_point(0).alias("least"))
+    large = scratch.keep(counted.where(F.col("points") > REGION).select("region", "least"), "jaccard-large")  # few
+    small = regions.join(large, "region", "left_anti").join(sketches, "doc_id")
     lots = _volume(regions.withColumn("n", F.lit(0)))[1]
-    parts = sized.where("fits").withColumn("lot", F.pmod(F.xxhash64("region"), F.lit(lots))).groupBy("lot").applyInPandas(divide, "region long, pivot long, doc_id long, n long")
-    return parts.unionByName(sized.where("not fits").select("region", F.col("region").alias("pivot"), "doc_id", "n")).distinct()
+    parts = small.withColumn("lot", F.pmod(F.xxhash64("region"), F.lit(lots))).groupBy("lot").applyInPandas(divide, "region long, pivot long, doc_id long, n long")
+    whole = scratch.keep(_as_one(regions, large), "jaccard-whole")
+    whole = _as_one(whole, whole.groupBy("region").agg(_least_point(1).alias("least"))).join(sketches.select("doc_id", "n"), "doc_id")
+    return parts.unionByName(whole.select("region", F.col("region").alias("pivot"), "doc_id", "n")).distinct()
 
 
 def _small(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -671,11 +687,11 @@ def divided(met: DataFrame, groups: DataFrame, threshold: tuple[int, int], scrat
     ring = rest.where("home").groupBy("region", F.col("nearest").alias("k")).agg(F.min(F.array_min("distances")).alias("least"), F.max(F.array_min("distances")).alias("most"))
     rings = ring.groupBy("region").agg(F.collect_list(F.struct("k", "least", "most")).alias("rings"))  # as many as pivots
     around = F.expr(f"transform(filter(rings, w -> element_at(distances, w.k) between w.least - {reach} and w.most + {reach}), w -> w.k)")
-    windowed = rest.join(rings, "region").withColumn("around", around)
+    windowed = scratch.keep(rest.join(rings, "region").select("region", "doc_id", "n", "home", "nearest", around.alias("around")), "jaccard-windows")
     spread = windowed.groupBy("region").agg((F.sum(F.size("around")) > 1.5 * F.count("*")).alias("dense"))
     placed = windowed.join(spread, "region").select("region", "doc_id", "n", "home", "nearest", "dense", F.explode(F.when(F.col("dense"), F.array(F.lit(0))).otherwise(F.col("around"))).alias("k"))
     at_home = F.col("home") & ((F.col("k") == 0) | (F.col("k") == F.col("nearest")))
-    return edges, placed.select(F.xxhash64("region", "k").alias("region"), "doc_id", "n", at_home.alias("home"), "dense")
+    return edges, scratch.keep(placed.select(F.xxhash64("region", "k").alias("region"), "doc_id", "n", at_home.alias("home"), "dense"), "jaccard-placed")
 
 
 def links(regions: DataFrame, sets: DataFrame, threshold: tuple[int, int], scratch: store.Scratch) -> DataFrame:
@@ -737,7 +753,7 @@ def joined(df: DataFrame, *, key: str = "doc_id", text: str = "text", words: int
     first = scratch.keep(first_regions(points.select("doc_id", "cells"), total, scratch), "jaccard-first")
     met = scratch.keep(first.select("doc_id").distinct(), "jaccard-met")
     sketches = profiled.where("n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), "sketch").join(store.bounded(met, store.SENT_ROWS), "doc_id", "left_semi").distinct()
-    regions = scratch.keep(_parted(first, scratch.keep(sketches, "jaccard-sketches"), threshold), "jaccard-regions")
+    regions = scratch.keep(_parted(first, scratch.keep(sketches, "jaccard-sketches"), threshold, scratch), "jaccard-regions")
     store.discard(profiled)
     asked = scratch.keep(regions.select("doc_id").distinct(), "jaccard-asked")
     sets = scratch.keep(_sets_for(df, store.bounded(asked, store.SENT_ROWS), key=key, text=text, words=words), "jaccard-sets")
