@@ -138,7 +138,7 @@ def built(docs: DataFrame, *, key: str = "doc_id", text: str = "text", postings:
             yield last
 
     rows = docs.select(store.column(key).cast("long").alias("doc_id"), store.column(text).alias("text"))
-    return store.materialise(rows.mapInArrow(run, SHARD), "search-shards"), documents
+    return store.materialise(rows.mapInArrow(run, SHARD), "search-shards", **store.LARGE_ROWS), documents
 
 
 def blocks_of(queries: DataFrame, key: str, text: str, size: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:

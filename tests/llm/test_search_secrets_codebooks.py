@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,15 @@ def test_search_without_rows(spark):
     assert list(search.stretches(None)) == [] and b"".join(sum(search.stretches("Aé,B" * 99), [])) == "aéb".encode() * 99
 
 
+def test_a_task_never_holds_all_of_its_shards(spark):
+    """Shards lie in row groups of a few rows each, however many a task makes."""
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(60_000)), lambda k: F.hash(k, "doc_id").cast("string")), " ")
+    docs = spark.range(24).coalesce(1).withColumnRenamed("id", "doc_id").withColumn("text", words)
+    shards, documents = search.built(docs, postings=50_000)
+    groups = [m.row_group(k).num_rows for f in shards.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:")).metadata] for k in range(m.num_row_groups)]
+    assert documents == sum(groups) == 24 and max(groups) <= 12
+
+
 def scan(text):
     """Base and wider candidates of one text: kind, start, end, value."""
     out = []
