@@ -78,8 +78,10 @@ def stable_runs(spark, sf_dir):
     return sequences.stable_runs(diffs(spark, sf_dir), key=["user_id"], order=["t", "event_id"], diff="diff", threshold=20, min_rows=3)
 
 
-@query(f"""WITH {DIFFS}, l AS (SELECT user_id, quantile_cont(diff, 0.85) AS q, avg(diff) AS m, count(*) AS n FROM df GROUP BY user_id)
-SELECT df.user_id, event_id, round(diff, 6) AS diff FROM df JOIN l USING (user_id) WHERE n >= 8 AND diff >= greatest(q, 1.5 * m)""")
+@query(f"""WITH {DIFFS}, u AS (SELECT user_id, event_id, round(diff * 1000000)::HUGEINT AS d FROM df),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM u),
+l AS (SELECT user_id, n, sum(d) AS s, 17 * (n - 1) % 20 AS rest, max(CASE WHEN k = 17 * (n - 1) // 20 THEN d END) AS low, max(CASE WHEN k = least(17 * (n - 1) // 20 + 1, n - 1) THEN d END) AS high FROM k GROUP BY user_id, n)
+SELECT u.user_id, event_id, round(d / 1000000, 6) AS diff FROM u JOIN l USING (user_id) WHERE n >= 8 AND 20 * d >= (20 - rest) * low + rest * high AND 2 * n * d >= 3 * s""")
 def hard_cuts(spark, sf_dir):
     return sequences.hard_cuts(diffs(spark, sf_dir), key=["user_id"], diff="diff").where("is_cut").select("user_id", "event_id", F.round("diff", 6).alias("diff"))
 

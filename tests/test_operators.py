@@ -32,6 +32,17 @@ def test_hard_cuts_need_eight_rows(spark):
     assert {r.vid for r in got} == {"b"} and sorted(r["diff"] for r in got) == [6.0, 7.0]
 
 
+def test_hard_cuts_at_their_bounds(spark):
+    """Differences that equal a bound but for the last bits of sums and differences are cuts; so the order of rows tells nothing."""
+    at_mean = [0.3, 0.1, 0.1, 0.2, 0.2, 0.2, 0.2, 0.3]  # 1.5 times the mean is 0.3
+    low, high = 7.1 - 7.0, 0.1  # one value, the first below the second by its last bits or above
+    at_quantile = [0.0] * 17 + [min(low, high), max(low, high), 0.2, 0.2]
+    data = [("mean", x) for x in at_mean] + [("quantile", x) for x in at_quantile]
+    for turned in (data, data[::-1]):
+        got = sequences.hard_cuts(rows(spark, turned, "vid string, diff double"), key=["vid"], diff="diff").where("is_cut").collect()
+        assert sorted((r.vid, round(r["diff"], 3)) for r in got) == [("mean", 0.3), ("mean", 0.3), ("quantile", 0.1), ("quantile", 0.1), ("quantile", 0.2), ("quantile", 0.2)]
+
+
 @pytest.mark.parametrize("end, start, split", [(10.9, 12.2, True), (10.1, 11.9, False)])
 def test_pauses_in_whole_seconds(spark, end, start, split):
     df = rows(spark, [("a", 1, 9.0, end, "x" * 40), ("a", 2, start, start + 1, "y" * 40)], "vid string, seq int, t_from double, t_to double, text string")
