@@ -1,4 +1,4 @@
-"""Sequential decisions, where each depends on what the ones before decided. One grouped pandas pass per key.
+"""Sequential decisions, where each depends on what the ones before decided. One pass over each key's rows, in order.
 
 WIN-04 to WIN-06, WIN-07 (span cap and short merge), WIN-08, WIN-12, WIN-13, WIN-15, WIN-19, WIN-25, J-01.
 A key's rows are folded in one task where keys are entities (one recording, one conversation). ``greedy_chunks``, ``paragraphs`` and
@@ -9,26 +9,101 @@ Null keys form one group; empty tables give empty results.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .ranges import Step, fold_in_ranges, running
 
 
 def fold(df: DataFrame, *, key: Sequence[str], order: Sequence[str], columns: Sequence[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``step`` to each key's rows in order; ``schema`` names the columns after the keys."""
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
-
-    def run(names, rows: pd.DataFrame) -> pd.DataFrame:
-        out = step(rows.sort_values(list(order), kind="stable").reset_index(drop=True))
-        for place, (k, v) in enumerate(zip(key, names, strict=True)):
-            out.insert(place, k, v)
-        return out
+    """Apply ``step`` to each key's rows in order; ``schema`` names the columns after the keys.
 
-    return df.select(*dict.fromkeys([*key, *order, *columns])).groupBy(*key).applyInPandas(run, f"{kinds}, {schema}")
+    Rows are dealt by key and sorted by Spark; a task cuts its batches where the key changes, so that small keys cost a slice each and
+    not an exchange with Python each. Columns of other than plain types take Spark's own grouping.
+    """
+    chosen = df.select(*dict.fromkeys([*key, *order, *columns]))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
+    if not set(kind for _, kind in chosen.dtypes) <= PLAIN:
+
+        def run(names, rows: pd.DataFrame) -> pd.DataFrame:
+            out = step(rows.sort_values(list(order), kind="stable").reset_index(drop=True))
+            for place, (k, v) in enumerate(zip(key, names, strict=True)):
+                out.insert(place, k, v)
+            return out
+
+        return chosen.groupBy(*key).applyInPandas(run, f"{kinds}, {schema}")
+
+    shape = T.StructType([df.schema[k] for k in key] + T.StructType.fromDDL(schema).fields)
+    target = to_arrow_schema(shape)
+    integers = [c for c, kind in chosen.dtypes if kind in INTEGERS]
+    floats = [k for k, kind in chosen.dtypes if kind in ("float", "double") and k in key]
+
+    def folded(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All keys of ``table``, whole."""
+        whole = table.to_pandas(integer_object_nulls=True, date_as_object=True)
+        gappy = [c for c in integers if table.column(c).null_count]
+        begins = _begins(table, key, floats)
+        ends = [*begins[1:], table.num_rows]
+        made = []
+        for begin, end in zip(begins, ends, strict=True):
+            rows = whole.iloc[begin:end].reset_index(drop=True)
+            for c in gappy:  # as each key's rows by themselves would come
+                rows[c] = rows[c].astype("float64" if rows[c].isna().any() else whole_kind[c])
+            made.append(step(rows))
+        values = pd.concat(made, ignore_index=True)
+        again = pa.array(np.repeat(begins, [len(x) for x in made]), pa.int64())
+        parts = [table.column(k).take(again) for k in key] + [pa.chunked_array([pa.Array.from_pandas(values[f.name], type=f.type)]) for f in list(target)[len(key) :]]
+        yield from pa.Table.from_arrays([p.cast(f.type) for p, f in zip(parts, target, strict=True)], schema=target).to_batches(max_chunksize=10_000)
+
+    whole_kind = {c: INTEGERS[kind] for c, kind in chosen.dtypes if kind in INTEGERS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the key that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and len(_begins(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch]), key, floats)) == 1:
+                held.append(batch)
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            last = _begins(table, key, floats)[-1]
+            if last:
+                yield from folded(table.slice(0, last))
+            held = table.slice(last).to_batches()
+        if held:
+            yield from folded(pa.Table.from_batches(held))
+
+    dealt = chosen.repartition(*key).sortWithinPartitions(*(F.asc_nulls_first(k) for k in key), *(F.asc_nulls_last(c) for c in order))
+    return dealt.mapInArrow(run, shape)
+
+
+#: Column types whose rows look alike whether they come by key or by batch, and pandas' names of integers.
+INTEGERS = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64"}
+PLAIN = {*INTEGERS, "float", "double", "string", "boolean"}
+
+
+def _begins(table: pa.Table, key: Sequence[str], floats: Sequence[str]) -> list[int]:
+    """Where another key begins than in the row before; nulls are equal, and so are NaNs and both zeros."""
+    n = table.num_rows
+    new = np.zeros(n, bool)
+    new[0] = True
+    for k in key:
+        column = table.column(k).combine_chunks()
+        empty = column.is_null().to_numpy(zero_copy_only=False)
+        changed = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
+        if k in floats:
+            nan = pc.fill_null(pc.is_nan(column), False).to_numpy(zero_copy_only=False)
+            changed = changed & ~(nan[1:] & nan[:-1])
+        new[1:] |= changed | (empty[1:] != empty[:-1])
+    return np.flatnonzero(new).tolist()
 
 
 def carried(df: DataFrame, *, key: Sequence[str], order: Sequence[str], columns: Sequence[str], step: Step, schema: str, rows_per_range: int | None) -> DataFrame:

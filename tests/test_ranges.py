@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from tempolith.operators import folds, ranges
@@ -57,3 +58,24 @@ def test_no_rows(spark, rows):
     none = rows.where("false")
     assert folds.greedy_chunks(none, key=["vid"], order=["seq"], size="size", cap=10, rows_per_range=5).count() == 0
     assert ranges.numbered(none, key=["vid"], order=["seq"]).count() == 0
+
+
+def test_folds_take_many_keys_at_a_time(spark):
+    """Keys are cut out of batches wherever a batch ends, null keys are one key, and no key is an exchange with Python of its own."""
+    big = (1 << 60) + 1
+    keys = [None, *range(9), big]
+    data = [(k, i, None if i == 2 and k == 3 else i + 1) for k in keys for i in range((k or 0) % 7 + 1)]
+    df = spark.createDataFrame(data, "k long, i long, n long").repartition(3)
+    seen = lambda rows: pd.DataFrame({"i": rows["i"], "upto": rows["n"].fillna(0).cumsum().astype("int64"), "size": len(rows)})
+    want = {(k, i, sum(n or 0 for k2, j, n in data if k2 == k and j <= i), sum(k2 == k for k2, _, _ in data)) for k, i, _ in data}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("2", "5", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = folds.fold(df, key=["k"], order=["i"], columns=["n"], step=seen, schema="i long, upto long, size long")
+            rows = [tuple(r) for r in got.collect()]
+            assert len(rows) == len(data) and set(rows) == want
+            assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+        assert folds.fold(df.where("false"), key=["k"], order=["i"], columns=["n"], step=seen, schema="i long, upto long, size long").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
