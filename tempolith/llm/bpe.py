@@ -201,7 +201,7 @@ class EditableEncoding:
 def coder_for(path: str) -> tuple[PrefixCoder, BatchEncoder]:
     """One per Python worker: rebuilding it for every batch would cost more than the batch."""
     coder = PrefixCoder(read_ranks(path))
-    return coder, BatchEncoder(coder.encode_pieces)
+    return coder, BatchEncoder(coder.encode_pieces, remember=100_000)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

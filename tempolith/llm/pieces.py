@@ -105,22 +105,33 @@ def split_pieces(texts: Sequence[str]) -> tuple[pa.BinaryArray, np.ndarray]:
 
 
 class BatchEncoder:
-    """Encode batches of texts with a function of one piece, remembering pieces in a bounded table."""
+    """Encode batches of texts with a function of one piece, remembering pieces in two bounded tables.
 
-    def __init__(self, encode_pieces: Callable[[list[bytes]], list[tuple[int, ...]]], remember: int = 200_000):
+    A full table becomes the older one, and the older one goes: pieces that keep coming back move to the new table, those seen once go.
+    The function gives a piece's ids as numbers, or as bytes of little-endian 32-bit numbers.
+    """
+
+    def __init__(self, encode_pieces: Callable[[list[bytes]], Sequence[Sequence[int] | bytes]], remember: int = 200_000):
         self.encode_pieces, self.remember = encode_pieces, remember
         self.known: dict[bytes, bytes] = {}  # ids as 32-bit numbers: a fifth of a tuple's memory
+        self.older: dict[bytes, bytes] = {}
 
     def chunk(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         pieces, counts = split_pieces(texts)
         coded = pieces.dictionary_encode()
-        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(distinct) > self.remember:
-            self.known.clear()
-        known = self.known
-        new = [p for p in distinct if p not in known]
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for piece in distinct:
+            if piece not in known:
+                if piece in older:
+                    known[piece] = older[piece]
+                else:
+                    new.append(piece)
         for piece, ids in zip(new, self.encode_pieces(new), strict=True):
-            known[piece] = pack(f"<{len(ids)}I", *ids)
+            known[piece] = ids if isinstance(ids, bytes) else pack(f"<{len(ids)}I", *ids)
         coded_ids = [known[p] for p in distinct]
         size = np.fromiter(map(len, coded_ids), np.int64, len(coded_ids)) // 4
         flat = np.frombuffer(b"".join(coded_ids), "<u4")

@@ -21,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ END_ID = 0
 NO_ID = -(1 << 63)
 #: Bytes of text of a file; its records are smaller. A reader holds one file.
 FILE_BYTES = 256_000_000
+#: Pieces that the library encodes as the words of one sequence.
+SEQUENCE = 256
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<IB")
 INDEX_SCHEMA = "file string, ordinal long, offset long, length long, doc_id long, n_tokens long, ids_crc32 long"
@@ -70,20 +73,42 @@ def parse(raw: bytes, offset: int = 0) -> tuple[int, np.ndarray, int]:
 
 @lru_cache(maxsize=2)
 def encoder_for(path: str) -> BatchEncoder:
-    """The tokenizers library over distinct pieces. A piece by itself is split by the library into itself."""
+    """The tokenizers library over distinct pieces, many in one sequence.
+
+    The pieces are cut already, so the library's own pattern is left out; each is a word of a sequence and is merged by itself. The ids of a
+    sequence are dealt back to its pieces by their lengths in bytes, which are those of the piece together.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def encode_pieces(pieces: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = []
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    vocabulary = library.get_vocab()
+    width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        width[i] = len(token)  # a character stands for a byte
+
+    def encode_pieces(pieces: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
         for at in range(0, len(pieces), 20_000):
-            batch = library.encode_batch_fast([p.decode() for p in pieces[at : at + 20_000]], add_special_tokens=False)
-            out.extend(tuple(x.ids) for x in batch)
+            batch = pieces[at : at + 20_000]
+            words = [p.decode() for p in batch]
+            groups = [words[k : k + SEQUENCE] for k in range(0, len(words), SEQUENCE)]
+            coded = library.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(x.ids for x in coded), np.uint32)
+            upto = np.cumsum(width[ids])
+            ends = np.cumsum(np.fromiter(map(len, batch), np.int64, len(batch)))
+            cuts = np.searchsorted(upto, ends)
+            if len(cuts) and (cuts[-1] != len(ids) - 1 or (upto[cuts] != ends).any()):  # a vocabulary without some bytes: one by one
+                out.extend(np.array(x.ids, "<u4").tobytes() for x in library.encode_batch_fast(words, add_special_tokens=False))
+                continue
+            raw, low = ids.astype("<u4").tobytes(), 0
+            for high in (4 * (cuts + 1)).tolist():
+                out.append(raw[low:high])
+                low = high
         return out
 
     return BatchEncoder(encode_pieces)

@@ -57,6 +57,38 @@ def test_ids_are_those_of_the_library(coder, library):
     assert all(coder.decode(x.tolist()) == t.encode() for x, t in zip(got, texts))
 
 
+def test_pieces_that_come_back_are_encoded_once():
+    asked = []
+    encoder = pieces.BatchEncoder(lambda new: asked.extend(new) or [(len(p),) for p in new], remember=60)
+    for k in range(10):
+        got = encoder.encode([" ".join(["often", *(f"seen{chr(97 + k)}{chr(97 + i)}" for i in range(25))])])
+        assert got[0].tolist() == [5, *[7] * 25]
+    assert asked.count(b"often") == 1 and len(encoder.known) + len(encoder.older) <= 120
+
+
+@pytest.mark.parametrize("lacking", [False, True])
+def test_ids_of_many_pieces_in_one_sequence_are_those_of_the_library(tmp_path, lacking):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = P.path(records.VOCABULARY)
+    if lacking:  # a vocabulary without a byte: the library leaves it out
+        held = json.loads(open(path, encoding="utf-8").read())
+        held["model"]["merges"] = [m for m in held["model"]["merges"] if "z" not in "".join(m)]
+        held["model"]["vocab"] = {k: v for k, v in held["model"]["vocab"].items() if "z" not in k or k in {a["content"] for a in held["added_tokens"]}}
+        path = str(tmp_path / "lacking.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(held, f)
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    texts = [*odd_texts(1000), "zebra fuzzy z", "<|endoftext|>", "\n \n\n a", "x" * 3000]
+    encoder = records.encoder_for(path)
+    encoder.remember = 700
+    assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    records.encoder_for.cache_clear()
+
+
 def test_appends_and_edits_stay_exact_and_local(coder, library):
     rnd = random.Random(2)
     for _ in range(60):
