@@ -8,19 +8,46 @@ sides in one sorted pass and never pair rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, *, key: Sequence[str], width: float, left_span=("l_from", "l_to"), right_span=("r_from", "r_to")) -> DataFrame:
-    """All pairs of a key whose intervals overlap by more than nothing. Both sides are put in buckets of
-    ``width``; a pair is made only in the bucket where its overlap begins."""
+    """All pairs of a key whose intervals overlap by more than nothing."""
+    return _met(left, right, key=key, width=width, left_span=left_span, right_span=right_span, how="inner").drop("_once", "_paired")
+
+
+#: Sizes of buckets, in widths.
+LEVELS = (1, 4, 16, 64)
+
+
+def _placed(df: DataFrame, a: str, z: str, width: float) -> DataFrame:
+    """A copy of each row for each place (``_p``): its beginning in every size, and where it lies."""
+    place = lambda k, begins, b: F.struct(k.cast("int").alias("k"), F.lit(begins).alias("begins"), b.alias("b"))
+    end = F.greatest(a, z)
+    level = reduce(lambda c, k: F.when(end - F.col(a) <= width * LEVELS[k], k).otherwise(c), reversed(range(len(LEVELS) - 1)), F.lit(len(LEVELS) - 1))
+    size = F.element_at(F.array(*[F.lit(float(width * n)) for n in LEVELS]), level + 1)
+    begins = F.array(*[place(F.lit(k), True, F.floor(F.col(a) / (width * n))) for k, n in enumerate(LEVELS)])
+    lies = F.transform(F.sequence(F.floor(F.col("_a") / F.col("_size")), F.floor(F.col("_z") / F.col("_size"))), lambda b: place(F.col("_level"), False, b))
+    sized = df.withColumns({"_a": F.col(a), "_z": end, "_level": level, "_size": size})
+    return sized.withColumn("_p", F.explode(F.concat(begins, F.coalesce(lies, F.slice(begins, 1, 0))))).drop("_a", "_z", "_level", "_size")
+
+
+def _met(left: DataFrame, right: DataFrame, *, key: Sequence[str], width: float, left_span, right_span, how: str) -> DataFrame:
+    """Pairs that overlap, each made once: where the later one begins. A beginning asks in its bucket of every size; an interval lies in
+    buckets of the least size that it doesn't exceed, so in two of them, or in more of the largest. Of a row on the left without
+    a partner (``how`` left) one copy has ``_once``."""
     (lf, lt), (rf, rt) = left_span, right_span
-    spread = lambda df, a, b: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.greatest(a, b) / width))))
-    pairs = spread(left, lf, lt).join(spread(right, rf, rt), [*key, "_b"])
-    begin = F.greatest(lf, rf)
-    return pairs.where((begin < F.least(lt, rt)) & (F.col("_b") == F.floor(begin / width))).drop("_b")
+
+    r = _placed(right, rf, rt, width).withColumns({"_k": F.col("_p.k"), "_asked": ~F.col("_p.begins"), "_b": F.col("_p.b")}).drop("_p").withColumnsRenamed({c: f"_r_{c}" for c in key})
+    l = _placed(left, lf, lt, width).withColumns({"_lk": F.col("_p.k"), "_begins": F.col("_p.begins"), "_lb": F.col("_p.b")}).drop("_p")
+    same = reduce(lambda c, k: c & (F.col(k) == F.col(f"_r_{k}")), key, (F.col("_lk") == F.col("_k")) & (F.col("_begins") == F.col("_asked")) & (F.col("_lb") == F.col("_b")))
+    later = F.when(F.col("_begins"), F.col(lf) >= F.col(rf)).otherwise(F.col(rf) > F.col(lf))
+    pairs = l.join(r, same & later & (F.greatest(lf, rf) < F.least(lt, rt)), how)
+    told = pairs.withColumns({"_paired": F.col("_k").isNotNull(), "_once": F.col("_begins") & (F.col("_lk") == 0)})
+    return told.drop("_lk", "_begins", "_lb", "_k", "_asked", "_b", *[f"_r_{c}" for c in key])
 
 
 def nearest(left: DataFrame, right: DataFrame, *, key: Sequence[str], left_time: str, left_id: str, right_time: str, right_id: str, within: float | None = None) -> DataFrame:
@@ -49,15 +76,19 @@ def best_overlap(old: DataFrame, new: DataFrame, *, key: Sequence[str], old_id:
     Without any overlap the new interval of the nearest start is taken, if ``fall_back``."""
     l = old.select(*key, F.col(old_id).alias("_old"), F.col(old_span[0]).cast("double").alias("l_from"), F.col(old_span[1]).cast("double").alias("l_to"))
     r = new.select(*key, F.col(new_id).alias("_new"), F.col(new_span[0]).cast("double").alias("r_from"), F.col(new_span[1]).cast("double").alias("r_to"))
-    shared = overlap_pairs(l, r, key=key, width=width).withColumn("overlap", F.least("l_to", "r_to") - F.greatest("l_from", "r_from"))
-    best = shared.groupBy(*key, "_old").agg(F.max_by(F.struct("_new", "overlap"), F.struct(F.col("overlap"), -F.col("_new"))).alias("_b"))
-    found = best.select(*key, F.col("_old").alias(old_id), F.col("_b._new").alias(new_id), F.col("_b.overlap").alias("overlap"))
+    # one join tells the best overlap and, as an outer one, who has none
+    pairs = _met(l, r, key=key, width=width, left_span=("l_from", "l_to"), right_span=("r_from", "r_to"), how="left" if fall_back else "inner")
+    pairs = pairs.where(F.col("_paired") | F.col("_once")).withColumn("overlap", F.when(F.col("_paired"), F.least("l_to", "r_to") - F.greatest("l_from", "r_from")))
+    order = Window.partitionBy(*key, "_old").orderBy(F.col("overlap").desc_nulls_last(), "_new")
     if not fall_back:
-        return found
-    lonely = l.join(found.select(*key, F.col(old_id).alias("_old")), [*key, "_old"], "left_anti")
-    near = nearest(lonely, r, key=key, left_time="l_from", left_id="_old", right_time="r_from", right_id="_new")
-    rest = near.where(F.col("_new").isNotNull()).select(*key, F.col("_old").alias(old_id), F.col("_new").alias(new_id), F.lit(0.0).alias("overlap"))
-    return found.unionByName(rest)
+        best = pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+        return best.select(*key, F.col("_old").alias(old_id), F.col("_new").alias(new_id), "overlap")
+    alone = F.col("overlap").isNull() & (F.col("_rank") == 1)
+    judged = pairs.withColumns({"_n": F.row_number().over(order), "_rank": F.rank().over(order)}).where(alone | (F.col("overlap").isNotNull() & (F.col("_n") == 1)))
+    told = judged.select(*key, "l_from", F.struct("_old", "_new", "overlap").alias("_found"))
+    near = nearest(told, r.select(*key, "r_from", F.col("_new").alias("_near")), key=key, left_time="l_from", left_id="_found", right_time="r_from", right_id="_near")
+    out = near.select(*key, F.col("_found._old").alias(old_id), F.when(F.col("_found.overlap").isNotNull(), F.col("_found._new")).otherwise(F.col("_near")).alias(new_id), F.coalesce("_found.overlap", F.lit(0.0)).alias("overlap"))
+    return out.where(F.col(new_id).isNotNull())
 
 
 def outside_all(points: DataFrame, spans: DataFrame, *, key: Sequence[str], time: str, start: str, end: str, tolerance: float = 0.0) -> DataFrame:

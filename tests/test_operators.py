@@ -459,3 +459,28 @@ def test_headings_move_down_outside_fences(spark):
     texts = ["\n # a\n## b\n###### c\n#none ", "```\n# in\n```\n# out", "x\n```py\n# in\n```\n# out\n```\n# open", "", None, "# one line"]
     df = rows(spark, list(enumerate(texts)), "k int, t string").select("k", assemble.demoted_text(F.col("t")).alias("t"))
     assert [r.t for r in df.orderBy("k").collect()] == ["## a\n### b\n###### c\n#none", "```\n# in\n```\n## out", "x\n```py\n# in\n```\n## out\n```\n# open", "", None, "## one line"]
+
+
+def test_overlaps_of_intervals_of_all_lengths(spark):
+    rnd = random.Random(5)
+    row = lambda i: (rnd.randrange(3), i, a := float(rnd.randrange(4000)), a + rnd.choice([-5.0, 0.0, 1.0, 10.0, 40.0, 41.0, 160.0, 700.0, 3000.0]))
+    old, new = [row(i) for i in range(120)], [row(i) for i in range(120)]
+    old += [(7, 500, 1.0, 2.0), (0, 501, 9000.0, 9001.0), (0, 502, 20000.0, None)]
+    o, n = spark.createDataFrame(old, "c int, o int, a double, z double"), spark.createDataFrame(new, "c int, n int, a double, z double")
+    shared = lambda x, y: min(e for e in (x[3], y[3]) if e is not None) - max(x[2], y[2])
+    want = {}
+    for x in old:
+        mine = [y for y in new if y[0] == x[0]]
+        over = [(-shared(x, y), y[1]) for y in mine if shared(x, y) > 0]
+        if over:
+            want[x[1]] = (min(over)[1], -min(over)[0])
+        elif mine:
+            want[x[1]] = (min((abs(y[2] - x[2]), y[2], y[1]) for y in mine)[2], 0.0)
+    spans = {"old_span": ("a", "z"), "new_span": ("a", "z")}
+    both = lambda **k: {r.o: (r.n, r.overlap) for r in temporal.best_overlap(o, n, key=["c"], old_id="o", new_id="n", width=10.0, **spans, **k).collect()}
+    assert both() == want and both(fall_back=False) == {k: v for k, v in want.items() if v[1] > 0}
+    l, r = o.toDF("c", "o", "l_from", "l_to"), n.toDF("c", "n", "r_from", "r_to")
+    pairs = [(p.o, p.n) for p in temporal.overlap_pairs(l, r, key=["c"], width=10.0).collect()]
+    assert sorted(pairs) == sorted((x[1], y[1]) for x in old for y in new if x[0] == y[0] and shared(x, y) > 0)
+    # lengths up to 64 widths make no more copies than that
+    assert temporal._placed(o.where("z - a <= 640"), "a", "z", 10.0).groupBy("o").count().agg(F.max("count")).first()[0] <= len(temporal.LEVELS) + 2
