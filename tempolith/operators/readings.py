@@ -70,9 +70,19 @@ def could_be_alike(a: Column, b: Column, least: float) -> Column:
 
 
 def _alike(least: float):
+    def of_row(lines, others) -> list[bool]:
+        held: dict[str, difflib.SequenceMatcher] = {}  # a matcher prepares its second text once
+        out = []
+        for x, y in zip(lines, others, strict=True):
+            if y not in held:
+                held[y] = difflib.SequenceMatcher(None, "", y)
+            held[y].set_seq1(x)
+            out.append(held[y].ratio() >= least)
+        return out
+
     @F.pandas_udf("array<boolean>")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[difflib.SequenceMatcher(None, x, y).ratio() >= least for x, y in zip(p, q, strict=True)] for p, q in zip(a, b, strict=True)])
+        return pd.Series([of_row(p, q) for p, q in zip(a, b, strict=True)])
 
     return alike
 
@@ -80,10 +90,10 @@ def _alike(least: float):
 def consensus(df: DataFrame, *, readings: list[str], out: str = "consensus", least: float = 0.8, separator: str = "；") -> DataFrame:
     """``df`` with the lines of its readings joined, without lines that are alike a kept one before (a ratio of matching blocks of ``least``).
 
-    Only pairs that lengths and characters allow to be alike are compared block by block; the greedy choice among what is alike is an
-    aggregate over the row's lines. Null readings have no lines; a row without lines has an empty text.
+    Equal lines are one from the start: a later one is alike whatever the first is alike, and the first itself. Only pairs that lengths and
+    characters allow to be alike are compared block by block; the greedy choice among what is alike is an aggregate over the row's lines. Null readings have no lines; a row without lines has an empty text.
     """
-    rows = df.select(F.struct(*map(F.col, df.columns)).alias("row"), lines_of(*map(F.col, readings)).alias("lines"))
+    rows = df.select(F.struct(*map(F.col, df.columns)).alias("row"), F.array_distinct(lines_of(*map(F.col, readings))).alias("lines"))
     told = rows.withColumn("told", F.transform("lines", lambda x: F.struct(F.length(x).alias("size"), _letters(x).alias("letters"))))
 
     def earlier(x: Column, i: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import folds, integrity, ranges, readings, references, windows
-from .driver_queries import query, table
+from .driver_queries import query, spread, table
 
 # --- folds over keys of any size -----------------------------------------------------------------------------------------
 
@@ -99,6 +99,6 @@ def drift_rule(spark, sf_dir):
 @query()
 def two_readings(spark, sf_dir):
     """Each turn read twice, the second time with other spellings and its lines' ends lost at times."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("first"))
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("first")))
     second = F.regexp_replace(F.regexp_replace("first", "[éèê]", "e"), r"\.\n", F.when(F.col("turn") % 2 == 0, ".\n").otherwise("; "))
     return readings.consensus(c.withColumn("second", second), readings=["first", "second"]).select("conv_id", "turn", "role", "consensus")

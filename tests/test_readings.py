@@ -109,3 +109,9 @@ def test_windows_are_tested_again_as_one(spark):
     assert {k: r.verdict for k, r in got.items()} == {"moves": "window", "rests": "cells", "cancels": "review", "large": "area", "few": "pairs"}
     assert (got["moves"].n_cells, got["moves"].box, got["moves"].active) == (3, [0.2, 0.25, 0.6, 0.75], 1.0) and 0.9 <= got["moves"].confidence <= 0.95
     assert windows.moving_windows(df.where("false"), w.where("false"), key=["vid"], pair="p", rows=4, cols=5).count() == 0
+
+
+def test_equal_lines_make_no_pairs(spark):
+    text = "\n".join(["the same line"] * 20_000 + ["quite another"] + ["the same line!"] * 20_000)
+    df = spark.createDataFrame([(1, text, text)], "id int, first string, second string")
+    assert readings.consensus(df, readings=["first", "second"]).first()["consensus"] == "the same line；quite another"
