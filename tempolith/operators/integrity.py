@@ -24,6 +24,22 @@ def issues(df: DataFrame, *, level: str, code: str, key: Sequence[str] = ("vid",
     return df.select(*key, F.lit(level).alias("level"), text(owned).alias("owner"), text(chapter).alias("chapter"), F.lit(code).alias("code"), text(detail).alias("detail"))
 
 
+def found_issue(when: Column, *, level: str, code: str | Column, detail: Column | None = None, path: Column | None = None) -> Column:
+    """An issue as a struct where ``when`` holds, else null; ``path`` is a file that it waits for."""
+    text = lambda c: (c if c is not None else F.lit(None)).cast("string")
+    name = F.lit(code) if isinstance(code, str) else code
+    return F.when(when, F.struct(F.lit(level).alias("level"), name.alias("code"), text(detail).alias("detail"), text(path).alias("path")))
+
+
+def each_issue(df: DataFrame, found: Sequence[Column], *, key: Sequence[str] = ("vid",), chapter: Column) -> DataFrame:
+    """The issues of every row in one pass, with the path that each waits for (``_path``); ``found`` are structs of ``found_issue`` or arrays of them."""
+    told = [c if many else F.array(c) for c, many in ((c, df.select(c).schema[0].dataType.typeName() == "array") for c in found)]
+    every = F.array_compact(F.flatten(F.array_compact(F.array(*told))))
+    name = chapter.cast("string")
+    rows = df.select(*key, name.alias("chapter"), F.explode(every).alias("_i"))
+    return rows.select(*key, "_i.level", F.concat(F.lit("chapter:"), "chapter").alias("owner"), "chapter", "_i.code", "_i.detail", F.col("_i.path").alias("_path"))
+
+
 def union(rules: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), rules)
 
@@ -43,9 +59,12 @@ def missing(df: DataFrame, known: DataFrame, *, on: Sequence[str]) -> DataFrame:
 
 def blank_fields(df: DataFrame, fields: Sequence[str], *, key: Sequence[str]) -> DataFrame:
     """One row per field that is null or, as text or array, empty."""
-    kinds = dict(df.dtypes)
-    gone = lambda c: F.col(c).isNull() | (F.trim(c) == "" if kinds[c] == "string" else F.size(c) == 0 if kinds[c].startswith("array") else F.lit(False))
-    return df.select(*key, F.explode(F.array_compact(F.array(*[F.when(gone(c), F.lit(c)) for c in fields]))).alias("field"))
+    return df.select(*key, F.explode(F.array_compact(F.array(*[F.when(_blank(df, c), F.lit(c)) for c in fields]))).alias("field"))
+
+
+def _blank(df: DataFrame, c: str) -> Column:
+    kind = dict(df.dtypes)[c]
+    return F.col(c).isNull() | (F.trim(c) == "" if kind == "string" else F.size(c) == 0 if kind.startswith("array") else F.lit(False))
 
 
 def overlapping(df: DataFrame, *, key: Sequence[str], order: Sequence[str], start: str, end: str, tolerance: float = 0.0) -> DataFrame:
@@ -126,18 +145,40 @@ def manifest_rules(manifests: DataFrame, chapters: DataFrame, slides: DataFrame,
     timed = chapters.withColumns({"well": (F.size("range") == 2) & F.forall("range", lambda x: x.rlike(TIME)), "a": start, "z": end})
     good = timed.where("well")
     counts = slides.groupBy("vid").agg(F.count("*").alias("n_slides"), F.max("id").alias("max_slide"))
-    bodies = chapters.select("vid", "id", F.concat(F.lit("chapters/"), "body").alias("path")).join(files, ["vid", "path"], "left")
-    ch = F.col("id")
-    targets = bodies.where("text is not null").select("vid", "id", F.explode(unknown_targets(F.col("text"))).alias("target"))
-    named = bodies.where("text is not null").select("vid", "id", F.explode(F.regexp_extract_all("text", F.lit(r"\]\((?:\.\./)*((?:slides|sheets|figures)/[^)\s]+)\)"), F.lit(1))).alias("path"))
+    known = counts.select("vid", "n_slides")
     used = chapters.select("vid", "id", F.explode("slides").alias("slide"))
     numbered = used.join(manifests.select("vid", "slide_count"), "vid")
-    known = counts.select("vid", "n_slides")
     last = good.groupBy("vid").agg(F.max("z").alias("z")).join(manifests.select("vid", "duration"), "vid")
     lost = outside_all(cues.withColumn("t", F.floor("t_from")), good, key=key, time="t", start="a", end="z", tolerance=tolerance)
-    fixes = chapters.select("vid", "id", F.explode("corrections").alias("c"))
-    merges = chapters.select("vid", "id", "slides", F.explode("stage_merges").alias("m"))
-    e = "error"
+    e, ch = "error", F.col("id")
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    wrong = F.filter("corrections", lambda c: empty(c["wrong"]) | empty(c["right"]) | empty(c["evidence"]))
+    astray = F.filter("stage_merges", lambda m: (F.size(F.array_except(m["slides"], "slides")) > 0) | ~F.array_contains(m["slides"], m["kept"]))
+    # what a chapter tells by itself, and against the chapters that begin before it (other rows add no end)
+    earlier = Window.partitionBy(*key).orderBy("a", "id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = timed.withColumn("reached", F.max(F.when(F.col("well"), F.col("z"))).over(earlier))
+    own = each_issue(placed, [
+        *[found_issue(_blank(chapters, c), level=e, code="V-07", detail=F.lit(c)) for c in REQUIRED],
+        found_issue(~F.col("well"), level=e, code="V-08"),
+        found_issue(F.col("well") & (F.col("z") <= F.col("a")), level=e, code="V-09"),
+        found_issue(F.col("well") & (F.col("a") < F.col("reached") - tolerance), level=e, code="V-10"),
+        found_issue((F.size("keypoints") < keypoints_min) | (F.size("questions") < 1), level=e, code="V-18"),
+        F.transform(wrong, lambda c: found_issue(F.lit(True), level=e, code="V-30")),
+        F.transform(astray, lambda m: found_issue(F.lit(True), level=e, code="V-31")),
+        found_issue(F.coalesce(F.size("keypoints"), F.lit(0)) < 1, level="warning", code="V-32"),
+    ], chapter=ch)
+    # what a body tells; of the files that it names those stay that aren't there, and an issue without a path always does
+    bodies = chapters.select("vid", "id", F.concat(F.lit("chapters/"), "body").alias("path")).join(files, ["vid", "path"], "left")
+    text = F.col("text")
+    named = F.regexp_extract_all("text", F.lit(r"\]\((?:\.\./)*((?:slides|sheets|figures)/[^)\s]+)\)"), F.lit(1))
+    missed = lambda p: F.when(p.startswith("slides/"), "V-13").otherwise("V-16")
+    told = each_issue(bodies, [
+        found_issue(text.isNull() | (F.trim("text") == "") | text.rlike(r"^---\n") | text.rlike(r"(?m)^<!--\s*meta"), level=e, code="V-11"),
+        found_issue(text.isNotNull() & ~text.rlike(r"\]\([^)]*slides/\d+"), level=e, code="V-12"),
+        F.transform(unknown_targets(text), lambda t: found_issue(F.lit(True), level=e, code="V-15", detail=t)),
+        F.transform(named, lambda p: found_issue(F.lit(True), level=e, code=missed(p), detail=p, path=p)),
+    ], chapter=ch)
+    there = files.select("vid", F.col("path").alias("_path"))
     rules = [
         issues(chapters.select("vid").distinct().join(manifests.select("vid"), "vid", "left_anti"), level=e, code="V-01"),
         issues(manifests.where(F.coalesce(F.col("schema") != schema, F.lit(True))), level=e, code="V-02", detail=F.col("schema")),
@@ -145,23 +186,12 @@ def manifest_rules(manifests: DataFrame, chapters: DataFrame, slides: DataFrame,
         issues(manifests.join(chapters.select("vid").distinct(), "vid", "left_anti"), level=e, code="V-04"),
         issues(manifests.join(known, "vid", "left").where(F.col("slide_count") != F.coalesce("n_slides", F.lit(0))), level=e, code="V-05", detail=F.col("slide_count")),
         issues(duplicates(chapters, key=key, of=["id"]), level=e, code="V-06", chapter=ch, detail=F.col("n")),
-        issues(blank_fields(chapters, REQUIRED, key=["vid", "id"]), level=e, code="V-07", chapter=ch, detail=F.col("field")),
-        issues(timed.where("not well"), level=e, code="V-08", chapter=ch),
-        issues(inverted(good, start="a", end="z"), level=e, code="V-09", chapter=ch),
-        issues(overlapping(good, key=key, order=["a", "id"], start="a", end="z", tolerance=tolerance), level=e, code="V-10", chapter=ch),
-        issues(bodies.where(F.col("text").isNull() | (F.trim("text") == "") | F.col("text").rlike(r"^---\n") | F.col("text").rlike(r"(?m)^<!--\s*meta")), level=e, code="V-11", chapter=ch),
-        issues(bodies.where(F.col("text").isNotNull() & ~F.col("text").rlike(r"\]\([^)]*slides/\d+")), level=e, code="V-12", chapter=ch),
-        issues(missing(named.where(F.col("path").startswith("slides/")), files, on=["vid", "path"]), level=e, code="V-13", chapter=ch, detail=F.col("path")),
-        issues(targets, level=e, code="V-15", chapter=ch, detail=F.col("target")),
-        issues(missing(named.where(~F.col("path").startswith("slides/")), files, on=["vid", "path"]), level=e, code="V-16", chapter=ch, detail=F.col("path")),
-        issues(chapters.where((F.size("keypoints") < keypoints_min) | (F.size("questions") < 1)), level=e, code="V-18", chapter=ch),
+        own.drop("_path"),
+        told.join(there, ["vid", "_path"], "left_anti").select("vid", *ISSUE),
         issues(numbered.where(~F.col("slide").between(1, F.col("slide_count"))), level=e, code="V-19", chapter=ch, detail=F.col("slide")),
         issues(last.where(F.col("z") < F.col("duration") - tail), level=e, code="V-20", detail=F.col("z")),
         issues(lost, level=e, code="V-21", detail=F.col("seq")),
         issues(unused_numbers(counts.select("vid", "max_slide"), used, key=key, count="max_slide", number="slide"), level="warning", code="V-22", detail=F.col("slide")),
-        issues(fixes.where((F.coalesce(F.trim("c.wrong"), F.lit("")) == "") | (F.coalesce(F.trim("c.right"), F.lit("")) == "") | (F.coalesce(F.trim("c.evidence"), F.lit("")) == "")), level=e, code="V-30", chapter=ch),
-        issues(merges.where((F.size(F.array_except("m.slides", "slides")) > 0) | ~F.array_contains("m.slides", F.col("m.kept"))), level=e, code="V-31", chapter=ch),
-        issues(chapters.where(F.coalesce(F.size("keypoints"), F.lit(0)) < 1), level="warning", code="V-32", chapter=ch),
     ]
     return union(rules)
 

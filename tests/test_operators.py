@@ -484,3 +484,32 @@ def test_overlaps_of_intervals_of_all_lengths(spark):
     assert sorted(pairs) == sorted((x[1], y[1]) for x in old for y in new if x[0] == y[0] and shared(x, y) > 0)
     # lengths up to 64 widths make no more copies than that
     assert temporal._placed(o.where("z - a <= 640"), "a", "z", 10.0).groupBy("o").count().agg(F.max("count")).first()[0] <= len(temporal.LEVELS) + 2
+
+
+def test_rules_of_a_chapter_share_their_passes(spark):
+    from tempolith.plans import rule_queries
+
+    plan = rule_queries.manifest_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") <= 8  # each pass over chapters numbers them anew
+
+
+def test_every_kind_of_chapter_issue_keeps_its_count(spark):
+    chapter = {"vid": 1, "id": "01", "title": None, "range": ["00:00:10", "00:00:05"], "slides": [1], "body": "a.md", "keypoints": [], "questions": [], "coverage_notes": "n",
+               "corrections": [("x", "y", None), ("", "y", "e"), ("x", "y", "e")], "stage_merges": [([2], 2), ([1], 3), ([1], 1)]}
+    form = "vid int, id string, title string, range array<string>, slides array<int>, body string, keypoints array<string>, questions array<string>, coverage_notes string, corrections array<struct<wrong:string,right:string,evidence:string>>, stage_merges array<struct<slides:array<int>,kept:int>>"
+    none = {**chapter, "id": "02", "title": "t", "range": None, "corrections": None, "stage_merges": None, "keypoints": None, "body": "b.md"}
+    chapters = spark.createDataFrame([tuple(c.values()) for c in (chapter, none)], form)
+    text = "![a](slides/0001.jpg) ![b](odd.gif) ![c](slides/0002.jpg) ![c](slides/0002.jpg) ![d](figures/fig_1.png)"
+    files = spark.createDataFrame([(1, "chapters/a.md", text), (1, "slides/0001.jpg", "")], "vid int, path string, text string")
+    manifests = spark.createDataFrame([(1, "chapters/1", True, 1, 0.0)], "vid int, schema string, video_ok boolean, slide_count int, duration double")
+    slides = spark.createDataFrame([(1, 1)], "vid int, id int")
+    cues = spark.createDataFrame([], "vid int, seq int, t_from double")
+    found = integrity.manifest_rules(manifests, chapters, slides, cues, files).collect()
+    own = sorted((r.chapter, r.code, r.detail) for r in found if r.chapter and r.code not in ("V-08", "V-18"))
+    assert own == [
+        *[("01", "V-07", c) for c in ("keypoints", "questions", "title")], ("01", "V-09", None), *[("01", "V-13", "slides/0002.jpg")] * 2, ("01", "V-15", "odd.gif"), ("01", "V-16", "figures/fig_1.png"),
+        *[("01", "V-30", None)] * 2, *[("01", "V-31", None)] * 2, ("01", "V-32", None),
+        *[("02", "V-07", c) for c in ("keypoints", "questions", "range")], ("02", "V-11", None), ("02", "V-32", None),
+    ]
+    assert all(r.owner == f"chapter:{r.chapter}" for r in found if r.chapter)
+    assert {(r.code, r.level) for r in found if r.chapter} >= {("V-32", "warning"), ("V-31", "error")}
